@@ -14,6 +14,15 @@ from millrace.operators.windows import percentiles, top_per_group
 EXPRESSIONS_PER_PASS = 400
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Pearson r over rows holding both values; null without spread (``corr`` fails there in ANSI mode)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = (c.cast("double") for c in (a, b))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -165,7 +174,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, targe
         part = pairs[at:at + EXPRESSIONS_PER_PASS]
         cells = [
             F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"),
-                     F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"))
+                     pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"))
             for a, b in part
         ]
         rows = df.agg(F.array(*cells).alias("p")).select(F.inline("p"))

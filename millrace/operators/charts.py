@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.missing import is_missing_word, lenient_double
-from millrace.operators.aggregates import metric
+from millrace.operators.aggregates import metric, pearson
 from millrace.operators.windows import percentiles, row_numbers
 
 # Skew rule, scatter size, rate bands.
@@ -122,7 +122,7 @@ def scatter(df: DataFrame, x: str, y: str, order: list[str]) -> tuple[DataFrame,
     numbered = row_numbers(drawn, "_rn", order)
     points = numbered.where(((F.col("_rn") - 1) % step == 0) & (F.col("_rn") <= step * SCATTER_POINTS))
     points = points.select(F.col("_x").alias("x"), F.col("_y").alias("y"))
-    facts = pairs.agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("r")).withColumn(
+    facts = pairs.agg(F.count("*").alias("n"), pearson("_x", "_y").alias("r")).withColumn(
         "points_shown", F.lit(min(SCATTER_POINTS, math.ceil(n_drawn / step)))).withColumn(
         "points_hidden", F.col("n") - n_drawn)
     return facts, points

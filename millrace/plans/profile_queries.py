@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import profile as P
-from millrace.operators.aggregates import correlation_pairs
+from millrace.operators.aggregates import correlation_pairs, pearson
 from millrace.plans.registry import query
 from millrace.session import read_table as t
 
@@ -192,7 +192,7 @@ def chart_importance(spark, sf):
     from pyspark.sql import Window
 
     line = t(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.count("*").alias("n"), F.corr("l_quantity", "l_extendedprice").alias("r"))
+        F.count("*").alias("n"), pearson("l_quantity", "l_extendedprice").alias("r"))
     rank = F.row_number().over(Window.orderBy("l_returnflag", "l_linestatus"))
     charts = line.select(F.concat("l_returnflag", "l_linestatus").alias("id"), F.lit("scatter").alias("kind"), "n", "r",
                          rank.alias("rank"), (rank == 1).alias("from_domain"))

@@ -42,7 +42,7 @@ def main() -> int:
     if wanted:
         todo = {n: q for n, q in todo.items() if n in wanted or wanted & set(q.covers)}
     spark = build_session("local[8]", **{"spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
     for t in TABLES:
