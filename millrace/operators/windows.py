@@ -64,17 +64,34 @@ def running_total(
         frame = _window(by, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(frame))
     keys = [*by, "_slice"]
-    sliced = range_slices(df.withColumn("_v", value), [*by, *order])
+    sliced = range_slices(df.withColumn("_amount", value), [*by, *order])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sliced.groupBy(*keys).agg(F.sum("_v").alias("_t")).withColumn("_before", F.sum("_t").over(before))
+    offsets = sliced.groupBy(*keys).agg(F.sum("_amount").alias("_t")).withColumn("_before", F.sum("_t").over(before))
     local = sliced.withColumn(
-        "_local", F.sum("_v").over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+        "_local", F.sum("_amount").over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     )
     joined = _join_back(local, offsets.drop("_t"), keys)
     total = F.when(F.col("_local").isNull(), F.col("_before")).otherwise(
         F.col("_local") + F.coalesce("_before", F.lit(0))
     )
-    return joined.withColumn(out, total).drop("_v", "_slice", "_local", "_before")
+    return joined.withColumn(out, total).drop("_amount", "_slice", "_local", "_before")
+
+
+def running_min(
+    df: DataFrame, column: str, out: str, order: Sequence[str], by: Sequence[str] = (), split_above: int | None = None,
+) -> DataFrame:
+    """Lowest value so far in ``order``, restarted for every group of ``by``."""
+    if largest_group(df, by) <= (SPLIT_ABOVE if split_above is None else split_above):
+        frame = _window(by, order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.min(column).over(frame))
+    keys = [*by, "_slice"]
+    sliced = range_slices(df, [*by, *order])
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    lows = sliced.groupBy(*keys).agg(F.min(column).alias("_m")).withColumn("_before", F.min("_m").over(before))
+    local = sliced.withColumn("_local", F.min(column).over(
+        _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = _join_back(local, lows.drop("_m"), keys)
+    return joined.withColumn(out, F.least("_local", "_before")).drop("_slice", "_local", "_before")
 
 
 def row_numbers(df: DataFrame, out: str, order: Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:

@@ -105,6 +105,6 @@ def date_grain_join(spark, sf):
 
 @query("code_label_hint", "H11", "SELECT 'lang' AS code_column, 'c_label' AS label_column, 'left' AS code_side FROM customer LIMIT 1")
 def code_label_hint(spark, sf):
-    docs = t(spark, sf, "documents").select(F.upper("lang").alias("lang"), "n_chars")
+    docs = t(spark, sf, "documents").select(F.upper("lang").alias("lang"), "source")
     labels = t(spark, sf, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit(" group")).alias("c_label"), "c_acctbal")
     return J.code_label_pairs(docs, labels)

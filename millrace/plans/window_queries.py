@@ -64,10 +64,10 @@ def _weekly(spark, sf):
 
 
 @query("trailing_mean", "I3", WEEKLY + """
-SELECT p, week, round(avg(total) OVER (PARTITION BY p ORDER BY week ROWS 3 PRECEDING), 3) AS trailing FROM k
+SELECT p, week, round(avg(total) OVER (PARTITION BY p ORDER BY week ROWS 3 PRECEDING), 5) AS trailing FROM k
 """)
 def trailing_mean(spark, sf):
-    return W.trailing_mean(_weekly(spark, sf), "total", "trailing", ["week"], ["p"], 4).select("p", "week", F.round("trailing", 3).alias("trailing"))
+    return W.trailing_mean(_weekly(spark, sf), "total", "trailing", ["week"], ["p"], 4).select("p", "week", F.round("trailing", 5).alias("trailing"))
 
 
 @query("year_over_year", "I3", WEEKLY + """
