@@ -199,27 +199,28 @@ def cosine_pairs(baskets: DataFrame, basket: str, item: str, at_least: int = 1,
                           (F.col("together") / F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("similarity"))
 
 
-def _grid(v: Column, step: float) -> Column:
-    """Cell on a grid whose width grows with the value: linear up to 1, logarithmic beyond."""
-    scale = math.log1p(step)
-    size = F.abs(v)
-    cell = F.when(size <= 1, F.floor(size / step)).otherwise(math.floor(1 / step) + 1 + F.floor(F.log(size) / scale))
+def _grid(v: Column, relative: float, absolute: float) -> Column:
+    """Cell on a grid as wide as the tolerance: even steps while the absolute part rules, growing steps beyond."""
+    turn, size = absolute / relative, F.abs(v)
+    growing = F.floor(F.log(F.greatest(size, F.lit(turn)) / turn) / math.log1p(relative * 1.05))
+    cell = F.when(size <= turn, F.floor(size / absolute)).otherwise(math.floor(turn / absolute) + growing)
     return (F.signum(v) * (cell + 1)).cast("bigint")
 
 
-def within_tolerance(left: DataFrame, value: str, evidence: DataFrame, known: str, tolerance: float = 0.01) -> DataFrame:
-    """Distinct left values that lie within max(tolerance, |known|·tolerance) of an evidence number.
+def within_tolerance(
+    left: DataFrame, value: str, evidence: DataFrame, known: str, relative: float = 0.01, absolute: float = 0.01
+) -> DataFrame:
+    """Distinct left values that lie within max(absolute, |known|·relative) of an evidence number.
 
     Both sides are distinct numbers. A value can only match evidence in its own grid cell or the two next to it, so the
     range test becomes an equi-join on the cell; nothing is broadcast or paired in full.
     """
-    step = tolerance * 1.05
     a = left.select(F.col(value).alias("x")).where("x is not null").distinct()
     b = evidence.select(F.col(known).cast("double").alias("k")).where("k is not null").distinct()
-    near = F.explode(F.sequence(_grid(F.col("x"), step) - 2, _grid(F.col("x"), step) + 2))
-    a = a.withColumn("cell", near)
-    b = b.withColumn("cell", _grid(F.col("k"), step))
-    close = F.abs(F.col("x") - F.col("k")) <= F.greatest(F.lit(tolerance), F.abs("k") * tolerance)
+    at = _grid(F.col("x"), relative, absolute)
+    a = a.withColumn("cell", F.explode(F.sequence(at - 2, at + 2)))
+    b = b.withColumn("cell", _grid(F.col("k"), relative, absolute))
+    close = F.abs(F.col("x") - F.col("k")) <= F.greatest(F.lit(absolute), F.abs("k") * relative)
     return a.join(b, "cell").where(close).select(F.col("x").alias(value)).distinct()
 
 

@@ -63,3 +63,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, up_to_bytes: int = 1 << 30) -> DataFrame:
+    """Give a small table as many partitions as there are cores, for work that is heavy per row.
+
+    A table in one small file would otherwise be one task. The planner's size estimate is checked first: above
+    ``up_to_bytes`` the scan has plenty of splits of its own and nothing is shuffled.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > up_to_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
