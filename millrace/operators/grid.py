@@ -1,7 +1,8 @@
 """Tables inside spreadsheet grids, for any number of sheets at once.
 
 Input is a long cells table (``file, sheet, row, col, text``), blank cells left out. Windows run per sheet; a sheet is
-bounded by its format (about a million rows, sixteen thousand columns), so a group never grows with the data.
+bounded by its format (about a million rows, sixteen thousand columns), so a group never grows with the data. The cells are
+read many times over, so pass a written or checkpointed table; the steps here checkpoint what they read again themselves.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 SHEET = ("file", "sheet")
 # Scan depth, prose length, number noise, total words, note shapes.
 HEADER_SCAN = 20
@@ -138,7 +141,7 @@ def total_rows(body: DataFrame) -> DataFrame:
     rows = filled.groupBy(*SHEET, "row").agg(
         F.max((F.col("text").rlike(TOTAL_WORD) & F.col("v").isNull()).cast("int")).alias("labelled"))
     ends = rows.groupBy(*SHEET).agg(F.max("row").alias("last"), F.count("*").alias("n_rows")).where("n_rows >= 3")
-    marked = filled.join(rows, [*SHEET, "row"]).join(ends, list(SHEET)).where("v is not null")
+    marked = cut_lineage(filled.join(rows, [*SHEET, "row"]).join(ends, list(SHEET)).where("v is not null"))
     above = marked.where(F.col("row") < F.col("last")).groupBy(*SHEET, "col").agg(F.sum("v").alias("s"))
     last = marked.where(F.col("row") == F.col("last")).join(above, [*SHEET, "col"], "left")
     plain = last.groupBy(*SHEET).agg(
@@ -146,6 +149,7 @@ def total_rows(body: DataFrame) -> DataFrame:
         F.count_if(adds_up(F.col("v"), F.col("s"))).alias("agreeing"), F.max("n_rows").alias("n_rows"))
     simple = plain.where(((F.col("labelled") == 1) & (F.col("agreeing") > 0)) | (
         (F.col("labelled") == 0) & (F.col("measured") >= 2) & (F.col("agreeing") == F.col("measured")) & (F.col("n_rows") >= 4)))
+    simple = cut_lineage(simple)
     return simple.select(*SHEET, "row", F.lit("total").alias("kind")).unionByName(_grouped_totals(marked, simple))
 
 
@@ -160,7 +164,7 @@ def _grouped_totals(marked: DataFrame, simple: DataFrame) -> DataFrame:
     rows = rest.select(*SHEET, "row", "labelled", "last").distinct()
     order = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("group", F.coalesce(F.sum(F.when(F.col("row") < F.col("last"), F.col("labelled"))).over(order), F.lit(0)))
-    placed = rest.join(rows.select(*SHEET, "row", "group"), [*SHEET, "row"])
+    placed = cut_lineage(rest.join(rows.select(*SHEET, "row", "group"), [*SHEET, "row"]))
     inner = placed.where((F.col("labelled") == 0) & (F.col("row") < F.col("last")))
     sums = inner.groupBy(*SHEET, "group", "col").agg(F.sum("v").alias("s"))
     closing = placed.where((F.col("labelled") == 1) & (F.col("row") < F.col("last"))).join(sums, [*SHEET, "group", "col"], "left")

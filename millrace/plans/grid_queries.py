@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import grid as G
 from millrace.operators.windows import row_numbers
 from millrace.plans.registry import query
+from millrace.session import cut_lineage
 from millrace.session import read_table as t
 
 
@@ -25,6 +26,7 @@ def sheets(spark, sf, subtotals: bool = False, notes: bool = False, years: bool
     money = F.col("s_acctbal").cast("decimal(14,2)")
     s = row_numbers(supplier.select("n_name", "s_suppkey", "s_name", money.alias("bal"), F.col("s_suppkey").alias("key")), "i",
                     ["s_suppkey"], ["n_name"])
+    s = cut_lineage(s)
     per = s.groupBy("n_name").agg(F.count("*").alias("n"), F.sum("bal").alias("bal"), F.sum("key").alias("key"))
     extra = 1 if subtotals else 0
     heads = (F.lit("Supplier*" if notes else "Supplier"), F.lit("2021" if years else "Balance"), F.lit("2022" if years else "Key"))
@@ -45,7 +47,7 @@ def sheets(spark, sf, subtotals: bool = False, notes: bool = False, years: bool
         parts.append(side)
         parts.append(_cells(per, F.col("n") + 9, F.lit("Second"), F.lit("Table")))
         parts.append(_cells(per, F.col("n") + 10, F.lit("a"), F.lit("1")))
-    return reduce(DataFrame.unionByName, parts)
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
 
 
 PER = "SELECT n_name AS sheet, count(*)::INTEGER AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"
