@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words read as missing when profiling.
 MISSING_WORDS = ("", "na", "nan", "null", "none")
@@ -43,3 +44,11 @@ def iso_day_text(c: Column) -> Column:
     y, m, d = (F.regexp_extract(text, ISO_DATE, i) for i in (1, 2, 3))
     fine = (y != "") & m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
     return F.when(fine, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+
+
+def as_double(df: DataFrame, column: str) -> Column:
+    """The column as a number; text is read leniently, typed numbers are taken as they are (NaN is missing)."""
+    c = F.col(column)
+    if isinstance(df.schema[column].dataType, T.NumericType):
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+    return lenient_double(c)

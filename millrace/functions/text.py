@@ -184,18 +184,20 @@ def strip_names(df, column: str, names: Sequence[str], out: str = "stripped"):
     flat = F.flatten(F.transform("_c", lambda c, i: F.transform(c["w"], lambda w: F.struct(w.alias("w"), i.alias("i")))))
     work = work.withColumn("_f", flat)
     spans = F.array().cast("array<int>")
-    for n in range(2, longest + 1):
-        spots = F.when(F.size("_f") >= n, F.sequence(F.lit(1), F.size("_f") - n + 1)).otherwise(
-            F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
 
-        def covered(i, n=n):
+    def covered(n: int):
+        def tokens(i):
             part = F.slice("_f", i, n)
             many = F.get(part, F.lit(0))["i"] != F.get(part, F.lit(n - 1))["i"]
             word = F.array_join(F.transform(part, lambda p: p["w"]), "")
-            return F.when(many & F.array_contains(known, word), F.transform(part, lambda p: p["i"])).otherwise(
-                F.array().cast("array<int>"))
+            return F.when(many & F.array_contains(known, word), F.transform(part, lambda p: p["i"])).otherwise(none)
 
-        spans = F.array_union(spans, F.flatten(F.transform(spots, covered)))
+        return tokens
+
+    for n in range(2, longest + 1):
+        spots = F.when(F.size("_f") >= n, F.sequence(F.lit(1), F.size("_f") - n + 1)).otherwise(none)
+        spans = F.array_union(spans, F.flatten(F.transform(spots, covered(n))))
     work = work.withColumn("_s", spans)
     kind = F.transform("_c", lambda c, i: F.when(
         aligned(c["w"]) | F.array_contains(F.col("_s"), i), F.lit("a")).when(

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.missing import is_missing_word, lenient_double
+from millrace.functions.missing import as_double, is_missing_word
 from millrace.operators.aggregates import metric, pearson
 from millrace.operators.windows import percentiles, row_numbers
 
@@ -38,7 +38,7 @@ def categories(
     if counting:
         values = rows.groupBy("_k").agg(F.count("*").cast("double").alias("_v"))
     else:
-        values = rows.withColumn("_y", lenient_double(F.col(y))).where("_y is not null").groupBy("_k").agg(
+        values = rows.withColumn("_y", as_double(rows, y)).where("_y is not null").groupBy("_k").agg(
             metric(agg, "_y").cast("double").alias("_v"))
     facts = values.agg(
         F.sum("_v").alias("total"), (F.min("_v") < 0).alias("signed"), F.count("*").alias("groups"),
@@ -86,7 +86,7 @@ def tail_caps(df: DataFrame, column: str) -> tuple[float | None, float | None]:
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins (5–50) with a heavy tail folded into the end bin; empty bins stay."""
     bins = max(5, min(bins, 50))
-    rows = df.select(lenient_double(F.col(column)).alias("x")).where("x is not null")
+    rows = df.select(as_double(df, column).alias("x")).where("x is not null")
     lo, hi = rows.agg(F.min("x"), F.max("x")).first()
     if lo is None or lo == hi:
         return rows.agg(F.lit(0).alias("bin"), F.lit(lo).cast("double").alias("x0"), F.lit(hi).cast("double").alias("x1"),
@@ -109,7 +109,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def scatter(df: DataFrame, x: str, y: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(facts, points): r on every pair; at most 500 evenly strided points without the long tails."""
-    pairs = df.select(*order, lenient_double(F.col(x)).alias("_x"), lenient_double(F.col(y)).alias("_y"))
+    pairs = df.select(*order, as_double(df, x).alias("_x"), as_double(df, y).alias("_y"))
     pairs = pairs.where("_x is not null and _y is not null")
     (xl, xh), (yl, yh) = tail_caps(pairs, "_x"), tail_caps(pairs, "_y")
     keep = F.lit(True)
@@ -167,14 +167,14 @@ def seasonality(series: DataFrame) -> DataFrame:
 
 def _outcome_rows(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     """The candidate columns and a 0/1 outcome ``_y``; other outcomes leave."""
-    return df.select(*columns, lenient_double(F.col(y)).alias("_y")).where("_y in (0.0, 1.0)")
+    return df.select(*columns, as_double(df, y).alias("_y")).where("_y in (0.0, 1.0)")
 
 
 def _bands(rows: DataFrame, columns: list[str], bands: int) -> dict[str, tuple[float, float, int, bool]]:
     """(low, width, number of bands, whole numbers) per numeric column, from one row of extremes."""
     cells = []
     for c in columns:
-        x = lenient_double(F.col(c))
+        x = as_double(rows, c)
         cells.append(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
                               (F.count_if(x % 1 != 0) == 0).alias("whole")).alias(c))
     facts, out = rows.agg(*cells).first(), {}
@@ -199,7 +199,7 @@ def rate_by_band(df: DataFrame, x: str, y: str, bands: int = RATE_BANDS) -> Data
     rows = _outcome_rows(df, [x], y)
     spec = _bands(rows, [x], max(2, min(bands, 20)))
     low, width, n, whole = spec.get(x, (0.0, 1.0, 1, False))
-    value = lenient_double(F.col(x))
+    value = as_double(rows, x)
     usable = rows.where(value.isNotNull() & F.lit(x in spec))
     out = usable.groupBy(_band_of(value, low, width, n).alias("band")).agg(
         F.count("*").alias("n"), F.avg("_y").alias("rate"), F.max(value).alias("_hi"))
@@ -230,7 +230,7 @@ def rate_drivers(df: DataFrame, outcome: str, numeric: list[str], categorical: l
     spec = _bands(rows, numeric, RATE_BANDS) if numeric else {}
     cells = []
     for c, (low, width, n, _) in spec.items():
-        group = _band_of(lenient_double(F.col(c)), low, width, n).cast("string")
+        group = _band_of(as_double(rows, c), low, width, n).cast("string")
         cells.append(F.struct(F.lit(c).alias("column"), F.lit("numeric").alias("kind"), group.alias("g")))
     for c in categorical:
         group = F.when(~is_missing_word(F.col(c)), F.trim(F.col(c).cast("string")))

@@ -16,7 +16,7 @@ from millrace.functions.text import BOOLEAN_PAIRS, to_boolean
 from millrace.operators.aggregates import value_counts
 from millrace.operators.profile import kind_of, sample_skewness
 from millrace.operators.windows import percentiles, top_per_group
-from millrace.session import new_path
+from millrace.session import new_path, spread
 
 # Preparation thresholds.
 REFUSE_IMPUTATION = 0.60
@@ -75,6 +75,7 @@ def fit_preparation(train: DataFrame, target: str | None = None, modelling: bool
     Three passes in all: text evidence, one aggregation of moments, one (column, value) count for the levels.
     """
     plan = PreparationPlan()
+    train = spread(train)
     columns = [c for c in train.columns if c != target]
     kinds = {f.name: kind_of(f) for f in train.schema.fields}
     texts = [c for c in columns if kinds[c] == "text"]
@@ -102,6 +103,10 @@ def fit_preparation(train: DataFrame, target: str | None = None, modelling: bool
     levels = {}
     if labels:
         counted = value_counts(repaired.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in labels]), labels)
+        # The counts are read three times, so they are written once.
+        kept_at = new_path(train.sparkSession, "levels")
+        counted.write.parquet(kept_at)
+        counted = train.sparkSession.read.parquet(kept_at)
         # At most 1 / RARE_BELOW levels can be frequent, so what comes back is bounded whatever the column holds.
         kept = counted.where(F.col("n") >= max(rows, 1) * RARE_BELOW).collect()
         for r in kept:
@@ -159,7 +164,7 @@ def _repair(df: DataFrame, plan: PreparationPlan, empty_texts: bool = True) -> D
 
 def apply_preparation(df: DataFrame, plan: PreparationPlan) -> DataFrame:
     """Repair types, mark gaps, fill, group rare levels, derive parts: no statistic is read."""
-    out = _repair(df, plan)
+    out = _repair(spread(df), plan)
     marks = {f"{c}__was_missing": F.col(c).isNull().cast("int") for c in plan.indicators if c in df.columns}
     out = out.withColumns(marks) if marks else out
     fixes: dict[str, Column] = {}

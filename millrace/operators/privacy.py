@@ -12,6 +12,7 @@ from millrace.functions import dates as D
 from millrace.functions.missing import parse_day
 from millrace.functions.privacy import export_actor, luhn_valid, pseudonym, tail_token
 from millrace.operators.profile import kind_of
+from millrace.session import spread
 
 # Match threshold, value patterns, name hints (first match wins), what kind of identifier each is.
 MATCH_SHARE = 0.8
@@ -49,6 +50,7 @@ def scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     Value evidence outranks name hints; numeric columns skip the value patterns. All rows are measured, in one pass.
     """
     columns = list(columns or df.columns)
+    df = spread(df.select(*columns))
     cells = []
     for c in columns:
         text = F.trim(F.col(c).cast("string"))

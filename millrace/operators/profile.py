@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.missing import DATE_HINT, is_missing_word, iso_day_text, lenient_double, parse_day
+from millrace.functions.missing import DATE_HINT, as_double, is_missing_word, iso_day_text, lenient_double, parse_day
 from millrace.operators.aggregates import correlation_pairs, numeric_columns, text_columns, value_counts
-from millrace.operators.windows import SPLIT_ABOVE, percentiles, top_per_group
+from millrace.operators.windows import quantiles, top_per_group
+from millrace.session import spread
 
 # Role and quality thresholds.
 HIGH_MISSING = 0.30
@@ -68,39 +69,31 @@ def column_measures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One pass: sizes, moments, text length and date evidence for every column."""
     kinds = _kinds(df, columns)
     cells = []
+    numeric = {
+        "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop, "skew": sample_skewness,
+        "skew_pop": F.skewness, "n_fractional": lambda x: F.count_if(x % 1 != 0)}
+    text = {
+        "mean_length": lambda v: F.avg(F.length(v)), "hint_share": lambda v: F.avg(v.rlike(DATE_HINT).cast("double")),
+        "parse_share": lambda v: F.avg((v.rlike(DATE_HINT) & parse_day(v).isNotNull()).cast("double"))}
     for c in columns:
         col, kind = F.col(c), kinds[c]
-        x = col.cast("double") if kind == "numeric" else F.lit(None).cast("double")
-        text = col.cast("string") if kind == "text" else F.lit(None).cast("string")
-        hinted = text.rlike(DATE_HINT)
+        none = F.lit(None)
+        x = col.cast("double")
         cells.append(F.struct(
             F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
             F.lit(kind).alias("kind"), F.count("*").alias("n_rows"), F.count(col).alias("n"),
-            F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"),
-            sample_skewness(x).alias("skew"), F.skewness(x).alias("skew_pop"),
-            F.count_if(x % 1 != 0).alias("n_fractional"), F.avg(F.length(text)).alias("mean_length"),
-            F.avg(hinted.cast("double")).alias("hint_share"),
-            F.avg((hinted & parse_day(text).isNotNull()).cast("double")).alias("parse_share")))
+            *[(f(x) if kind == "numeric" else none.cast("bigint" if k == "n_fractional" else "double")).alias(k)
+              for k, f in numeric.items()],
+            *[(f(col) if kind == "text" else none.cast("double")).alias(k) for k, f in text.items()]))
     return _rows(df, cells)
 
 
 def _quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
-    """(name, p25, median, p75) per numeric column: one pass while the table is small, by rank beyond."""
+    """(name, p25, median, p75) per numeric column, exact; the values are a few numbers per column."""
     if not columns:
         return None
-    if df.count() <= SPLIT_ABOVE:
-        cells = [
-            F.struct(F.lit(c).alias("name"), F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("median"),
-                     F.percentile(c, 0.75).alias("p75"))
-            for c in columns
-        ]
-        return _rows(df, cells)
-    out = None
-    for c in columns:
-        one = percentiles(df, c, {"p25": 0.25, "median": 0.5, "p75": 0.75}).drop("n").withColumn("name", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = [(c, *v) for c, v in quantiles(df.select(*columns), columns, [0.25, 0.5, 0.75]).items()]
+    return df.sparkSession.createDataFrame(rows, "name string, p25 double, median double, p75 double")
 
 
 def role() -> Column:
@@ -120,6 +113,7 @@ def role() -> Column:
 def profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10) -> DataFrame:
     """One row per column: role, missingness, distinct values, statistics, top values."""
     columns = list(columns or df.columns)
+    df = spread(df.select(*columns))
     counts = value_counts(df, columns)
     distinct = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
     best = top_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], top)
@@ -246,9 +240,12 @@ def chart_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     cells = []
     for c in columns:
         missing = is_missing_word(F.col(c))
-        day = F.when(~missing, iso_day_text(F.date_format(c, "yyyy-MM-dd")
-                                            if kind_of(df.schema[c]) == "datetime" else F.col(c)))
-        x = F.lit(None).cast("double") if kind_of(df.schema[c]) in ("boolean", "datetime") else lenient_double(F.col(c))
+        kind = kind_of(df.schema[c])
+        if kind == "numeric":
+            missing, day, x = F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(None).cast("string"), as_double(df, c)
+        else:
+            day = F.when(~missing, iso_day_text(F.date_format(c, "yyyy-MM-dd") if kind == "datetime" else F.col(c)))
+            x = F.lit(None).cast("double") if kind in ("boolean", "datetime") else lenient_double(F.col(c))
         cells.append(F.struct(
             F.lit(c).alias("name"), F.count("*").alias("n_rows"), F.count_if(~missing).alias("present"),
             F.count(day).alias("n_days"), F.count(x).alias("n_numbers"), F.max(missing.cast("int")).alias("any_missing"), F.count_if(x % 1 != 0).alias("n_fractional"),
@@ -296,7 +293,7 @@ def full_numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact statistics over all rows, missing words excluded, population deviation."""
     cells, prepared = [], df
     for c in columns:
-        prepared = prepared.withColumn(c, lenient_double(F.col(c)))
+        prepared = prepared.withColumn(c, as_double(df, c))
     for c in columns:
         x = F.col(c)
         cells.append(F.struct(

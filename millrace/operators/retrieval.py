@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.windows import top_per_group
+from millrace.session import spread
 
 # Chunk sizes and noise found in exported documentation pages.
 MAX_CHUNK, MIN_CHUNK = 4000, 100
@@ -203,6 +204,7 @@ def relevance(
     alone are the first of each (alias, file name) group.
     """
     q = queries.select(F.col(query_key).alias("query"), F.lower(text).alias("_q"), tokens(F.col(text)).alias("_qt"))
+    datasets = spread(datasets.select(key, descriptor, alias, filename))
     d = datasets.select(F.col(key).alias("id"), tokens(F.col(descriptor)).alias("_dt"), F.lower(alias).alias("_a"),
                         F.lower(filename).alias("_f"))
     words = q.select("query", F.explode("_qt").alias("w"))

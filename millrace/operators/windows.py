@@ -8,6 +8,7 @@ slice summaries is scanned once, and its result is joined back. Both ways give t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,13 +183,19 @@ def percentiles(
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles, with the group's non-null size in ``n``.
 
-    Spark's ``percentile`` holds every distinct value of a group in one buffer; above ``split_above`` rows the two
-    neighbouring order statistics are picked by rank instead.
+    Whole columns are refined by counting (:func:`quantiles`). Per group, Spark's ``percentile`` holds every distinct
+    value of a group in one buffer; above ``split_above`` rows the two neighbouring order statistics are picked by rank.
     """
     known = df.where(F.col(value).isNotNull())
+    if not by and split_above is None:
+        names = list(probs)
+        values = quantiles(known, [value], [probs[p] for p in names])[value]
+        cells = [F.lit(v).cast("double").alias(p) for p, v in zip(names, values, strict=True)]
+        return known.agg(F.count("*").alias("n")).select("n", *cells)
     if largest_group(known, by) <= (SPLIT_ABOVE if split_above is None else split_above):
-        aggs = [F.percentile(value, p).alias(name) for name, p in probs.items()]
-        return known.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
+        all_at_once = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()])).alias("_p")
+        found = known.groupBy(*by).agg(F.count("*").alias("n"), all_at_once)
+        return found.select(*by, "n", *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
     positions = {}
     for name, p in probs.items():
         positions[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
@@ -202,6 +209,67 @@ def percentiles(
     return picked.select(*by, "n", *cols)
 
 
+CELLS = 1024
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles of whole columns, without sorting or shuffling a row.
+
+    Each pass counts the values of all columns in ``CELLS`` even cells and keeps only the cell that holds a wanted rank;
+    the next pass divides that cell again, until it holds one value. A pass returns at most a cell table per wanted rank,
+    and two or three passes over the columns' own pages are the rule.
+    """
+    x = {c: F.col(c).cast("double") for c in columns}
+    facts = df.agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(str(i))
+                     for i, v in enumerate(x.values())]).first()
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, float, float], tuple[int, set[int]]] = {}
+    for i, c in enumerate(columns):
+        f = facts[str(i)]
+        ranks = {r for p in probs for r in (math.floor((f["n"] - 1) * p), math.ceil((f["n"] - 1) * p))} if f["n"] else set()
+        if ranks and f["lo"] == f["hi"]:
+            found.update({(c, r): f["lo"] for r in ranks})
+        elif ranks:
+            open_[(c, f["lo"], f["hi"])] = (0, ranks)
+    while open_:
+        keys = list(open_)
+        cells = []
+        for k, (c, lo, hi) in enumerate(keys):
+            inside = x[c].between(lo, hi)
+            at = F.least(F.floor((x[c] - lo) * (CELLS / (hi - lo))), F.lit(CELLS - 1)).cast("int")
+            cells.append(F.when(inside, F.struct(F.lit(k).alias("k"), at.alias("cell"), x[c].alias("v"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
+        counts = rows.groupBy("k", "cell").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        by_key: dict[int, list] = {}
+        for r in counts.collect():
+            by_key.setdefault(r["k"], []).append(r)
+        narrowed: dict[tuple[str, float, float], tuple[int, set[int]]] = {}
+        for k, key in enumerate(keys):
+            before, ranks = open_[key]
+            for r in sorted(by_key[k], key=lambda r: r["cell"]):
+                here = {q for q in ranks if before <= q < before + r["n"]}
+                if here and r["lo"] == r["hi"]:
+                    found.update({(key[0], q): r["lo"] for q in here})
+                elif here:
+                    # The two ends are known at once, so a cell with up to two values needs no further pass.
+                    ends = {before: r["lo"], before + r["n"] - 1: r["hi"]}
+                    found.update({(key[0], q): ends[q] for q in here if q in ends})
+                    left = here - set(ends)
+                    if left:
+                        narrowed[(key[0], r["lo"], r["hi"])] = (before, left)
+                before += r["n"]
+        open_ = narrowed
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        n, values = facts[str(i)]["n"], []
+        for p in probs:
+            at = (n - 1) * p
+            lo, hi = found.get((c, math.floor(at))), found.get((c, math.ceil(at)))
+            values.append(None if not n else lo + (hi - lo) * (at - math.floor(at)))
+        out[c] = values
+    return out
+
+
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "position") -> DataFrame:
     """The first ``k`` rows of every group. Spark cuts each partition to ``k`` rows per key before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
