@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,11 @@ DATE_HINT = r"^\s*(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}
 ISO_DATE = r"^\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\s*$"
 
 
+def bind(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` mentions it; keeps generated code small."""
+    return F.transform(F.array(c), use)[0]
+
+
 def is_missing_word(c: Column) -> Column:
     """Null, or text that trims and lower-cases to a missing word."""
     text = c.cast("string")
@@ -29,13 +36,16 @@ def lenient_double(c: Column) -> Column:
 
 def parse_day(c: Column) -> Column:
     """Date from year-first or year-last text; month before day unless that cannot be."""
-    text = F.trim(c.cast("string"))
-    first = F.regexp_extract(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", 0)
-    last = F.regexp_extract(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", 0)
-    a = F.try_to_date(F.regexp_replace(first, "[/.]", "-"), "y-M-d")
-    mdy = F.try_to_date(F.regexp_replace(last, "[/.]", "-"), "M-d-y")
-    dmy = F.try_to_date(F.regexp_replace(last, "[/.]", "-"), "d-M-y")
-    return F.when(first != "", a).when(last != "", F.coalesce(mdy, dmy))
+    year_first, year_last = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
+
+    def read(text: Column) -> Column:
+        def part(pattern: str) -> Column:
+            return F.regexp_replace(F.regexp_extract(text, pattern, 0), "[/.]", "-")
+
+        last = F.coalesce(F.try_to_date(part(year_last), "M-d-y"), F.try_to_date(part(year_last), "d-M-y"))
+        return F.when(text.rlike(year_first), F.try_to_date(part(year_first), "y-M-d")).when(text.rlike(year_last), last)
+
+    return bind(F.trim(c.cast("string")), read)
 
 
 def iso_day_text(c: Column) -> Column:

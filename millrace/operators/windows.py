@@ -233,12 +233,17 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
             open_[(c, f["lo"], f["hi"])] = (0, ranks)
     while open_:
         keys = list(open_)
+        # A value lies in one open cell of its column at most, so a row gives one entry per column at most.
         cells = []
-        for k, (c, lo, hi) in enumerate(keys):
-            inside = x[c].between(lo, hi)
-            at = F.least(F.floor((x[c] - lo) * (CELLS / (hi - lo))), F.lit(CELLS - 1)).cast("int")
-            cells.append(F.when(inside, F.struct(F.lit(k).alias("k"), at.alias("cell"), x[c].alias("v"))))
-        rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
+        for c in dict.fromkeys(c for c, _, _ in keys):
+            k, at = F.lit(None).cast("int"), F.lit(None).cast("double")
+            for i, (name, lo, hi) in enumerate(keys):
+                if name == c:
+                    inside = x[c].between(lo, hi)
+                    k, at = F.when(inside, i).otherwise(k), F.when(inside, (x[c] - lo) * (CELLS / (hi - lo))).otherwise(at)
+            cell = F.least(F.floor(at), F.lit(CELLS - 1)).cast("int")
+            cells.append(F.when(k.isNotNull(), F.struct(k.alias("k"), cell.alias("cell"), x[c].alias("v"))))
+        rows = df.where(F.coalesce(*cells).isNotNull()).select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
         counts = rows.groupBy("k", "cell").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         by_key: dict[int, list] = {}
         for r in counts.collect():

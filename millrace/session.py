@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -74,4 +75,6 @@ def spread(df: DataFrame, up_to_bytes: int = 1 << 30) -> DataFrame:
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(size)) > up_to_bytes:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    # By row number, not round robin: the same rows go to the same task on a retry without sorting every partition first.
+    return df.withColumn("_at", F.monotonically_increasing_id()).repartition(parts, "_at").drop("_at")
