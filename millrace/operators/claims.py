@@ -99,9 +99,9 @@ def ordering_contradicted(claims: DataFrame, key: str, result: DataFrame, column
     step = F.pow(F.lit(10.0), F.col("decimals"))
     at = F.round(F.col("value") * step).cast("bigint")
     spots = numbers.select("value", "decimals").distinct().withColumn("cell", F.explode(F.array(at - 1, at, at + 1)))
-    grain = spots.select("decimals").distinct()
-    cells = long.distinct().join(ends.select("column"), "column").withColumn("_one", F.lit(1)).join(
-        grain.withColumn("_one", F.lit(1)), "_one").withColumn("cell", F.floor(F.col("v") * step + 0.5))
+    grains = [F.lit(r["decimals"]) for r in spots.select("decimals").distinct().collect()] or [F.lit(0)]
+    cells = long.distinct().join(ends.select("column"), "column").withColumn("decimals", F.explode(F.array(*grains))).withColumn(
+        "cell", F.floor(F.col("v") * step + 0.5))
     half = 0.5 / step + 1e-9
     located = spots.join(cells, ["decimals", "cell"]).where(F.abs(F.col("value") - F.col("v")) <= half)
     located = located.select("value", "decimals", "column").distinct().join(ends, "column")

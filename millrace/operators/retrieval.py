@@ -20,6 +20,7 @@ NOISE = "|".join((
     r"\[Next[^\]]*\]\([^)]*\)", r"!\[\]\(https://static\.scarf\.sh[^)]*\)", r"Source code in `[^`]+`", r"-{3,}"))
 NOISE_HEADINGS = ("back to top", "source code in", "previous", "next", "© copyright", "showing first")
 MAX_QUERIES = 4096
+MAX_NAME_LENGTHS = 256
 
 
 def strip_noise(c: Column) -> Column:
@@ -201,7 +202,7 @@ def relevance(
 
     Score: shared words, +5 when the alias is mentioned, +3 for the file name, +1 for the id. Words meet in an inverted
     index, so datasets that share no word with a query are never paired with it; the few that could still win by a bonus
-    alone are the first of each (alias, file name) group.
+    alone are the first of each mentioned (alias, file name) group and the first dataset of all.
     """
     q = queries.select(F.col(query_key).alias("query"), F.lower(text).alias("_q"), tokens(F.col(text)).alias("_qt"))
     datasets = spread(datasets.select(key, descriptor, alias, filename))
@@ -218,9 +219,21 @@ def relevance(
     facts = d.select("id", "_a", "_f")
     scored = shared.join(q.select("query", "_q"), "query").join(facts, "id").select(
         "query", "id", (F.col("n") + bonus).alias("score"))
+    # A mention is a substring of the query, so the query's pieces of the lengths names have are matched to names by equality.
+    sizes = facts.select(F.explode(F.array(F.length("_a"), F.length("_f"))).alias("n")).where("n > 0").distinct()
+    lengths = [r["n"] for r in sizes.limit(MAX_NAME_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_NAME_LENGTHS:
+        raise ValueError(f"names of more than {MAX_NAME_LENGTHS} different lengths; shorten the descriptors' alias and file name")
     groups = facts.groupBy("_a", "_f").agg(F.min("id").alias("id"))
-    heads = groups.withColumn("_one", F.lit(1)).join(q.select("query", "_q").withColumn("_one", F.lit(1)), "_one").select(
-        "query", "id", bonus.alias("score"))
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("_q"), F.lit(1))))
+    pieces = q.select("query", "_q", at.alias("i"))
+    pieces = pieces.select("query", "_q", F.explode(F.array(*[
+        F.substr("_q", F.col("i"), F.lit(n)) for n in lengths])).alias("piece")).distinct() if lengths else q.select(
+        "query", "_q", F.lit("").alias("piece"))
+    by_name = [groups.join(pieces, F.col(c) == F.col("piece")).select("query", "id", bonus.alias("score")) for c in ("_a", "_f")]
+    first = facts.orderBy("id").limit(1).select(F.struct("id", "_a", "_f").alias("s")).scalar()
+    fallback = q.select("query", "_q", first.alias("s")).select("query", "_q", "s.*").select("query", "id", bonus.alias("score"))
+    heads = by_name[0].unionByName(by_name[1]).unionByName(fallback)
     best = F.min_by(F.struct("id", "score"), F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))
     return scored.unionByName(heads).groupBy("query").agg(best.alias("b")).select(
         "query", F.col("b.id").alias("best"), F.col("b.score").alias("score"))

@@ -217,7 +217,7 @@ def strict_numbers(spark, sf):
 LATLON = "(c_custkey * 7 % 1200) / 10.0 - 60 AS lat, (c_custkey * 13 % 3000) / 10.0 - 150 AS lon"
 
 
-@query("haversine", "C24", f"""
+@query("haversine", "C24 P2", f"""
 WITH p AS (SELECT c_custkey, {LATLON} FROM customer),
  h AS (SELECT *, sin(radians(lat - 48.85) / 2) ** 2 + cos(radians(48.85)) * cos(radians(lat)) * sin(radians(lon - 2.35) / 2) ** 2 AS a FROM p)
 SELECT c_custkey, round(2 * 6371 * asin(sqrt(a)), 4) AS km, round(2 * 6371 * asin(sqrt(a)) / 2, 4) AS kmh FROM h
