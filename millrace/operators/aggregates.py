@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.windows import percentiles, top_per_group
+from millrace.operators.windows import _join_back, percentiles, top_per_group
 
 EXPRESSIONS_PER_PASS = 400
 
@@ -85,9 +85,26 @@ def group_comparison(
 
 
 def grouped_metrics(df: DataFrame, by: Sequence[str], metrics: dict[str, tuple[str, str | None]]) -> DataFrame:
-    """Named metrics per group in ONE aggregation; null groups are kept."""
-    aggs = [metric(op, column).alias(name) for name, (op, column) in metrics.items()]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    """Named metrics per group; null groups are kept.
+
+    Everything that merges is ONE aggregation. Medians and distinct counts need all values of a group: they are counted
+    on their own, by rank and by (group, value), so that no buffer holds a group, and joined to the rest by the key.
+    """
+    alone = {n: m for n, m in metrics.items() if m[0] in ("median", "count_distinct")}
+    aggs = [metric(op, column).alias(name) for name, (op, column) in metrics.items() if name not in alone]
+    if not by:
+        out = df.agg(*(aggs or [F.count("*").alias("_rows")]))
+    else:
+        out = df.groupBy(*by).agg(*(aggs or [F.count("*").alias("_rows")]))
+    for name, (op, column) in alone.items():
+        if op == "median":
+            one = percentiles(df, column, {name: 0.5}, by).drop("n")
+        else:
+            one = df.select(*by, column).where(F.col(column).isNotNull()).distinct().groupBy(*by).agg(F.count("*").alias(name))
+        out = _join_back(out, one, by) if by else out.withColumn(name, one.select(name).scalar())
+        if op == "count_distinct":
+            out = out.fillna(0, [name])
+    return out.select(*by, *metrics)
 
 
 def run_metric_actions(df: DataFrame, actions: Sequence[dict]) -> tuple[dict[tuple[str, ...], DataFrame], list[dict]]:
@@ -305,12 +322,22 @@ def exact_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) for the non-null text form of each column; combined map-side before the shuffle."""
-    return (
-        df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-        .unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count("*").alias("n"))
-    )
+    """(column, value, n) for the non-null text form of each column; combined map-side before the shuffle.
+
+    Whole and floating numbers are grouped as numbers and only their distinct values are turned into text.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        t = df.schema[c].dataType
+        kind = "bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, T.DoubleType) else "string"
+        kinds.setdefault(kind, []).append(c)
+    out = None
+    for kind, names in kinds.items():
+        long = df.select(*[F.col(c).cast(kind).alias(c) for c in names]).unpivot([], names, "column", "value")
+        counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+        counts = counts.select("column", F.col("value").cast("string").alias("value"), "n")
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def top_values(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:

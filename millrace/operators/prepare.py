@@ -16,7 +16,7 @@ from millrace.functions.text import BOOLEAN_PAIRS, to_boolean
 from millrace.operators.aggregates import value_counts
 from millrace.operators.profile import kind_of, sample_skewness
 from millrace.operators.windows import percentiles, top_per_group
-from millrace.session import new_path, spread
+from millrace.session import new_path, reread, spread
 
 # Preparation thresholds.
 REFUSE_IMPUTATION = 0.60
@@ -74,8 +74,12 @@ def fit_preparation(train: DataFrame, target: str | None = None, modelling: bool
 
     Three passes in all: text evidence, one aggregation of moments, one (column, value) count for the levels.
     """
+    with reread(train) as rows:
+        return _fit(rows, target, modelling)
+
+
+def _fit(train: DataFrame, target: str | None, modelling: bool) -> PreparationPlan:
     plan = PreparationPlan()
-    train = spread(train)
     columns = [c for c in train.columns if c != target]
     kinds = {f.name: kind_of(f) for f in train.schema.fields}
     texts = [c for c in columns if kinds[c] == "text"]

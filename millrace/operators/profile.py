@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from millrace.functions.missing import DATE_HINT, as_double, is_missing_word, iso_day_text, lenient_double, parse_day
 from millrace.operators.aggregates import correlation_pairs, numeric_columns, text_columns, value_counts
 from millrace.operators.windows import quantiles, top_per_group
-from millrace.session import spread
+from millrace.session import reread, settled
 
 # Role and quality thresholds.
 HIGH_MISSING = 0.30
@@ -111,9 +111,13 @@ def role() -> Column:
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10) -> DataFrame:
-    """One row per column: role, missingness, distinct values, statistics, top values."""
+    """One row per column: role, missingness, distinct values, statistics, top values. Computed once, then a local table."""
     columns = list(columns or df.columns)
-    df = spread(df.select(*columns))
+    with reread(df.select(*columns)) as rows:
+        return settled(_profile(rows, columns, top))
+
+
+def _profile(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
     counts = value_counts(df, columns)
     distinct = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
     best = top_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], top)
@@ -124,13 +128,14 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10)
     base = base.join(tops.withColumnRenamed("column", "name"), "name", "left")
     base = base.withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("bigint"))).withColumn("role", role())
     numbers = [c for c in numeric_columns(df) if c in columns]
-    quartiles = _quartiles(df, numbers)
-    if quartiles is None:
-        for c in ("p25", "median", "p75"):
-            base = base.withColumn(c, F.lit(None).cast("double"))
-        base = base.withColumn("n_outliers", F.lit(None).cast("bigint"))
+    known = quantiles(df.select(*numbers), numbers, [0.25, 0.5, 0.75]) if numbers else {}
+    spots = [(c, *known.get(c, (None, None, None))) for c in columns]
+    table = df.sparkSession.createDataFrame(spots, "name string, p25 double, median double, p75 double")
+    base = base.join(table, "name", "left")
+    if numbers:
+        base = base.join(_outliers(df, {c: (v[0], v[2]) for c, v in known.items()}), "name", "left")
     else:
-        base = base.join(quartiles, "name", "left").join(_outliers(df, quartiles, numbers), "name", "left")
+        base = base.withColumn("n_outliers", F.lit(None).cast("bigint"))
     is_num = F.col("role") == "numeric"
     stats = {"min": None, "max": None, "mean": 6, "median": 6, "std": 6, "p25": None, "p75": None, "skew": 4}
     shown = [
@@ -145,12 +150,10 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10)
         F.when(F.col("role").isin("categorical", "boolean", "id"), F.col("top_values")).alias("top_values"))
 
 
-def _outliers(df: DataFrame, quartiles: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows outside the 1.5·IQR fences per column; the fences are one row per column, read once."""
-    fences = {r["name"]: (r["p25"], r["p75"]) for r in quartiles.collect()}
+def _outliers(df: DataFrame, fences: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Rows outside the 1.5·IQR fences per column."""
     cells = []
-    for c in columns:
-        q1, q3 = fences[c]
+    for c, (q1, q3) in fences.items():
         if q1 is None:
             outside = F.lit(False)
         else:
@@ -235,8 +238,13 @@ def one_pass_profile(df: DataFrame, columns: Sequence[str] | None = None, share:
 
 
 def chart_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Roles for charting (time, identifier, measure, dimension, label) from the values' text forms."""
+    """Roles for charting (time, identifier, measure, dimension, label) from the values' text forms. A local table."""
     columns = list(columns or df.columns)
+    with reread(df.select(*columns)) as rows:
+        return settled(_chart_profile(rows, columns))
+
+
+def _chart_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = []
     for c in columns:
         missing = is_missing_word(F.col(c))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,15 +68,40 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def spread(df: DataFrame, up_to_bytes: int = 1 << 30) -> DataFrame:
+SMALL_BYTES = 1 << 30
+
+
+def is_small(df: DataFrame, up_to_bytes: int = SMALL_BYTES) -> bool:
+    """Whether the planner's size estimate stays below ``up_to_bytes``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= up_to_bytes
+
+
+def spread(df: DataFrame, up_to_bytes: int = SMALL_BYTES) -> DataFrame:
     """Give a small table as many partitions as there are cores, for work that is heavy per row.
 
     A table in one small file would otherwise be one task. The planner's size estimate is checked first: above
     ``up_to_bytes`` the scan has plenty of splits of its own and nothing is shuffled.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > up_to_bytes:
+    if not is_small(df, up_to_bytes):
         return df
     parts = df.sparkSession.sparkContext.defaultParallelism
     # By row number, not round robin: the same rows go to the same task on a retry without sorting every partition first.
     return df.withColumn("_at", F.monotonically_increasing_id()).repartition(parts, "_at").drop("_at")
+
+
+@contextmanager
+def reread(df: DataFrame, up_to_bytes: int = SMALL_BYTES) -> Iterator[DataFrame]:
+    """For work in several passes: a small table is spread and kept while the block runs, a large one is scanned again."""
+    if not is_small(df, up_to_bytes):
+        yield df
+        return
+    kept = spread(df, up_to_bytes).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows as a local table. Only for results whose size is set by a schema, such as one row per column."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
