@@ -384,5 +384,5 @@ def value_index(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def with_scope(df: DataFrame, rows_used: DataFrame, total_rows: int) -> DataFrame:
     """Attach what an answer was computed on: rows used, rows in all, ``all`` or ``sample``."""
     used = rows_used.agg(F.count("*")).scalar()
-    return df.withColumn("rows_used", used).withColumn("rows_total", F.lit(total_rows)).withColumn(
+    return df.withColumn("rows_used", used).withColumn("rows_total", F.lit(total_rows).cast("bigint")).withColumn(
         "scope", F.when(used < total_rows, "sample").otherwise("all"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import within_tolerance
+from millrace.session import cut_lineage
 
 # Wording lists, number pattern and scales.
 CAUSAL = ("cause", "causes", "caused", "causing", "drive", "drives", "driven by", "drove", "lead to", "leads to", "led to",
@@ -74,7 +75,8 @@ def invented_numbers(claims: DataFrame, key: str, evidence: DataFrame, known: st
     v = F.col("value")
     whole = v % 1 == 0
     exempt = ~F.col("is_percent") & whole & ((F.abs(v) < 10) | v.between(1900, 2100))
-    numbers = stated_numbers(claims, key).where(~exempt)
+    # Figures are read three times below; finding them in the text is the dear part, so it is done once.
+    numbers = cut_lineage(stated_numbers(claims, key).where(~exempt))
     direct = within_tolerance(numbers, "value", evidence, known).withColumn("_ok", F.lit(True))
     hundred = evidence.select((F.col(known) * 100).alias("_h"))
     as_share = within_tolerance(numbers.where("is_percent"), "value", hundred, "_h", absolute=0.051).withColumn(
@@ -95,7 +97,7 @@ def ordering_contradicted(claims: DataFrame, key: str, result: DataFrame, column
     ends = long.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).where("n >= 2")
     flagged = claims.withColumns({"low": mentions(F.col("claim"), LOWEST), "high": mentions(F.col("claim"), HIGHEST)})
     flagged = flagged.where("low or high")
-    numbers = stated_numbers(flagged, key).where("not is_percent and not is_scaled")
+    numbers = cut_lineage(stated_numbers(flagged, key).where("not is_percent and not is_scaled"))
     step = F.pow(F.lit(10.0), F.col("decimals"))
     at = F.round(F.col("value") * step).cast("bigint")
     spots = numbers.select("value", "decimals").distinct().withColumn("cell", F.explode(F.array(at - 1, at, at + 1)))

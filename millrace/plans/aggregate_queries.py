@@ -214,7 +214,7 @@ def hour_weekday_heatmap(spark, sf):
 @query("decile_rates", "D23 F15", """
 WITH r AS (SELECT ntile(10) OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS decile,
                   l_extendedprice, (l_returnflag = 'R')::INTEGER AS y FROM lineitem)
-SELECT decile, count(*) AS n, round(avg(y), 6) AS rate, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi
+SELECT decile::INTEGER AS decile, count(*) AS n, round(avg(y), 6) AS rate, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi
 FROM r GROUP BY 1
 """)
 def decile_rates(spark, sf):

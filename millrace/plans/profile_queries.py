@@ -61,7 +61,7 @@ WITH d AS (SELECT 100 - (CASE WHEN (SELECT count(*) FROM labels) > (SELECT count
  - 12 * ((SELECT avg((quality IS NULL)::INT) FROM documents LEFT JOIN labels USING (doc_id)) >= 0.3)::INT
  - 12 * ((SELECT avg((toxic IS NULL)::INT) FROM documents LEFT JOIN labels USING (doc_id)) >= 0.3)::INT
  - 10 * ((SELECT count(*) FROM documents) < 200)::INT AS score)
-SELECT score::INTEGER AS score, ((100 - score) // 12)::BIGINT AS n_issues FROM d
+SELECT score::BIGINT AS score, ((100 - score) // 12)::BIGINT AS n_issues FROM d
 """)
 def quality_score(spark, sf):
     joined = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left").select(

@@ -13,8 +13,8 @@ from millrace.streaming import ingest as I
 from millrace.streaming import sessions as S
 
 
-def _stream(spark, sf):
-    rows = I.file_stream(spark, sf, "events.parquet", t(spark, sf, "events").schema)
+def _stream(spark, sf, **kw):
+    rows = I.file_stream(spark, sf, "events.parquet", t(spark, sf, "events").schema, **kw)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
 
 
@@ -102,7 +102,7 @@ def fixed_window_rate_limit(spark, sf):
 
 @query("stream_first_event_rate_limit", "L6")
 def stream_first_event_rate_limit(spark, sf):
-    rows = _stream(spark, sf).select("event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("seconds"))
+    rows = _stream(spark, sf, per_batch=1 << 30).select("event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("seconds"))
     limited = S.first_event_limit(rows, "event_type", "seconds", 20, 3600.0)
     out = I.run_available(limited, new_path(spark, "limited"))
     return out.groupBy("event_type").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))

@@ -14,9 +14,11 @@ from millrace.operators.events import attributed, checked_events
 from millrace.session import new_path
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, pattern: str, schema, per_batch: int = 64 << 30) -> DataFrame:
+    """Parquet files of a folder as a stream. ``per_batch`` bounds the bytes of a micro-batch, and with it the rows one key
+    can bring to a stateful step at a time; make it smaller where a single key holds much of the feed."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxBytesPerTrigger", str(per_batch))
+    return reader.parquet(folder)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:

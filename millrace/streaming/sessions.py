@@ -35,7 +35,8 @@ def activity_sessions(stream: DataFrame, key: str, time: str, gap: str, delay: s
 def first_event_limit(stream: DataFrame, key: str, seconds: str, limit: int, window: float) -> DataFrame:
     """Rate limit whose window opens at a key's first event; adds ``allowed``.
 
-    The state is two numbers per key. ``stream`` holds the key (string), ``event_id`` and the time in seconds.
+    The state is two numbers per key. A key's rows of one micro-batch are sorted in memory, so open the stream with a
+    ``per_batch`` that fits a task even if one key sends most of it. ``stream`` holds the key (string), ``event_id`` and the time in seconds.
     """
     schema = f"{key} string, event_id bigint, at double, allowed boolean"
 
