@@ -429,10 +429,15 @@ def quality_table(df: DataFrame, date_pairs: Sequence[tuple[str, str]] = ()) ->
         odd = (text != F.lower(text)) & (text != F.upper(text)) & (text != F.initcap(F.lower(text)))
         is_text = c in text_columns(df)
         odd_names = F.count_if(odd) if is_text and _matches(c, PERSON_NAME) else none
-        collapsing = F.countDistinct(c) - F.countDistinct(F.lower(F.trim(c))) if is_text else none
-        cells.append(F.struct(F.lit(c).alias("column"), negatives.alias("negatives"), odd_names.alias("odd_names"),
-                              collapsing.alias("collapsing")))
+        cells.append(F.struct(F.lit(c).alias("column"), negatives.alias("negatives"), odd_names.alias("odd_names")))
     found = profiled.join(_rows(df, cells), "column")
+    texts = text_columns(df)
+    if texts:
+        folded = value_counts(df, texts).groupBy("column").agg(
+            (F.count("*") - F.countDistinct(F.lower(F.trim("value")))).alias("collapsing"))
+        found = found.join(folded, "column", "left")
+    else:
+        found = found.withColumn("collapsing", F.lit(None).cast("bigint"))
     def told(c, words):
         return F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(words)))
 

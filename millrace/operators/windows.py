@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.session import cut_lineage
 
 SPLIT_ABOVE = 4_000_000
+ROWS_PER_SLICE = 8_000_000
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -27,12 +28,12 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 
 def range_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Add ``_slice``: consecutive, similarly sized ranges of the sort order.
+    """Add ``_slice``: consecutive, similarly sized ranges of the sort order, ``ROWS_PER_SLICE`` rows each on a large table.
 
     The range edges come from sampling, so the numbered rows are checkpointed before anything is derived from them.
     """
     spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / ROWS_PER_SLICE))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in order])
     return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
 
