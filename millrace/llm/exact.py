@@ -104,7 +104,7 @@ def _bucket(shas: DataFrame, table_bytes: int) -> Column:
 
     Level by level, only prefixes that do not fit are divided further. Each such prefix stands for more than one table
     of contents, so what is collected is bounded by levels x total bytes / table bytes: 8,000 short texts for 100 TB
-    of contended contents at the default size. Contents of one digest take one place, so copies never make a bucket large.
+    of distinct contents at the default size. Contents of one digest take one place, so copies never make a bucket large.
     """
     bucket, parents, level = F.lit(""), [""], 0
     while parents and level < 64:
@@ -116,8 +116,11 @@ def _bucket(shas: DataFrame, table_bytes: int) -> Column:
     return bucket
 
 
-def _resolved(contended: DataFrame) -> DataFrame:
-    """(_run, _group): equal contents of one bucket get one group, named by the first run row that the table met."""
+def _resolved(contents: DataFrame) -> DataFrame:
+    """(_run, _group): equal contents of one bucket get one group, named by the first run row that the table met.
+
+    A hash partition can hold several buckets; they are sorted and met one after the other, so one table is alive at a time.
+    """
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, table, first = None, ContentTable(), []
@@ -133,7 +136,7 @@ def _resolved(contended: DataFrame) -> DataFrame:
                 groups.append(first[number])
             yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(groups, pa.int64())], names=["_run", "_group"])
 
-    dealt = contended.repartition(shuffle_parts(contended), "_bucket").sortWithinPartitions("_bucket", "_sha", "_row")
+    dealt = contents.repartition(shuffle_parts(contents), "_bucket").sortWithinPartitions("_bucket", "_sha", "_row")
     return dealt.select("_bucket", F.col("_row").alias("_run"), "_sha", "_content").mapInArrow(tables, "_run long, _group long")
 
 
@@ -142,15 +145,13 @@ def grace_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     Texts are equal when they are the same after each run of white space became one space; null counts as empty. Of equal
     texts the row with the smallest id stays; ids that are null come last, and of repeated rows exactly one
-    stays. A content whose digest occurs in one run only needs no further comparison; all others go, as one content per
-    run, to the bucket of their digest. An empty table gives no rows.
+    stays. Every run sends each of its contents once to the bucket of its digest, whatever the share of copies: a filter on
+    the digests met twice would have to move the same contents. An empty table gives no rows.
     """
     spill = _spilled(df, id_col, text_col, table_bytes)
     heads = spill.where(F.col("_content").isNotNull())
-    shared = heads.groupBy("_sha").agg(F.count(F.lit(1)).alias("_runs"), F.max("_bytes").alias("_bytes")).where(F.col("_runs") > 1)
-    shared = written(shared.select("_sha", "_bytes"), "shared")
-    contended = heads.drop("_bytes").join(shared, "_sha").withColumn("_bucket", _bucket(shared, table_bytes))
-    groups = _resolved(contended)
+    digests = written(heads.groupBy("_sha").agg(F.max("_bytes").alias("_bytes")), "digests")
+    groups = _resolved(heads.withColumn("_bucket", _bucket(digests, table_bytes)))
     slim = spill.select("_id", "_row", "_run", "_sha")
     named = written(slim.join(groups, "_run", "left").withColumn("_group", F.coalesce("_group", "_run")).drop("_run"), "groups")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
