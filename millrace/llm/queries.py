@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact, langid, mixing, packing, sharding
+from millrace.llm import exact, langid, mixing, nearcopies, packing, sharding
 from millrace.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_superminhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(read_table(spark, sf_dir, "documents"))
+
+
 def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.concatenate_and_cut(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,6 +45,7 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op2_rendezvous_shards": (op2_rendezvous_shards, sharding.SQL),
     "op3_kneser_ney_language": (op3_kneser_ney_language, None),
+    "op4_superminhash_components": (op4_superminhash_components, None),
     "op5_concatenate_and_cut": (op5_concatenate_and_cut, None),
     "op6_grace_dedup": (op6_grace_dedup, exact.SQL),
     "op10_weighted_mix": (op10_weighted_mix, mixing.SQL),
