@@ -1,9 +1,10 @@
 """Near-duplicates: SuperMinHash signatures, banding, verification on full shingle sets, union-find grouping.
 
 The graph has one node per different shingle set, so copies of a document never meet each other. In a bucket, members are
-compared with pivots instead of with each other. Jaccard distance is a metric: members whose distances to a pivot differ
-by more than the link distance cannot be linked, and members of one group need no comparison. Pivots are drawn until nothing
-else is left in a bucket, so every pair that shares a bucket is compared, in one group, or ruled out.
+first verified against one pivot only, which settles large groups of near copies in linear work. What such a group leaves
+open is the pairs of different groups that share a bucket. Jaccard distance is a metric, so members of the pivot's group
+that lie nearer to it, by more than the link distance, than every outsider are ruled out exactly. The members left
+are compared by their signatures, in blocks of bounded size, and each pair that may be similar enough is verified.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,9 @@ WORDS = 5
 PERCENT = 75
 #: 48 bands of 6: a pair at the threshold is missed with probability 8e-5, one at 0.8 with 5e-7.
 BANDS, ROWS = 48, 6
-#: Members of other groups that a bucket is compared with in each round.
-PIVOTS = 16
+#: Members per side of a block in which signatures are compared, and the share of equal components from which on a pair is
+#: verified: 4 standard deviations below the threshold, so 5 of 100,000 pairs at the threshold itself fall below it.
+BLOCK, MAYBE = 1024, 0.64
 #: Shingles whose permutations are drawn at once, and sets from which on they are traced back instead of kept.
 CHUNK, LARGE = 20_000, 256
 
@@ -160,7 +162,10 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (_id, n, cls, keys): the set's size and digest, and its band keys; cls is null for an empty set."""
+    """(id, text) -> (_id, n, cls, keys, sig): the set's size and digest, its band keys, and one byte per component.
+
+    cls, keys and sig are null for an empty set.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -168,13 +173,14 @@ def _signed(docs: DataFrame) -> DataFrame:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 sets = [shingle(t) for t in batch.column(1).to_pylist()]
-                keys = band_keys(signatures(sets), BANDS, ROWS)
+                components = signatures(sets)
+                keys, low = band_keys(components, BANDS, ROWS), components.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                     pa.array([k.tobytes() if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.binary())],
-                    names=["_id", "n", "cls", "keys"])
+                     *(pa.array([x.tobytes() if len(s) else None for x, s in zip(of, sets, strict=True)], pa.binary()) for of in (keys, low))],
+                    names=["_id", "n", "cls", "keys", "sig"])
 
-    schema = T.StructType([docs.schema[0], T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+    schema = T.StructType([docs.schema[0], T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("cls", "keys", "sig"))])
     schema.fields[0] = T.StructField("_id", docs.schema[0].dataType)
     return written(docs.mapInArrow(sign, schema), "signed", "lz4")
 
@@ -293,22 +299,6 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _pivots(open_rows: DataFrame) -> DataFrame:
-    """(key, node, label) of the next pivots of each bucket: up to ``PIVOTS`` members, those of its smallest groups first."""
-    sizes = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_size"))
-    order = Window.partitionBy("key").orderBy("_size", "node")
-    ranked = open_rows.join(sizes, ["key", "label"]).withColumn("_r", F.row_number().over(order))
-    return ranked.where(F.col("_r") <= PIVOTS).select("key", "node", "label")
-
-
-def _next_pairs(open_rows: DataFrame, pivots: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b): each pivot against its bucket's members of other groups, without the pairs compared before."""
-    mine = pivots.select("key", F.col("node").alias("_x"), F.col("label").alias("_lx"))
-    met = open_rows.join(mine, "key").where(F.col("label") != F.col("_lx"))
-    ordered = met.select(F.least("node", "_x").alias("a"), F.greatest("node", "_x").alias("b")).distinct()
-    return ordered.join(tested, ["a", "b"], "left_anti")
-
-
 def _still_open(rows: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """The (key, p, node, label) of ``rows`` that still have something to compare; ``p`` is the bucket's first pivot.
 
@@ -327,6 +317,40 @@ def _still_open(rows: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFr
     return left.join(mixed, "key")
 
 
+def _maybe_linked(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): pairs of different groups in one bucket whose signatures agree in at least ``MAYBE`` of their components.
+
+    ``members`` (key, node, label) meet in blocks: those outside their bucket's largest group on the left, all on the right. Both
+    sides are dealt into blocks of about ``BLOCK`` by their node, so no task holds a bucket, and one group of any size is met
+    only by its outsiders. Only the pairs found leave a block.
+    """
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("_size", (-F.col("label")).alias("_neg"))).alias("_top"), F.sum("_size").alias("_all"))
+    plan = largest.select(
+        "key", (-F.col("_top._neg")).alias("_main"), F.ceil(F.col("_all") / BLOCK).alias("_rights"),
+        F.ceil((F.col("_all") - F.col("_top._size")) / BLOCK).alias("_lefts"))
+    dealt = members.select("key", "node", "label").join(plan, "key").join(signed.select("node", "sig"), "node")
+    place = F.xxhash64("node")
+    left = dealt.where("label <> _main").select(
+        "key", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", "sig")
+    right = dealt.select(
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", "sig")
+
+    def meet(block: pa.Table) -> pa.Table:
+        on_left = block["_left"].to_numpy()
+        node, label = block["node"].to_numpy(), block["label"].to_numpy()
+        sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        a, b, (other,) = [], [], np.nonzero(~on_left)
+        for i in np.flatnonzero(on_left):
+            against = other[label[other] != label[i]]
+            near = against[(sig[against] == sig[i]).sum(axis=1) >= MAYBE * sig.shape[1]]
+            a.append(np.minimum(node[i], node[near]))
+            b.append(np.maximum(node[i], node[near]))
+        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+    return left.unionByName(right).groupBy("key", "_l", "_r").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: ``id_col``, n_shingles, component_id, kept.
 
@@ -338,7 +362,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     signed = _signed(docs)
-    classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("keys").alias("keys"))
+    classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", "lz4")
     buckets = written(_buckets(classes), "buckets")
 
@@ -351,21 +375,17 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     linked = f"100 * both >= {PERCENT} * either"
     labels = written(grouped(tested.where(linked)), "labels")
 
-    # Buckets that are one group by now are done; in the others, further pivots are compared until nothing is left to compare.
+    # Buckets that are one group by now are done; in the others, members of different groups are compared by signature.
     left = written(_still_open(buckets, labels, tested), "open")
-    while not left.isEmpty():
-        pivots = written(_pivots(left), "pivots")
-        more = written(_verified(_next_pairs(left, pivots, tested), sets), "tested")
-        tested = tested.unionByName(more)
-        if not more.where(linked).isEmpty():
-            labels = written(grouped(tested.where(linked)), "labels")
-        rest = left.drop("label").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
-        left = written(_still_open(rest, labels, tested), "open")
+    if not left.isEmpty():
+        more = _maybe_linked(left, classes).join(tested, ["a", "b"], "left_anti")
+        tested = tested.unionByName(written(_verified(more, sets), "tested"))
+        labels = written(grouped(tested.where(linked)), "labels")
 
     named = _labelled(classes.select("cls", "node", "rep"), labels)
     components = named.groupBy("label").agg(F.min("rep").alias("component"))
     of_class = named.join(components, "label").select("cls", "component")
-    out = signed.drop("keys").join(of_class, "cls", "left")
+    out = signed.drop("keys", "sig").join(of_class, "cls", "left")
     component = F.coalesce("component", "_id")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
