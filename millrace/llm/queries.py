@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact, langid, mixing, nearcopies, packing, sharding
+from millrace.llm import exact, fingerprints, langid, mixing, nearcopies, packing, secretscan, sharding
 from millrace.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op6_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.grace_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_combined_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op9_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))[0]
 
@@ -48,5 +56,7 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op4_superminhash_components": (op4_superminhash_components, None),
     "op5_concatenate_and_cut": (op5_concatenate_and_cut, None),
     "op6_grace_dedup": (op6_grace_dedup, exact.SQL),
+    "op8_combined_automaton_secrets": (op8_combined_automaton_secrets, secretscan.SQL),
+    "op9_consistent_weighted_sampling": (op9_consistent_weighted_sampling, None),
     "op10_weighted_mix": (op10_weighted_mix, mixing.SQL),
 }
