@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact, fingerprints, langid, mixing, nearcopies, packing, secretscan, sharding
+from millrace.llm import exact, fingerprints, langid, mixing, nearcopies, packing, secretscan, sharding, urlfilter, warc
 from millrace.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_markov_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op6_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.grace_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_two_level_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op8_combined_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -51,11 +59,13 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Run, str | None]] = {
+    "op1_markov_url_ratio": (op1_markov_url_ratio, None),
     "op2_rendezvous_shards": (op2_rendezvous_shards, sharding.SQL),
     "op3_kneser_ney_language": (op3_kneser_ney_language, None),
     "op4_superminhash_components": (op4_superminhash_components, None),
     "op5_concatenate_and_cut": (op5_concatenate_and_cut, None),
     "op6_grace_dedup": (op6_grace_dedup, exact.SQL),
+    "op7_two_level_capture_index": (op7_two_level_capture_index, warc.SQL),
     "op8_combined_automaton_secrets": (op8_combined_automaton_secrets, secretscan.SQL),
     "op9_consistent_weighted_sampling": (op9_consistent_weighted_sampling, None),
     "op10_weighted_mix": (op10_weighted_mix, mixing.SQL),
