@@ -73,7 +73,7 @@ _LABELS = (r"pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?k
 _EXTENSIONS = (r"csv|tsv|xlsx?|xlsm|xlsb|parquet|json|jsonl|ndjson|txt|pdf|docx?|pptx?|sql|db|"
                r"sqlite|zip|gz|tar|pkl|pickle|feather|orc|avro|xml|ya?ml|log|ipynb|sav|dta")
 SCRUB_RULES = (
-    (("-----BEGIN",), "credential", r"(?s)-----BEGIN [A-Z ]{0,40}-----.*?(?:-----END [A-Z ]{0,40}-----|$)", "[secret]"),
+    (("-----begin",), "credential", r"(?s)-----BEGIN [A-Z ]{0,40}-----.*?(?:-----END [A-Z ]{0,40}-----|$)", "[secret]"),
     (("://",), "url", r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://\S+", "[url]"),
     (("www.",), "url", r"(?i)\bwww\.[^\s]+", "[url]"),
     (("bearer",), "credential", r"(?i)\bbearer\s+[A-Za-z0-9._~+/=\-]{8,}", "[secret]"),
@@ -96,6 +96,7 @@ SCRUB_RULES = (
     ((), "credential", r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{24,}(?![A-Za-z0-9_\-]))(?=[A-Za-z0-9_\-]*[a-z])"
                    r"(?=[A-Za-z0-9_\-]*[A-Z])(?=[A-Za-z0-9_\-]*\d)[A-Za-z0-9_\-]{24,}", "[secret]"),
 )
+# Invisible marks that are taken out and control characters that become a space.
 INVISIBLE = "[​-‏‪-‮⁠-⁤﻿­]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 SCRUB_CATEGORIES = tuple(dict.fromkeys(c for _, c, _, _ in SCRUB_RULES))

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from millrace.functions.privacy import hmac_sha256
 from millrace.session import cut_lineage
 
-MAX_DEPTH = 32
 
 
 def reachable(
-    edges: DataFrame, starts: DataFrame, kinds: Sequence[str], forward: bool, tenant: str, max_depth: int = MAX_DEPTH
+    edges: DataFrame, starts: DataFrame, kinds: Sequence[str], forward: bool, tenant: str, max_depth: int | None = None
 ) -> DataFrame:
     """(root, id): everything within ``max_depth`` steps of each start id, the start itself left out.
 
@@ -28,7 +27,9 @@ def reachable(
     steps = cut_lineage(steps)
     frontier = starts.select(F.col("id").alias("root"), "id").distinct()
     seen = frontier
-    for _ in range(max_depth):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
         frontier = cut_lineage(found.join(seen, ["root", "id"], "left_anti"))
         if frontier.isEmpty():

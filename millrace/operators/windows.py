@@ -220,18 +220,23 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     the next pass divides that cell again, until it holds one value. A pass returns at most a cell table per wanted rank,
     and two or three passes over the columns' own pages are the rule.
     """
-    x = {c: F.col(c).cast("double") for c in columns}
-    facts = df.agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(str(i))
-                     for i, v in enumerate(x.values())]).first()
+    # NaN is no value. Infinite values are counted and stand at the ends; cells are made of the finite ones.
+    given = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    x = {c: F.when(F.abs(v) < float("inf"), v) for c, v in given.items()}
+    facts = df.agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(given[c]).alias("n"), F.count(v).alias("finite"),
+                              F.count_if(given[c] == float("-inf")).alias("below")).alias(str(i)) for i, (c, v) in enumerate(x.items())]).first()
     found: dict[tuple[str, int], float] = {}
     open_: dict[tuple[str, float, float], tuple[int, set[int]]] = {}
     for i, c in enumerate(columns):
         f = facts[str(i)]
         ranks = {r for p in probs for r in (math.floor((f["n"] - 1) * p), math.ceil((f["n"] - 1) * p))} if f["n"] else set()
+        found.update({(c, r): float("-inf") for r in ranks if r < f["below"]})
+        found.update({(c, r): float("inf") for r in ranks if r >= f["below"] + f["finite"]})
+        ranks = {r for r in ranks if (c, r) not in found}
         if ranks and f["lo"] == f["hi"]:
             found.update({(c, r): f["lo"] for r in ranks})
         elif ranks:
-            open_[(c, f["lo"], f["hi"])] = (0, ranks)
+            open_[(c, f["lo"], f["hi"])] = (f["below"], ranks)
     while open_:
         keys = list(open_)
         # A value lies in one open cell of its column at most, so a row gives one entry per column at most.
@@ -241,7 +246,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
             for i, (name, lo, hi) in enumerate(keys):
                 if name == c:
                     inside = x[c].between(lo, hi)
-                    k, at = F.when(inside, i).otherwise(k), F.when(inside, (x[c] - lo) * (CELLS / (hi - lo))).otherwise(at)
+                    k, at = F.when(inside, i).otherwise(k), F.when(inside, (x[c] / 2 - lo / 2) * min(CELLS / (hi / 2 - lo / 2 or 5e-324), 1e308)).otherwise(at)
             cell = F.least(F.floor(at), F.lit(CELLS - 1)).cast("int")
             cells.append(F.when(k.isNotNull(), F.struct(k.alias("k"), cell.alias("cell"), x[c].alias("v"))))
         rows = df.where(F.coalesce(*cells).isNotNull()).select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
@@ -261,7 +266,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
                     ends = {before: r["lo"], before + r["n"] - 1: r["hi"]}
                     found.update({(key[0], q): ends[q] for q in here if q in ends})
                     left = here - set(ends)
-                    if left:
+                    if left and (key[0], r["lo"], r["hi"]) in open_:
+                        # The pass did not divide this cell: its values differ by less than a double can scale.
+                        found.update({(key[0], q): r["lo"] for q in left})
+                    elif left:
                         narrowed[(key[0], r["lo"], r["hi"])] = (before, left)
                 before += r["n"]
         open_ = narrowed

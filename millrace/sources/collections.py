@@ -42,11 +42,14 @@ def key_kinds(df: DataFrame, column: str) -> DataFrame:
     return cells.groupBy("key", value_kind(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def run_spec(df: DataFrame, spec: dict) -> DataFrame:
-    """``filter`` (SQL text), ``projection``, ``sort`` [(column, ±1)], ``limit``, or a ``stages`` list of those; never writes."""
+def run_spec(df: DataFrame, spec: dict, most: int | None = MAX_ROWS) -> DataFrame:
+    """``filter`` (SQL text), ``projection``, ``sort`` [(column, ±1)], ``limit``, or a ``stages`` list of those; never writes.
+
+    ``most`` caps the rows of the final result only, as the callers of a document store expect; None returns all of them.
+    """
     stages = spec.get("stages") or [{k: spec[k]} for k in ("filter", "projection", "sort", "limit") if spec.get(k) is not None]
     names = {"filter": "match", "projection": "project"}
-    out, limited = df, False
+    out = df
     for stage in stages:
         (kind, body), = stage.items()
         kind = names.get(kind, kind)
@@ -63,5 +66,5 @@ def run_spec(df: DataFrame, spec: dict) -> DataFrame:
         elif kind == "group":
             out = out.groupBy(*body["by"]).agg(*[F.expr(e).alias(n) for n, e in body["values"].items()])
         else:
-            out, limited = out.limit(min(body, MAX_ROWS)), True
-    return out if limited else out.limit(MAX_ROWS)
+            out = out.limit(body)
+    return out if most is None else out.limit(most)

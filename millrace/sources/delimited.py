@@ -6,7 +6,7 @@ import csv
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,30 +60,32 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if lines.where(~valid).isEmpty() else "ISO-8859-1"
 
 
-def find_header(rows: Sequence[Sequence[str]]) -> int | None:
-    """Index of the header among the first rows, or None when the file should be read as it is.
+def find_header(spark: SparkSession, rows: Sequence[Sequence[str]]) -> int | None:
+    """The number of the header line among the first ``rows``, or None when the file should be read as it is.
 
-    The width is the commonest number of filled cells in the lower two thirds; the header is the first row about as wide,
-    mostly words and without repeats, with only sparse rows above and a data-like row below.
+    One row of facts per line: filled cells, those that are words, different ones. The usual width is the commonest count of
+    filled cells below the first third. The first line about as wide, of words without repeats, is the header if only sparse
+    lines lie above it and the next line that is not empty looks like data.
     """
-    def filled(row):
-        return [c.strip() for c in row if c and c.strip() and not re.match(MADE_UP, c.strip())]
-
     if len(rows) < 3:
         return None
-    widths = [w for r in rows[len(rows) // 3:] if (w := len(filled(r))) > 1]
-    if not widths:
-        return None
-    width = max(dict.fromkeys(widths), key=widths.count)
-    for i, row in enumerate(rows[:HEADER_LAST + 1]):
-        cells = filled(row)
-        words = [c for c in cells if not re.match(NUMBERISH, c)]
-        wide = len(cells) >= max(2, int(0.8 * width + 0.5))
-        if wide and len({c.lower() for c in cells}) == len(cells) and len(words) >= 0.6 * len(cells):
-            below = next((filled(r) for r in rows[i + 1:] if filled(r)), [])
-            calm = all(len(filled(r)) <= max(1, width // 2) for r in rows[:i])
-            return i if calm and len(below) >= max(2, int(0.5 * width)) else None
-    return None
+    lines = spark.createDataFrame([(i, list(r)) for i, r in enumerate(rows)], "i int, cells array<string>")
+    bare = F.transform("cells", lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
+    filled = lines.select("i", F.filter(bare, lambda c: (c != "") & ~c.rlike(MADE_UP)).alias("c"))
+    facts = filled.select(
+        "i", F.size("c").alias("n"), F.size(F.filter("c", lambda c: ~c.rlike(NUMBERISH))).alias("words"),
+        F.size(F.array_distinct(F.transform("c", F.lower))).alias("kinds"))
+    usual = facts.where((F.col("i") >= len(rows) // 3) & (F.col("n") > 1)).groupBy(F.col("n").alias("width")).agg(
+        F.count("*").alias("lines"), F.min("i").alias("at")).orderBy(F.desc("lines"), "at").limit(1).select("width")
+    order = Window.orderBy("i")  # at most HEADER_SCAN lines
+    above = F.coalesce(F.max("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.coalesce(F.first(F.when(F.col("n") > 0, F.col("n")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    around = facts.withColumns({"above": above, "below": below}).join(usual)
+    like_header = F.col("i").between(0, HEADER_LAST) & (F.col("n") >= F.greatest(F.lit(2), F.floor(0.8 * F.col("width") + 0.5)))
+    like_header &= (F.col("kinds") == F.col("n")) & (F.col("words") >= 0.6 * F.col("n"))
+    fits = (F.col("above") <= F.greatest(F.lit(1), F.floor(F.col("width") / 2))) & (F.col("below") >= F.greatest(F.lit(2), F.floor(0.5 * F.col("width"))))
+    first = around.where(like_header).orderBy("i").select("i", fits.alias("fits")).first()
+    return first["i"] if first and first["fits"] else None
 
 
 def read_delimited(
@@ -107,7 +109,7 @@ def read_delimited(
             scores[d] = (widths.count(common) if widths else 0, common)
         delimiter = max(DELIMITERS, key=lambda d: scores[d]) if any(s[0] for s in scores.values()) else sniff_delimiter(head[0])
     parsed = list(csv.reader(head, delimiter=delimiter))
-    at = find_header(parsed) or 0
+    at = find_header(spark, parsed) or 0
     names = unique_names(parsed[at])
     skip = [*head[:at + 1], "﻿" + head[0]]
     options = {"sep": delimiter, "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
