@@ -158,11 +158,19 @@ def interrupted(feed: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("interrupted_pct", rate)
 
 
+def first_installs(feed: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """(batch, _first): each upload's first install record; the least of several parts' firsts is the first of the whole."""
+    return feed.where("kind = 'install' and install_id is not null").groupBy(batch).agg(
+        F.min(F.struct("seq", "event_id", "install_id")).alias("_first"))
+
+
+def with_owner(feed: DataFrame, firsts: DataFrame, batch: str = "batch_id") -> DataFrame:
+    return feed.join(firsts, batch, "left").withColumn("install_id", F.coalesce("install_id", "_first.install_id")).drop("_first")
+
+
 def attributed(feed: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Events without an install id inherit their batch's, taken from its first install record."""
-    owner = feed.where("kind = 'install' and install_id is not null").groupBy(batch).agg(
-        F.min_by("install_id", F.struct("seq", "event_id")).alias("_owner"))
-    return feed.join(owner, batch, "left").withColumn("install_id", F.coalesce("install_id", "_owner")).drop("_owner")
+    return with_owner(feed, first_installs(feed, batch), batch)
 
 
 def checked_events(feed: DataFrame, rules: dict[str, Column]) -> DataFrame:

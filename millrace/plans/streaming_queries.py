@@ -13,16 +13,24 @@ from millrace.streaming import ingest as I
 from millrace.streaming import sessions as S
 
 
-def _stream(spark, sf, **kw):
-    rows = I.file_stream(spark, sf, "events.parquet", t(spark, sf, "events").schema, **kw)
+def _instants(rows):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
 
 
+def _stream(spark, sf):
+    return _instants(I.file_stream(spark, sf, "events.parquet", t(spark, sf, "events").schema))
+
+
 @query("stream_without_redeliveries", "L1", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def stream_without_redeliveries(spark, sf):
     copies = F.explode(F.when(F.col("event_id") % 7 == 0, F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1))))
-    delivered = _stream(spark, sf).withColumn("copy", copies).drop("copy")
-    out = I.run_available(I.without_redeliveries(delivered, "event_id", "ts", "30 days"), new_path(spark, "unique"))
+    path = new_path(spark, "unique")
+
+    def run(stream, checkpoint):
+        delivered = _instants(stream).withColumn("copy", copies).drop("copy")
+        return I.run_available(I.without_redeliveries(delivered, "event_id", "ts", "30 days"), path, checkpoint)
+
+    out = I.replayed(t(spark, sf, "events"), "ts", run)
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -41,12 +49,14 @@ SELECT coalesce(install_id, owner) AS install_id, count(*) AS n FROM f LEFT JOIN
 """)
 def stream_attribution(spark, sf):
     k = F.col("event_id")
-    f = _stream(spark, sf).select(
+    # Every upload is spread over all eight files, and every file is a micro-batch of its own.
+    spread = new_path(spark, "uploads")
+    events = t(spark, sf, "events")
+    events.repartition(8, "event_id").write.parquet(spread)
+    f = _instants(I.file_stream(spark, spread, "*.parquet", events.schema, per_batch=1)).select(
         k, k.alias("seq"), F.date_format("ts", "yyyyMMddHH").alias("batch_id"), F.when(k % 10 == 7, "install").alias("kind"),
         F.when(k % 10 == 7, F.concat(F.lit("i"), F.col("user_id").cast("string"))).alias("install_id"))
-    path = new_path(spark, "attributed")
-    I.attributed_batches(f, path)
-    return spark.read.parquet(path).groupBy("install_id").agg(F.count("*").alias("n"))
+    return I.attributed_batches(f, new_path(spark, "attributed")).groupBy("install_id").agg(F.count("*").alias("n"))
 
 
 RULES_SQL = """
@@ -74,12 +84,14 @@ SELECT s.event_id FROM feed s, w, v WHERE s.kind = 'started' AND s.received_at <
  (SELECT 1 FROM c WHERE c.session_id = s.session_id AND c.started_seq = s.seq AND c.received_at >= s.received_at AND c.received_at <= s.received_at + INTERVAL 24 HOUR)
 """)
 def stream_lost_starts(spark, sf):
-    path = new_path(spark, "feed")
-    feed(spark, sf).write.parquet(path)
-    rows = I.file_stream(spark, path, "*.parquet", spark.read.parquet(path).schema).withColumn(
-        "received_at", F.col("received_at").cast("timestamp"))
-    lost = S.lost_starts(rows.where("kind = 'started'"), rows.where("kind = 'completed'"))
-    return I.run_available(lost, new_path(spark, "lost")).select("event_id")
+    path = new_path(spark, "lost")
+
+    def run(stream, checkpoint):
+        rows = stream.withColumn("received_at", F.col("received_at").cast("timestamp"))
+        lost = S.lost_starts(rows.where("kind = 'started'"), rows.where("kind = 'completed'"))
+        return I.run_available(lost, path, checkpoint)
+
+    return I.replayed(feed(spark, sf), "received_at", run).select("event_id")
 
 
 @query("stream_activity_sessions", "L5", """
@@ -89,7 +101,12 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS n FROM a WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1
 """)
 def stream_activity_sessions(spark, sf):
-    out = I.run_available(S.activity_sessions(_stream(spark, sf), "user_id", "ts", "2 hours", "1 hour"), new_path(spark, "activity"))
+    path = new_path(spark, "activity")
+
+    def run(stream, checkpoint):
+        return I.run_available(S.activity_sessions(_instants(stream), "user_id", "ts", "2 hours", "1 hour"), path, checkpoint)
+
+    out = I.replayed(t(spark, sf, "events"), "ts", run)
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
@@ -102,9 +119,13 @@ def fixed_window_rate_limit(spark, sf):
 
 @query("stream_first_event_rate_limit", "L6")
 def stream_first_event_rate_limit(spark, sf):
-    rows = _stream(spark, sf, per_batch=1 << 30).select("event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("seconds"))
-    limited = S.first_event_limit(rows, "event_type", "seconds", 20, 3600.0)
-    out = I.run_available(limited, new_path(spark, "limited"))
+    path = new_path(spark, "limited")
+
+    def run(stream, checkpoint):
+        rows = _instants(stream).select("event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("seconds"))
+        return I.run_available(S.first_event_limit(rows, "event_type", "seconds", 20, 3600.0), path, checkpoint)
+
+    out = I.replayed(t(spark, sf, "events"), "ts", run)
     return out.groupBy("event_type").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
@@ -147,8 +168,13 @@ def incremental_export(spark, sf):
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
 """)
 def stream_rollup(spark, sf):
-    cells = E.rollup(_stream(spark, sf).withWatermark("ts", "1 day"), "ts", "1 hour", ["event_type"], "value")
-    out = I.upserted_cells(cells, new_path(spark, "rollup"), ["start", "event_type"])
+    path = new_path(spark, "rollup")
+
+    def run(stream, checkpoint):
+        cells = E.rollup(_instants(stream).withWatermark("ts", "1 day"), "ts", "1 hour", ["event_type"], "value")
+        return I.upserted_cells(cells, path, ["start", "event_type"], checkpoint)
+
+    out = I.replayed(t(spark, sf, "events"), "ts", run)
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
 
 

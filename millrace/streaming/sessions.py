@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,22 +36,27 @@ def activity_sessions(stream: DataFrame, key: str, time: str, gap: str, delay: s
 def first_event_limit(stream: DataFrame, key: str, seconds: str, limit: int, window: float) -> DataFrame:
     """Rate limit whose window opens at a key's first event; adds ``allowed``.
 
-    The state is two numbers per key. A key's rows of one micro-batch are sorted in memory, so open the stream with a
-    ``per_batch`` that fits a task even if one key sends most of it. ``stream`` holds the key (string), ``event_id`` and the time in seconds.
+    The state is two numbers per key. Rows must come in the order of time from one micro-batch to the next, as ``replayed`` gives
+    them; a key's rows of one micro-batch are sorted in memory, so take as many slices as let the largest key of one fit
+    a task. The loop runs once per window, not per row. ``stream`` holds the key (string), ``event_id`` and the time in seconds.
     """
     schema = f"{key} string, event_id bigint, at double, allowed boolean"
 
     def admit(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
+        start, used = state.get if state.exists else (-np.inf, 0)
         rows = pd.concat(list(batches)).sort_values([seconds, "event_id"])
-        verdicts = []
-        for at in rows[seconds]:
-            if start is None or at - start >= window:
-                start, used = float(at), 0
-            verdicts.append(used < limit)
-            used += used < limit
-        state.update((start, int(used)))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "at": rows[seconds], "allowed": verdicts})
+        times = rows[seconds].to_numpy()
+        allowed = np.zeros(len(times), bool)
+        i = 0
+        while i < len(times):
+            if times[i] >= start + window:
+                start, used = float(times[i]), 0
+            end = i + max(1, int(np.searchsorted(times[i:], start + window)))
+            let = min(limit - used, end - i)
+            allowed[i : i + let] = True
+            used, i = used + let, end
+        state.update((float(start), int(used)))
+        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "at": times, "allowed": allowed})
 
     return stream.groupBy(key).applyInPandasWithState(
         admit, schema, "start double, used long", "append", GroupStateTimeout.NoTimeout)
