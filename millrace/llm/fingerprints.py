@@ -12,6 +12,8 @@ SAMPLES = 32
 LANES = 2
 #: ln a lies within (-128, 128) for any count of words a text can hold; it is kept in steps of 2**-23.
 _SHIFT, _STEPS = 128, 1 << 23
+#: Stands for a null doc_id in the order.
+_NO_ID = -(1 << 63)
 
 
 def _sample(term: Column, log_weight: Column, j: Column) -> Column:
@@ -34,23 +36,34 @@ def _sample(term: Column, log_weight: Column, j: Column) -> Column:
     return F.when(term.isNotNull(), packed)
 
 
-def signed(counted: DataFrame, by: list[str], sides: dict[str, str], samples: int = SAMPLES) -> DataFrame:
-    """(``by``, one column per side): the signature of each group of (``by``, term, weight) rows, eight hex digits per sample.
+def signed(counted: DataFrame, by: list[str], sides: dict[str, str], samples: int = SAMPLES, notes: int = 0) -> DataFrame:
+    """(``by``, one column per side, _notes): the signature of each group of (``by``, term, weight, _tag) rows, eight hex digits per sample.
 
     ``sides`` names, per result, the flag of the rows that belong to it, so a term with one weight on several sides is sampled
-    once. Each row is repeated once per ``LANES`` samples. A side without terms has zeros.
+    once. Each row is repeated once per ``LANES`` samples. A side without terms has zeros. Rows of tag 1 to ``notes`` are no
+    terms but numbers of their group, one of each tag, which come out in ``_notes`` by tag: a group's own columns then need
+    not be keys of every step. Tag 0 are the terms.
     """
-    blocks = counted.withColumn("_log", F.ln(F.col("weight").cast("double"))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples // LANES - 1))))
-    drawn = blocks.select(*by, "_b", *sides.values(), *[_sample(F.col("term"), F.col("_log"), F.col("_b") * LANES + i).alias(f"s{i}") for i in range(LANES)])
+    blocks = samples // LANES
+    tagged = F.col("_tag") > 0
+    numbers = F.when(tagged, F.array(F.lit(blocks - 1) + F.col("_tag"))).otherwise(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    repeated = counted.withColumn("_log", F.ln(F.col("weight").cast("double"))).withColumn("_b", F.explode(numbers))
+    lanes = [_sample(F.col("term"), F.col("_log"), F.col("_b") * LANES + i) for i in range(LANES)]
+    lanes[0] = F.when(tagged, F.col("term")).otherwise(lanes[0])
+    drawn = repeated.select(*by, "_b", *sides.values(), *[lane.alias(f"s{i}") for i, lane in enumerate(lanes)])
     least = drawn.groupBy(*by, "_b").agg(*[F.min(F.when(F.col(flag), F.col(f"s{i}"))).alias(f"{side}{i}") for side, flag in sides.items() for i in range(LANES)])
 
     def digits(side: str) -> Column:
         low = [F.coalesce(F.col(f"{side}{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0)) for i in range(LANES)]
         return F.concat(*[F.lpad(F.lower(F.hex(x)), 8, "0") for x in low])
 
-    parts = least.select(*by, F.struct("_b", *[digits(side).alias(side) for side in sides]).alias("_p"))
+    first = next(iter(sides))
+    parts = least.select(*by, F.struct("_b", F.col(f"{first}0").alias("_note"), *[digits(side).alias(side) for side in sides]).alias("_p"))
     rows = parts.groupBy(*by).agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
-    return rows.select(*by, *[F.concat_ws("", F.col("_ps")[side]).alias(side) for side in sides])
+    drawn_parts = F.filter("_ps", lambda p: p["_b"] < blocks)
+    noted = F.filter("_ps", lambda p: p["_b"] >= blocks)
+    return rows.select(
+        *by, *[F.rpad(F.concat_ws("", drawn_parts[side]), 8 * samples, "0").alias(side) for side in sides], noted["_note"].alias("_notes"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -84,32 +97,43 @@ def fingerprint_documents(documents: DataFrame, samples: int = SAMPLES) -> DataF
     larger id as their follower; where the follower's id is shared, its least text counts. An empty table gives no rows; a single
     document follows itself. Rows without a doc_id come first in the order, as one id.
     """
-    marked = documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # The order works on a key without nulls.
-    keyed = marked.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("n_chars", F.char_length("text").cast("long"))
+    kind = documents.schema["doc_id"].dataType
+    # The order works on a key without nulls. Both joins below move this one narrow table, so its texts are shuffled once.
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     follow = _following(keyed.select(F.col("_key").alias("doc_id")))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
+    n_chars = F.char_length("text")
+    half = F.floor(n_chars / 2).cast("int")
 
     # What the document before each needs of it: at most half of that document's length goes along.
     need = keyed.groupBy("_key").agg(F.max(half).alias("_need")).join(follow, F.col("_key") == F.col("doc_id")).select(F.col("next_id").alias("_key"), F.col("_key").alias("_asker"), "_need")
-    side = keyed.select("_key", "text")
-    heads = side.join(need.hint("shuffle_merge"), "_key").select("_asker", F.substring(F.col("text"), F.lit(1), F.col("_need")).alias("_head"))
+    heads = keyed.join(need.hint("shuffle_merge"), "_key").select("_asker", F.substring(F.col("text"), F.lit(1), F.col("_need")).alias("_head"))
     heads = heads.groupBy("_asker").agg(F.min("_head").alias("_head"))
     both = keyed.join(heads.withColumnRenamed("_asker", "_key").hint("shuffle_merge"), "_key")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("_head"), F.lit(1), half))
     # The row number only tells rows of one key apart inside this stage.
-    rows = both.select("_key", "doc_id", "n_chars", F.monotonically_increasing_id().alias("_row"), "text", edited.alias("edited"))
-    digested = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    whole = ["_key", "_row", "doc_id", "n_chars", "edited_sha256"]
-    texts = digested.select(*whole, F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("_t"))
-    words = texts.select(*whole, F.col("_t.e").alias("_e"), F.explode(F.split(F.col("_t.t"), BLANK)).alias("_w"))
-    # An empty piece stands for the text itself, so that texts without words keep their row; it has no term and no sample.
-    hashed = words.select(*whole, "_e", F.when(F.col("_w") != "", F.xxhash64("_w")).alias("term"))
-    counted = hashed.groupBy(*whole, "term").agg(F.sum(1 - F.col("_e")).alias("_own"), F.sum("_e").alias("_edited"))
+    rows = both.select(
+        "_key", F.monotonically_increasing_id().alias("_row"), "text", n_chars.alias("n_chars"), F.substring(F.col("text"), F.lit(1), n_chars - half).alias("_left"),
+        F.substring(F.col("_head"), F.lit(1), half).alias("_right"))
+    edited = F.concat("_left", "_right")
+    # Words up to the last white space of what both texts share are met once.
+    cut = rows.withColumn("edited", edited).withColumn("_common", F.regexp_extract("_left", rf"(?s)^.*{BLANK}", 0)).withColumn("_at", F.char_length("_common") + 1)
+    cut = cut.withColumn("_sha", F.sha2(F.col("edited").cast("binary"), 256))
+    digest = [F.conv(F.substring("_sha", 16 * i + 1, 16), 16, -10) for i in range(4)]
+    pieces = [(3, F.col("_common")), (1, F.substring(F.col("text"), F.col("_at"), F.col("n_chars"))), (2, F.substring(F.col("edited"), F.col("_at"), F.col("n_chars")))]
+    numbers = [(4 + i, x) for i, x in enumerate([F.col("n_chars").cast("string"), *digest])]
+    texts = cut.select("_key", "_row", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), t.alias("t")) for e, t in pieces + numbers])).alias("_t"))
+    words = texts.select("_key", "_row", F.col("_t.e").alias("_e"), F.explode(F.split(F.col("_t.t"), BLANK)).alias("_w")).where("_w <> ''")
+    tag = F.greatest(F.col("_e") - 3, F.lit(0))
+    hashed = words.select("_key", "_row", tag.alias("_tag"), "_e", F.when(F.col("_e") > 3, F.col("_w").cast("long")).otherwise(F.xxhash64("_w")).alias("term"))
+    own, other = F.when(F.col("_tag") > 0, 1).otherwise(F.col("_e") % 2), F.when(F.col("_tag") > 0, 1).otherwise(F.floor(F.col("_e") / 2).cast("int"))
+    counted = hashed.groupBy("_key", "_row", "_tag", "term").agg(F.sum(own).alias("_own"), F.sum(other).alias("_edited"))
     weights = F.when(F.col("_own") == F.col("_edited"), F.array("_own")).otherwise(F.array("_own", "_edited"))
-    weighed = counted.select(*whole, "term", "_own", "_edited", F.explode(F.filter(weights, lambda w: w > 0)).alias("weight"))
-    flagged = weighed.select(*whole, "term", "weight", (F.col("weight") == F.col("_own")).alias("_in_own"), (F.col("weight") == F.col("_edited")).alias("_in_edited"))
-    own = written(signed(flagged, whole, {"fingerprint": "_in_own", "edited_fingerprint": "_in_edited"}, samples), "marks")
+    weighed = counted.select("_key", "_row", "_tag", "term", "_own", "_edited", F.explode(F.filter(weights, lambda w: w > 0)).alias("weight"))
+    flagged = weighed.select("_key", "_row", "_tag", "term", "weight", (F.col("weight") == F.col("_own")).alias("_in_own"), (F.col("weight") == F.col("_edited")).alias("_in_edited"))
+    marks = signed(flagged, ["_key", "_row"], {"fingerprint": "_in_own", "edited_fingerprint": "_in_edited"}, samples, len(numbers))
+    sha = F.concat(*[F.lpad(F.lower(F.hex(F.col("_notes")[i])), 16, "0") for i in range(1, 5)])
+    own = written(marks.select(
+        "_key", F.when(F.col("_key") != _NO_ID, F.col("_key")).cast(kind).alias("doc_id"), F.col("_notes")[0].alias("n_chars"), sha.alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint"), "marks")
 
     follower = own.groupBy("_key").agg(F.min("fingerprint").alias("_theirs"))
     asked = follow.select(F.col("doc_id").alias("_asker"), F.col("next_id").alias("_key")).join(follower, "_key").select(F.col("_asker").alias("_key"), "_theirs")
