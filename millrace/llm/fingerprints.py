@@ -9,56 +9,66 @@ from millrace.llm.common import BLANK, shuffle_parts, written
 
 SAMPLES = 32
 #: Samples per row of the sampling step: few enough that one row's work is compiled as a whole.
-LANES = 2
+LANES = 4
 #: ln a lies within (-128, 128) for any count of words a text can hold; it is kept in steps of 2**-23.
 _SHIFT, _STEPS = 128, 1 << 23
+_LOW = (1 << 32) - 1
 #: Stands for a null doc_id in the order.
 _NO_ID = -(1 << 63)
 
 
-def _sample(term: Column, log_weight: Column, j: Column) -> Column:
-    """One sample of a weighted term, given as its 64-bit hash, packed: the value to minimise in the high half, the sample's identity in the low one.
-
-    With r and c Gamma(2, 1) and b uniform, all drawn from the term and j: t = floor(ln w / r + b), y = exp(r (t - b)), and
-    the term with the least a = c / (y exp(r)) is drawn, with t. Identity is a hash of (term, j, t).
-    """
-    one, two = F.xxhash64(term, 2 * j), F.xxhash64(term, 2 * j + 1)
+def _draws(term: Column, j: Column) -> dict[str, Column]:
+    """What sample ``j`` draws from a term, given as its 64-bit hash: r and c, Gamma(2, 1), b, uniform, and a hash of both."""
+    one, two = F.xxhash64(term.bitwiseXOR(2 * j)), F.xxhash64(term.bitwiseXOR(2 * j + 1))
 
     def uniform(bits: Column, width: int) -> Column:
         return (bits.cast("double") + 0.5) / float(1 << width)
 
-    r = -F.ln(uniform(F.shiftrightunsigned(one, 32), 32) * uniform(one.bitwiseAND(F.lit((1 << 32) - 1)), 32))
+    r = -F.ln(uniform(F.shiftrightunsigned(one, 32), 32) * uniform(one.bitwiseAND(F.lit(_LOW)), 32))
     c = -F.ln(uniform(F.shiftrightunsigned(two, 43), 21) * uniform(F.shiftrightunsigned(two, 22).bitwiseAND(F.lit((1 << 21) - 1)), 21))
-    b = uniform(two.bitwiseAND(F.lit((1 << 22) - 1)), 22)
+    return {"one": one, "r": r, "ln_c": F.ln(c), "b": uniform(two.bitwiseAND(F.lit((1 << 22) - 1)), 22)}
+
+
+def _packed(draws: dict[str, Column], log_weight: Column) -> Column:
+    """A weighted term's sample: the value to minimise in the high half, the sample's identity in the low one.
+
+    t = floor(ln w / r + b), y = exp(r (t - b)), and the term with the least a = c / (y exp(r)) is drawn, with t. The
+    identity is of (term, j, t).
+    """
+    r, b = draws["r"], draws["b"]
     t = F.floor(log_weight / r + b)
-    value = F.floor((F.ln(c) - r * (t - b + 1) + _SHIFT) * _STEPS)
-    packed = F.shiftleft(value, 32) + F.hash(one, t).cast("long").bitwiseAND(F.lit((1 << 32) - 1))
-    return F.when(term.isNotNull(), packed)
+    value = F.floor((draws["ln_c"] - r * (t - b + 1) + _SHIFT) * _STEPS)
+    return F.shiftleft(value, 32) + draws["one"].bitwiseXOR(t).bitwiseAND(F.lit(_LOW))
 
 
-def signed(counted: DataFrame, by: list[str], sides: dict[str, str], samples: int = SAMPLES, notes: int = 0) -> DataFrame:
-    """(``by``, one column per side, _notes): the signature of each group of (``by``, term, weight, _tag) rows, eight hex digits per sample.
+def signed(counted: DataFrame, by: list[str], sides: tuple[str, str], samples: int = SAMPLES, notes: int = 0) -> DataFrame:
+    """(``by``, one column per side, _notes): the signatures of each group of (``by``, term, weights, _tag) rows, eight hex digits per sample.
 
-    ``sides`` names, per result, the flag of the rows that belong to it, so a term with one weight on several sides is sampled
-    once. Each row is repeated once per ``LANES`` samples. A side without terms has zeros. Rows of tag 1 to ``notes`` are no
+    ``sides`` names the two weights of a term, 0 where it is not in that text; both samples share their draws, and equal
+    weights the sample. Each row is repeated once per ``LANES`` samples. A side without terms has zeros. Rows of tag 1 to ``notes`` are no
     terms but numbers of their group, one of each tag, which come out in ``_notes`` by tag: a group's own columns then need
     not be keys of every step. Tag 0 are the terms.
     """
-    blocks = samples // LANES
+    blocks, lanes = samples // LANES, range(LANES)
+    own, other = sides
     tagged = F.col("_tag") > 0
     numbers = F.when(tagged, F.array(F.lit(blocks - 1) + F.col("_tag"))).otherwise(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    repeated = counted.withColumn("_log", F.ln(F.col("weight").cast("double"))).withColumn("_b", F.explode(numbers))
-    lanes = [_sample(F.col("term"), F.col("_log"), F.col("_b") * LANES + i) for i in range(LANES)]
-    lanes[0] = F.when(tagged, F.col("term")).otherwise(lanes[0])
-    drawn = repeated.select(*by, "_b", *sides.values(), *[lane.alias(f"s{i}") for i, lane in enumerate(lanes)])
-    least = drawn.groupBy(*by, "_b").agg(*[F.min(F.when(F.col(flag), F.col(f"s{i}"))).alias(f"{side}{i}") for side, flag in sides.items() for i in range(LANES)])
+    logs = {f"_log_{side}": F.when(F.col(side) > 0, F.ln(F.col(side).cast("double"))) for side in sides}
+    repeated = counted.withColumns(logs).withColumn("_b", F.explode(numbers))
+    draws = [_draws(F.col("term"), F.col("_b") * LANES + i) for i in lanes]
+    drawn = repeated.select("*", *[x.alias(f"_{name}{i}") for i in lanes for name, x in draws[i].items()])
+    named = [{name: F.col(f"_{name}{i}") for name in draws[i]} for i in lanes]
+    first = [F.when(tagged, F.col("term")).when(F.col(own) > 0, _packed(named[i], F.col(f"_log_{own}"))) for i in lanes]
+    firsts = drawn.withColumns({f"_s{i}": first[i] for i in lanes})
+    second = [F.when(F.col(own) == F.col(other), F.col(f"_s{i}")).when(F.col(other) > 0, _packed(named[i], F.col(f"_log_{other}"))) for i in lanes]
+    samples_of = firsts.select(*by, "_b", *[F.col(f"_s{i}").alias(f"{own}{i}") for i in lanes], *[second[i].alias(f"{other}{i}") for i in lanes])
+    least = samples_of.groupBy(*by, "_b").agg(*[F.min(f"{side}{i}").alias(f"{side}{i}") for side in sides for i in lanes])
 
     def digits(side: str) -> Column:
-        low = [F.coalesce(F.col(f"{side}{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0)) for i in range(LANES)]
+        low = [F.coalesce(F.col(f"{side}{i}").bitwiseAND(F.lit(_LOW)), F.lit(0)) for i in lanes]
         return F.concat(*[F.lpad(F.lower(F.hex(x)), 8, "0") for x in low])
 
-    first = next(iter(sides))
-    parts = least.select(*by, F.struct("_b", F.col(f"{first}0").alias("_note"), *[digits(side).alias(side) for side in sides]).alias("_p"))
+    parts = least.select(*by, F.struct("_b", F.col(f"{own}0").alias("_note"), *[digits(side).alias(side) for side in sides]).alias("_p"))
     rows = parts.groupBy(*by).agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
     drawn_parts = F.filter("_ps", lambda p: p["_b"] < blocks)
     noted = F.filter("_ps", lambda p: p["_b"] >= blocks)
@@ -125,11 +135,9 @@ def fingerprint_documents(documents: DataFrame, samples: int = SAMPLES) -> DataF
     tag = F.greatest(F.col("_e") - 3, F.lit(0))
     hashed = words.select("_key", "_row", tag.alias("_tag"), "_e", F.when(F.col("_e") > 3, F.col("_w").cast("long")).otherwise(F.xxhash64("_w")).alias("term"))
     own, other = F.when(F.col("_tag") > 0, 1).otherwise(F.col("_e") % 2), F.when(F.col("_tag") > 0, 1).otherwise(F.floor(F.col("_e") / 2).cast("int"))
-    counted = hashed.groupBy("_key", "_row", "_tag", "term").agg(F.sum(own).alias("_own"), F.sum(other).alias("_edited"))
-    weights = F.when(F.col("_own") == F.col("_edited"), F.array("_own")).otherwise(F.array("_own", "_edited"))
-    weighed = counted.select("_key", "_row", "_tag", "term", "_own", "_edited", F.explode(F.filter(weights, lambda w: w > 0)).alias("weight"))
-    flagged = weighed.select("_key", "_row", "_tag", "term", "weight", (F.col("weight") == F.col("_own")).alias("_in_own"), (F.col("weight") == F.col("_edited")).alias("_in_edited"))
-    marks = signed(flagged, ["_key", "_row"], {"fingerprint": "_in_own", "edited_fingerprint": "_in_edited"}, samples, len(numbers))
+    sides = ("fingerprint", "edited_fingerprint")
+    counted = hashed.groupBy("_key", "_row", "_tag", "term").agg(F.sum(own).alias(sides[0]), F.sum(other).alias(sides[1]))
+    marks = signed(counted, ["_key", "_row"], sides, samples, len(numbers))
     sha = F.concat(*[F.lpad(F.lower(F.hex(F.col("_notes")[i])), 16, "0") for i in range(1, 5)])
     own = written(marks.select(
         "_key", F.when(F.col("_key") != _NO_ID, F.col("_key")).cast(kind).alias("doc_id"), F.col("_notes")[0].alias("n_chars"), sha.alias("edited_sha256"),
