@@ -4,7 +4,8 @@ The graph has one node per different shingle set, so copies of a document never
 first verified against one pivot only, which settles large groups of near copies in linear work. What such a group leaves
 open is the pairs of different groups that share a bucket. Jaccard distance is a metric, so members of the pivot's group
 that lie nearer to it, by more than the link distance, than every outsider are ruled out exactly. The members left
-are compared by their signatures, in blocks of bounded size, and each pair that may be similar enough is verified.
+are compared by their signatures, in blocks of bounded size: first each outsider's likeliest partner in every other group is
+verified, which joins most groups; then each pair that may be similar enough and still lies in two groups.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ BANDS, ROWS = 48, 6
 #: Members per side of a block in which signatures are compared, and the share of equal components from which on a pair is
 #: verified: 4 standard deviations below the threshold, so 5 of 100,000 pairs at the threshold itself fall below it.
 BLOCK, MAYBE = 1024, 0.64
-#: Shingles whose permutations are drawn at once, and sets from which on they are traced back instead of kept.
+#: Components of the longer signature of a node that is still open then, and the share from which on a pair is verified: again
+#: 4 standard deviations below the threshold.
+DETAIL, LIKELY = 2048, 0.71
+#: Shingles whose permutations are drawn at once, and sets from which on they are traced back instead of kept, both for
+#: signatures of BANDS * ROWS components.
 CHUNK, LARGE = 20_000, 256
 
 _ODD = 0x9E3779B97F4A7C15
@@ -128,7 +133,7 @@ def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
     """
     out = np.full((len(sets), size), np.uint64((1 << 64) - 1))
     block: list[int] = []
-    held = 0
+    held, short = 0, BANDS * ROWS
 
     def flush() -> None:
         nonlocal block, held
@@ -137,12 +142,12 @@ def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
         block, held = [], 0
 
     for i, s in enumerate(sets):
-        if len(s) >= LARGE:
+        if len(s) * short >= LARGE * size:
             out[i] = _sign_large(s, size)
         elif len(s):
             block.append(i)
             held += len(s)
-            if held >= CHUNK:
+            if held * size >= CHUNK * short:
                 flush()
     flush()
     return out
@@ -317,9 +322,26 @@ def _still_open(rows: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFr
     return left.join(mixed, "key")
 
 
-def _maybe_linked(members: DataFrame, signed: DataFrame) -> DataFrame:
+def _detailed(sets: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, sig, detail): one byte per component of both signatures of the wanted nodes."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                components = signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)], DETAIL)
+                low = pa.array([x.tobytes() for x in components.astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), low], names=["node", "detail"])
+
+    longer = sets.join(wanted, "node").select("node", "shingles").mapInArrow(sign, "node long, detail binary")
+    return written(signed.select("node", "sig").join(longer, "node"), "detailed", "lz4")
+
+
+def _maybe_linked(members: DataFrame, signed: DataFrame, likeliest: bool) -> DataFrame:
     """(a, b): pairs of different groups in one bucket whose signatures agree in at least ``MAYBE`` of their components.
 
+    Of these, only those whose longer signatures agree in at least ``LIKELY`` of theirs. With ``likeliest``, only the pair that agrees most of each left node and other group.
+
     ``members`` (key, node, label) meet in blocks: those outside their bucket's largest group on the left, all on the right. Both
     sides are dealt into blocks of about ``BLOCK`` by their node, so no task holds a bucket, and one group of any size is met
     only by its outsiders. Only the pairs found leave a block.
@@ -329,26 +351,35 @@ def _maybe_linked(members: DataFrame, signed: DataFrame) -> DataFrame:
     plan = largest.select(
         "key", (-F.col("_top._neg")).alias("_main"), F.ceil(F.col("_all") / BLOCK).alias("_rights"),
         F.ceil((F.col("_all") - F.col("_top._size")) / BLOCK).alias("_lefts"))
-    dealt = members.select("key", "node", "label").join(plan, "key").join(signed.select("node", "sig"), "node")
+    dealt = members.select("key", "node", "label").join(plan, "key").join(signed, "node")
     place = F.xxhash64("node")
     left = dealt.where("label <> _main").select(
-        "key", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", "sig")
+        "key", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", "sig", "detail")
     right = dealt.select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", "sig")
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", "sig", "detail")
 
     def meet(block: pa.Table) -> pa.Table:
         on_left = block["_left"].to_numpy()
         node, label = block["node"].to_numpy(), block["label"].to_numpy()
-        sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
-        a, b, (other,) = [], [], np.nonzero(~on_left)
+        sig, detail = (np.frombuffer(b"".join(block[c].to_pylist()), np.uint8).reshape(len(node), -1) for c in ("sig", "detail"))
+        found, (other,) = [np.zeros((0, 4), np.int64)], np.nonzero(~on_left)
         for i in np.flatnonzero(on_left):
             against = other[label[other] != label[i]]
-            near = against[(sig[against] == sig[i]).sum(axis=1) >= MAYBE * sig.shape[1]]
-            a.append(np.minimum(node[i], node[near]))
-            b.append(np.maximum(node[i], node[near]))
-        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
-
-    return left.unionByName(right).groupBy("key", "_l", "_r").applyInArrow(meet, "a long, b long").distinct()
+            against = against[(sig[against] == sig[i]).sum(axis=1) >= MAYBE * sig.shape[1]]
+            agree = (detail[against] == detail[i]).sum(axis=1)
+            near = np.flatnonzero(agree >= LIKELY * detail.shape[1])
+            if likeliest:
+                near = near[np.lexsort((node[against[near]], -agree[near]))]
+                near = near[np.unique(label[against[near]], return_index=True)[1]]
+            partners = against[near]
+            found.append(np.column_stack([np.full(len(near), node[i]), node[partners], label[partners], agree[near]]))
+        return pa.table(dict(zip(("node", "partner", "group", "agree"), np.concatenate(found).T.copy(), strict=True)))
+
+    found = left.unionByName(right).groupBy("key", "_l", "_r").applyInArrow(meet, "node long, partner long, group long, agree long")
+    if likeliest:
+        top = F.max(F.struct("agree", (-F.col("partner")).alias("_neg"))).alias("_top")
+        found = found.groupBy("node", "group").agg(top).select("node", (-F.col("_top._neg")).alias("partner"))
+    return found.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,9 +407,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     labels = written(grouped(tested.where(linked)), "labels")
 
     # Buckets that are one group by now are done; in the others, members of different groups are compared by signature.
-    left = written(_still_open(buckets, labels, tested), "open")
-    if not left.isEmpty():
-        more = _maybe_linked(left, classes).join(tested, ["a", "b"], "left_anti")
+    # The likeliest pairs come first: whatever they join needs no further comparison.
+    left, detailed = buckets, None
+    for likeliest in (True, False):
+        left = written(_still_open(left, labels, tested), "open")
+        if left.isEmpty():
+            break
+        if detailed is None:
+            detailed = _detailed(sets, classes, left.select("node").distinct())
+        more = _maybe_linked(left, detailed, likeliest).join(tested, ["a", "b"], "left_anti")
         tested = tested.unionByName(written(_verified(more, sets), "tested"))
         labels = written(grouped(tested.where(linked)), "labels")
 
