@@ -29,9 +29,9 @@ BANDS, ROWS = 48, 6
 #: Members per side of a block in which signatures are compared, and the share of equal components from which on a pair is
 #: verified: 4 standard deviations below the threshold, so 5 of 100,000 pairs at the threshold itself fall below it.
 BLOCK, MAYBE = 1024, 0.64
-#: Components of the longer signature of a node that is still open then, and the share from which on a pair is verified: again
-#: 4 standard deviations below the threshold.
-DETAIL, LIKELY = 2048, 0.71
+#: Components of the longer signature of a node that is still open then, one bit of each, and the similarity by it from which on
+#: a pair is verified: again 4 standard deviations (0.015 each) below the threshold.
+DETAIL, LIKELY = 2048, 0.69
 #: Shingles whose permutations are drawn at once, and sets from which on they are traced back instead of kept, both for
 #: signatures of BANDS * ROWS components.
 CHUNK, LARGE = 20_000, 256
@@ -323,14 +323,14 @@ def _still_open(rows: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFr
 
 
 def _detailed(sets: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, sig, detail): one byte per component of both signatures of the wanted nodes."""
+    """(node, sig, detail): a byte per component of the wanted nodes' signatures, a bit per component of their longer ones."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
                 components = signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)], DETAIL)
-                low = pa.array([x.tobytes() for x in components.astype(np.uint8)], pa.binary())
+                low = pa.array([x.tobytes() for x in np.packbits((components & np.uint64(1)).astype(np.uint8), axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), low], names=["node", "detail"])
 
     longer = sets.join(wanted, "node").select("node", "shingles").mapInArrow(sign, "node long, detail binary")
@@ -340,35 +340,39 @@ def _detailed(sets: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFram
 def _maybe_linked(members: DataFrame, signed: DataFrame, likeliest: bool) -> DataFrame:
     """(a, b): pairs of different groups in one bucket whose signatures agree in at least ``MAYBE`` of their components.
 
-    Of these, only those whose longer signatures agree in at least ``LIKELY`` of theirs. With ``likeliest``, only the pair that agrees most of each left node and other group.
+    With ``likeliest``, only the pair that agrees most of each left node and other group; else only the pairs whose longer
+    signatures show a similarity of at least ``LIKELY``, which is 2 x - 1 where x of the bits agree.
 
     ``members`` (key, node, label) meet in blocks: those outside their bucket's largest group on the left, all on the right. Both
     sides are dealt into blocks of about ``BLOCK`` by their node, so no task holds a bucket, and one group of any size is met
     only by its outsiders. Only the pairs found leave a block.
     """
+    carried = ["sig"] if likeliest else ["sig", "detail"]
     sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_size"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("_size", (-F.col("label")).alias("_neg"))).alias("_top"), F.sum("_size").alias("_all"))
     plan = largest.select(
         "key", (-F.col("_top._neg")).alias("_main"), F.ceil(F.col("_all") / BLOCK).alias("_rights"),
         F.ceil((F.col("_all") - F.col("_top._size")) / BLOCK).alias("_lefts"))
-    dealt = members.select("key", "node", "label").join(plan, "key").join(signed, "node")
+    dealt = members.select("key", "node", "label").join(plan, "key").join(signed.select("node", *carried), "node")
     place = F.xxhash64("node")
     left = dealt.where("label <> _main").select(
-        "key", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", "sig", "detail")
+        "key", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", *carried)
     right = dealt.select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", "sig", "detail")
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", *carried)
 
     def meet(block: pa.Table) -> pa.Table:
         on_left = block["_left"].to_numpy()
         node, label = block["node"].to_numpy(), block["label"].to_numpy()
-        sig, detail = (np.frombuffer(b"".join(block[c].to_pylist()), np.uint8).reshape(len(node), -1) for c in ("sig", "detail"))
+        sig, detail = (np.frombuffer(b"".join(block[c].to_pylist()), np.uint8).reshape(len(node), -1) for c in (carried[0], carried[-1]))
         found, (other,) = [np.zeros((0, 4), np.int64)], np.nonzero(~on_left)
         for i in np.flatnonzero(on_left):
             against = other[label[other] != label[i]]
-            against = against[(sig[against] == sig[i]).sum(axis=1) >= MAYBE * sig.shape[1]]
-            agree = (detail[against] == detail[i]).sum(axis=1)
-            near = np.flatnonzero(agree >= LIKELY * detail.shape[1])
-            if likeliest:
+            agree = (sig[against] == sig[i]).sum(axis=1)
+            near = np.flatnonzero(agree >= MAYBE * sig.shape[1])
+            if not likeliest:
+                unlike = np.bitwise_count(detail[against[near]] ^ detail[i]).sum(axis=1)
+                near = near[1 - 2 * unlike / DETAIL >= LIKELY]
+            else:
                 near = near[np.lexsort((node[against[near]], -agree[near]))]
                 near = near[np.unique(label[against[near]], return_index=True)[1]]
             partners = against[near]
@@ -408,14 +412,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     # Buckets that are one group by now are done; in the others, members of different groups are compared by signature.
     # The likeliest pairs come first: whatever they join needs no further comparison.
-    left, detailed = buckets, None
+    left = buckets
     for likeliest in (True, False):
         left = written(_still_open(left, labels, tested), "open")
         if left.isEmpty():
             break
-        if detailed is None:
-            detailed = _detailed(sets, classes, left.select("node").distinct())
-        more = _maybe_linked(left, detailed, likeliest).join(tested, ["a", "b"], "left_anti")
+        signed_open = classes if likeliest else _detailed(sets, classes, left.select("node").distinct())
+        more = _maybe_linked(left, signed_open, likeliest).join(tested, ["a", "b"], "left_anti")
         tested = tested.unionByName(written(_verified(more, sets), "tested"))
         labels = written(grouped(tested.where(linked)), "labels")
 
