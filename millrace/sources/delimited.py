@@ -14,6 +14,9 @@ from millrace.functions.missing import DATE_HINT, parse_day
 
 DELIMITERS = (",", ";", "\t", "|")
 HEADER_SCAN, HEADER_LAST = 50, 20
+WINDOWS = "windows-1252"
+#: The bytes 80 to 9F that Windows-1252 defines.
+_C1 = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 # Words pandas-style readers take as missing (exact case), headers a spreadsheet export makes up, number-like cells.
 NULL_WORDS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
               "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -27,12 +30,26 @@ def head_lines(spark: SparkSession, path: str, n: int, encoding: str = "UTF-8")
 
 
 def text_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """One row per line. Files are read in splits, each line exactly once."""
+    """One row per line. Files are read in splits, each line exactly once; UTF-16 files as a whole each."""
     if encoding.upper() == "UTF-8":
         return spark.read.text(path)
     whole = T.StructType([T.StructField("value", T.StringType())])
-    reader = spark.read.schema(whole).option("encoding", encoding).option("sep", "\x01").option("quote", "")
-    return reader.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    reader = spark.read.schema(whole).options(**_stored_as(encoding)).option("sep", "\x01").option("quote", "")
+    lines = reader.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return lines.select(_decoded("value", encoding).alias("value"))
+
+
+def _stored_as(encoding: str) -> dict[str, str]:
+    """Reader options: Spark has no reader of Windows-1252, which differs from Latin-1 in the bytes 80 to 9F only."""
+    if encoding == WINDOWS:
+        return {"encoding": "ISO-8859-1"}
+    return {"encoding": encoding, "multiLine": str(encoding.upper() == "UTF-16").lower()}
+
+
+def _decoded(c: str, encoding: str) -> Column:
+    if encoding != WINDOWS:
+        return F.col(c)
+    return F.translate(c, "".join(map(chr, _C1)), bytes(_C1).decode("cp1252"))
 
 
 def sniff_delimiter(header: str) -> str:
@@ -54,10 +71,19 @@ def consistent_delimiter(lines: DataFrame) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else Latin-1, which can read any byte. Checked on all lines, in the JVM."""
+    """UTF-16 with a byte order mark, UTF-8 when every line is valid UTF-8, Windows-1252 when it defines every byte, else Latin-1.
+
+    Checked on all lines, in the JVM.
+    """
     lines = text_lines(spark, path, "ISO-8859-1")
+    start = lines.first()
+    if start and (start["value"] or "").startswith(("\xff\xfe", "\xfe\xff")):
+        return "UTF-16"
     valid = F.is_valid_utf8(F.encode("value", "ISO-8859-1").cast("string"))
-    return "UTF-8" if lines.where(~valid).isEmpty() else "ISO-8859-1"
+    if lines.where(~valid).isEmpty():
+        return "UTF-8"
+    undefined = "[" + "".join(chr(b) for b in range(0x80, 0xA0) if b not in _C1) + "]"
+    return WINDOWS if lines.where(F.col("value").rlike(undefined)).isEmpty() else "ISO-8859-1"
 
 
 def find_header(spark: SparkSession, rows: Sequence[Sequence[str]]) -> int | None:
@@ -93,8 +119,9 @@ def read_delimited(
 ) -> DataFrame:
     """All columns as text, the header wherever it is in the first rows.
 
-    ``strict`` keeps only rows with exactly as many fields as the header. A preamble above the header is left out by its
-    text, since a line number has no meaning once a file is read in splits.
+    ``strict`` keeps only rows with exactly as many fields as the header. A header in the first line is left out by its place,
+    so data rows that equal it stay; a preamble above the header by its text, since a line number has no meaning once a file is
+    read in splits. Files with quoted fields over several lines are read as a whole each, others in splits.
     """
     encoding = encoding or detect_encoding(spark, path)
     head = [h.removeprefix("﻿") for h in head_lines(spark, path, HEADER_SCAN, encoding)]
@@ -112,7 +139,16 @@ def read_delimited(
     at = find_header(spark, parsed) or 0
     names = unique_names(parsed[at])
     skip = [*head[:at + 1], "﻿" + head[0]]
-    options = {"sep": delimiter, "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
+    options = {"sep": delimiter, "escape": '"', "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
+    if at == 0:
+        quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+        if not text_lines(spark, path, encoding).where(quotes % 2 == 1).isEmpty():
+            options |= {"multiLine": "true"}
+        reader = spark.read.schema(_ddl(names)).option("header", "true").options(**_stored_as(encoding) | options)
+        rows = reader.csv(path)
+        if strict:
+            rows = rows.where(F.col("_bad").isNull())
+        return rows.select(*[_decoded("`" + n.replace("`", "``") + "`", encoding).alias(n) for n in names])
     lines = text_lines(spark, path, encoding).where(~F.col("value").isin(*skip) & (F.trim("value") != ""))
     rows = lines.select(F.from_csv("value", _ddl(names), options).alias("r"))
     if strict:
@@ -142,15 +178,16 @@ def _cell(c: str) -> Column:
 def type_columns(df: DataFrame) -> DataFrame:
     """Types for all-text columns under the null-word rule, decided on every row in one pass.
 
-    An empty cell is missing. A null word is missing in a column whose other cells are all numbers, booleans or (95%)
-    dates, and a label in a text column.
+    An empty cell is missing. A null word is missing in a column whose other cells are all numbers, booleans, dates or times
+    of day with their date, and a label in a text column. No other cell is emptied: one that does not fit makes a text column.
     """
     cells = []
     for c in df.columns:
         v = F.when(~F.col(f"`{c}`").isin(*NULL_WORDS), _cell(f"`{c}`"))
         cells.append(F.struct(
             F.count(v).alias("n"), F.count(v.try_cast("double")).alias("numbers"), F.count(v.try_cast("bigint")).alias("whole"),
-            F.count_if(F.lower(v).isin("true", "false")).alias("flags"),
+            F.count_if(F.lower(v).isin("true", "false")).alias("flags"), F.count(v.try_cast("timestamp_ntz")).alias("moments"),
+            F.count_if(v.try_cast("timestamp_ntz") != F.date_trunc("day", v.try_cast("timestamp_ntz"))).alias("clocks"),
             F.count_if(v.rlike(DATE_HINT) & parse_day(v).isNotNull()).alias("days")).alias(c))
     facts = df.agg(*cells).first()
     out = []
@@ -166,7 +203,9 @@ def type_columns(df: DataFrame) -> DataFrame:
             out.append(typed.try_cast("double").alias(c))
         elif f["flags"] == f["n"]:
             out.append(typed.try_cast("boolean").alias(c))
-        elif f["days"] >= 0.95 * f["n"]:
+        elif f["moments"] == f["n"] and f["clocks"]:
+            out.append(typed.try_cast("timestamp_ntz").alias(c))
+        elif f["days"] == f["n"]:
             out.append(parse_day(typed).alias(c))
         else:
             out.append(cell.alias(c))

@@ -134,3 +134,29 @@ def test_learned_model_beats_noise(spark):
     folds = spark.createDataFrame([("accuracy", v) for v in (0.5, 0.52, 0.47)], "metric string, value double")
     base = M.baselines(df, "noise", "classification")
     assert M.beats_baseline(folds, base, "accuracy").first()["beats_baseline"] is False
+
+
+def _lines(spark, tmp_path, data: bytes) -> list[tuple]:
+    p = tmp_path / "bytes.csv"
+    p.write_bytes(data)
+    return sorted(tuple(r) for r in D.read_delimited(spark, str(p)).collect())
+
+
+def test_no_record_is_lost_or_cut(spark, tmp_path):
+    assert _lines(spark, tmp_path, b'id,note\n1,"first\nsecond"\n2,"a ""b"""\n') == [("1", "first\nsecond"), ("2", 'a "b"')]
+    assert _lines(spark, tmp_path, b"id,note\n1,x\nid,note\n2,y\n") == [("1", "x"), ("2", "y"), ("id", "note")]
+
+
+def test_encodings(spark, tmp_path):
+    wanted = [("1", "“price” 5 €"), ("2", "caf\xe9")]
+    text = "id,note\n" + "\n".join(",".join(r) for r in wanted) + "\n"
+    for encoding in ("utf-8", "utf-8-sig", "cp1252", "utf-16"):
+        assert _lines(spark, tmp_path, text.encode(encoding)) == wanted, encoding
+
+
+def test_dates_keep_their_time_and_no_cell_is_emptied(spark, tmp_path):
+    p = tmp_path / "days.csv"
+    p.write_text("id,at,day,most\n" + "".join(f"{i},2024-01-{i:02d} 10:30:00,2024-01-{i:02d},{'soon' if i == 7 else f'2024-01-{i:02d}'}\n" for i in range(1, 29)))
+    df = D.type_columns(D.read_delimited(spark, str(p)))
+    assert dict(df.dtypes) == {"id": "bigint", "at": "timestamp_ntz", "day": "date", "most": "string"}
+    assert str(df.where("id = 1").first()["at"]) == "2024-01-01 10:30:00" and df.where("most = 'soon'").count() == 1
