@@ -359,7 +359,7 @@ def dataset_summary(df: DataFrame, chart: DataFrame) -> DataFrame:
         F.lit("heavy_skew").alias("finding"), F.col("name").alias("subject"), F.col("skewness").alias("value"))
     out = empty.unionByName(skewed)
     if len(measures) >= 2:
-        pairs = correlation_pairs(df, measures[:20]).where((F.abs("r") >= 0.5) & (F.abs("r") < 0.98))
+        pairs = correlation_pairs(df, measures).where((F.abs("r") >= 0.5) & (F.abs("r") < 0.98))
         out = out.unionByName(pairs.select(
             F.lit("strong_pair").alias("finding"), F.concat_ws(" ~ ", "left", "right").alias("subject"),
             F.col("r").alias("value")))
