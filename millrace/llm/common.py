@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,12 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_fs(path: str, mapped: bool = False) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a shared folder, given as a URI or a plain path; ``mapped``: local files are mapped into memory."""
+    system, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return (fs.LocalFileSystem(use_mmap=True), base) if mapped and isinstance(system, fs.LocalFileSystem) else (system, base)
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import shared_fs, shuffle_parts, written
+from millrace.session import new_path
 
 ORDER = 4
-#: The most frequent grams that all languages' models may hold together; bounds the model's size whatever the corpus.
-CAPACITY = 400_000
+#: Entries of the model's tables in a block, and blocks that a worker keeps open: at most 160 MB where they cannot be mapped.
+BLOCK, BLOCKS_KEPT = 1 << 15, 256
 #: Distinct words a worker counts or remembers before it starts anew.
 REMEMBERED = 400_000
 TEMPERATURES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
@@ -52,41 +55,73 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
+class Tables:
+    """(hash, language, value) entries of each kind in the order of hash and language, looked up by hash.
+
+    Kind ``2 * (k - 1)`` has the whole probabilities of grams of k symbols, the next one the back-off weights of their contexts.
+    The entries lie in blocks below ``folder``; ``blocks`` has (lowest hash, file, place, entries) of each, in order. Workers map the
+    blocks they need into memory, or read them where the folder is remote. ``held`` has whole kinds in memory instead.
+    """
+
+    def __init__(self, width: int, blocks: dict[int, list[tuple[int, str, int, int]]], folder: str, held: dict[int, tuple] | None = None):
+        self.width, self.blocks, self.folder, self.held = width, blocks, folder, held
+        self._remember()
+
+    def _remember(self) -> None:
+        self.lows = {kind: np.array([b[0] for b in found], np.int64) for kind, found in self.blocks.items()}
+        self.block = lru_cache(maxsize=BLOCKS_KEPT)(self._block)
+        self.file = lru_cache(maxsize=64)(self._file)
+
+    def __getstate__(self) -> tuple:
+        return self.width, self.blocks, self.folder, self.held
+
+    def __setstate__(self, state: tuple) -> None:
+        self.width, self.blocks, self.folder, self.held = state
+        self._remember()
+
+    def _file(self, name: str):
+        system, base = shared_fs(self.folder, mapped=True)
+        return system.open_input_file(f"{base}/{name}")
+
+    def _block(self, kind: int, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.held is not None:
+            return self.held[kind]
+        _, name, at, n = self.blocks[kind][i]
+        f = self.file(name)
+        f.seek(at)
+        raw = f.read_buffer(20 * n)
+        return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i4", n, 16 * n), np.frombuffer(raw, "<f8", n, 8 * n)
+
+    def look(self, kind: int, wanted: np.ndarray, absent: float) -> np.ndarray:
+        """One row per hash of ``wanted`` with the value of each language, ``absent`` where there is no entry."""
+        hashes, places = np.unique(wanted.view(np.int64), return_inverse=True)
+        out = np.full((len(hashes), self.width), absent)
+        if kind in self.lows and len(hashes):
+            of = np.maximum(np.searchsorted(self.lows[kind], hashes, "right") - 1, 0)
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                keys, langs, values = self.block(kind, int(of[lo]))
+                first, last = (np.searchsorted(keys, hashes[lo:hi], side) for side in ("left", "right"))
+                many = last - first
+                at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                out[np.repeat(np.arange(lo, hi), many), langs[at]] = values[at]
+        return out[places]
+
+
 @dataclass
 class Model:
-    """Per order: sorted hashes of grams with one gain per language, sorted hashes of contexts with one back-off weight each."""
-
     langs: list[str]
     order: int
     floor: float
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    tables: Tables
     temperature: float = 1.0
     limits: np.ndarray | None = None
-    full: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def interpolate(self, texts: list[list[str]]) -> None:
-        """``full[k - 1]``: the whole probability of every gram of k symbols under all languages, shortest grams first."""
-        for k, grams in enumerate(texts, start=1):
-            if not grams:
-                self.full.append((np.zeros(1, np.uint64), np.full((1, len(self.langs)), self.floor)))
-                continue
-            codes = _codes("".join(grams))
-            ends = _hashes(codes, k)[::k]
-            back = _hashes(codes, k - 1)[::k] if k > 1 else np.zeros(len(ends), np.uint64)
-            if k > 1:
-                lower, _ = self._find(self.full[k - 2], _hashes(codes, k - 1)[1::k])
-            else:
-                lower = np.full((len(ends), len(self.langs)), self.floor)
-            p = self._look(self.grams[k - 1], ends, 0.0) + self._look(self.contexts[k - 1], back, 1.0) * lower
-            by = np.argsort(ends, kind="stable")
-            self.full.append((ends[by], p[by]))
 
     def bits(self, words: list[str]) -> np.ndarray:
         """Minus log2 of each word's probability under each language, the end of the word included.
 
-        The longest known gram that ends at a symbol has the whole probability; each order above it that does not know
-        its gram contributes the back-off weight of its context.
+        The longest gram that ends at a symbol and that the language knows has the whole probability; each order above it
+        contributes the back-off weight of its context.
         """
         if not words:
             return np.zeros((0, len(self.langs)))
@@ -94,31 +129,15 @@ class Model:
         codes = _codes(_EDGE + _EDGE.join(words) + _EDGE)
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         depth = np.arange(len(codes) - 1) - np.repeat(starts, lengths) + 1  # symbols since the edge, this one excluded
-        p = np.full((len(codes) - 1, len(self.langs)), self.floor)
+        p = np.zeros((len(codes) - 1, len(self.langs)))
         weight = np.ones_like(p)
-        open_at = np.arange(len(p))
         for k in range(self.order, 0, -1):
-            here = depth[open_at] >= k - 1
-            at = open_at[here]
-            found, hit = self._find(self.full[k - 1], _hashes(codes, k)[at - k + 2])
-            p[at[hit]] = found[hit]
-            missed = at[~hit]
+            at = np.flatnonzero((depth >= k - 1) & (p == 0).any(axis=1))
+            p[at] = np.where(p[at] == 0, self.tables.look(2 * (k - 1), _hashes(codes, k)[at - k + 2], 0.0), p[at])
+            missed = at[(p[at] == 0).any(axis=1)]
             back = _hashes(codes, k - 1)[missed - k + 2] if k > 1 else np.zeros(len(missed), np.uint64)
-            weight[missed] *= self._look(self.contexts[k - 1], back, 1.0)
-            open_at = np.concatenate([open_at[~here], missed])
-        return -np.add.reduceat(np.log2(p * weight), starts, axis=0)
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = table
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return values[at], keys[at] == wanted
-
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, absent: float) -> np.ndarray:
-        keys, values = table
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], values[at], absent)
+            weight[missed] *= np.where(p[missed] == 0, self.tables.look(2 * (k - 1) + 1, back, 1.0), 1.0)
+        return -np.add.reduceat(np.log2(np.where(p == 0, self.floor, p) * weight), starts, axis=0)
 
     def limit(self, lang: int, symbols: int) -> float:
         """The cross-entropy above which a text of so many symbols is rejected: short texts spread wider."""
@@ -157,24 +176,129 @@ def build_model(rows: Iterable[tuple[str, str, int]], order: int = ORDER) -> Mod
     for lang, gram, n in rows:
         counts[lang][gram] = int(n)
     langs = sorted(counts)
-    per_lang = [_kneser_ney(counts[lang], order) for lang in langs]
     alphabet = {c for lang in langs for g in counts[lang] for c in g}
+    floor = 1.0 / (len(alphabet) + 1)
+    found: dict[int, list[tuple[str, int, float]]] = {kind: [] for kind in range(2 * order)}
+    for j, lang in enumerate(langs):
+        lower = defaultdict(lambda: floor)
+        for k, (gains, back) in enumerate(_kneser_ney(counts[lang], order)):
+            lower = {g: gain + back[g[:-1]] * lower[g[1:]] for g, gain in gains.items()}
+            found[2 * k] += [(g, j, v) for g, v in lower.items()]
+            found[2 * k + 1] += [(h, j, v) for h, v in back.items()]
+    held = {}
+    for kind, entries in found.items():
+        keys, ids, values = _gram_hashes([e[0] for e in entries], kind), np.array([e[1] for e in entries], np.int32), np.array([e[2] for e in entries], np.float64)
+        by = np.lexsort((ids, keys))
+        held[kind] = keys[by], ids[by], values[by]
+    return Model(langs, order, floor, Tables(len(langs), {kind: [(0, "", 0, 0)] for kind in held}, "", held))
+
+
+def _gram_hashes(grams: list[str], kind: int) -> np.ndarray:
+    width = kind // 2 + 1 - kind % 2
+    return (_hashes(_codes("".join(grams)), width)[::width] if width and grams else np.zeros(len(grams), np.uint64)).view(np.int64)
+
+
+def spread_model(counts: DataFrame, order: int = ORDER) -> Model | None:
+    """The model that ``build_model`` gives of all (lang, gram, n) rows, computed by Spark; None without rows.
+
+    The driver gets the languages, the number of symbols and one row per block of the tables, nothing per gram.
+    """
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return None
+    length, context, tail = F.char_length("gram"), F.expr("substr(gram, 1, char_length(gram) - 1)"), F.expr("substr(gram, 2)")
+    levels = []
+    current = counts.where(length == order).select("lang", "gram", F.col("n").alias("c"))
+    for k in range(order, 0, -1):
+        seen = [F.sum((F.col("c") == n).cast("double")) for n in (1, 2)]
+        raw = F.when(seen[0] > 0, seen[0] / (seen[0] + 2 * seen[1])).otherwise(0.5)
+        discounts = current.groupBy("lang").agg(F.least(F.greatest(raw, F.lit(0.1)), F.lit(0.9)).alias("discount"))
+        # One row per language.
+        cut = current.join(F.broadcast(discounts), "lang").select("lang", "gram", context.alias("context"), "c", F.greatest(F.col("c") - F.col("discount"), F.lit(0.0)).alias("rest"))
+        contexts = written(cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("rest").alias("kept")).select(
+            "lang", "context", "total", F.greatest(1 - F.col("kept") / F.col("total"), F.lit(1e-6)).alias("back")), f"contexts-{k}")
+        levels.append((cut, contexts))
+        if k > 1:
+            below = current.groupBy("lang", tail.alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+            edge = counts.where((length == k - 1) & (length > 1) & F.col("gram").startswith(_EDGE)).select("lang", "gram", F.col("n").alias("c"))
+            current = written(below.unionByName(edge), f"continuations-{k - 1}")
+    # Every symbol ends some gram, so it is among the shortest ones; so is the edge.
+    floor = 1.0 / (current.select("gram").distinct().count() + 1)
+    entries, lower = [], None
+    for k, (cut, contexts) in enumerate(reversed(levels), start=1):
+        # The only context of single symbols is the empty one: a row per language.
+        joined = cut.join(F.broadcast(contexts) if k == 1 else contexts, ["lang", "context"])
+        gain = F.col("rest") / F.col("total")
+        if lower is None:
+            whole = joined.select("lang", "gram", (gain + F.col("back") * floor).alias("value"))
+        else:
+            shorter = lower.select("lang", F.col("gram").alias("tail"), F.col("value").alias("shorter"))
+            # Of single symbols there are at most an alphabet for each language.
+            shorter = F.broadcast(shorter) if k == 2 else shorter
+            whole = joined.withColumn("tail", tail).join(shorter, ["lang", "tail"]).select("lang", "gram", (gain + F.col("back") * F.col("shorter")).alias("value"))
+        lower = written(whole, f"probabilities-{k}")
+        entries.append(lower.select(F.lit(2 * (k - 1)).alias("kind"), "gram", "lang", "value"))
+        entries.append(contexts.select(F.lit(2 * (k - 1) + 1).alias("kind"), F.col("context").alias("gram"), "lang", F.col("back").alias("value")))
+    return Model(langs, order, floor, _write_tables(reduce(DataFrame.unionByName, entries), langs))
 
-    def table(k: int, which: int, absent: float) -> tuple[np.ndarray, np.ndarray]:
-        texts = sorted({g for levels in per_lang for g in levels[k][which]})
-        width = k + 1 - which
-        keys = _hashes(_codes("".join(texts)), width)[::width] if width and texts else np.zeros(1, np.uint64)
-        values = np.full((max(len(texts), 1), len(langs)), absent, np.float64)
-        place = {g: i for i, g in enumerate(texts)}
-        for j, levels in enumerate(per_lang):
-            for g, v in levels[k][which].items():
-                values[place[g], j] = v
-        by = np.argsort(keys, kind="stable")
-        return keys[by], values[by].astype(np.float32)
-
-    model = Model(langs, order, 1.0 / (len(alphabet) + 1), [table(k, 0, 0.0) for k in range(order)], [table(k, 1, 1.0) for k in range(order)])
-    model.interpolate([sorted({g for levels in per_lang for g in levels[k][0]}) for k in range(order)])
-    return model
+
+def _write_tables(entries: DataFrame, langs: list[str]) -> Tables:
+    """(kind, gram, lang, value) rows as blocks of at most ``BLOCK`` entries or so below a fresh folder; a hash is in one block only.
+
+    File names are unique per attempt, and only what a finished task reports is in the result.
+    """
+    folder = new_path(entries.sparkSession, "language-model")
+    place = {lang: i for i, lang in enumerate(langs)}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, grams = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            hashes = np.zeros(len(kinds), np.int64)
+            for kind in np.unique(kinds):
+                hashes[kinds == kind] = _gram_hashes(list(grams[kinds == kind]), int(kind))
+            ids = pa.array([place[x] for x in batch.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes), ids, batch.column(3)], names=["kind", "hash", "lang", "value"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = shared_fs(folder)
+        system.create_dir(base, recursive=True)
+        name, at, out, blocks = uuid.uuid4().hex, 0, None, []
+
+        def flush(kinds: np.ndarray, hashes: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+            nonlocal at, out
+            out = out or system.open_output_stream(f"{base}/{name}", compression=None)
+            raw = hashes.astype("<i8").tobytes() + values.astype("<f8").tobytes() + ids.astype("<i4").tobytes()
+            out.write(raw + bytes(-len(raw) % 8))
+            blocks.append((int(kinds[0]), int(hashes[0]), name, at, len(hashes)))
+            at += len(raw) + -len(raw) % 8
+
+        rest = [np.zeros(0, t) for t in (np.int32, np.int64, np.int32, np.float64)]
+        for batch in batches:
+            rest = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
+            # Places where another kind or hash begins; what follows the last one waits for the next batch.
+            begins = np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0)) + 1
+            turns = set((np.flatnonzero(np.diff(rest[0])) + 1).tolist())
+            done = 0
+            for b in begins.tolist():
+                if b in turns or b - done >= BLOCK:
+                    flush(*[r[done:b] for r in rest])
+                    done = b
+            rest = [r[done:] for r in rest]
+        if len(rest[0]):
+            flush(*rest)
+        if out is not None:
+            out.close()
+        columns = list(zip(*blocks, strict=True)) if blocks else [[]] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+            names=["kind", "low", "file", "at", "n"])
+
+    rows = written(entries.mapInArrow(hashed, "kind int, hash long, lang int, value double"), "hashed")
+    ranged = rows.repartitionByRange(shuffle_parts(rows), "kind", "hash").sortWithinPartitions("kind", "hash", "lang")
+    blocks: dict[int, list[tuple[int, str, int, int]]] = defaultdict(list)
+    for kind, *block in written(ranged.mapInArrow(put, "kind int, low long, file string, at long, n long"), "blocks").collect():
+        blocks[kind].append(tuple(block))
+    return Tables(len(langs), {kind: sorted(found) for kind, found in blocks.items()}, folder)
 
 
 class Scorer:
@@ -248,25 +372,17 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     return ends.groupBy("lang", F.col("p").substr(first, F.col("e") - first + 1).alias("gram")).agg(F.sum("n").alias("n"))
 
 
-def fit(documents: DataFrame, order: int = ORDER, capacity: int = CAPACITY) -> Model | None:
+def fit(documents: DataFrame, order: int = ORDER) -> Model | None:
     """The calibrated model of (doc_id, text, lang) rows, or None if nothing can be learned.
 
-    All learnable texts are counted. The driver gets at most ``capacity`` grams, the most frequent of each language. The
-    documents kept back give, per language, how far their own cross-entropy spreads (cells of ``CELL_BITS``), and the
-    temperature at which the softmax of the cross-entropies is the best forecast of the label.
+    All learnable texts but those kept back are counted, and every gram counted is in the model. The documents kept back give, per
+    language, how far their own cross-entropy spreads (cells of ``CELL_BITS``), and the temperature at which the softmax of the
+    cross-entropies is the best forecast of the label.
     """
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned(F.col("doc_id")))
-    counts = written(gram_counts(usable.where(~calibrating(F.col("doc_id"))), order), "grams")
-    langs = [r[0] for r in counts.select("lang").distinct().collect()]
-    if not langs:
-        return None
-    each = max(1, capacity // len(langs))
-    rows = []
-    for lang in langs:
-        top = counts.where(F.col("lang") == lang).orderBy(F.col("n").desc(), "gram").limit(each)
-        rows += [tuple(r) for r in top.collect()]
-    model = build_model(rows, order)
-    _calibrate(model, usable.where(calibrating(F.col("doc_id"))))
+    model = spread_model(written(gram_counts(usable.where(~calibrating(F.col("doc_id"))), order), "grams"), order)
+    if model is not None:
+        _calibrate(model, usable.where(calibrating(F.col("doc_id"))))
     return model
 
 

@@ -90,6 +90,71 @@ def test_kneser_ney_is_a_distribution():
     assert model.bits(["mala"])[0][0] < model.bits(["qzqz"])[0][0]
 
 
+def grams_of(words, order=4):
+    grams = Counter()
+    for w in words:
+        p = f"\x02{w}\x02"
+        for e in range(1, len(p)):
+            grams[p[max(0, e - order + 1) : e + 1]] += 1
+    return grams
+
+
+def brute_bits(word, counts, alphabet, order=4):
+    """Minus log2 of a word's probability, straight from the definition of interpolated Kneser-Ney."""
+    use = {order: {g: c for g, c in counts.items() if len(g) == order}}
+    for k in range(order - 1, 0, -1):
+        use[k] = {g: len({h[0] for h in use[k + 1] if h[1:] == g}) for g in {h[1:] for h in use[k + 1]}}
+        use[k].update({g: c for g, c in counts.items() if len(g) == k > 1 and g[0] == "\x02"})
+
+    def chance(g):
+        if not g:
+            return 1 / (alphabet + 1)
+        level = use[len(g)]
+        n1, n2 = (sum(c == n for c in level.values()) for n in (1, 2))
+        d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.9)
+        after = [c for h, c in level.items() if h[:-1] == g[:-1]]
+        if not after:
+            return chance(g[1:])
+        spared = max(1 - sum(max(c - d, 0) for c in after) / sum(after), 1e-6)
+        return max(level.get(g, 0) - d, 0) / sum(after) + spared * chance(g[1:])
+
+    p = f"\x02{word}\x02"
+    return -sum(np.log2(chance(p[max(0, e - order + 1) : e + 1])) for e in range(1, len(p)))
+
+
+def test_language_model_keeps_every_gram(spark, monkeypatch):
+    """Both ways to build the model against the definition, with blocks of a few entries."""
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    r = random.Random(5)
+    texts = {lang: ["".join(r.choice(letters) for _ in range(r.randrange(1, 7))) for _ in range(60)] for lang, letters in (("aa", "abcdé"), ("bb", "cdexy"), ("cc", "漢字a"))}
+    rows = [(i, w, lang) for lang, ws in texts.items() for i, w in enumerate(ws)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.gram_counts(table)
+    found = {(x.lang, x.gram): x.n for x in counts.collect()}
+    per = {lang: grams_of(ws) for lang, ws in texts.items()}
+    assert found == {(lang, g): n for lang, c in per.items() for g, n in c.items()}
+    model = langid.spread_model(counts)
+    assert model.langs == ["aa", "bb", "cc"] and sum(len(b) for b in model.tables.blocks.values()) > 20
+    tried = ["abc", "a", "xyx", "dede", "漢字", "qq", "aéz", *texts["aa"][:5], *texts["cc"][:5]]
+    alphabet = len({c for g in found for c in g[1]})
+    wanted = [[brute_bits(w, per[lang], alphabet) for lang in model.langs] for w in tried]
+    assert np.allclose(model.bits(tried), wanted, rtol=1e-9)
+    assert np.allclose(langid.build_model([(*k, n) for k, n in found.items()]).bits(tried), wanted, rtol=1e-9)
+
+
+def test_language_fit_has_no_row_cap(spark):
+    """More grams than the 400,000 that were kept before: a rare gram still has its own count."""
+    r = random.Random(6)
+    wide = [(1, " ".join("".join(chr(0x4E00 + r.randrange(8000)) for _ in range(4)) for _ in range(1000)), "aa") for _ in range(150)]
+    table = spark.createDataFrame([(1, "zyzy", "aa"), *wide], "doc_id long, text string, lang string")
+    assert zlib.crc32(b"1") % 3 != 1 and zlib.crc32(b"calibrate:1") % 5
+    model = langid.fit(table)
+    distinct = langid.gram_counts(table).where("char_length(gram) = 4").count()
+    assert distinct > 400_000 and sum(b[3] for b in model.tables.blocks[6]) == distinct
+    rare = [t.split()[0] for _, t, _ in wide[::10]]
+    assert (model.bits(rare)[:, 0] < model.bits([w[::-1] for w in rare])[:, 0] - 20).all()
+
+
 def brute_components(rows):
     sets = {}
     for i, t, *_ in rows:
