@@ -375,20 +375,25 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 def fit(documents: DataFrame, order: int = ORDER) -> Model | None:
     """The calibrated model of (doc_id, text, lang) rows, or None if nothing can be learned.
 
-    All learnable texts but those kept back are counted, and every gram counted is in the model. The documents kept back give, per
-    language, how far their own cross-entropy spreads (cells of ``CELL_BITS``), and the temperature at which the softmax of the
-    cross-entropies is the best forecast of the label.
+    A first model of all learnable texts but those kept back judges these: they give, per language, how far their own
+    cross-entropy spreads (cells of ``CELL_BITS``), and the temperature at which the softmax of the cross-entropies is the best
+    forecast of the label. The model itself has every gram of all learnable texts, and every language of theirs; one that
+    the first model does not know has no limit.
     """
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned(F.col("doc_id")))
-    model = spread_model(written(gram_counts(usable.where(~calibrating(F.col("doc_id"))), order), "grams"), order)
-    if model is not None:
-        _calibrate(model, usable.where(calibrating(F.col("doc_id"))))
+    kept_back = usable.where(calibrating(F.col("doc_id")))
+    first = written(gram_counts(usable.where(~calibrating(F.col("doc_id"))), order), "grams")
+    counts = first.unionByName(gram_counts(kept_back, order)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model, trial = spread_model(written(counts, "all-grams"), order), spread_model(first, order)
+    if model is not None and trial is not None:
+        _calibrate(model, trial, kept_back)
     return model
 
 
-def _calibrate(model: Model, kept_back: DataFrame) -> None:
+def _calibrate(model: Model, trial: Model, kept_back: DataFrame) -> None:
+    """Set the temperature and the limits of ``model`` by what ``trial`` makes of the documents kept back."""
     spark = kept_back.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(trial)
     n_t = len(TEMPERATURES)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +414,7 @@ def _calibrate(model: Model, kept_back: DataFrame) -> None:
              pa.array([*cells.ravel().astype(float), *fit_at], pa.float64())], names=["lang", "cell", "v"])
 
     found = kept_back.select("lang", "text").mapInArrow(spread, "lang long, cell long, v double").groupBy("lang", "cell").agg(F.sum("v").alias("v")).collect()
-    cells, fits = np.zeros((len(model.langs), CELLS)), np.zeros(n_t)
+    cells, fits = np.zeros((len(trial.langs), CELLS)), np.zeros(n_t)
     for lang, cell, v in found:
         if lang < 0:
             fits[cell] = v
@@ -419,7 +424,8 @@ def _calibrate(model: Model, kept_back: DataFrame) -> None:
     share = np.cumsum(cells, axis=1) / np.maximum(cells.sum(axis=1, keepdims=True), 1)
     own = (np.argmax(share >= COVER, axis=1) + 1) * CELL_BITS
     limit = own + MARGIN * np.maximum(-np.log2(model.floor) - own, 1.0)
-    model.limits = np.where(cells.sum(axis=1) > 0, limit, np.inf)
+    limits = dict(zip(trial.langs, np.where(cells.sum(axis=1) > 0, limit, np.inf), strict=True))
+    model.limits = np.array([limits.get(lang, np.inf) for lang in model.langs])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

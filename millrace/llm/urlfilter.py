@@ -49,11 +49,17 @@ def _symbols(rows: DataFrame) -> DataFrame:
     return deep.withColumn("context", F.col("_t").substr(F.col("place") - F.col("order"), F.col("order"))).withColumn("symbol", F.substring(F.col("_t"), F.col("place"), F.lit(1))).drop("_t")
 
 
-def context_counts(labelled: DataFrame) -> DataFrame:
+def symbol_counts(labelled: DataFrame) -> DataFrame:
+    """(context, symbol, good, bad, trial_good, trial_bad): the counts of both classes, and those without the URLs kept back."""
+    good, trial = F.col("accepted").cast("int"), (~F.col("kept_back")).cast("int")
+    sums = {"good": good, "bad": 1 - good, "trial_good": good * trial, "trial_bad": (1 - good) * trial}
+    pairs = _symbols(labelled.select("url", "accepted", "kept_back")).groupBy("context", "symbol").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    return written(pairs, "symbols")
+
+
+def context_counts(pairs: DataFrame) -> DataFrame:
     """(context, good_n, good_kinds, bad_n, bad_kinds, next): per context the counts of both classes and of every symbol after it."""
-    good = F.col("accepted").cast("int")
-    pairs = _symbols(labelled.select("url", "accepted")).groupBy("context", "symbol").agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
-    per = pairs.groupBy("context").agg(
+    per = pairs.where("good + bad > 0").groupBy("context").agg(
         F.sum("good").alias("good_n"), F.sum((F.col("good") > 0).cast("int")).alias("good_kinds"), F.sum("bad").alias("bad_n"),
         F.sum((F.col("bad") > 0).cast("int")).alias("bad_kinds"), F.map_from_entries(F.collect_list(F.struct("symbol", F.struct("good", "bad")))).alias("next"))
     return written(per, "contexts")
@@ -105,19 +111,21 @@ def calibrated_cut(scored: DataFrame) -> float:
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row.
 
-    The longest fitting rule decides. The URLs that rules decide train the two models and, every fifth by its checksum, set the cut
-    for the others. A null URL, or one without ``://``, has an empty host and path and is scored as the text it is. Repeated rows are
+    The longest fitting rule decides. The URLs that rules decide train the two models. Every fifth of them by its checksum sets the
+    cut for the others, scored by models without that fifth. A null URL, or one without ``://``, has an empty host and path and is scored as the text it is. Repeated rows are
     judged alike. Without URLs of both classes every score is 0, or tells one class from nothing, and the cut is 0.
     """
     url = F.col("url")
     slim = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = slim.withColumn("_r", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("rule", F.col("_r.rule")).withColumn("_v", F.col("_r.verdict")).drop("_r")
-    known = ruled.where(F.col("_v").isNotNull()).select("url", (F.col("_v") == "allow").alias("accepted"))
     kept_back = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    counts = context_counts(known.where(~kept_back))
+    known = ruled.where(F.col("_v").isNotNull()).select("url", (F.col("_v") == "allow").alias("accepted"), kept_back.alias("kept_back"))
+    pairs = symbol_counts(known)
+    trial_counts = context_counts(pairs.select("context", "symbol", F.col("trial_good").alias("good"), F.col("trial_bad").alias("bad")))
+    counts = context_counts(pairs)
     # Every text is scored once, however many pages have it.
-    trial = known.where(kept_back).groupBy("url").agg(F.first("accepted").alias("accepted"))
-    scored_trial = scores(trial, counts, "url").join(trial, "url")
+    trial = known.where("kept_back").groupBy("url").agg(F.first("accepted").alias("accepted"))
+    scored_trial = scores(trial, trial_counts, "url").join(trial, "url")
     cut = calibrated_cut(scored_trial)
     rest = ruled.where(F.col("_v").isNull()).select(F.coalesce("url", F.lit("")).alias("_text"))
     texts = rest.distinct().select(F.col("_text").alias("url"))

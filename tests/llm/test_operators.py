@@ -155,6 +155,19 @@ def test_language_fit_has_no_row_cap(spark):
     assert (model.bits(rare)[:, 0] < model.bits([w[::-1] for w in rare])[:, 0] - 20).all()
 
 
+def test_language_known_only_from_kept_back_documents(spark):
+    pools = {"aa": ["baba", "mama", "lala"], "zz": ["xyxo", "zuzo", "quxo"], "rare": ["kiki", "tipi", "kipi"]}
+    kept = [i for i in range(4000) if zlib.crc32(b"%d" % i) % 3 != 1 and zlib.crc32(b"calibrate:%d" % i) % 5 == 0]
+    rows = [(i, words(30, i, pools[lang]), lang) for i in range(300) for lang in [("aa", "zz")[i % 2]]]
+    rows += [(i, words(30, i, pools["rare"]), "rare") for i in kept if i >= 300][:3]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table)
+    assert model.langs == ["aa", "rare", "zz"] and model.limits[1] == np.inf and np.isfinite(model.limits[[0, 2]]).all()
+    counts = langid.gram_counts(table.where(langid.learned(table["doc_id"])))
+    assert np.allclose(model.bits(["kipi", "mama"]), langid.build_model(map(tuple, counts.collect())).bits(["kipi", "mama"]), rtol=1e-9)
+    assert {r.lang_pred for r in langid.identify(table.where("lang = 'rare'"), model).collect()} == {"rare"}
+
+
 def brute_components(rows):
     sets = {}
     for i, t, *_ in rows:
@@ -363,3 +376,37 @@ def test_url_rules_and_models(spark):
         assert verdict is None or out[i].verdict == verdict
     assert out[len(urls) - 2].verdict == "allow" and out[len(urls) - 1].verdict == "block"
     assert urlfilter.judge_urls(pages.limit(0)).collect() == []
+
+
+def brute_ratio(url, labelled):
+    """The mean log ratio of Witten-Bell probabilities, straight from their definition."""
+    def marked(u):
+        return "\x02" + re.sub(r"[^\x00-\x7f]", "ÿ", re.sub(r"(?s)^.*?://", "", u)) + "\x02"
+
+    after = {side: {} for side in (True, False)}
+    for u, accepted in labelled:
+        t = marked(u)
+        for place in range(1, len(t)):
+            for n in range(min(4, place) + 1):
+                after[accepted].setdefault(t[place - n : place], Counter())[t[place]] += 1
+    t, total = marked(url), 0.0
+    for place in range(1, len(t)):
+        for side, sign in ((True, 1), (False, -1)):
+            p = 1 / 131
+            for n in range(min(4, place) + 1):
+                seen = after[side].get(t[place - n : place])
+                if seen:
+                    p = (seen[t[place]] + len(seen) * p) / (sum(seen.values()) + len(seen))
+            total += sign * np.log(p)
+    return total / (len(t) - 1)
+
+
+def test_url_scores_count_every_labelled_url(spark):
+    urls = [f"http://good{i}.com/reading/{i}" for i in range(30)] + [f"http://bad{i}.net/es/spam-{i}" for i in range(30)]
+    others = ["http://good7.org/reading/7", "http://bad3.org/es/spam-3", "x", "http://é.org/ü"]
+    pages = spark.createDataFrame(list(enumerate(urls + others)), "page_id long, url string")
+    out = {r.page_id: r for r in urlfilter.judge_urls(pages).collect()}
+    labelled = [(u, ".com/" in u) for u in urls]
+    assert any(zlib.crc32(u.encode()) % 5 == 0 for u in urls)
+    for i, u in enumerate(others, start=len(urls)):
+        assert abs(out[i].score - brute_ratio(u, labelled)) < 1e-9
