@@ -122,8 +122,8 @@ def _line(key: str, page_id: int | None, file: str, at: int, size: int) -> str:
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
     """Sorted index files below ``folder``: (part, file, low, directory_at, directory_size), one row per file.
 
-    A file holds compressed blocks of ``BLOCK_LINES`` captures in the order of (key, page_id), then its sparse directory: the first
-    entry, place and size of each block. One key may fill many files, as the page_id is part of the order.
+    A file holds compressed blocks of ``BLOCK_LINES`` captures in the order of (key, page_id, file, at), then its sparse directory: the
+    first entry, place and size of each block. One key, or one page_id of a key, may fill many files.
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             if lines:
                 raw = zlib.compress("\n".join(lines).encode(), 6)
                 out.write(raw)
-                blocks.append([*json.loads(lines[0])[:2], at, len(raw)])
+                blocks.append([*json.loads(lines[0])[:4], at, len(raw)])
                 at += len(raw)
                 lines = []
 
@@ -152,7 +152,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             out.write(directory)
             out.close()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([json.dumps(blocks[0][:2])]), pa.array([at], pa.int64()), pa.array([len(directory)], pa.int64())],
+                [pa.array([name]), pa.array([json.dumps(blocks[0][:4])]), pa.array([at], pa.int64()), pa.array([len(directory)], pa.int64())],
                 names=["file", "low", "directory_at", "directory_size"])
 
     order = ["key", "page_id"]
@@ -160,9 +160,9 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     return written(ranged.mapInArrow(put, "file string, low string, directory_at long, directory_size long"), "index")
 
 
-def _order(key: str, page_id: int | None) -> tuple[bytes, bool, int]:
+def _order(key: str, page_id: int | None, file: str, at: int) -> tuple[bytes, bool, int, str, int]:
     """As Spark sorts: keys by their bytes, a null page_id first."""
-    return key.encode(), page_id is not None, page_id or 0
+    return key.encode(), page_id is not None, page_id or 0, file, at
 
 
 class CaptureIndex:
@@ -194,24 +194,24 @@ class CaptureIndex:
     def _directory(self, i: int) -> tuple[list, list]:
         name, _, at, size = self.files[i]
         blocks = json.loads(zlib.decompress(self._read(name, at, size)))
-        return [_order(*b[:2]) for b in blocks], blocks
+        return [_order(*b[:4]) for b in blocks], blocks
 
     def _block(self, i: int, b: int) -> tuple[list, list]:
         blocks = self.directory(i)[1]
-        entries = [json.loads(x) for x in zlib.decompress(self._read(self.files[i][0], *blocks[b][2:])).decode().split("\n")]
-        return [_order(*e[:2]) for e in entries], entries
+        entries = [json.loads(x) for x in zlib.decompress(self._read(self.files[i][0], *blocks[b][4:])).decode().split("\n")]
+        return [_order(*e[:4]) for e in entries], entries
 
     def _archive(self, name: str):
         system, base = _folder(self.folders[1])
         return system.open_input_file(f"{base}/{name}")
 
-    def file_of(self, key: str, page_id: int | None) -> int:
-        return max(0, bisect.bisect_right(self.lows, _order(key, page_id)) - 1)
+    def file_of(self, key: str, page_id: int | None, file: str, at: int) -> int:
+        return max(0, bisect.bisect_right(self.lows, _order(key, page_id, file, at)) - 1)
 
-    def entry(self, key: str, page_id: int | None) -> list | None:
-        """The last entry of (key, page_id), found by three binary searches."""
-        wanted = _order(key, page_id)
-        i = self.file_of(key, page_id)
+    def entry(self, key: str, page_id: int | None, file: str, at: int) -> list | None:
+        """The entry of the capture of (key, page_id) at this place of an archive, found by three binary searches."""
+        wanted = _order(key, page_id, file, at)
+        i = self.file_of(key, page_id, file, at)
         firsts, _ = self.directory(i)
         orders, entries = self.block(i, max(0, bisect.bisect_right(firsts, wanted) - 1))
         at = bisect.bisect_right(orders, wanted) - 1
@@ -223,22 +223,22 @@ class CaptureIndex:
 
 
 def read_back(wanted: DataFrame, index: CaptureIndex) -> DataFrame:
-    """One row per (key, page_id) of ``wanted``, from the record that the index finds: what its headers and payload say."""
+    """One row per (key, page_id, file, at) of ``wanted``, from the record that the index finds: what its headers and payload say."""
 
-    def home(key: Column, page_id: Column) -> Column:
+    def home(key: Column, page_id: Column, file: Column, at: Column) -> Column:
         @F.pandas_udf("int")
-        def place(keys, ids):
+        def place(keys, ids, files, places):
             import pandas as pd
 
-            return pd.Series([index.file_of(k, None if pd.isna(i) else int(i)) for k, i in zip(keys, ids, strict=True)], dtype="int32")
+            return pd.Series([index.file_of(k, None if pd.isna(i) else int(i), f, int(a)) for k, i, f, a in zip(keys, ids, files, places, strict=True)], dtype="int32")
 
-        return place(key, page_id.cast("string"))
+        return place(key, page_id.cast("string"), file, at)
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                headers, payload = index.fetch(index.entry(key, page_id))
+            for key, page_id, file, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                headers, payload = index.fetch(index.entry(key, page_id, file, at))
                 kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
                 if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                     raise OSError(f"the record of page {page_id} is damaged")
@@ -249,9 +249,9 @@ def read_back(wanted: DataFrame, index: CaptureIndex) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)],
                 names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    dealt = wanted.withColumn("_home", home(F.col("key"), F.col("page_id")))
-    near = dealt.repartition(shuffle_parts(wanted), "_home").sortWithinPartitions("_home", "key", "page_id")
-    return near.select("key", "page_id").mapInArrow(get, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = wanted.withColumn("_home", home(F.col("key"), F.col("page_id"), F.col("file"), F.col("at")))
+    near = dealt.repartition(shuffle_parts(wanted), "_home").sortWithinPartitions("_home", "key", "page_id", "file", "at")
+    return near.select("key", "page_id", "file", "at").mapInArrow(get, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     parts = write_index(captures, f"{base}/index")
     # One row per index file: as many as shuffle partitions.
     index = CaptureIndex([tuple(r) for r in parts.collect()], f"{base}/index", f"{base}/archives")
-    return read_back(captures.select("key", "page_id"), index)
+    return read_back(captures.select("key", "page_id", "file", "at"), index)
 
 
 SQL = """

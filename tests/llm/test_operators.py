@@ -298,6 +298,15 @@ def test_archives_round_trip(spark):
     assert warc.archived_pages(pages.limit(0)).collect() == []
 
 
+def test_archives_read_back_every_capture_of_a_page(spark, monkeypatch):
+    """One page_id and url with different html, over several blocks and files; and the same rows twice."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    rows = [(7, "http://a.example/", f"<p>{i}" + "y" * (i % 2 * 150)) for i in range(40)] + [(7, "http://a.example/", "<p>0"), (8, "http://a.example/", "<p>1" + "y" * 150)]
+    out = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    wanted = [(i, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if i == 8 else "response", 7 if i == 8 else None) for i, _, h in rows]
+    assert Counter(map(tuple, out)) == Counter(wanted)
+
+
 def test_secret_spans_match_the_expressions():
     scanner = secretscan.Scanner(secretscan.RULES)
     r = random.Random(11)
