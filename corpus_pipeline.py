@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixed", mixed), ("packed", packed)]
 
-#: Language models and tokenization cannot be expressed in SQL; tests/llm compares the stages with plain Python.
+#: Language models and tokenization cannot be expressed in SQL; tests/llm tests the operators, but not the stages or ``run``.
 ORACLE_SQL = None
 
 
