@@ -53,7 +53,7 @@ def _split(spark, sf):
 @query("candidate_panel", "O3 O5 O6")
 def candidate_panel(spark, sf):
     train, test = _split(spark, sf)
-    return M.panel_scores(M.train_panel(train, "quality", "binary_classification", trees=20), test, "quality", "binary_classification")
+    return M.panel_scores(M.train_panel(train, "quality", "binary_classification"), test, "quality", "binary_classification")
 
 
 @query("regression_panel", "O3 O5 O6 F11")
@@ -63,7 +63,7 @@ def regression_panel(spark, sf):
     split = S.temporal_holdout(orders.select("o_orderkey", "o_orderdate", "o_totalprice", "quantity", "lines", "o_orderpriority"),
                                "o_orderdate", ["o_orderkey"])
     columns = ["o_totalprice", "quantity", "lines", "o_orderpriority"]
-    fitted = M.train_panel(split.where("is_train").select(*columns), "o_totalprice", "regression", only=["linear_regression"])
+    fitted = M.train_panel(split.where("is_train").select(*columns), "o_totalprice", "regression")
     return M.panel_scores(fitted, split.where("not is_train").select(*columns), "o_totalprice", "regression")
 
 

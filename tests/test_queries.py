@@ -46,3 +46,14 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 5 and rows[0]["value"] >= rows[-1]["value"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["candidate_panel", "regression_panel"])
+def test_panels_train_all_candidates_at_the_default_size(spark, monkeypatch, name):
+    from millrace.operators import modelling
+
+    asked = []
+    monkeypatch.setattr(modelling, "train_panel", lambda train, target, task, trees=200, only=(): asked.append((trees, tuple(only))))
+    monkeypatch.setattr(modelling, "panel_scores", lambda *rest: None)
+    QUERIES[name].run(spark, SF)
+    assert asked == [(200, ())]
