@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact, fingerprints, infill, langid, mixing, nearcopies, packing, secretscan, sharding, urlfilter, warc
+from millrace.llm import decontaminate, exact, fingerprints, infill, langid, mixing, nearcopies, packing, secretscan, sharding, urlfilter, warc
 from millrace.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))[0]
 
 
+def op11_aho_corasick_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_fenwick_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_documents(read_table(spark, sf_dir, "documents"))
 
@@ -73,5 +77,6 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op8_combined_automaton_secrets": (op8_combined_automaton_secrets, secretscan.SQL),
     "op9_consistent_weighted_sampling": (op9_consistent_weighted_sampling, None),
     "op10_weighted_mix": (op10_weighted_mix, mixing.SQL),
+    "op11_aho_corasick_leaks": (op11_aho_corasick_leaks, decontaminate.SQL),
     "op12_fenwick_infill": (op12_fenwick_infill, infill.SQL),
 }
