@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, exact, fingerprints, infill, langid, mixing, nearcopies, packing, secretscan, sharding, urlfilter, warc
+from millrace.llm import decontaminate, exact, fingerprints, infill, langid, mixing, nearcopies, packing, secretscan, sharding, urlfilter, warc, whitening
 from millrace.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op12_fenwick_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_markov_url_ratio": (op1_markov_url_ratio, None),
     "op2_rendezvous_shards": (op2_rendezvous_shards, sharding.SQL),
@@ -79,4 +83,5 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op10_weighted_mix": (op10_weighted_mix, mixing.SQL),
     "op11_aho_corasick_leaks": (op11_aho_corasick_leaks, decontaminate.SQL),
     "op12_fenwick_infill": (op12_fenwick_infill, infill.SQL),
+    "op13_chebyshev_whitening": (op13_chebyshev_whitening, None),
 }
