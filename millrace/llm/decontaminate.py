@@ -30,7 +30,8 @@ _WORDS = bytes(b if chr(b).isalnum() or b > 127 else 0x20 for b in bytes(range(1
 
 def folded(text: bytes) -> bytes:
     """The text with lower-case words and single spaces, one at either end: word bounds are part of what is searched."""
-    return b" " + b" ".join(text.translate(_WORDS).split()) + b" "
+    words = text.translate(_WORDS).split()
+    return b" " + b" ".join(words) + b" " if words else b" "
 
 
 def windows(words: Sequence[bytes], width: int = WINDOW) -> Iterator[bytes]:
@@ -173,7 +174,7 @@ def leaked(
                     found[i].update(*(leaks.holders[w] for w in {w for _, w in hits}))
         n, n_hit, places = [], [], []
         for (_, raw), text, own in zip(rows, texts, spans, strict=True):
-            n.append(max(0, text.count(b" ") - 1))
+            n.append(text.count(b" ") - 1)
             hit = hit_words(text, own)[1] if own else np.zeros(0, bool)
             n_hit.append(int(hit.sum()))
             places.append([{"start": a, "end": b} for a, b in original_spans(raw, hit)] if own else [])

@@ -22,7 +22,7 @@ SCALE, OFFSET = 64, 1_000_000
 LIMIT = 1 << 52
 #: Bytes of scaled entries in one block: the unit that tasks read and multiply.
 BLOCK_BYTES = 4 << 20
-#: Residual of an eigenvector, over the largest eigenvalue, at which it is certified.
+#: Residual of an eigenvector at which it is certified, over the root of its eigenvalue times the largest: what rounding allows.
 TOLERANCE = 2e-14
 #: Certification is given up, with an error, after so many passes over the data.
 MOST_PASSES = 400
@@ -121,12 +121,18 @@ class Centred:
 
         return rows
 
-    def product(self, q: np.ndarray) -> np.ndarray:
-        """The covariance times ``q``: one pass, in which each task forms its part of X'(XQ)."""
+    def product(self, q: np.ndarray, locked: np.ndarray | None = None) -> np.ndarray:
+        """The covariance times ``q``: one pass, in which each task forms its part of X'(XQ).
+
+        Tasks take the columns of ``locked`` out of their rows first, so that a large component already found does not
+        drown the others in its rounding.
+        """
         centre = self.centre()
 
         def part(x: np.ndarray) -> np.ndarray:
             c = centre(x)
+            if locked is not None and locked.shape[1]:
+                c = c - (c @ locked) @ locked.T
             return c.T @ (c @ q)
 
         self.passes += 1
@@ -166,6 +172,7 @@ class Lanczos:
     """One vector's Krylov space, built by the passes that the filter makes anyway; its ends bound the spectrum."""
 
     vectors: list[np.ndarray]
+    known: float = 0.0
     alpha: list[float] = field(default_factory=list)
     beta: list[float] = field(default_factory=list)
 
@@ -189,10 +196,10 @@ class Lanczos:
     def lowest(self) -> float:
         """An estimate from below of the least eigenvalue: the least Ritz value less its residual."""
         if not self.alpha:
-            return 0.0
+            return self.known
         m = np.diag(self.alpha) + np.diag(self.beta[: len(self.alpha) - 1], 1) + np.diag(self.beta[: len(self.alpha) - 1], -1)
         values, vectors = np.linalg.eigh(m)
-        return max(0.0, float(values[0] - abs(self.beta[-1] * vectors[-1, 0])))
+        return max(self.known, float(values[0] - abs(self.beta[-1] * vectors[-1, 0])))
 
 
 def _orthonormal(y: np.ndarray, against: np.ndarray) -> np.ndarray:
@@ -236,20 +243,22 @@ def leading(data: Centred, components: int = COMPONENTS, seed: int = 0) -> tuple
     rounding (d * 2**-52 of the largest) are left out; where the block would span the whole space, one pass is enough.
     """
     dims = len(data.sums)
+    if not dims:
+        return np.zeros((0, 0)), np.zeros(0), 0.0
     rng = np.random.default_rng(seed)
     wanted = min(components, dims)
     block = min(dims, wanted + max(8, wanted // 2))
     locked, found = np.zeros((dims, 0)), np.zeros(0)
     q = _orthonormal(rng.standard_normal((dims, block)), locked)
     lanczos = Lanczos([_orthonormal(rng.standard_normal((dims, 1)), locked)[:, 0]])
-    worst, first_stuck, best = 0.0, 0, math.inf
+    worst, stuck, best = 0.0, 0, math.inf
 
     def times(y: np.ndarray) -> np.ndarray:
-        both = data.product(np.column_stack([y, lanczos.at]))
+        both = data.product(np.column_stack([y, lanczos.at]), locked)
         lanczos.advance(both[:, -1])
         return both[:, :-1]
 
-    while data.n and dims:
+    while True:
         aq = times(q)
         values, turn = np.linalg.eigh((q.T @ aq + aq.T @ q) / 2)
         values, turn = values[::-1], turn[:, ::-1]
@@ -257,22 +266,24 @@ def leading(data: Centred, components: int = COMPONENTS, seed: int = 0) -> tuple
         largest = max([float(values[0]), *found.tolist()])
         if largest <= 0:
             break
-        residuals = np.linalg.norm(aq - q * values, axis=0) / largest
+        residuals = np.linalg.norm(aq - q * values, axis=0) / np.sqrt(largest * np.maximum(values, dims * 2**-52 * largest))
         left = wanted - len(found)
         good = 0
         while good < left and residuals[good] <= TOLERANCE * math.sqrt(dims):
             good += 1
         now = float(residuals[good:left].max()) if good < left else 0.0
         # Rounding of the passes themselves can keep a residual just above the tolerance.
-        first_stuck = first_stuck + 1 if now >= best / 2 and now <= 100 * TOLERANCE * math.sqrt(dims) else 0
+        stuck = stuck + 1 if now >= best / 2 and now <= 100 * TOLERANCE * math.sqrt(dims) else 0
         best = min(best, now)
-        if first_stuck >= 2 or values[min(good, left - 1)] <= dims * 2**-52 * largest:
+        if stuck >= 2 or values[min(good, left - 1)] <= dims * 2**-52 * largest:
             good = left
         if good:
             worst = max(worst, float(residuals[:good].max()))
             locked, found = np.column_stack([locked, q[:, :good]]), np.concatenate([found, values[:good]])
             q, aq, values = q[:, good:], aq[:, good:], values[good:]
-            first_stuck, best = 0, math.inf
+            stuck, best = 0, math.inf
+            if len(found) < dims:
+                lanczos = Lanczos([_orthonormal(rng.standard_normal((dims, 1)), locked)[:, 0]], lanczos.lowest())
         if len(found) >= wanted or not q.shape[1]:
             break
         if data.passes >= MOST_PASSES:
@@ -294,7 +305,6 @@ def leading(data: Centred, components: int = COMPONENTS, seed: int = 0) -> tuple
         before, sigma = q, scale
         for _ in range(degree - 1):
             ay = times(y)
-            ay -= locked @ (locked.T @ ay)
             following = 1 / (2 / first - sigma)
             before, y = y, (2 * following / half) * (ay - centre * y) - (sigma * following) * before
             sigma = following
