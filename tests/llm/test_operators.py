@@ -419,3 +419,28 @@ def test_url_scores_count_every_labelled_url(spark):
     assert any(zlib.crc32(u.encode()) % 5 == 0 for u in urls)
     for i, u in enumerate(others, start=len(urls)):
         assert abs(out[i].score - brute_ratio(u, labelled)) < 1e-9
+
+
+def test_url_cut_and_verdicts_follow_from_the_urls_kept_back(spark):
+    r = random.Random(8)
+    names = [f"{r.choice(['news', 'shop', 'blog'])}{r.randrange(40)}" for _ in range(60)]
+    urls = [f"http://{n}.com/{r.choice(['reading', 'story', 'x' * 300])}/{i}" for i, n in enumerate(names)]
+    urls += [f"http://{n}.net/{r.choice(['es', 'fr'])}/{r.choice(['spam', 'story', 'cheap'])}-{i}" for i, n in enumerate(names)]
+    others = [f"http://{n}.org/{r.choice(['reading', 'story', 'spam', 'cheap'])}/{'y' * (i % 3) * 200}?q={i}" for i, n in enumerate(names)]
+    pages = spark.createDataFrame(list(enumerate(urls + others + others[:3])), "page_id long, url string")
+    labelled = [(u, ".com/" in u) for u in urls]
+    kept = [(u, a) for u, a in labelled if zlib.crc32(u.encode()) % 5 == 0]
+    learned = [(u, a) for u, a in labelled if zlib.crc32(u.encode()) % 5]
+    cells = [(int(np.floor(brute_ratio(u, learned) * 64)), a) for u, a in kept]
+    goods, bads = sum(a for _, a in cells), sum(not a for _, a in cells)
+    best = (-1.0, 0.0)
+    for cut in sorted({c for c, _ in cells}):
+        right = sum(a and c >= cut for c, a in cells) / goods + sum(not a and c < cut for c, a in cells) / bads
+        best = max(best, (right, -cut / 64))
+    out = {x.page_id: x for x in urlfilter.judge_urls(pages).collect()}
+    wrong = 0
+    for i, u in enumerate(others + others[:3], start=len(urls)):
+        score = brute_ratio(u, labelled)
+        assert abs(out[i].score - score) < 1e-9
+        wrong += out[i].verdict != ("allow" if score >= -best[1] else "block")
+    assert wrong == 0 and {out[i].verdict for i in out} == {"allow", "block"}
