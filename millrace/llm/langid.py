@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from millrace.session import new_path
 ORDER = 4
 #: Entries of the model's tables in a block, and blocks that a worker keeps open: at most 160 MB where they cannot be mapped.
 BLOCK, BLOCKS_KEPT = 1 << 15, 256
-#: Distinct words a worker counts or remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct words a worker counts before it hands them on; words whose bits it remembers, and those of them, the first met, that
+#: it keeps when they are too many: about 200 bytes a word. Words scored, and texts taken out of Arrow, at a time.
+COUNTED, REMEMBERED, KEPT = 100_000, 200_000, 80_000
+SCORED, TEXTS = 8192, 256
 TEMPERATURES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 #: Half-bit cells of the cross-entropy above a language's own, for the calibrated rejection.
 CELLS, CELL_BITS = 64, 0.25
@@ -301,34 +304,53 @@ def _write_tables(entries: DataFrame, langs: list[str]) -> Tables:
     return Tables(len(langs), {kind: sorted(found) for kind, found in blocks.items()}, folder)
 
 
+class _Numbers(dict):
+    """Word -> its number; a new word takes the next one and waits in ``new``."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__(zip(words, count()))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Scorer:
-    """Cross-entropies of texts; remembers the bits of words met before, up to ``REMEMBERED``."""
+    """Cross-entropies of texts; remembers the bits of words met before.
+
+    Above ``REMEMBERED`` words, the ``KEPT`` that were met first stay: common words are met early.
+    """
 
     def __init__(self, model: Model):
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: defaultdict[str, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
-        self.table = np.zeros((0, len(self.model.langs)))
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
+        self.known = _Numbers()
+        self.table = np.zeros((1024, len(model.langs)))
+
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        first = len(self.known) - len(new)
+        if len(self.known) > len(self.table):
+            table = np.empty((max(len(self.known), 2 * len(self.table)), self.table.shape[1]))
+            table[:first] = self.table[:first]
+            self.table = table
+        for lo in range(0, len(new), SCORED):
+            self.table[first + lo : first + lo + SCORED][: len(new) - lo] = self.model.bits(new[lo : lo + SCORED])
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, int] | None]:
         """Bits per symbol under each language, and the number of symbols; None for a text without a letter."""
-        out: list[tuple[np.ndarray, int] | None] = []
-        for lo in range(0, len(texts), 256):
+        for lo in range(0, len(texts), TEXTS):
             if len(self.known) > REMEMBERED:
-                self.clear()
+                self.known = _Numbers(list(islice(self.known, KEPT)))
             block, symbols = [], []
-            for text in texts[lo : lo + 256]:
+            for text in texts.slice(lo, TEXTS).to_pylist():
                 words = words_of(text) if text else []
                 block.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
                 symbols.append(sum(map(len, words)) + len(words))
-            new = list(self.known)[len(self.table) :] if len(self.known) > len(self.table) else []
-            if new:
-                self.table = np.concatenate([self.table, self.model.bits(new)])
-            out += [(self.table[ids].sum(axis=0) / n, n) if n else None for ids, n in zip(block, symbols, strict=True)]
-        return out
+            self._learn()
+            for ids, n in zip(block, symbols, strict=True):
+                yield (self.table[ids].sum(axis=0) / n, n) if n else None
 
 
 def learned(doc_id: Column) -> Column:
@@ -348,22 +370,23 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[str, str]] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())],
-                names=["lang", "word", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in Counter(words_of(text)).items():
-                    counts[lang, word] += n
-                if len(counts) > REMEMBERED:
-                    yield flush()
-                    counts.clear()
-        yield flush()
+        counts: defaultdict[str, Counter[str]] = defaultdict(Counter)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, found in counts.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
+                    names=["lang", "word", "n"])
+            counts.clear()
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(lo, TEXTS)
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    counts[lang].update(words_of(text))
+                if sum(map(len, counts.values())) > COUNTED:
+                    yield from flush()
+        yield from flush()
 
     by_word = labelled.select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit(_EDGE), "word", F.lit(_EDGE))
@@ -402,7 +425,7 @@ def _calibrate(model: Model, trial: Model, kept_back: DataFrame) -> None:
         cells = np.zeros((len(place), CELLS), np.int64)
         fit_at = np.zeros(n_t)
         for batch in batches:
-            for lang, scored in zip(batch.column(0).to_pylist(), scorer(batch.column(1).to_pylist()), strict=True):
+            for lang, scored in zip(batch.column(0).to_pylist(), scorer(batch.column(1)), strict=True):
                 if scored is None or lang not in place:
                     continue
                 h = scored[0]
@@ -442,7 +465,8 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     all others stay as they are. Repeated rows give repeated results; an empty table gives no rows.
     """
     kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
-    packed = documents.select(F.col("text").alias("_text"), F.struct(*[documents[c] for c in kept]).alias("_row"))
+    packed = documents.select(F.struct(*[documents[c] for c in kept]).alias("_row"))
+    at = next(i for i, c in enumerate(kept) if c.lower() == "text")
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +474,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
         scorer = Scorer(m) if m else None
         for batch in batches:
             preds, scores, rejects = [], [], []
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0).field(at)
             for scored in scorer(texts) if scorer else [None] * len(texts):
                 if scored is None:
                     preds.append("und")
@@ -463,7 +487,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                     scores.append(float(_softmax(-h * m.temperature)[best]))
                     rejects.append(bool(h[best] > m.limit(best, symbols)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejects, pa.bool_())],
+                [batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejects, pa.bool_())],
                 names=["_row", "lang_pred", "score", "rejected"])
 
     schema = packed.select("_row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
