@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.windows import _join_back, percentiles, top_per_group
+from millrace.operators.windows import _join_back, percentiles, quantiles, top_per_group
 
 EXPRESSIONS_PER_PASS = 400
 
@@ -61,11 +61,9 @@ def column_summary(df: DataFrame, columns: Sequence[str], metrics: Sequence[str]
     rows = df.agg(F.array(*aggs).alias("rows")).select(F.inline("rows"))
     if "median" not in metrics:
         return rows
-    medians = None
-    for c in columns:
-        one = percentiles(df, c, {"median": 0.5}).select(F.lit(c).alias("column"), F.round("median", 6).alias("median"))
-        medians = one if medians is None else medians.unionByName(one)
-    return rows.join(medians, "column", "left").select("column", "non_null", *metrics)
+    medians = df.sparkSession.createDataFrame(
+        [(c, v[0]) for c, v in quantiles(df.select(*columns), columns, [0.5]).items()], "column string, median double")
+    return rows.join(medians.withColumn("median", F.round("median", 6)), "column", "left").select("column", "non_null", *metrics)
 
 
 def group_comparison(

@@ -15,7 +15,7 @@ from millrace.functions.missing import parse_day
 from millrace.functions.text import BOOLEAN_PAIRS, to_boolean
 from millrace.operators.aggregates import value_counts
 from millrace.operators.profile import kind_of, sample_skewness
-from millrace.operators.windows import percentiles, top_per_group
+from millrace.operators.windows import quantiles, top_per_group
 from millrace.session import new_path, reread, spread
 
 # Preparation thresholds.
@@ -28,6 +28,9 @@ MODE_SHARE = 0.5
 MISSING_LABEL, OTHER_LABEL = "__missing__", "__other__"
 DATE_PARTS = ("year", "month", "day", "dayofweek", "hour")
 
+#: Bytes of a column's rare levels that may be sent to every task; beyond that they are joined by a shuffle.
+SENT_BYTES = 64 << 20
+
 
 @dataclass
 class PreparationPlan:
@@ -45,6 +48,7 @@ class PreparationPlan:
     indicators: list[str] = field(default_factory=list)
     rare: dict[str, int] = field(default_factory=dict)
     rare_path: str = ""
+    rare_bytes: dict[str, int] = field(default_factory=dict)
     date_parts: list[str] = field(default_factory=list)
     cyclical: list[str] = field(default_factory=list)
     ratios: list[tuple[str, str, str]] = field(default_factory=list)
@@ -116,14 +120,15 @@ def _fit(train: DataFrame, target: str | None, modelling: bool) -> PreparationPl
         for r in kept:
             levels.setdefault(r["column"], []).append((r["value"], r["n"]))
         sizes = {r["column"]: r["k"] for r in counted.groupBy("column").agg(F.count("*").alias("k")).collect()}
+    skewed = [c for c in columns if c in numbers and facts[c]["n"] and abs(facts[c]["skew"] or 0.0) >= SKEW_FOR_MEDIAN]
+    medians = quantiles(repaired.select(*[F.col(c).cast("double").alias(c) for c in skewed]), skewed, [0.5]) if skewed else {}
     for c in columns:
         n, missing = facts[c]["n"], 1 - facts[c]["n"] / max(rows, 1)
         if missing >= REFUSE_IMPUTATION:
             plan.unimputable[c] = round(missing, 4)
         elif c in numbers and n:
-            if abs(facts[c]["skew"] or 0.0) >= SKEW_FOR_MEDIAN:
-                median = percentiles(repaired.select(F.col(c).cast("double").alias(c)), c, {"m": 0.5}).first()["m"]
-                plan.imputations[c] = ("median", median)
+            if c in medians:
+                plan.imputations[c] = ("median", medians[c][0])
             else:
                 plan.imputations[c] = ("mean", facts[c]["mean"])
             if missing == 0 and isinstance(train.schema[c].dataType, T.IntegralType):
@@ -143,6 +148,8 @@ def _fit(train: DataFrame, target: str | None, modelling: bool) -> PreparationPl
         plan.rare_path = new_path(train.sparkSession, "rare-levels")
         rare = counted.where((F.col("n") < rows * RARE_BELOW) & F.col("column").isin(*plan.rare))
         rare.select("column", "value").write.partitionBy("column").parquet(plan.rare_path)
+        sizes = rare.groupBy("column").agg(F.sum(F.octet_length("value") + 64).alias("b")).collect()
+        plan.rare_bytes = {r["column"]: r["b"] for r in sizes}
     plan.date_parts = plan.dates + [c for c in columns if kinds[c] == "datetime"]
     plan.cyclical = list(plan.date_parts) if modelling else []
     return plan
@@ -185,7 +192,8 @@ def apply_preparation(df: DataFrame, plan: PreparationPlan) -> DataFrame:
             # Levels not seen at fit time stay as they are, so this is a lookup and not a "not among the frequent" test.
             levels = df.sparkSession.read.parquet(plan.rare_path).where(F.col("column") == c).select(
                 F.col("value").alias(c), F.lit(True).alias("_rare"))
-            out = out.join(levels, c, "left").withColumn(c, F.when(F.col("_rare"), OTHER_LABEL).otherwise(F.col(c))).drop("_rare")
+            small = plan.rare_bytes.get(c, SENT_BYTES + 1) <= SENT_BYTES
+            out = out.join(F.broadcast(levels) if small else levels, c, "left").withColumn(c, F.when(F.col("_rare"), OTHER_LABEL).otherwise(F.col(c))).drop("_rare")
     derived: dict[str, Column] = {}
     for c in plan.date_parts:
         if c in df.columns:
@@ -224,10 +232,8 @@ def fill_choices(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         cells.append(F.struct(F.lit(c).alias("column"), F.when(skewed, "median").otherwise("mean").alias("strategy"),
                               F.avg(x).alias("mean")))
     base = df.agg(F.array(*cells).alias("r")).select(F.inline("r"))
-    medians = None
-    for c in columns:
-        one = percentiles(df, c, {"median": 0.5}).select(F.lit(c).alias("column"), "median")
-        medians = one if medians is None else medians.unionByName(one)
+    medians = df.sparkSession.createDataFrame(
+        [(c, v[0]) for c, v in quantiles(df.select(*columns), columns, [0.5]).items()], "column string, median double")
     value = F.when(F.col("strategy") == "median", F.col("median")).otherwise(F.col("mean"))
     return base.join(medians, "column").select("column", "strategy", value.alias("value"))
 

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from millrace.functions.missing import DATE_HINT, as_double, is_missing_word, iso_day_text, lenient_double, parse_day
 from millrace.operators.aggregates import correlation_pairs, numeric_columns, text_columns, value_counts
-from millrace.operators.windows import quantiles, top_per_group
-from millrace.session import reread, settled
+from millrace.operators.windows import counting_values, exact_quantiles, quantiles, sketch, top_per_group
+from millrace.session import kept, reread, settled
 
 # Role and quality thresholds.
 HIGH_MISSING = 0.30
@@ -65,8 +65,8 @@ def sample_skewness(x: Column) -> Column:
         F.when(fixed.isNull(), 0.0).otherwise(0.0))
 
 
-def column_measures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One pass: sizes, moments, text length and date evidence for every column."""
+def column_measures(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = ()) -> DataFrame:
+    """One pass: sizes, moments, text length and date evidence for every column; with ``probs``, a sketch of each numeric one."""
     kinds = _kinds(df, columns)
     cells = []
     numeric = {
@@ -79,8 +79,12 @@ def column_measures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         col, kind = F.col(c), kinds[c]
         none = F.lit(None)
         x = col.cast("double")
+        spots = []
+        if probs:
+            blank = none.cast("struct<lo:double,hi:double,n:bigint,finite:bigint,below:bigint,edges:array<double>>")
+            spots = [(sketch(df, c, probs) if kind == "numeric" else blank).alias("sketch")]
         cells.append(F.struct(
-            F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
+            *spots, F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
             F.lit(kind).alias("kind"), F.count("*").alias("n_rows"), F.count(col).alias("n"),
             *[(f(x) if kind == "numeric" else none.cast("bigint" if k == "n_fractional" else "double")).alias(k)
               for k, f in numeric.items()],
@@ -118,24 +122,37 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10)
 
 
 def _profile(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
+    """Two reads: one aggregation with the moments and a sketch of every column, one (column, value) count.
+
+    Distinct counts, top values, exact quartiles and outliers all come from that count, which is written once.
+    """
+    probs = [0.25, 0.5, 0.75]
+    measures = column_measures(df, columns, probs).collect()
+    numbers = [c for c in numeric_columns(df) if c in columns]
     counts = value_counts(df, columns)
-    distinct = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
+    floats = [c for c in numbers if isinstance(df.schema[c].dataType, T.FloatType)]
+    number = F.when(F.col("column").isin(*floats), F.col("value").try_cast("float").cast("double")).otherwise(F.col("value").try_cast("double")) if floats else F.col("value").try_cast("double")
+    x = F.when(F.col("column").isin(*numbers), number) if numbers else F.lit(None).cast("double")
+    counts = kept(counts.withColumn("x", F.when(~F.isnan(x), x)), "value-counts")
     best = top_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], top)
     pairs = F.struct("position", "value", F.col("n").alias("count"))
     tops = best.groupBy("column").agg(F.array_sort(F.collect_list(pairs)).alias("top_values"))
-    base = column_measures(df, columns)
+    known = exact_quantiles({m["name"]: m["sketch"] for m in measures if m["name"] in numbers}, probs, counting_values(counts, numbers))
+    outside = F.lit(False)
+    for c, (q1, _, q3) in known.items():
+        if q1 is not None:
+            beyond = (F.col("x") < q1 - 1.5 * (q3 - q1)) | (F.col("x") > q3 + 1.5 * (q3 - q1))
+            outside = F.when(F.col("column") == c, beyond).otherwise(outside)
+    # NaN lies above every fence, as in a comparison of doubles.
+    nan = F.col("column").isin(*numbers) & (F.col("value") == "NaN") if numbers else F.lit(False)
+    distinct = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.sum(F.when(outside | nan, F.col("n")).otherwise(0)).alias("n_outliers"))
+    base = df.sparkSession.createDataFrame(measures, column_measures(df, columns, probs).schema).drop("sketch")
+    spots = [(c, *known.get(c, (None, None, None))) for c in columns]
+    base = base.join(F.broadcast(df.sparkSession.createDataFrame(spots, "name string, p25 double, median double, p75 double")), "name", "left")
     base = base.join(distinct.withColumnRenamed("column", "name"), "name", "left")
     base = base.join(tops.withColumnRenamed("column", "name"), "name", "left")
-    base = base.withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("bigint"))).withColumn("role", role())
-    numbers = [c for c in numeric_columns(df) if c in columns]
-    known = quantiles(df.select(*numbers), numbers, [0.25, 0.5, 0.75]) if numbers else {}
-    spots = [(c, *known.get(c, (None, None, None))) for c in columns]
-    table = df.sparkSession.createDataFrame(spots, "name string, p25 double, median double, p75 double")
-    base = base.join(table, "name", "left")
-    if numbers:
-        base = base.join(_outliers(df, {c: (v[0], v[2]) for c, v in known.items()}), "name", "left")
-    else:
-        base = base.withColumn("n_outliers", F.lit(None).cast("bigint"))
+    outliers = F.when(F.col("kind") == "numeric", F.coalesce("n_outliers", F.lit(0))).cast("bigint")
+    base = base.withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("bigint"))).withColumn("n_outliers", outliers).withColumn("role", role())
     is_num = F.col("role") == "numeric"
     stats = {"min": None, "max": None, "mean": 6, "median": 6, "std": 6, "p25": None, "p75": None, "skew": 4}
     shown = [
@@ -150,18 +167,6 @@ def _profile(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
         F.when(F.col("role").isin("categorical", "boolean", "id"), F.col("top_values")).alias("top_values"))
 
 
-def _outliers(df: DataFrame, fences: dict[str, tuple[float | None, float | None]]) -> DataFrame:
-    """Rows outside the 1.5·IQR fences per column."""
-    cells = []
-    for c, (q1, q3) in fences.items():
-        if q1 is None:
-            outside = F.lit(False)
-        else:
-            outside = (F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1))
-        cells.append(F.struct(F.lit(c).alias("name"), F.count_if(outside).alias("n_outliers")))
-    return _rows(df, cells)
-
-
 def row_fingerprint(columns: Sequence[str]) -> list[Column]:
     """128 bits that stand for a whole row, nulls told apart: what is shuffled instead of the row itself."""
     cells = [F.col(c) for c in columns]

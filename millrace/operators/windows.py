@@ -11,8 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import cut_lineage
 
@@ -211,24 +212,101 @@ def percentiles(
 
 
 CELLS = 1024
+#: Accuracy of the sketch: its rank errors are below one part in ``SKETCH``. Columns of fewer values are not bracketed.
+SKETCH, BRACKETED = 10_000, 5_000
+
+#: A counting pass: open intervals (column, lo, hi) in, rows (k, cell, n, lo, hi) out. ``k`` numbers the intervals; ``-1 - g``
+#: stands for the values of a column between its intervals, where ``g`` counts the gaps from the lowest.
+Counting = Callable[[list[tuple[str, float, float]]], DataFrame]
+
+
+def finite_double(df: DataFrame, c: str) -> tuple[Column, Column]:
+    """(values, finite values) of a column as doubles: NaN is no value, infinite ones are values that stand at the ends."""
+    x = F.col(f"`{c}`").cast("double")
+    if not isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType, T.StringType)):
+        return x, x
+    given = F.when(~F.isnan(x), x)
+    return given, F.when(F.abs(given) < float("inf"), given)
+
+
+def sketch(df: DataFrame, c: str, probs: Sequence[float]) -> Column:
+    """One struct of a column: its ends, numbers of values, and a bracket of values around every wanted rank."""
+    given, x = finite_double(df, c)
+    edges = sorted({min(1.0, max(0.0, p + side * 4 / SKETCH)) for p in probs for side in (-1, 1)})
+    return F.struct(
+        F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(given).alias("n"), F.count(x).alias("finite"),
+        F.count_if(given == float("-inf")).alias("below"), F.percentile_approx(x, edges, SKETCH).alias("edges"))
+
+
+def _numbered(x: Column, column: str, keys: Sequence[tuple[str, float, float]]) -> Column:
+    """The (k, cell, v) of one column's value: the open interval and cell that hold it, or the gap between intervals."""
+    own = sorted((lo, hi, k) for k, (c, lo, hi) in enumerate(keys) if c == column)
+    entry = F.struct(F.lit(-1 - len(own)).alias("k"), F.lit(0).alias("cell"), x.alias("v"))
+    for g, (lo, hi, k) in reversed(list(enumerate(own))):
+        at = F.floor((x / 2 - lo / 2) * min(CELLS / (hi / 2 - lo / 2 or 5e-324), 1e308))
+        inside = F.struct(F.lit(k).alias("k"), F.least(at, F.lit(CELLS - 1)).cast("int").alias("cell"), x.alias("v"))
+        gap = F.struct(F.lit(-1 - g).alias("k"), F.lit(0).alias("cell"), x.alias("v"))
+        entry = F.when(x < lo, gap).when(x <= hi, inside).otherwise(entry)
+    return F.when(x.isNotNull(), F.struct(F.lit(column).alias("c"), entry.alias("e")))
+
+
+def counting(df: DataFrame, columns: Sequence[str]) -> Counting:
+    """Counts of whole columns: one read of the columns with open intervals, one entry per value, combined before the shuffle."""
+
+    def count(keys: list[tuple[str, float, float]]) -> DataFrame:
+        open_ = [c for c in columns if any(k[0] == c for k in keys)]
+        cells = F.array_compact(F.array(*[_numbered(finite_double(df, c)[1], c, keys) for c in open_]))
+        rows = df.select(F.explode(cells).alias("r")).select("r.c", "r.e.*")
+        return rows.groupBy("c", "k", "cell").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+    return count
+
+
+def counting_values(counts: DataFrame, columns: Sequence[str]) -> Counting:
+    """The same from (column, x, n) rows, where equal values are one row."""
+
+    def count(keys: list[tuple[str, float, float]]) -> DataFrame:
+        entry = F.lit(None)
+        for c in columns:
+            if any(k[0] == c for k in keys):
+                entry = F.when(F.col("column") == c, _numbered(F.col("x"), c, keys)).otherwise(entry)
+        rows = counts.where("abs(x) < double('inf')").select("n", entry.alias("r")).where("r IS NOT NULL").select("n", "r.c", "r.e.*")
+        return rows.groupBy("c", "k", "cell").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+    return count
+
+
+def _brackets(facts: Row, ranks: set[int], probs: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint intervals that hold the wanted ranks: the sketch's, joined where they meet, or the whole column."""
+    if facts["finite"] < BRACKETED or facts["finite"] < facts["n"] or not facts["edges"]:
+        return [(facts["lo"], facts["hi"])]
+    sides = sorted({min(1.0, max(0.0, p + side * 4 / SKETCH)) for p in probs for side in (-1, 1)})
+    at = dict(zip(sides, facts["edges"], strict=True))
+    out: list[tuple[float, float]] = []
+    for p in sorted(set(probs)):
+        lo = facts["lo"] if p * SKETCH <= 4 else at[p - 4 / SKETCH]
+        hi = facts["hi"] if (1 - p) * SKETCH <= 4 else at[p + 4 / SKETCH]
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact, linearly interpolated quantiles of whole columns, without sorting or shuffling a row.
+def exact_quantiles(
+    facts: dict[str, Row], probs: Sequence[float], count: Counting,
+) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles from sketches and counting passes.
 
-    Each pass counts the values of all columns in ``CELLS`` even cells and keeps only the cell that holds a wanted rank;
-    the next pass divides that cell again, until it holds one value. A pass returns at most a cell table per wanted rank,
-    and two or three passes over the columns' own pages are the rule.
+    A pass counts each open interval in ``CELLS`` even cells, and all values between the intervals, so the exact rank of every
+    cell is known. A cell that holds a wanted rank and more than two values is an interval of the next pass. The sketch's
+    brackets hold 8 / ``SKETCH`` of the rows, so one pass is the rule up to some hundred thousand rows and two up to some hundred
+    millions. A pass returns at most a cell table per wanted rank.
     """
-    # NaN is no value. Infinite values are counted and stand at the ends; cells are made of the finite ones.
-    given = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    x = {c: F.when(F.abs(v) < float("inf"), v) for c, v in given.items()}
-    facts = df.agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(given[c]).alias("n"), F.count(v).alias("finite"),
-                              F.count_if(given[c] == float("-inf")).alias("below")).alias(str(i)) for i, (c, v) in enumerate(x.items())]).first()
     found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, float, float], tuple[int, set[int]]] = {}
-    for i, c in enumerate(columns):
-        f = facts[str(i)]
+    wanted: dict[str, set[int]] = {}
+    open_: list[tuple[str, float, float]] = []
+    for c, f in facts.items():
         ranks = {r for p in probs for r in (math.floor((f["n"] - 1) * p), math.ceil((f["n"] - 1) * p))} if f["n"] else set()
         found.update({(c, r): float("-inf") for r in ranks if r < f["below"]})
         found.update({(c, r): float("inf") for r in ranks if r >= f["below"] + f["finite"]})
@@ -236,46 +314,31 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
         if ranks and f["lo"] == f["hi"]:
             found.update({(c, r): f["lo"] for r in ranks})
         elif ranks:
-            open_[(c, f["lo"], f["hi"])] = (f["below"], ranks)
+            wanted[c] = ranks
+            open_ += [(c, lo, hi) for lo, hi in _brackets(f, ranks, probs)]
     while open_:
-        keys = list(open_)
-        # A value lies in one open cell of its column at most, so a row gives one entry per column at most.
-        cells = []
-        for c in dict.fromkeys(c for c, _, _ in keys):
-            k, at = F.lit(None).cast("int"), F.lit(None).cast("double")
-            for i, (name, lo, hi) in enumerate(keys):
-                if name == c:
-                    inside = x[c].between(lo, hi)
-                    k, at = F.when(inside, i).otherwise(k), F.when(inside, (x[c] / 2 - lo / 2) * min(CELLS / (hi / 2 - lo / 2 or 5e-324), 1e308)).otherwise(at)
-            cell = F.least(F.floor(at), F.lit(CELLS - 1)).cast("int")
-            cells.append(F.when(k.isNotNull(), F.struct(k.alias("k"), cell.alias("cell"), x[c].alias("v"))))
-        rows = df.where(F.coalesce(*cells).isNotNull()).select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
-        counts = rows.groupBy("k", "cell").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        by_key: dict[int, list] = {}
-        for r in counts.collect():
-            by_key.setdefault(r["k"], []).append(r)
-        narrowed: dict[tuple[str, float, float], tuple[int, set[int]]] = {}
-        for k, key in enumerate(keys):
-            before, ranks = open_[key]
-            for r in sorted(by_key[k], key=lambda r: r["cell"]):
-                here = {q for q in ranks if before <= q < before + r["n"]}
-                if here and r["lo"] == r["hi"]:
-                    found.update({(key[0], q): r["lo"] for q in here})
+        by_column: dict[str, list[Row]] = {}
+        for r in count(open_).collect():
+            by_column.setdefault(r["c"], []).append(r)
+        left: list[tuple[str, float, float]] = []
+        for c, rows in by_column.items():
+            before = facts[c]["below"]
+            for r in sorted(rows, key=lambda r: (r["lo"], r["hi"])):
+                here = {q for q in wanted[c] if before <= q < before + r["n"] and (c, q) not in found}
+                # The two ends are known at once, so a cell with up to two values needs no further pass.
+                ends = {before: r["lo"], before + r["n"] - 1: r["hi"]}
+                found.update({(c, q): r["lo"] if r["lo"] == r["hi"] else ends[q] for q in here if q in ends or r["lo"] == r["hi"]})
+                here = {q for q in here if (c, q) not in found}
+                if here and (c, r["lo"], r["hi"]) in open_:
+                    # The pass did not divide this cell: its values differ by less than a double can scale.
+                    found.update({(c, q): r["lo"] for q in here})
                 elif here:
-                    # The two ends are known at once, so a cell with up to two values needs no further pass.
-                    ends = {before: r["lo"], before + r["n"] - 1: r["hi"]}
-                    found.update({(key[0], q): ends[q] for q in here if q in ends})
-                    left = here - set(ends)
-                    if left and (key[0], r["lo"], r["hi"]) in open_:
-                        # The pass did not divide this cell: its values differ by less than a double can scale.
-                        found.update({(key[0], q): r["lo"] for q in left})
-                    elif left:
-                        narrowed[(key[0], r["lo"], r["hi"])] = (before, left)
+                    left.append((c, r["lo"], r["hi"]))
                 before += r["n"]
-        open_ = narrowed
+        open_ = left
     out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(columns):
-        n, values = facts[str(i)]["n"], []
+    for c, f in facts.items():
+        n, values = f["n"], []
         for p in probs:
             at = (n - 1) * p
             lo, hi = found.get((c, math.floor(at))), found.get((c, math.ceil(at)))
@@ -284,6 +347,15 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     return out
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles of whole columns, without sorting or shuffling a row.
+
+    One read takes a mergeable sketch of all columns at once, the next counts what lies in its brackets.
+    """
+    facts = df.agg(*[sketch(df, c, probs).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return exact_quantiles({c: facts[str(i)] for i, c in enumerate(columns)}, probs, counting(df, columns))
+
+
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "position") -> DataFrame:
     """The first ``k`` rows of every group. Spark cuts each partition to ``k`` rows per key before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -33,7 +33,7 @@ def numeric_profile_sql(table: str, c: str) -> str:
   WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS n_outliers FROM {table}"""
 
 
-PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_orderkey", "l_partkey", "l_suppkey"]
 
 
 @query("numeric_profile", "E2", " UNION ALL ".join(numeric_profile_sql("lineitem", c) for c in PROFILED))

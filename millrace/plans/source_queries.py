@@ -184,3 +184,11 @@ def split_reads_are_exact(spark, sf):
     path = _written(spark, t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").coalesce(1), "one-file", header="true")
     rows = spark.read.option("header", "true").schema("l_orderkey long, l_linenumber int").csv(path)
     return rows.agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("records_of_several_lines", "A1 A25", "SELECT doc_id, md5(text) AS digest, length(text) AS n_chars, lang FROM documents")
+def records_of_several_lines(spark, sf):
+    rows = t(spark, sf, "documents").select("doc_id", "text", "lang")
+    path = _written(spark, rows, "several-lines", header="true", escape='"', quoteAll="true", emptyValue="")
+    read = D.read_delimited(spark, path)
+    return read.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest"), F.char_length("text").cast("bigint").alias("n_chars"), "lang")

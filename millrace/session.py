@@ -68,6 +68,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, read back from a fresh table in the shared folder: for results that several reads start from."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SMALL_BYTES = 1 << 30
 
 

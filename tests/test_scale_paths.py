@@ -113,3 +113,39 @@ def test_key_value_sheets_have_no_header(spark):
     assert G.header_rows(sheet(spark, [["Rate", 0.5], ["Years", 12], ["Cap", 900]])).count() == 0
     assert G.header_rows(sheet(spark, [["Region", 2021, 2022], ["Aberdeen", 310000, 331500]])).count() == 1
     assert G.header_rows(sheet(spark, [["Acme", 1999, 2004], ["Bolt", 2001, 2010]])).count() == 0
+
+
+def test_quantiles_by_sketch_and_one_count_are_exact(spark):
+    import random
+    import statistics
+
+    from millrace.operators import windows as W
+    from millrace.operators.profile import profile
+
+    r = random.Random(2)
+    special = [float("nan"), float("inf"), float("-inf"), None]
+    rows = [(r.gauss(0, 1), int(r.expovariate(0.01)), r.choice([1.5, 2.5, 2.5]), r.choice(special) if i % 7 == 0 else r.random(), 1e300 * r.random(), float(i % 3 * 0.1)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double, e double, f float")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    passes = []
+    counting = W.counting
+    W.counting = lambda *x: (lambda count: lambda keys: passes.append(len(keys)) or count(keys))(counting(*x))
+    try:
+        found = W.quantiles(df, df.columns, probs)
+    finally:
+        W.counting = counting
+    assert len(passes) <= 3
+    f32 = [x[0] for x in df.select(df.f.cast("double")).collect()]
+    for i, c in enumerate(df.columns):
+        values = sorted(f32 if c == "f" else [x[i] for x in rows if x[i] is not None and x[i] == x[i]])
+        for p, got in zip(probs, found[c], strict=True):
+            at = (len(values) - 1) * p
+            lo, hi = values[int(at)], values[min(int(at) + (at > int(at)), len(values) - 1)]
+            assert got == lo + (hi - lo) * (at - int(at)) or (got != got) == (lo + (hi - lo) * (at - int(at)) != lo + (hi - lo) * (at - int(at)))
+    facts = {x["name"]: x for x in profile(df).collect()}
+    for c in "abcf":  # e has whole and different values only: an id
+        q1, q3 = found[c][2], found[c][4]
+        v = f32 if c == "f" else [x["abcdef".index(c)] for x in rows]
+        assert (facts[c]["p25"], facts[c]["p75"]) == (q1, q3) and facts[c]["n_unique"] == len(set(v))
+        assert facts[c]["n_outliers"] == sum(x < q1 - 1.5 * (q3 - q1) or x > q3 + 1.5 * (q3 - q1) for x in v)
+    assert abs(facts["a"]["mean"] - statistics.mean(x[0] for x in rows)) < 1e-5

@@ -160,3 +160,61 @@ def test_dates_keep_their_time_and_no_cell_is_emptied(spark, tmp_path):
     df = D.type_columns(D.read_delimited(spark, str(p)))
     assert dict(df.dtypes) == {"id": "bigint", "at": "timestamp_ntz", "day": "date", "most": "string"}
     assert str(df.where("id = 1").first()["at"]) == "2024-01-01 10:30:00" and df.where("most = 'soon'").count() == 1
+
+
+def plain_rows(text, skip):
+    """What Python's parser makes of the text below its first ``skip`` lines; empty cells are missing."""
+    import csv
+    import io
+
+    body = "".join(text.splitlines(keepends=True)[skip:])
+    return sorted(tuple(c or None for c in row) for row in csv.reader(io.StringIO(body, newline="")) if row)
+
+
+@pytest.mark.parametrize("preamble", [0, 3])
+def test_records_of_several_lines_are_read_in_splits(spark, tmp_path, preamble):
+    import random
+
+    r = random.Random(preamble)
+    lines = ['Report "quarterly', "", "made by hand"][:preamble] + ["id,note,more"]
+    for i in range(1500):
+        note = r.choice(["plain", 'say ""hi""', "two\nlines", "with, comma", "\n\n", "x" * 700, 'open"" and\nclose""', "id,note,more", '""'])
+        more = r.choice(["", "5 inch", f"n{i}", '12" pipe', '"q, ""r"""'])
+        lines.append(f'{i},"{note}",{more}')
+    lines.append("id,note,more")
+    text = "\n".join(lines) + "\n"
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "7000")
+    try:
+        got = D.read_delimited(spark, str(tmp_path / "t"))
+        assert got.columns == ["id", "note", "more"]
+        assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 20
+        assert sorted((tuple(x) for x in got.collect()), key=str) == sorted(plain_rows(text, preamble + 1), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_record_over_many_splits_and_an_open_quote(spark, tmp_path, monkeypatch):
+    p = tmp_path / "long.csv"
+    inner = "\n".join(f"line {i}" for i in range(3000))
+    p.write_text(f'a,b\n1,"{inner}"\n2,"x\ny"\n3,z\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = {x.a: x.b for x in D.read_delimited(spark, str(p)).collect()}
+        assert rows == {"1": inner, "2": "x\ny", "3": "z"}
+        p.write_text(f'a,b\n1,"{inner}\n2,x\n3,z\n')
+        monkeypatch.setattr(D, "LONGEST", 8000)
+        with pytest.raises(ValueError, match="not closed"):
+            D.read_delimited(spark, str(p), delimiter=",")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_the_header_may_span_lines_and_each_file_has_its_own(spark, tmp_path):
+    for name, body in (("a", 'x,1\n"y\nz",2\n'), ("b", "w,3\n")):
+        (tmp_path / f"{name}.csv").write_bytes(('"na\nme",n\n' + body).encode("cp1252"))
+    rows = D.read_delimited(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [("w", "3"), ("x", "1"), ("y\nz", "2")] and rows.columns == ["na me", "n"]
