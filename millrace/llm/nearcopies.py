@@ -190,8 +190,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(sign, schema), "signed", "lz4")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, node) of every bucket with at least two nodes."""
+def _pivot_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): the pivot of a bucket, its least node, with each other node of the bucket; once, however many bands they share."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +200,9 @@ def _buckets(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
 
     rows = classes.select("node", "keys").mapInArrow(split, "key long, node long")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    return rows.join(shared.hint("shuffle_merge"), "key")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("a")).where("_n > 1").select("key", "a")
+    met = rows.join(shared.hint("shuffle_merge"), "key").where("a <> node")
+    return met.select("a", F.col("node").alias("b")).distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -304,22 +305,22 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _still_open(rows: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """The (key, p, node, label) of ``rows`` that still have something to compare; ``p`` is the bucket's first pivot.
+def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (p, node, d, label) of ``rows`` that still have something to compare: what met the pivot ``p`` in any bucket.
 
-    All members were compared with ``p``, so distances to it are known. A member of p's group goes if it is nearer to p, by more
-    than the link distance, than every member of another group: it can be linked with none of them. A bucket goes when
-    its members left are one group.
+    Buckets with the same pivot are one here, so a node is asked once per pivot, not once per band; pairs that met in no
+    bucket may then be compared too, which loses none. All members were compared with ``p``, at the distance ``d``. A member of
+    p's group goes if it is nearer to p, by more than the link distance, than every member of another group: it can be linked with none
+    of them. A pivot goes when its members left are one group.
     """
-    distance = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("_d"))
     of_first = labels.select(F.col("node").alias("p"), F.col("label").alias("_pl"))
-    known = _labelled(rows.select("key", "p", "node"), labels).where("node <> p").join(of_first, "p", "left").join(distance, ["p", "node"], "left")
-    known = known.withColumn("_mine", F.col("label") == F.coalesce("_pl", "p")).withColumn("_d", F.coalesce("_d", F.lit(0.0)))
-    outside = known.where(~F.col("_mine")).groupBy("key").agg(F.min("_d").alias("_out"))
+    known = _labelled(rows.select("p", "node", "d"), labels).join(of_first, "p", "left")
+    known = known.withColumn("_mine", F.col("label") == F.coalesce("_pl", "p"))
+    outside = known.where(~F.col("_mine")).groupBy("p").agg(F.min("d").alias("_out"))
     link = 1 - PERCENT / 100
-    left = known.join(outside, "key").where(~F.col("_mine") | (F.col("_out") - F.col("_d") <= link + 1e-9)).select("key", "p", "node", "label")
-    mixed = left.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("key")
-    return left.join(mixed, "key")
+    left = known.join(outside, "p").where(~F.col("_mine") | (F.col("_out") - F.col("d") <= link + 1e-9)).select("p", "node", "d", "label")
+    mixed = left.groupBy("p").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("p")
+    return left.join(mixed, "p")
 
 
 def _detailed(sets: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -338,27 +339,27 @@ def _detailed(sets: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def _maybe_linked(members: DataFrame, signed: DataFrame, likeliest: bool) -> DataFrame:
-    """(a, b): pairs of different groups in one bucket whose signatures agree in at least ``MAYBE`` of their components.
+    """(a, b): pairs of different groups with one pivot whose signatures agree in at least ``MAYBE`` of their components.
 
     With ``likeliest``, only the pair that agrees most of each left node and other group; else only the pairs whose longer
     signatures show a similarity of at least ``LIKELY``, which is 2 x - 1 where x of the bits agree.
 
-    ``members`` (key, node, label) meet in blocks: those outside their bucket's largest group on the left, all on the right. Both
-    sides are dealt into blocks of about ``BLOCK`` by their node, so no task holds a bucket, and one group of any size is met
+    ``members`` (p, node, label) meet in blocks: those outside their pivot's largest group on the left, all on the right. Both
+    sides are dealt into blocks of about ``BLOCK`` by their node, so no task holds a pivot's members, and one group of any size is met
     only by its outsiders. Only the pairs found leave a block.
     """
     carried = ["sig"] if likeliest else ["sig", "detail"]
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("_size", (-F.col("label")).alias("_neg"))).alias("_top"), F.sum("_size").alias("_all"))
+    sizes = members.groupBy("p", "label").agg(F.count(F.lit(1)).alias("_size"))
+    largest = sizes.groupBy("p").agg(F.max(F.struct("_size", (-F.col("label")).alias("_neg"))).alias("_top"), F.sum("_size").alias("_all"))
     plan = largest.select(
-        "key", (-F.col("_top._neg")).alias("_main"), F.ceil(F.col("_all") / BLOCK).alias("_rights"),
+        "p", (-F.col("_top._neg")).alias("_main"), F.ceil(F.col("_all") / BLOCK).alias("_rights"),
         F.ceil((F.col("_all") - F.col("_top._size")) / BLOCK).alias("_lefts"))
-    dealt = members.select("key", "node", "label").join(plan, "key").join(signed.select("node", *carried), "node")
+    dealt = members.select("p", "node", "label").join(plan, "p").join(signed.select("node", *carried), "node")
     place = F.xxhash64("node")
     left = dealt.where("label <> _main").select(
-        "key", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", *carried)
+        "p", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", *carried)
     right = dealt.select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", *carried)
+        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", *carried)
 
     def meet(block: pa.Table) -> pa.Table:
         on_left = block["_left"].to_numpy()
@@ -379,7 +380,7 @@ def _maybe_linked(members: DataFrame, signed: DataFrame, likeliest: bool) -> Dat
             found.append(np.column_stack([np.full(len(near), node[i]), node[partners], label[partners], agree[near]]))
         return pa.table(dict(zip(("node", "partner", "group", "agree"), np.concatenate(found).T.copy(), strict=True)))
 
-    found = left.unionByName(right).groupBy("key", "_l", "_r").applyInArrow(meet, "node long, partner long, group long, agree long")
+    found = left.unionByName(right).groupBy("p", "_l", "_r").applyInArrow(meet, "node long, partner long, group long, agree long")
     if likeliest:
         top = F.max(F.struct("agree", (-F.col("partner")).alias("_neg"))).alias("_top")
         found = found.groupBy("node", "group").agg(top).select("node", (-F.col("_top._neg")).alias("partner"))
@@ -399,22 +400,18 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     signed = _signed(docs)
     classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", "lz4")
-    buckets = written(_buckets(classes), "buckets")
-
-    first = buckets.groupBy("key").agg(F.min("node").alias("p"))
-    buckets = written(buckets.join(first.hint("shuffle_merge"), "key"), "firsts")
-    pairs = buckets.where("p <> node").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = classes.select("node", "cls", "rep").join(buckets.select("node").distinct(), "node")
-    sets = written(_sets_of(docs, wanted), "sets", "lz4")
+    pairs = written(_pivot_pairs(classes), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_sets_of(docs, classes.select("node", "cls", "rep").join(met, "node")), "sets", "lz4")
     tested = written(_verified(pairs, sets), "tested")
     linked = f"100 * both >= {PERCENT} * either"
     labels = written(grouped(tested.where(linked)), "labels")
 
-    # Buckets that are one group by now are done; in the others, members of different groups are compared by signature.
+    # Pivots whose members are one group by now are done; of the others, members of different groups are compared by signature.
     # The likeliest pairs come first: whatever they join needs no further comparison.
-    left = buckets
+    left = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("d"))
     for likeliest in (True, False):
-        left = written(_still_open(left, labels, tested), "open")
+        left = written(_still_open(left, labels), "open")
         if left.isEmpty():
             break
         signed_open = classes if likeliest else _detailed(sets, classes, left.select("node").distinct())
