@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -12,10 +13,11 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,9 @@ from pyspark.sql import types as T
 from millrace.operators.aggregates import top_values, value_counts
 from millrace.operators.integrity import distinct_counts
 from millrace.operators.profile import kind_of
+from millrace.operators.sampling import assign_folds
+from millrace.operators.windows import running_total
+from millrace.session import cut_lineage, settled
 
 # Task limits, sufficiency, drift and verdict thresholds, review share and floor.
 MANY_VALUES = 20
@@ -105,13 +110,33 @@ def frequent_levels(df: DataFrame, features: Sequence[str], most: int = MAX_LEVE
     return levels
 
 
-def candidates(task: str, classes: int = 2, trees: int = 200, seed: int = 42) -> dict[str, object]:
+class FrequentLevels(Estimator):
+    """``frequent_levels`` and ``ready_for_model`` as the first stage of a pipeline, so that folds learn their own levels."""
+
+    def __init__(self, features: Sequence[str]):
+        super().__init__()
+        self.features = list(features)
+
+    def _fit(self, dataset: DataFrame) -> FrequentLevelsModel:
+        return FrequentLevelsModel(self.features, frequent_levels(dataset, self.features))
+
+
+class FrequentLevelsModel(Model):
+    def __init__(self, features: Sequence[str], levels: dict[str, list[str]]):
+        super().__init__()
+        self.features, self.levels = list(features), levels
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return ready_for_model(dataset, self.features, self.levels)
+
+
+def candidates(task: str, classes: int = 2, trees: int = 200, seed: int = 42, rounds: int = 100) -> dict[str, object]:
     """The panel for a task: a linear model, a random forest and gradient boosting."""
     if task == "regression":
         return {"linear_regression": LinearRegression(labelCol="label"),
                 "random_forest": RandomForestRegressor(labelCol="label", numTrees=trees, seed=seed),
-                "gradient_boosting": GBTRegressor(labelCol="label", seed=seed)}
-    boosting = GBTClassifier(labelCol="label", seed=seed)
+                "gradient_boosting": GBTRegressor(labelCol="label", seed=seed, maxIter=rounds, maxDepth=3, stepSize=0.1)}
+    boosting = GBTClassifier(labelCol="label", seed=seed, maxIter=rounds, maxDepth=3, stepSize=0.1)
     if classes > 2:
         boosting = OneVsRest(classifier=boosting, labelCol="label")
     return {"logistic_regression": LogisticRegression(labelCol="label", maxIter=1000),
@@ -170,55 +195,146 @@ def infer(fitted: tuple, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     return named.select(*keep, "predicted", confidence.alias("confidence"))
 
 
-def classification_metrics(scored: DataFrame) -> DataFrame:
-    """accuracy and macro F1 from the confusion counts (Spark's own F1 is weighted)."""
-    cells = scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    truth = cells.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("t"), F.sum(
-        F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
-    said = cells.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("p"))
-    per = truth.join(said, "class", "full_outer").fillna(0, ["t", "hit", "p"])
+def classification_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """accuracy, macro F1 and the F1 of class 1 from the confusion counts (Spark's own F1 is weighted), per group of ``by``."""
+    by = list(by)
+    cells = scored.groupBy(*by, "label", "prediction").agg(F.count("*").alias("n"))
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    # A cell counts for its true class and for the class it was given.
+    sides = F.explode(F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p"), hit.alias("hit")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("hit"))))
+    per = cells.select(*by, sides.alias("s")).groupBy(*by, "s.class").agg(*[F.sum(f"s.{c}").alias(c) for c in ("t", "p", "hit")])
     f1 = F.when(F.col("t") + F.col("p") > 0, 2.0 * F.col("hit") / (F.col("t") + F.col("p"))).otherwise(0.0)
-    return per.agg((F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg(f1).alias("f1_macro"))
+    return per.groupBy(*by).agg(
+        (F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg(f1).alias("f1_macro"), F.coalesce(F.max(F.when(F.col("class") == 1, f1)), F.lit(0.0)).alias("f1"))
+
 
+def roc_auc(scored: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """(``by``, roc_auc): the exact area under the curve; ties count half, null without both classes.
 
-def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """mae, rmse and r2 from sums that add up over partitions; a constant target gives 1 or 0."""
+    Equal scores are one row before any order is made: each positive beats the negatives with a lower score.
+    """
+    by = list(by)
+    counts = scored.groupBy(*by, F.col(score).alias("_s")).agg(
+        F.sum("label").cast("bigint").alias("_pos"), F.sum(1 - F.col("label")).cast("bigint").alias("_neg"))
+    below = running_total(counts, "_neg", "_upto", ["_s"], by)
+    won = F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
+    pairs = F.sum("_pos").cast("double") * F.sum("_neg")
+    return below.groupBy(*by).agg(F.try_divide(won, pairs).alias("roc_auc"))
+
+
+def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """mae, rmse and r2 from sums that add up over partitions, per group of ``by``; a constant target gives 1 or 0."""
     y, e = F.col(label).cast("double"), F.col(prediction) - F.col(label)
-    s = scored.agg(F.count(y).alias("n"), F.sum(F.abs(e)).alias("ae"), F.sum(e * e).alias("se"),
+    s = scored.groupBy(*by).agg(F.count(y).alias("n"), F.sum(F.abs(e)).alias("ae"), F.sum(e * e).alias("se"),
                    (F.var_pop(y) * F.count(y)).alias("ss"))
     tiny = 2.220446049250313e-16
     r2 = F.when(F.col("ss") <= tiny, F.when(F.col("se") <= tiny, 1.0).otherwise(0.0)).otherwise(1 - F.col("se") / F.col("ss"))
-    return s.select(F.round(F.col("ae") / F.col("n"), 6).alias("mae"), F.round(F.sqrt(F.col("se") / F.col("n")), 6).alias("rmse"),
+    return s.select(*by, F.round(F.col("ae") / F.col("n"), 6).alias("mae"), F.round(F.sqrt(F.col("se") / F.col("n")), 6).alias("rmse"),
                     F.round(r2, 6).alias("r2"))
 
 
+def metrics_of(scored: DataFrame, task: str, by: Sequence[str] = ()) -> DataFrame:
+    """(``by``, metric, value): all metrics of a task. A binary task has F1 of class 1 and the area under the curve."""
+    by = list(by)
+    if task == "regression":
+        wide = regression_metrics(scored, by=by)
+    else:
+        wide = classification_metrics(scored, by)
+        if task == "binary_classification":
+            scores = scored.withColumn("score", vector_to_array("probability")[1])
+            auc = roc_auc(scores, "score", by)
+            wide = wide.drop("f1_macro").join(auc, by) if by else wide.drop("f1_macro").crossJoin(auc)  # one row each
+        else:
+            wide = wide.drop("f1")
+    names = [c for c in wide.columns if c not in by]
+    return wide.unpivot(by, names, "metric", "value")
+
+
 def panel_scores(fitted: dict[str, tuple], test: DataFrame, target: str, task: str) -> DataFrame:
     """(model, metric, value) on held-out rows."""
     out = None
     for name, one in fitted.items():
-        scored = score(one, test, target, task).persist()
-        wide = regression_metrics(scored) if task == "regression" else classification_metrics(scored)
-        rows = wide.unpivot([], wide.columns, "metric", "value")
-        if task == "binary_classification":
-            auc = BinaryClassificationEvaluator(labelCol="label").evaluate(scored)
-            rows = rows.unionByName(test.sparkSession.createDataFrame([("roc_auc", auc)], "metric string, value double"))
-        rows = [(name, r["metric"], r["value"]) for r in rows.collect()]
-        scored.unpersist()
-        one_df = test.sparkSession.createDataFrame(rows, "model string, metric string, value double")
-        out = one_df if out is None else out.unionByName(one_df)
+        rows = settled(metrics_of(score(one, test, target, task), task)).select(F.lit(name).alias("model"), "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def cross_validate(df: DataFrame, target: str, task: str, fold: str, folds: int, model: str, trees: int = 200) -> DataFrame:
-    """(fold, metric, value): each fold held out once. ``fold`` comes from the split rules, so entities stay whole."""
-    out = None
-    for i in range(folds):
-        train = df.where(F.col(fold) != i).drop(fold)
-        test = df.where(F.col(fold) == i).drop(fold)
-        one = panel_scores(train_panel(train, target, task, trees, [model]), test, target, task)
-        one = one.select(F.lit(i).alias("fold"), "metric", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+def default_metric(task: str) -> str:
+    return {"binary_classification": "roc_auc", "multiclass_classification": "f1_macro"}.get(task, "r2")
+
+
+def idle_scores(train: DataFrame, test: DataFrame, target: str, task: str) -> DataFrame:
+    """(metric, value) of the model that does no work, learned from ``train``: its commonest class (the first of equal ones) or its mean."""
+    if task == "regression":
+        mean = train.agg(F.avg(F.col(target).cast("double"))).scalar()
+        return metrics_of(with_label(test, target, task)[0].withColumn("prediction", mean), task)
+    counts = train.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("_c")).agg(F.count("*").alias("_n"))
+    top = counts.orderBy(F.desc("_n"), "_c").limit(1).select("_c").first()[0]
+    names = label_vocabulary(train.select(target).unionByName(test.select(target)), target)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(target).cast("string")) - 1
+    rows = test.where(F.col(target).isNotNull()).select(place.cast("double").alias("label"), F.lit(float(names.index(str(top)))).alias("prediction"))
+    shown = ["accuracy", "f1", "roc_auc"] if task == "binary_classification" else ["accuracy", "f1_macro"]
+    return classification_metrics(rows).withColumn("roc_auc", F.lit(0.5)).select(*shown).unpivot([], shown, "metric", "value")
+
+
+def panel_choice(scores: DataFrame, idle: DataFrame, task: str, metric: str | None = None) -> DataFrame:
+    """(model, metric, score, baseline, beats_baseline, winner), best first; of equal models the first by name wins."""
+    metric = metric or default_metric(task)
+    lower = metric in ("rmse", "mae")
+    base = idle.where(F.col("metric") == metric).agg(F.max("value")).scalar()
+    rows = scores.where(F.col("metric") == metric).select("model", "metric", F.col("value").alias("score"), base.alias("baseline"))
+    rows = rows.withColumn("beats_baseline", F.col("score") < F.col("baseline") if lower else F.col("score") > F.col("baseline"))
+    best = (F.asc_nulls_last if lower else F.desc_nulls_last)("score")
+    # A panel has a handful of models.
+    return rows.withColumn("winner", F.row_number().over(Window.orderBy(best, "model")) == 1).orderBy(best, "model")
+
+
+def held_out_scores(
+    df: DataFrame, target: str, task: str, fold: str, folds: int, model: str, expanding: bool = False, keep: Sequence[str] = (),
+    trees: int = 200, rounds: int = 100,
+) -> DataFrame:
+    """(``fold``, label, prediction, probability where given, ``keep``): every row scored by the model that did not see its fold.
+
+    Preparation, levels and model are one pipeline, fitted anew in each fold. Folds that hold out one part of the rows each
+    go through Spark's cross validator by their number; with ``expanding``, a fold trains on the smaller numbers only.
+    """
+    used = [c for c in df.columns if c not in (fold, *keep)]
+    features = usable_features(df.select(*used), target)
+    rows, names = with_label(df, target, task)
+    rows = rows.select(*features, "label", fold, *keep).persist()
+    pipe = Pipeline(stages=[FrequentLevels(features), *preprocessor(df, features).getStages(), candidates(task, len(names), trees, rounds=rounds)[model]])
+    try:
+        if expanding:
+            models = [pipe.fit(rows.where(F.col(fold) < i)) for i in range(folds)]
+        else:
+            judge = {"regression": RegressionEvaluator(labelCol="label"), "binary_classification": BinaryClassificationEvaluator(labelCol="label")}.get(
+                task, MulticlassClassificationEvaluator(labelCol="label"))
+            cross = CrossValidator(
+                estimator=pipe, estimatorParamMaps=[{}], evaluator=judge, numFolds=folds, foldCol=fold, collectSubModels=True, parallelism=min(folds, 4))
+            models = [found[0] for found in cross.fit(rows).subModels]
+        parts = [m.transform(rows.where(F.col(fold) == i)) for i, m in enumerate(models)]
+        shown = [c for c in (fold, "label", "prediction", "probability", *keep) if c in parts[0].columns]
+        return cut_lineage(reduce(DataFrame.unionByName, [p.select(*shown) for p in parts]))
+    finally:
+        rows.unpersist()
+
+
+def cross_validate(
+    df: DataFrame, target: str, task: str, key: Sequence[str], folds: int = 5, model: str | None = None, entity: str | None = None,
+    time: str | None = None, trees: int = 200, rounds: int = 100,
+) -> tuple[DataFrame, DataFrame, str]:
+    """((fold, metric, value), the held-out rows, splitter): the splitter is chosen by the task, the entities and the time column.
+
+    Key, entity and time column split the rows and are no features.
+    """
+    name = model or ("linear_regression" if task == "regression" else "logistic_regression")
+    placed, splitter = assign_folds(df, task, folds, key, target, entity, time)
+    placed = cut_lineage(placed.drop(*{c for c in (entity, time) if c and c not in key}))
+    numbers = [r[0] for r in placed.select("fold").distinct().where("fold >= 0").collect()]
+    scored = held_out_scores(placed, target, task, "fold", max(numbers) + 1, name, splitter == "TimeSeriesSplit", key, trees, rounds)
+    return metrics_of(scored, task, ["fold"]), scored, splitter
 
 
 def baselines(df: DataFrame, target: str, task: str) -> DataFrame:

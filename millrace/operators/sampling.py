@@ -207,13 +207,15 @@ def temporal_holdout(
     return numbered.withColumn(out, F.col("_rn") <= cut).drop("_rn", "_no_time")
 
 
-def last_fold_sizes(n_rows: int, folds: int = 5) -> dict[str, int]:
-    """Sizes of the last expanding-window fold."""
-    if n_rows < 3:
-        raise ValueError("a time-ordered split needs at least 3 rows")
-    folds = min(max(2, folds), n_rows - 1)
-    held = n_rows // (folds + 1)
-    return {"n_folds": folds, "n_train_rows": n_rows - held, "n_validation_rows": held}
+def expanding_sizes(n_rows: Column, folds: int = 5) -> Column:
+    """(n_folds, held, n_train_rows, n_validation_rows) of expanding-window folds; the last two are those of the last fold.
+
+    Null below 3 rows. Every fold is validated on ``held`` rows and trained on all rows before them.
+    """
+    count = F.least(F.greatest(F.lit(2), F.lit(folds)), n_rows - 1)
+    held = F.floor(n_rows / (count + 1))
+    return F.when(n_rows >= 3, F.struct(
+        count.cast("bigint").alias("n_folds"), held.alias("held"), (n_rows - held).alias("n_train_rows"), held.alias("n_validation_rows")))
 
 
 def choose_splitter(task: str, groups: int | None = None, time_ordered: bool = False) -> str:
@@ -222,13 +224,67 @@ def choose_splitter(task: str, groups: int | None = None, time_ordered: bool = F
         return "TimeSeriesSplit"
     if groups is not None and groups > 1:
         return "GroupKFold"
-    return "StratifiedKFold" if task == "classification" else "KFold"
+    return "StratifiedKFold" if "classification" in task else "KFold"
+
+
+def _shuffled(key: Sequence[str]) -> Column:
+    """A stable pseudo-random order of rows: the digest of their key."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in key]))
+
+
+def plain_folds(df: DataFrame, key: Sequence[str], folds: int, out: str = "fold") -> DataFrame:
+    """Folds of equal size but for one row, in the order of the keys' digests; the first ones take the remainder."""
+    placed = rank_buckets(df.withColumn("_digest", _shuffled(key)), ["_digest", *key], folds, out, split_above=0)
+    return placed.withColumn(out, F.col(out) - 1).drop("_digest")
+
+
+def stratified_folds(df: DataFrame, label: str, key: Sequence[str], folds: int, out: str = "fold") -> DataFrame:
+    """Folds in which every class has its share but for one row, and all folds the same size but for one.
+
+    Rows are dealt in turn along the order (class, digest of the key). Their numbers come from two passes: range slices of that
+    order are counted, a prefix sum over the slices gives each its first number. So a class of any share is spread over
+    all tasks.
+    """
+    ordered = df.withColumns({"_digest": _shuffled(key), "_none": F.col(label).isNull()})
+    numbered = row_numbers(ordered, "_rn", ["_none", label, "_digest", *key], split_above=0)
+    return numbered.withColumn(out, ((F.col("_rn") - 1) % folds).cast("int")).drop("_rn", "_digest", "_none")
+
+
+def expanding_folds(df: DataFrame, time: str, key: Sequence[str], folds: int = 5, out: str = "fold") -> DataFrame:
+    """Fold numbers in time order: fold i is validated by the rows with that number and trained by all with a smaller one.
+
+    -1 marks the rows that only train. Rows without a time come last. Below 3 rows all are -1.
+    """
+    marked = df.withColumn("_no_time", F.col(time).isNull())
+    numbered = row_numbers(marked, "_rn", ["_no_time", time, *key], split_above=0)
+    sizes = df.agg(F.count("*").alias("n")).select("n", expanding_sizes(F.col("n"), folds).alias("s")).first()
+    if sizes["s"] is None:
+        return numbered.withColumn(out, F.lit(-1)).drop("_rn", "_no_time")
+    first = sizes["n"] - sizes["s"]["n_folds"] * sizes["s"]["held"]
+    fold = F.greatest(F.floor((F.col("_rn") - 1 - first) / sizes["s"]["held"]), F.lit(-1))
+    return numbered.withColumn(out, fold.cast("int")).drop("_rn", "_no_time")
+
+
+def assign_folds(
+    df: DataFrame, task: str, folds: int, key: Sequence[str], label: str, entity: str | None = None, time: str | None = None,
+    out: str = "fold",
+) -> tuple[DataFrame, str]:
+    """(rows with their fold, splitter): the splitter that the task, the entities and the time column call for."""
+    groups = df.select(entity).distinct().limit(2).count() if entity else None
+    name = choose_splitter(task, groups, time is not None)
+    if name == "TimeSeriesSplit":
+        return expanding_folds(df, time, key, folds, out), name
+    if name == "GroupKFold":
+        return group_folds(df, entity, folds, out), name
+    if name == "StratifiedKFold":
+        return stratified_folds(df, label, key, folds, out), name
+    return plain_folds(df, key, folds, out), name
 
 
 def group_folds(df: DataFrame, entity: str, folds: int, out: str = "fold") -> DataFrame:
     """Fold numbers from the entity's digest: an entity never spans folds, and no shuffle is needed."""
     h = F.conv(F.substring(F.md5(F.col(entity).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return df.withColumn(out, (h % folds).cast("int"))
+    return df.withColumn(out, F.coalesce((h % folds).cast("int"), F.lit(0)))
 
 
 def rank_buckets(df: DataFrame, order: Sequence[str], buckets: int, out: str, **kw) -> DataFrame:

@@ -56,15 +56,41 @@ def candidate_panel(spark, sf):
     return M.panel_scores(M.train_panel(train, "quality", "binary_classification"), test, "quality", "binary_classification")
 
 
-@query("regression_panel", "O3 O5 O6 F11")
-def regression_panel(spark, sf):
+def _priced_orders(spark, sf):
     orders = t(spark, sf, "orders").join(t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines")), "o_orderkey")
-    split = S.temporal_holdout(orders.select("o_orderkey", "o_orderdate", "o_totalprice", "quantity", "lines", "o_orderpriority"),
-                               "o_orderdate", ["o_orderkey"])
+    return orders.select("o_orderkey", "o_orderdate", "o_totalprice", "quantity", "lines", "o_orderpriority")
+
+
+def _priced_split(spark, sf):
+    split = S.temporal_holdout(_priced_orders(spark, sf), "o_orderdate", ["o_orderkey"])
     columns = ["o_totalprice", "quantity", "lines", "o_orderpriority"]
-    fitted = M.train_panel(split.where("is_train").select(*columns), "o_totalprice", "regression")
-    return M.panel_scores(fitted, split.where("not is_train").select(*columns), "o_totalprice", "regression")
+    return split.where("is_train").select(*columns), split.where("not is_train").select(*columns)
+
+
+@query("regression_panel", "O3 O5 O6 F11")
+def regression_panel(spark, sf):
+    train, test = _priced_split(spark, sf)
+    fitted = M.train_panel(train, "o_totalprice", "regression")
+    return M.panel_scores(fitted, test, "o_totalprice", "regression")
+
+
+@query("idle_regression", "O5 O8 F11", """
+WITH r AS (SELECT o_totalprice AS y, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= floor(count(*) OVER () * 0.8) AS is_train FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+ m AS (SELECT avg(y) AS m FROM r WHERE is_train), s AS (SELECT avg(abs(y - m)) AS mae, avg((y - m) ** 2) AS mse, var_pop(y) AS v FROM r, m WHERE NOT is_train)
+SELECT unnest(['mae', 'rmse', 'r2']) AS metric, unnest([round(mae, 3), round(sqrt(mse), 3), round(1 - mse / v, 5)]) AS value FROM s
+""")
+def idle_regression(spark, sf):
+    out = M.idle_scores(*_priced_split(spark, sf), "o_totalprice", "regression")
+    return out.select("metric", F.when(F.col("metric") == "r2", F.round("value", 5)).otherwise(F.round("value", 3)).alias("value"))
+
+
+@query("panel_choice", "O5 O9")
+def panel_choice(spark, sf):
+    train, test = _priced_split(spark, sf)
+    fitted = M.train_panel(train, "o_totalprice", "regression")
+    scores = M.panel_scores(fitted, test, "o_totalprice", "regression")
+    return M.panel_choice(scores, M.idle_scores(train, test, "o_totalprice", "regression"), "regression")
 
 
 @query("regression_metrics", "O7", """
@@ -79,13 +105,24 @@ def regression_metrics(spark, sf):
 @query("classification_metrics", "O6", """
 WITH p AS (SELECT (l_returnflag = 'R')::INT AS y, (l_quantity > 25)::INT AS x FROM lineitem),
  c AS (SELECT sum((x = y)::INT) / count(*) AS accuracy, 2.0 * sum((x = 1 AND y = 1)::INT) / (sum(x) + sum(y)) AS f1a, 2.0 * sum((x = 0 AND y = 0)::INT) / (sum(1 - x) + sum(1 - y)) AS f0 FROM p)
-SELECT round(accuracy, 6) AS accuracy, round((f1a + f0) / 2, 6) AS f1_macro FROM c
+SELECT round(accuracy, 6) AS accuracy, round((f1a + f0) / 2, 6) AS f1_macro, round(f1a, 6) AS f1 FROM c
 """)
 def classification_metrics(spark, sf):
     scored = t(spark, sf, "lineitem").select(
         (F.col("l_returnflag") == "R").cast("double").alias("label"), (F.col("l_quantity") > 25).cast("double").alias("prediction"))
     out = M.classification_metrics(scored)
-    return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("f1_macro", 6).alias("f1_macro"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "f1_macro", "f1")])
+
+
+@query("roc_auc", "O6", """
+WITH p AS (SELECT l_linestatus AS part, (l_returnflag = 'R')::INT AS y, l_quantity AS s FROM lineitem), c AS (SELECT part, s, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY 1, 2),
+ u AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY part ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT part, CASE WHEN sum(pos) * sum(neg) > 0 THEN round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) END AS roc_auc FROM u GROUP BY part
+""")
+def roc_auc(spark, sf):
+    scored = t(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("part"), (F.col("l_returnflag") == "R").cast("double").alias("label"), F.col("l_quantity").cast("double").alias("score"))
+    return M.roc_auc(scored, "score", ["part"]).withColumn("roc_auc", F.round("roc_auc", 6))
 
 
 @query("class_baselines", "O8", """
@@ -121,8 +158,22 @@ def beats_baseline(spark, sf):
 
 @query("cross_validation", "O10 F13")
 def cross_validation(spark, sf):
-    rows = S.group_folds(_labelled(spark, sf), "doc_id", 3).drop("doc_id")
-    return M.cross_validate(rows, "quality", "binary_classification", "fold", 3, "logistic_regression")
+    return M.cross_validate(_labelled(spark, sf), "quality", "binary_classification", ["doc_id"])[0]
+
+
+@query("cross_validation_by_time", "O10 F12 F13")
+def cross_validation_by_time(spark, sf):
+    return M.cross_validate(_priced_orders(spark, sf), "o_totalprice", "regression", ["o_orderkey"], time="o_orderdate")[0]
+
+
+@query("held_out_classes", "O10 F13", """
+WITH d AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+ r AS (SELECT quality, (row_number() OVER (ORDER BY quality, md5(doc_id::VARCHAR), doc_id) - 1) % 5 AS fold, doc_id FROM d)
+SELECT fold::INTEGER AS fold, quality::DOUBLE AS label, count(*) AS n, sum(doc_id)::BIGINT AS keys FROM r GROUP BY 1, 2
+""")
+def held_out_classes(spark, sf):
+    _, scored, _ = M.cross_validate(_labelled(spark, sf), "quality", "binary_classification", ["doc_id"])
+    return scored.groupBy("fold", "label").agg(F.count("prediction").alias("n"), F.sum("doc_id").alias("keys"))
 
 
 @query("class_weights", "O11", """

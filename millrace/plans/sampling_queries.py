@@ -164,8 +164,38 @@ FROM events GROUP BY 1
 """)
 def last_fold_sizes(spark, sf):
     sizes = t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    held = F.floor(F.col("n") / 6)
-    return sizes.select("event_type", "n", (F.col("n") - held).alias("n_train_rows"), held.alias("n_validation_rows"))
+    last = S.expanding_sizes(F.col("n"), 5)
+    return sizes.select("event_type", "n", last["n_train_rows"].alias("n_train_rows"), last["n_validation_rows"].alias("n_validation_rows"))
+
+
+@query("expanding_folds", "F12 O10", """
+WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT greatest(-1, floor((i - (n - 5 * (n // 6))) / (n // 6)))::INTEGER AS fold, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day,
+  strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, sum(o_orderkey)::BIGINT AS keys FROM r GROUP BY 1
+""")
+def expanding_folds(spark, sf):
+    folds, _ = S.assign_folds(t(spark, sf, "orders"), "regression", 5, ["o_orderkey"], "o_totalprice", entity="o_custkey", time="o_orderdate")
+    return folds.groupBy("fold").agg(
+        F.count("*").alias("n"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_day"),
+        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_day"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("stratified_folds", "F13 O10", """
+WITH r AS (SELECT o_orderpriority, o_orderkey, (row_number() OVER (ORDER BY o_orderpriority, md5(o_orderkey::VARCHAR), o_orderkey) - 1) % 5 AS fold FROM orders)
+SELECT fold::INTEGER AS fold, o_orderpriority, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM r GROUP BY 1, 2
+""")
+def stratified_folds(spark, sf):
+    folds, _ = S.assign_folds(t(spark, sf, "orders"), "multiclass_classification", 5, ["o_orderkey"], "o_orderpriority")
+    return folds.groupBy("fold", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("plain_folds", "F13 O10", """
+WITH r AS (SELECT o_orderkey, ntile(7) OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) - 1 AS fold FROM orders)
+SELECT fold::INTEGER AS fold, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM r GROUP BY 1
+""")
+def plain_folds(spark, sf):
+    folds, _ = S.assign_folds(t(spark, sf, "orders"), "regression", 7, ["o_orderkey"], "o_totalprice")
+    return folds.groupBy("fold").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("group_folds", "F13", """
@@ -173,7 +203,7 @@ SELECT ((('0x' || substr(md5(o_custkey::VARCHAR), 1, 8))::BIGINT) % 5)::INTEGER
        count(DISTINCT o_custkey) AS entities FROM orders GROUP BY 1
 """)
 def group_folds(spark, sf):
-    folds = S.group_folds(t(spark, sf, "orders"), "o_custkey", 5)
+    folds, _ = S.assign_folds(t(spark, sf, "orders"), "regression", 5, ["o_orderkey"], "o_totalprice", entity="o_custkey")
     return folds.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("entities"))
 
 
