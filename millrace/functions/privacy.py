@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 64
 
 
+@lru_cache(maxsize=16)
+def _pads(spark: SparkSession, key: bytes) -> DataFrame:
+    """The key's two pads as a table of one row: its rows are data, which no plan, explanation or event log shows."""
+    key = hashlib.sha256(key).digest() if len(key) > BLOCK else key
+    key = key.ljust(BLOCK, b"\0")
+    pads = bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
+    return spark.createDataFrame(spark.sparkContext.parallelize([pads], 1), "inner binary, outer binary")
+
+
 def hmac_sha256(key: bytes, message: Column) -> Column:
-    """Hex HMAC-SHA256. Spark has none built in, so the two padded digests are nested; no Python runs per row."""
+    """Hex HMAC-SHA256. Spark has none built in, so the two padded digests are nested; no Python runs per row.
+
+    The key is no literal: scalar subqueries fetch its pads when a query runs, once per key and query.
+    """
     if not key:
         raise ValueError("refusing to pseudonymise without a key: an unkeyed digest can be reversed by guessing")
-    key = hashlib.sha256(key).digest() if len(key) > BLOCK else key
-    key = key.ljust(BLOCK, b"\0")
-    inner, outer = bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
-    digest = F.sha2(F.concat(F.lit(inner), F.encode(message, "utf-8")), 256)
-    return F.sha2(F.concat(F.lit(outer), F.unhex(digest)), 256)
+    pads = _pads(SparkSession.active(), key)
+    digest = F.sha2(F.concat(pads.select("inner").scalar(), F.encode(message, "utf-8")), 256)
+    return F.sha2(F.concat(pads.select("outer").scalar(), F.unhex(digest)), 256)
 
 
 def pseudonym(value: Column, key: bytes, salt: str = "", length: int = 16) -> Column:

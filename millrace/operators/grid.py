@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.windows import row_numbers, running_total
 from millrace.session import cut_lineage
 
 SHEET = ("file", "sheet")
@@ -150,32 +151,66 @@ def total_rows(body: DataFrame) -> DataFrame:
     simple = plain.where(((F.col("labelled") == 1) & (F.col("agreeing") > 0)) | (
         (F.col("labelled") == 0) & (F.col("measured") >= 2) & (F.col("agreeing") == F.col("measured")) & (F.col("n_rows") >= 4)))
     simple = cut_lineage(simple)
-    return simple.select(*SHEET, "row", F.lit("total").alias("kind")).unionByName(_grouped_totals(marked, simple))
+    return simple.select(*SHEET, "row", F.lit("total").alias("kind")).unionByName(_grouped_totals(marked, rows, simple))
 
 
-def _grouped_totals(marked: DataFrame, simple: DataFrame) -> DataFrame:
+def _grouped_totals(marked: DataFrame, rows: DataFrame, simple: DataFrame) -> DataFrame:
     """Subtotals that close their groups, kept only where the grand total checks them.
 
-    A labelled row that does not close its group stays data and belongs to that group, as the next subtotal then shows.
-    Groups are told by the labelled rows above; one pass settles sheets whose labelled rows are all subtotals, and any
-    other sheet fails the grand-total test and keeps all of its rows.
+    The labelled rows of a sheet are gone through from the top. One that equals, in some column, the sum of the rows since
+    the last subtotal is a subtotal and closes the group; any other joins the open group as a record. Sums of groups are differences of running
+    sums, so only the labelled rows of a sheet come together. The last row must equal the sum of all records.
     """
     rest = marked.join(simple.select(*SHEET), list(SHEET), "left_anti")
-    rows = rest.select(*SHEET, "row", "labelled", "last").distinct()
-    order = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("group", F.coalesce(F.sum(F.when(F.col("row") < F.col("last"), F.col("labelled"))).over(order), F.lit(0)))
-    placed = cut_lineage(rest.join(rows.select(*SHEET, "row", "group"), [*SHEET, "row"]))
-    inner = placed.where((F.col("labelled") == 0) & (F.col("row") < F.col("last")))
-    sums = inner.groupBy(*SHEET, "group", "col").agg(F.sum("v").alias("s"))
-    closing = placed.where((F.col("labelled") == 1) & (F.col("row") < F.col("last"))).join(sums, [*SHEET, "group", "col"], "left")
-    closing = closing.groupBy(*SHEET, "row").agg(F.max(adds_up(F.col("v"), F.col("s")).cast("int")).alias("ok"))
-    all_close = closing.groupBy(*SHEET).agg(F.min("ok").alias("ok")).where("ok = 1").select(*SHEET)
-    records = inner.groupBy(*SHEET, "col").agg(F.sum("v").alias("s"))
-    grand = placed.where((F.col("row") == F.col("last")) & (F.col("labelled") == 1)).join(records, [*SHEET, "col"], "left")
-    grand = grand.groupBy(*SHEET).agg(F.max("row").alias("row"), F.max(adds_up(F.col("v"), F.col("s")).cast("int")).alias("ok"))
-    checked = grand.where("ok = 1").join(all_close, list(SHEET))
-    subs = closing.where("ok = 1").join(checked.select(*SHEET), list(SHEET)).select(*SHEET, "row", F.lit("subtotal").alias("kind"))
-    return subs.unionByName(checked.select(*SHEET, "row", F.lit("total").alias("kind")))
+    placed = row_numbers(rows, "rank", ["row"], SHEET)
+    # Every labelled row has a cell in every measured column, so that running sums are known there.
+    columns = rest.select(*SHEET, "col", "last").distinct()
+    called = placed.where("labelled = 1").select(*SHEET, "row").join(columns, list(SHEET))
+    dense = called.join(rest.select(*SHEET, "row", "col", "v"), [*SHEET, "row", "col"], "left").withColumn("called", F.lit(True))
+    others = rest.where("labelled = 0").select(*SHEET, "row", "col", "last", "v", F.lit(False).alias("called"))
+    upto = running_total(dense.unionByName(others), F.coalesce("v", F.lit(0.0)), "upto", ["row"], [*SHEET, "col"])
+    cells = upto.where("called").groupBy(*SHEET, "row", "last").agg(F.array_sort(F.collect_list(F.struct("col", "v", "upto"))).alias("cells"))
+    lines = cells.join(placed.select(*SHEET, "row", "rank"), [*SHEET, "row"])
+    per = lines.groupBy(*SHEET, "last").agg(F.array_sort(F.collect_list(F.struct("row", "rank", "cells"))).alias("lines"))
+    per = per.where(F.element_at("lines", -1)["row"] == F.col("last"))
+    nothing = F.transform(F.col("lines")[0]["cells"], lambda x: F.lit(0.0))
+    start = F.struct(nothing.alias("since"), F.lit(0).cast("bigint").alias("rank"), F.array().cast("array<bigint>").alias("found"), nothing.alias("taken"))
+
+    def before(x: Column) -> Column:
+        return x["upto"] - F.coalesce(x["v"], F.lit(0.0))
+
+    def step(state: Column, line: Column) -> Column:
+        sums = F.zip_with(line["cells"], state["since"], lambda x, s: adds_up(x["v"], before(x) - s))
+        closes = (line["rank"] - state["rank"] > 1) & F.exists(sums, lambda ok: ok)
+        return F.struct(
+            F.when(closes, F.transform(line["cells"], lambda x: x["upto"])).otherwise(state["since"]).alias("since"),
+            F.when(closes, line["rank"]).otherwise(state["rank"]).alias("rank"),
+            F.when(closes, F.array_append(state["found"], line["row"].cast("bigint"))).otherwise(state["found"]).alias("found"),
+            F.when(closes, F.zip_with(state["taken"], line["cells"], lambda t, x: t + F.coalesce(x["v"], F.lit(0.0)))).otherwise(state["taken"]).alias("taken"))
+
+    folded = per.select(*SHEET, "last", F.element_at("lines", -1)["cells"].alias("grand"), F.aggregate(
+        F.slice("lines", 1, F.size("lines") - 1), start, step).alias("s"))
+    checks = F.exists(F.zip_with("grand", F.col("s.taken"), lambda x, t: adds_up(x["v"], before(x) - t)), lambda ok: ok)
+    checked = folded.where((F.size("s.found") > 0) & checks)
+    kinds = F.concat(
+        F.transform("s.found", lambda r: F.struct(r.alias("row"), F.lit("subtotal").alias("kind"))),
+        F.array(F.struct(F.col("last").cast("bigint").alias("row"), F.lit("total").alias("kind"))))
+    found = checked.select(*SHEET, F.explode(kinds).alias("k"))
+    return found.select(*SHEET, F.col("k.row").cast(rows.schema["row"].dataType).alias("row"), "k.kind")
+
+
+def labelled_rows_kept(body: DataFrame, totals: DataFrame) -> DataFrame:
+    """(file, sheet, row, label): rows called a total that stay data, because nothing shows that they are one.
+
+    None for a sheet in which more than half of the rows are: there the word is simply common.
+    """
+    filled = filled_cells(body)
+    said = filled.where(F.col("text").rlike(TOTAL_WORD) & number(F.col("text")).isNull())
+    called = said.groupBy(*SHEET, "row").agg(F.trim(F.min_by("text", "col")).alias("label"))
+    kept = called.join(totals.select(*SHEET, "row"), [*SHEET, "row"], "left_anti")
+    sizes = filled.groupBy(*SHEET).agg(F.countDistinct("row").alias("_rows"))
+    many = kept.groupBy(*SHEET).agg(F.count("*").alias("_kept")).join(sizes, list(SHEET)).where("_kept * 2 <= _rows")
+    return kept.join(many.select(*SHEET), list(SHEET))
 
 
 def without_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:

@@ -110,3 +110,20 @@ def test_scan_of_plain_columns(spark):
     rows = spark.createDataFrame([(i, float(i) * 1.37, f"team {i}", "2020-01-0%d" % (i % 9 + 1)) for i in range(40)],
                                  "revenue int, ratio double, contact string, opened string")
     assert scan(rows).count() == 0
+
+
+def test_no_plan_shows_the_key(spark):
+    import hashlib
+    import hmac
+
+    from millrace.functions.privacy import hmac_sha256
+
+    key = b"a secret of the session 0123"
+    df = spark.createDataFrame([("x",), (None,)], "v string").withColumn("h", hmac_sha256(key, F.col("v")))
+    rows = df.collect()
+    assert rows[0].h == hmac.new(key, b"x", hashlib.sha256).hexdigest() and rows[1].h is None
+    shown = df._jdf.queryExecution().toString().lower()
+    padded = key.ljust(64, b"\0")
+    for secret in (key, bytes(b ^ 0x36 for b in padded), bytes(b ^ 0x5C for b in padded)):
+        for text in (secret.hex(), secret.hex(" "), ", ".join(map(str, secret[:8])), secret[:20].decode("latin-1").lower()):
+            assert text not in shown

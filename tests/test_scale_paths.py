@@ -149,3 +149,23 @@ def test_quantiles_by_sketch_and_one_count_are_exact(spark):
         assert (facts[c]["p25"], facts[c]["p75"]) == (q1, q3) and facts[c]["n_unique"] == len(set(v))
         assert facts[c]["n_outliers"] == sum(x < q1 - 1.5 * (q3 - q1) or x > q3 + 1.5 * (q3 - q1) for x in v)
     assert abs(facts["a"]["mean"] - statistics.mean(x[0] for x in rows)) < 1e-5
+
+
+GROUPED = [["North", "Leeds", 100], ["North", "York", 200], ["North subtotal", None, 300], ["South", "Bath", 300], ["South", "Hull", 400], ["South subtotal", None, 700]]
+
+
+@pytest.mark.parametrize("rows,found,kept", [
+    (GROUPED + [["Grand Total", None, 1234]], [], [2, 5, 6]),
+    (GROUPED, [], [2, 5]),
+    ([["North", "Sales", 100], ["North", "Total Quality Management", 200], ["North subtotal", None, 300], ["South", "Sales", 300], ["South", "Ops", 400],
+      ["South subtotal", None, 700], ["Grand Total", None, 1000]], [(2, "subtotal"), (5, "subtotal"), (6, "total")], [1]),
+    (GROUPED[:5] + [["Grand Total", None, 1000]], [(2, "subtotal"), (5, "total")], []),
+    ([["Sales", 100, 90], ["Services", 50, 40], ["Total revenue", 150, 130], ["Rent", 40, 35], ["Wages", 60, 55], ["Total costs", 100, 90], ["Net income", 50, 40]], [], [2, 5]),
+    ([["a", "x", 5], ["a total", None, 5], ["a total", None, 5], ["Total", None, 10]], [(1, "subtotal"), (3, "total")], [2]),
+    ([[f"Total sales {i}", None, i * 3 + 1] for i in range(40)], [], []),
+])
+def test_totals_over_groups(spark, rows, found, kept):
+    body = sheet(spark, rows)
+    totals = G.total_rows(body)
+    assert sorted((r["row"], r["kind"]) for r in totals.collect()) == found
+    assert sorted(r["row"] for r in G.labelled_rows_kept(body, totals).collect()) == kept
