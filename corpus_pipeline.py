@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import exact, langid, mixing, nearcopies, packing
 from millrace.llm.common import written
@@ -13,8 +14,10 @@ from millrace.session import read_table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those unlike every language learned, go."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    judged = langid.identify(docs, model)
-    return judged.where("NOT rejected").select(*docs.columns)
+    # Columns of the input that are called like the operator's results step aside meanwhile.
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected")}
+    judged = langid.identify(docs.withColumnsRenamed(aside), model).where("NOT rejected")
+    return judged.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
