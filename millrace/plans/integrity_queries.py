@@ -39,6 +39,18 @@ def target_leakage(spark, sf):
     return I.target_leakage(leaky, "target", [c for c in leaky.columns if c != "target"])
 
 
+@query("wide_target_leakage", "G6", """
+WITH d AS (SELECT o_custkey, 'c' || (o_custkey * 7919 % 100003) AS code, o_orderpriority AS noise, o_totalprice FROM orders),
+ o AS (SELECT code, o_custkey, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT 'code' AS "column", 'near_perfect_association' AS method, 1.0::DOUBLE AS correlation FROM o HAVING count(*) > 50
+""")
+def wide_target_leakage(spark, sf):
+    key = F.col("o_custkey")
+    leaky = t(spark, sf, "orders").select(
+        key, F.concat(F.lit("c"), (key * 7919 % 100003).cast("string")).alias("code"), F.col("o_orderpriority").alias("noise"), "o_totalprice")
+    return I.target_leakage(leaky, "o_custkey", ["code", "noise", "o_totalprice"])
+
+
 @query("duplicate_record_block", "G7", """
 WITH d AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) AS dup FROM documents)
 SELECT dup AS duplicates, round(dup / n, 6) AS ratio, dup / n >= 0.01 AS blocking FROM d
@@ -68,11 +80,9 @@ def identifier_roles(spark, sf):
     f"n_unique FROM (SELECT *, 'one' AS same FROM lineitem) HAVING count(DISTINCT {c}) <= 1 OR (count(*) >= 100 AND count(DISTINCT {c}) / count(*) <= 0.01)"
     for c in ("l_quantity", "l_extendedprice", "l_returnflag", "l_suppkey", "same")))
 def near_constant_features(spark, sf):
-    line = t(spark, sf, "lineitem").withColumn("same", F.lit("one"))
-    counts = I.distinct_counts(line, ["l_quantity", "l_extendedprice", "l_returnflag", "l_suppkey", "same"])
-    check = F.when(F.col("n_unique") <= 1, "constant_feature").when(
-        (F.col("n_rows") >= 100) & (F.col("n_unique") / F.col("n_rows") <= I.NEAR_CONSTANT), "near_constant_feature")
-    return counts.select("column", check.alias("check"), "n_unique").where(F.col("check").isNotNull())
+    line = t(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", "l_suppkey", F.lit("one").alias("same"))
+    found = I.integrity_report(line).where(F.col("check").isin("constant_feature", "near_constant_feature"))
+    return found.select("column", "check", F.col("evidence").cast("bigint").alias("n_unique"))
 
 
 @query("temporal_leakage", "G10", f"""

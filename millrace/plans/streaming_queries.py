@@ -117,7 +117,15 @@ def fixed_window_rate_limit(spark, sf):
     return E.within_rate(t(spark, sf, "events"), "event_type", "ts", 1, ["event_id"]).select("event_id")
 
 
-@query("stream_first_event_rate_limit", "L6")
+@query("stream_first_event_rate_limit", "L6", """
+WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) / 1e6 AS s FROM events),
+ w AS (SELECT event_type, min(s) AS start FROM e GROUP BY 1
+  UNION ALL SELECT w.event_type, (SELECT min(s) FROM e WHERE e.event_type = w.event_type AND e.s >= w.start + 3600.0) FROM w
+  WHERE EXISTS (SELECT 1 FROM e WHERE e.event_type = w.event_type AND e.s >= w.start + 3600.0)),
+ r AS (SELECT e.event_type, row_number() OVER (PARTITION BY e.event_type, w.start ORDER BY e.s, e.event_id) <= 20 AS allowed
+  FROM e ASOF JOIN w ON e.event_type = w.event_type AND e.s >= w.start)
+SELECT event_type, count(*) FILTER (allowed) AS allowed, count(*) FILTER (NOT allowed) AS refused FROM r GROUP BY 1
+""")
 def stream_first_event_rate_limit(spark, sf):
     path = new_path(spark, "limited")
 

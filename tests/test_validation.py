@@ -90,3 +90,49 @@ def test_the_winner_and_the_model_that_does_no_work(spark):
     base = spark.createDataFrame([("r2", 0.0)], "metric string, value double")
     out = M.panel_choice(scores, base, "regression").collect()
     assert [(o.model, o.winner, o.beats_baseline) for o in out] == [("m1", True, True), ("m2", False, True), ("m3", False, False)]
+
+
+def test_leaks_are_found_at_any_number_of_levels(spark):
+    from millrace.operators.integrity import integrity_report, target_leakage
+
+    r = random.Random(7)
+    rows = []
+    for i in range(2400):
+        k = i % 600
+        rows.append((k, f"{k:05d}", f"z{k * 7919 % 1009}", f"id{i}", f"n{r.randrange(300)}", f"label {k:04d}", f"label {k:04d}" if i % 3 else None))
+    df = spark.createDataFrame(rows, "y int, ordered string, mixed string, own string, noise string, name string, part string")
+    got = {x["column"]: (x.method, x.correlation) for x in target_leakage(df, "y", df.columns[1:]).collect()}
+    assert got == {"ordered": ("near_perfect_correlation", 1.0), "mixed": ("near_perfect_association", 1.0),
+                   "name": ("near_perfect_correlation", 1.0), "part": ("near_perfect_correlation", 0.999999)}  # a third of its levels are missing
+    of_text = {x["column"]: x.method for x in target_leakage(df, "name", ["y", "ordered", "mixed", "own", "noise", "part"]).collect()}
+    assert of_text["ordered"] == "near_perfect_correlation" and of_text["mixed"] == "near_perfect_association" and of_text["part"] == "exact_copy"
+    assert not {"own", "noise"} & set(of_text)
+    blockers = {x["column"] for x in integrity_report(df, "y").where("severity = 'blocker'").collect()}
+    assert {"ordered", "mixed", "name"} <= blockers and "noise" not in blockers
+
+
+def test_association_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from millrace.operators.aggregates import value_counts
+    from millrace.operators.integrity import wide_associations
+
+    r = random.Random(11)
+    rows = [(r.choice("abc"), f"v{r.randrange(70)}" if i % 9 else None, f"w{r.randrange(900)}") for i in range(1500)]
+    rows = [(y if r.random() < 0.4 else "abc"[hash(v or "") % 3] if v is None else "abc"[int(v[1:]) % 3], v, w) for y, v, w in rows]
+    df = spark.createDataFrame(rows, "y string, v string, w string")
+    got = {x["column"]: (x.r, x.told) for x in wide_associations(df, "y", ["v", "w"], value_counts(df, ["v", "w", "y"])).collect()}
+    for at, c in ((1, "v"), (2, "w")):
+        known = [(x[at], x[0]) for x in rows if x[at] is not None]
+        place = {v: i for i, v in enumerate(sorted({v for v, _ in known}))}
+        xs, ys = [place[v] for v, _ in known], ["abc".index(y) for _, y in known]
+        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+        cov = sum((a - mx) * (b - my) for a, b in zip(xs, ys, strict=True))
+        corr = abs(cov) / math.sqrt(sum((a - mx) ** 2 for a in xs) * sum((b - my) ** 2 for b in ys))
+        sizes = Counter(v for v, _ in known)
+        often = [(v, y) for v, y in known if sizes[v] > 1]
+        entropy = lambda counts: -sum(n * math.log2(n / sum(counts.values())) for n in counts.values())
+        whole = entropy(Counter(y for _, y in often))
+        left = sum(entropy(Counter(y for u, y in often if u == v)) for v in {v for v, _ in often})
+        assert abs(got[c][0] - corr) < 1e-9 and abs(got[c][1] - (1 - left / whole)) < 1e-9
