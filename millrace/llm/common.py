@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,14 @@ def shared_fs(path: str, mapped: bool = False) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(use_mmap=True), base) if mapped and isinstance(system, fs.LocalFileSystem) else (system, base)
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system: later stages reuse its process, which would else keep its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_fs, shuffle_parts, written
+from millrace.llm.common import give_back, shared_fs, shuffle_parts, written
 from millrace.session import new_path
 
 ORDER = 4
@@ -387,6 +387,7 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                 if sum(map(len, counts.values())) > COUNTED:
                     yield from flush()
         yield from flush()
+        give_back()
 
     by_word = labelled.select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit(_EDGE), "word", F.lit(_EDGE))
@@ -435,6 +436,8 @@ def _calibrate(model: Model, trial: Model, kept_back: DataFrame) -> None:
         yield pa.RecordBatch.from_arrays(
             [pa.array([*np.repeat(np.arange(len(place)), CELLS), *([-1] * n_t)], pa.int64()), pa.array([*np.tile(np.arange(CELLS), len(place)), *range(n_t)], pa.int64()),
              pa.array([*cells.ravel().astype(float), *fit_at], pa.float64())], names=["lang", "cell", "v"])
+        del scorer
+        give_back()
 
     found = kept_back.select("lang", "text").mapInArrow(spread, "lang long, cell long, v double").groupBy("lang", "cell").agg(F.sum("v").alias("v")).collect()
     cells, fits = np.zeros((len(trial.langs), CELLS)), np.zeros(n_t)
@@ -489,6 +492,8 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejects, pa.bool_())],
                 names=["_row", "lang_pred", "score", "rejected"])
+        del scorer
+        give_back()
 
     schema = packed.select("_row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return packed.mapInArrow(judge, schema).select(*[F.col("_row")[c].alias(c) for c in kept], "lang_pred", "score", "rejected")

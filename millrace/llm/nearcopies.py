@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import written
+from millrace.llm.common import give_back, written
 
 WORDS = 5
 #: Similarity of a link, in hundredths.
@@ -184,6 +184,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                      *(pa.array([x.tobytes() if len(s) else None for x, s in zip(of, sets, strict=True)], pa.binary()) for of in (keys, low))],
                     names=["_id", "n", "cls", "keys", "sig"])
+        give_back()
 
     schema = T.StructType([docs.schema[0], T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("cls", "keys", "sig"))])
     schema.fields[0] = T.StructField("_id", docs.schema[0].dataType)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import written
+from millrace.llm.common import give_back, written
 
 WINDOW = 2048
 END_ID = 1
@@ -87,6 +87,7 @@ def token_encoder(path: str) -> tuple[Callable[[str], bytes], str]:
             return plain(text)
         return b"".join(map(known.__getitem__, _PIECES.findall(text)))
 
+    fast.forget = known.clear
     return fast, dtype
 
 
@@ -104,6 +105,9 @@ def tokenized(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)],
                 schema=pa.schema([pa.field(id_col, batch.column(0).type), ("ids", pa.binary()), ("n", pa.int64()), ("_part", pa.int32()), ("_at", pa.int64())]))
             at = int(ends[-1]) if len(n) else at
+        # The encoder stays in the worker, which other stages use next; the pieces it remembers do not.
+        getattr(ids_of, "forget", lambda: None)()
+        give_back()
 
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()),
@@ -153,6 +157,7 @@ def concatenate_and_cut(
             if with_ids:
                 columns.append(pa.array(pieces, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *names, *(["ids"] if with_ids else [])])
+        give_back()
 
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in names)])
