@@ -10,32 +10,101 @@ from pyspark.sql import functions as F
 from millrace.functions.privacy import hmac_sha256
 from millrace.session import cut_lineage
 
+#: Steps walked one by one before the graph is shortened: most lineage ends earlier.
+PLAIN_STEPS = 16
+#: Times the edges of the shortened graph that its longer hops may grow to.
+HOPS_GROWTH = 8
 
 
 def reachable(
-    edges: DataFrame, starts: DataFrame, kinds: Sequence[str], forward: bool, tenant: str, max_depth: int | None = None
+    edges: DataFrame, starts: DataFrame, kinds: Sequence[str], forward: bool, tenant: str, max_depth: int | None = None,
+    plain_steps: int = PLAIN_STEPS,
 ) -> DataFrame:
     """(root, id): everything within ``max_depth`` steps of each start id, the start itself left out.
 
     Frontier joins: each step follows edges from newly found pairs only and drops pairs seen before, so a cycle ends
     the walk. The tenant test is on every step. The step table and every frontier are checkpointed, so a lost
-    executor replays one step and what has been seen is a union of finished frontiers.
+    executor replays one step and what has been seen is a union of finished frontiers. A walk without ``max_depth`` that is
+    still open after ``plain_steps`` goes on over the shortened graph (``_shortened``), whose hops double in length each
+    round while their number stays within ``HOPS_GROWTH`` times its edges.
     """
     here, there = ("src", "dst") if forward else ("dst", "src")
-    steps = edges.where((F.col("tenant_id") == tenant) & F.col("kind").isin(*kinds)).select(
+    steps = edges.where((F.col("tenant_id") == tenant) & F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select(
         F.col(here).alias("id"), F.col(there).alias("next")).distinct()
     steps = cut_lineage(steps)
     frontier = starts.select(F.col("id").alias("root"), "id").distinct()
     seen = frontier
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while depth < (plain_steps if max_depth is None else max_depth):
         depth += 1
-        found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
-        frontier = cut_lineage(found.join(seen, ["root", "id"], "left_anti"))
+        frontier = _next_pairs(frontier, steps, seen)
         if frontier.isEmpty():
-            break
+            return seen.where("root <> id")
         seen = seen.unionByName(frontier)
-    return seen.where("root <> id")
+    if max_depth is not None:
+        return seen.where("root <> id")
+
+    hops, inside = _shortened(steps, frontier.select("id").distinct())
+    room = HOPS_GROWTH * hops.count()
+    ends = frontier
+    while True:
+        frontier = _next_pairs(frontier, hops, seen.unionByName(ends))
+        if frontier.isEmpty():
+            break
+        ends = ends.unionByName(frontier)
+        hops, room = _longer(hops, room)
+    # A node inside a chain is reached by whoever reaches the node that the chain hangs on.
+    within = ends.join(inside.withColumnRenamed("id", "on"), ends["id"] == F.col("on")).select("root", F.col("next").alias("id"))
+    beyond = ends.unionByName(within).join(seen, ["root", "id"], "left_anti")
+    return seen.unionByName(beyond).where("root <> id")
+
+
+def _next_pairs(frontier: DataFrame, steps: DataFrame, seen: DataFrame) -> DataFrame:
+    found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
+    return cut_lineage(found.join(seen, ["root", "id"], "left_anti"))
+
+
+def _shortened(steps: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step graph with its chains taken out: (id, next) between the nodes that stay, and (id, next) from each node that
+    stays to all nodes inside the chains that hang on it.
+
+    Inside a chain are nodes with one step in and one out that are no start. Each points to its predecessor; a round lets every
+    pointer that still ends inside a chain take three times as many steps, so rounds grow with the logarithm of the longest
+    chain and each moves one row per open node. Pointers of distinct open nodes differ, so no key is hot. A closed ring
+    of such nodes never comes to an end: no start reaches it, and it is left out once a round closes nothing more.
+    """
+    ins = steps.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("ins"), F.min("id").alias("to"))
+    outs = steps.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("outs"))
+    single = ins.where("ins = 1").join(outs.where("outs = 1"), "node").join(starts.select(F.col("id").alias("node")), "node", "left_anti")
+    single = cut_lineage(single.select("node", "to"))
+    names = single.select(F.col("node").alias("_to"), F.lit(True).alias("open"))
+    pointers = cut_lineage(single.join(names, F.col("to") == F.col("_to"), "left").select("node", "to", F.coalesce("open", F.lit(False)).alias("open")))
+    closed, pending, left = pointers.where("not open"), pointers.where("open"), pointers.where("open").count()
+    while left:
+        one, two = (closed.unionByName(pending).select(F.col("node").alias(f"_n{i}"), F.col("to").alias(f"_t{i}"), F.col("open").alias(f"_o{i}")) for i in (1, 2))
+        jumped = pending.join(one, F.col("to") == F.col("_n1")).join(two, F.col("_o1") & (F.col("_t1") == F.col("_n2")), "left")
+        moved = cut_lineage(jumped.select("node", F.coalesce("_t2", "_t1").alias("to"), F.coalesce("_o2", "_o1").alias("open")))
+        closed, pending, before = closed.unionByName(moved.where("not open")), moved.where("open"), left
+        left = pending.count()
+        if left == before:
+            break
+    anchors = closed.select("to", "node")
+    stays = steps.join(single.select(F.col("node").alias("next")), "next", "left_anti")
+    between = stays.join(anchors, F.col("id") == F.col("node"), "left").select(F.coalesce("to", "id").alias("id"), "next").where("id <> next").distinct()
+    return cut_lineage(between), anchors.select(F.col("to").alias("id"), F.col("node").alias("next"))
+
+
+def _longer(hops: DataFrame, room: int) -> tuple[DataFrame, int]:
+    """Hops of up to twice the length, or the same and no room where the joined rows would be more than ``room``."""
+    if not room:
+        return hops, 0
+    into = hops.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("ins"))
+    out = hops.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("outs"))
+    if (into.join(out, "node").agg(F.sum(F.col("ins") * F.col("outs"))).first()[0] or 0) > room:
+        return hops, 0
+    second = hops.select(F.col("id").alias("next"), F.col("next").alias("_far"))
+    twice = hops.join(second, "next").select("id", F.col("_far").alias("next")).where("id <> next")
+    return cut_lineage(hops.unionByName(twice).distinct()), room
 
 
 def ancestors(edges: DataFrame, starts: DataFrame, tenant: str, **kw) -> DataFrame:
