@@ -63,7 +63,7 @@ def to_boolean(c: Column, pair: tuple[str, str]) -> Column:
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility form; the one step Spark has no expression for."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 # What the scrub looks for, in order, with the mask it leaves. Each rule is led by the lower-case pieces one of

@@ -53,10 +53,10 @@ def scaled(df: DataFrame, column: str, how: str, out: str) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """First of every set of identical rows; rows meet by a 128-bit fingerprint, so wide rows sort by two numbers."""
-    columns = df.columns
-    prints = df.select(*columns, *row_fingerprint(columns))
-    return prints.dropDuplicates(["_f1", "_f2"]).select(*columns)
+    """One of every set of identical rows. Every column is compared, so no row goes for sharing a digest; maps by their entries."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    entries = {f"_entries{i}": F.array_sort(F.map_entries(c)) for i, c in enumerate(maps)}
+    return df.withColumns(entries).dropDuplicates([*(c for c in df.columns if c not in maps), *entries]).select(*df.columns)
 
 
 def base_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions.missing import ISO_DATE
 from millrace.operators.aggregates import grouped_metrics
+from millrace.operators.windows import row_numbers
+from millrace.session import kept
 
 # Pair limit, suggestion weights and thresholds.
 MAX_PAIRS = 1_000_000
+#: Pairs per row below which no shorter way to them is looked for.
+FEW_PAIRS = 16
 SAME_NAME, FUZZY_NAME, FUZZY_GAIN, FUZZY_FROM = 0.65, 0.45, 0.15, 0.86
 OVERLAP_WEIGHT, UNIQUE_WEIGHT, ID_BONUS = 0.35, 0.15, 0.10
 DATE_NAMES = ("date", "time", "timestamp", "created", "updated", "dt")
@@ -179,24 +183,72 @@ def join_at_date_grain(left: DataFrame, right: DataFrame, date: str, grain: str,
     return derived.join(right, F.col("_g") == right[key], how).drop("_g")
 
 
-def cosine_pairs(baskets: DataFrame, basket: str, item: str, at_least: int = 1, parts: int = 1) -> DataFrame:
+def cosine_pairs(baskets: DataFrame, basket: str, item: str, at_least: int = 1, parts: int = 1, by_prefix: bool | None = None) -> DataFrame:
     """(a, b, together, similarity) for items that share a basket; each unordered pair once, no zeros, no selves.
 
     Baskets are made distinct, and items seen in fewer than ``at_least`` baskets leave before any pair is formed, since
     they cannot reach that count. ``parts`` spreads the partners of a very large basket over several tasks.
+
+    An item of n baskets needs a partner in its n - at_least + 1 smallest baskets (by size, then basket), and so does the
+    partner: ``at_least`` common baskets cannot all lie among the last at_least - 1 of either. With ``by_prefix`` pairs are formed there
+    only and then counted over the baskets of the rarer item, so that large baskets form no pairs of items whose other
+    baskets are smaller. None decides by the rows that either way would join, which one count by basket gives.
     """
     rows = baskets.select(F.col(basket).alias("k"), F.col(item).alias("i")).dropna().distinct()
     sizes = rows.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
     rows = rows.join(sizes, "i").select("k", "i", "n")
+    if at_least > 1 and by_prefix is not False:
+        rows = kept(rows, "baskets")
+        pairs, many = _all_pairs(rows)
+        # Small baskets form so few pairs that looking for less does not pay.
+        heads = _smallest_baskets(rows, at_least) if by_prefix or pairs > FEW_PAIRS * many else None
+        if heads is not None and (by_prefix or _cheaper(heads, rows)):
+            return _with_similarity(_counted(_pairs(heads, parts).distinct(), rows), at_least)
+    counted = _pairs(rows, parts).groupBy("a", "b").agg(F.count("*").alias("together"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return _with_similarity(counted, at_least)
+
+
+def _pairs(rows: DataFrame, parts: int) -> DataFrame:
     left = rows.select("k", F.col("i").alias("a"), F.col("n").alias("na"),
                        F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int").alias("p"))
     right = rows.select("k", F.col("i").alias("b"), F.col("n").alias("nb"),
                         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
-    pairs = left.join(right, ["k", "p"]).where(F.col("a") < F.col("b"))
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("together"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    counted = counted.where(F.col("together") >= at_least)
-    return counted.select("a", "b", "together",
-                          (F.col("together") / F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("similarity"))
+    return left.join(right, ["k", "p"]).where(F.col("a") < F.col("b")).select("a", "b", "na", "nb")
+
+
+def _with_similarity(counted: DataFrame, at_least: int) -> DataFrame:
+    return counted.where(F.col("together") >= at_least).select(
+        "a", "b", "together", (F.col("together") / F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("similarity"))
+
+
+def _smallest_baskets(rows: DataFrame, at_least: int) -> DataFrame:
+    """The rows of each item without its ``at_least - 1`` largest baskets."""
+    sized = rows.join(rows.groupBy("k").agg(F.count("*").alias("_size")), "k")
+    placed = row_numbers(sized, "_at", ["_size", "k"], ["i"])
+    return kept(placed.where(F.col("_at") <= F.col("n") - (at_least - 1)).select("k", "i", "n"), "smallest-baskets")
+
+
+def _cheaper(heads: DataFrame, rows: DataFrame) -> bool:
+    """Whether pairs of ``heads``, each then counted over some item's baskets, take fewer rows than all pairs of ``rows``."""
+    short = heads.groupBy("k").agg((_pairs_of_group() * (1 + F.avg("n"))).alias("c")).agg(F.sum("c")).first()[0] or 0
+    return short < _all_pairs(rows)[0]
+
+
+def _all_pairs(rows: DataFrame) -> tuple[float, int]:
+    """Pairs over all baskets, and the rows that form them."""
+    return rows.groupBy("k").agg(_pairs_of_group().alias("c"), F.count("*").alias("s")).agg(F.coalesce(F.sum("c"), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
+
+
+def _pairs_of_group() -> Column:
+    return F.count("*") * (F.count("*") - 1) / 2
+
+
+def _counted(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates with the number of baskets that hold both items: those of the rarer item, looked up with the other."""
+    rarer = F.col("na") <= F.col("nb")
+    asked = candidates.withColumns({"_one": F.when(rarer, F.col("a")).otherwise(F.col("b")), "_other": F.when(rarer, F.col("b")).otherwise(F.col("a"))})
+    inside = asked.join(rows.select(F.col("i").alias("_one"), "k"), "_one").join(rows.select(F.col("i").alias("_other"), "k"), ["_other", "k"])
+    return inside.groupBy("a", "b").agg(F.count("*").alias("together"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
 def _grid(v: Column, relative: float, absolute: float) -> Column:

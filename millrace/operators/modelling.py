@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -26,8 +27,8 @@ from millrace.operators.aggregates import top_values, value_counts
 from millrace.operators.integrity import distinct_counts
 from millrace.operators.profile import kind_of
 from millrace.operators.sampling import assign_folds
-from millrace.operators.windows import running_total
-from millrace.session import cut_lineage, settled
+from millrace.operators.windows import row_numbers, running_total
+from millrace.session import cut_lineage, kept, settled
 
 # Task limits, sufficiency, drift and verdict thresholds, review share and floor.
 MANY_VALUES = 20
@@ -399,7 +400,7 @@ def fit_feature_contract(train: DataFrame, features: Sequence[str]) -> dict[str,
         counts = value_counts(train, labels)
         wide = [r["column"] for r in counts.groupBy("column").count().where("count > 10000").collect()]
         if wide:
-            raise ValueError(f"{wide} have more than 10000 levels; hash or group them before one-hot encoding")
+            raise ValueError(f"{wide} have more than 10000 levels; use fit_sparse_contract, or hash or group them before one-hot encoding")
         for c in labels:
             rows = counts.where(F.col("column") == c).orderBy(F.desc("n"), "value").collect()
             out[c] = {"kind": "label", "fill": rows[0]["value"] if rows else "__MISSING__",
@@ -423,6 +424,64 @@ def apply_feature_contract(df: DataFrame, contract: dict[str, dict], keep: Seque
     return df.select(*keep, *cells)
 
 
+@dataclass
+class SparseContract:
+    """What ``fit_sparse_contract`` learned: per number its fill, mean and scale; per label its fill and number of levels, and
+    one table (column, value, level) of all levels in the shared folder."""
+
+    numbers: dict[str, dict]
+    fills: dict[str, str]
+    sizes: dict[str, int]
+    levels: DataFrame
+
+
+def fit_sparse_contract(train: DataFrame, features: Sequence[str]) -> SparseContract:
+    """A feature contract for labels with any number of levels, from training rows only.
+
+    Levels are numbered by value in a table, by positions that do not need a column's levels in one task. The driver keeps
+    one row per feature. A gap is filled with the most frequent level, the first by value among equals.
+    """
+    numbers = [c for c in features if kind_of(train.schema[c]) == "numeric"]
+    labels = [c for c in features if c not in numbers]
+    counts = kept(value_counts(train, labels), "levels") if labels else train.sparkSession.createDataFrame([], "column string, value string, n long")
+    facts = counts.groupBy("column").agg(F.count("*").alias("size"), F.min(F.struct(-F.col("n"), "value"))["value"].alias("fill")).collect()
+    levels = kept(row_numbers(counts.drop("n"), "_at", ["value"], ["column"]).select("column", "value", (F.col("_at") - 1).alias("level")), "level-numbers")
+    return SparseContract(
+        fit_feature_contract(train, numbers) if numbers else {}, {c: None for c in labels} | {r["column"]: r["fill"] for r in facts},
+        {c: 0 for c in labels} | {r["column"]: r["size"] for r in facts}, levels)
+
+
+def apply_sparse_contract(df: DataFrame, contract: SparseContract, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``<number>_scaled``, ``<label>_level`` and ``features``: a sparse vector of the scaled numbers and, per label, one
+    place for each level and a last one for levels not seen at fit time, whose ``_level`` is the number of levels.
+
+    Each label column is joined with its levels: Spark sends them whole where they are few and splits frequent values where they
+    are not. No level is part of the plan.
+    """
+    missing = [c for c in [*contract.numbers, *contract.sizes] if c not in df.columns]
+    if missing:
+        raise ValueError(f"required features {missing} are missing")
+    scaled = [((F.coalesce(F.col(c).cast("double"), F.lit(r["fill"])) - r["mean"]) / r["scale"]).alias(f"{c}_scaled") for c, r in contract.numbers.items()]
+    labels = list(contract.sizes)
+    rows = df.select(*keep, *scaled, *[F.coalesce(_as_counted(df, c), F.lit(contract.fills[c])).alias(f"_v{i}") for i, c in enumerate(labels)])
+    for i, c in enumerate(labels):
+        numbered = contract.levels.where(F.col("column") == c).select(F.col("value").alias(f"_k{i}"), F.col("level").alias(f"_l{i}"))
+        rows = rows.join(numbered, F.col(f"_v{i}") == F.col(f"_k{i}"), "left")
+        rows = rows.withColumn(f"{c}_level", F.coalesce(f"_l{i}", F.lit(contract.sizes[c]))).drop(f"_v{i}", f"_k{i}", f"_l{i}")
+    # The encoder learns the number of levels from one row that holds the last of each.
+    inputs, outputs = [f"{c}_level" for c in labels], [f"_places{i}" for i in range(len(labels))]
+    if labels:
+        last = df.sparkSession.range(1).select(*[F.lit(float(max(contract.sizes[c] - 1, 0))).alias(f"{c}_level") for c in labels])
+        rows = OneHotEncoder(inputCols=inputs, outputCols=outputs, dropLast=False, handleInvalid="keep").fit(last).transform(rows)
+    return VectorAssembler(inputCols=[*[f"{c}_scaled" for c in contract.numbers], *outputs], outputCol="features").transform(rows).drop(*outputs)
+
+
+def _as_counted(df: DataFrame, c: str) -> Column:
+    """A label's text as ``value_counts`` gives it."""
+    kind = df.schema[c].dataType
+    return F.col(c).cast("bigint").cast("string") if isinstance(kind, T.IntegralType) else F.col(c).cast("string")
+
+
 def verdicts(models: DataFrame) -> DataFrame:
     """Checks → pass / warn / fail and the highest safe level, from one metric row per model.
 

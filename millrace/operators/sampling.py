@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.aggregates import text_columns
 from millrace.operators.windows import _join_back, percentiles, row_numbers, value_at_rank
+from millrace.session import cut_lineage
 
 # Sampling thresholds.
 SAMPLE_ABOVE_ROWS = 100_000
@@ -18,6 +20,9 @@ MAX_STRATA = 50
 LOW_CARDINALITY = 20
 MEDIUM_CARDINALITY = 100
 SPARSE_GROUP_ROWS = 1000
+#: Rows of one group and digest prefix that one task may sort, and the digits that a digest has.
+CELL_ROWS = 1_000_000
+DIGEST_DIGITS = 32
 MISSING_WORDS = ("", "na", "nan", "null", "none")
 
 
@@ -42,24 +47,31 @@ def exact_sample(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
     return df.orderBy(digest(*key), *key).limit(rows)
 
 
-def take_by_digest(df: DataFrame, by: Sequence[str], quotas: DataFrame, key: Sequence[str]) -> DataFrame:
+def take_by_digest(df: DataFrame, by: Sequence[str], quotas: DataFrame, key: Sequence[str], cell_rows: int = CELL_ROWS) -> DataFrame:
     """From every group the ``_quota`` rows with the smallest digests.
 
     Counting per (group, digest prefix) shows which prefixes are taken whole and which single one holds the cut; only
-    that one is sorted. A group with most of the table is therefore spread over all tasks whatever its quota.
+    that one is sorted. Where the cut prefix of some group holds more than ``cell_rows`` rows, the rows of the cut prefixes are counted
+    again by a prefix three digits longer, until what is sorted is small. A group with most of the table is therefore
+    spread over all tasks whatever its size and quota. Rows of equal digest and key are one cell at most.
     """
-    rows = df.withColumn("_h", digest(*key)).withColumn("_p", F.substring("_h", 1, 3))
-    w = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    plan = _join_back(counts, quotas, by, "inner").withColumn("_left", F.col("_quota") - F.col("_before"))
-    plan = plan.where(F.col("_left") > 0).withColumn("_whole", F.col("_c") <= F.col("_left"))
-    marked = _join_back(rows, plan.select(*by, "_p", "_left", "_whole"), [*by, "_p"], "inner")
-    whole = marked.where("_whole")
+    rows, quotas = df.withColumn("_h", digest(*key)), quotas.withColumnRenamed("_quota", "_left")
+    taken = []
+    for depth in range(1, DIGEST_DIGITS // 3 + 1):
+        rows = rows.withColumn("_p", F.substring("_h", 1, 3 * depth))
+        earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy(*by, "_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+        plan = _join_back(counts, quotas, by, "inner").withColumn("_left", F.col("_left") - F.col("_before")).where("_left > 0")
+        plan = cut_lineage(plan.select(*by, "_p", "_c", "_left", (F.col("_c") <= F.col("_left")).alias("_whole")))
+        marked = _join_back(rows, plan.select(*by, "_p", "_left", "_whole"), [*by, "_p"], "inner")
+        taken.append(marked.where("_whole").select(*df.columns))
+        largest = plan.where("NOT _whole").agg(F.max("_c")).first()[0] or 0
+        if largest <= cell_rows or depth == DIGEST_DIGITS // 3:
+            break
+        rows, quotas = marked.where("NOT _whole").drop("_p", "_left", "_whole"), plan.where("NOT _whole").select(*by, "_left")
     cut = Window.partitionBy(*by, "_p").orderBy("_h", *key)
-    partial = marked.where(~F.col("_whole")).withColumn("_i", F.row_number().over(cut))
-    partial = partial.where(F.col("_i") <= F.col("_left")).drop("_i")
-    return whole.unionByName(partial).drop("_h", "_p", "_left", "_whole")
+    partial = marked.where("NOT _whole").withColumn("_i", F.row_number().over(cut)).where(F.col("_i") <= F.col("_left"))
+    return reduce(DataFrame.unionByName, [*taken, partial.select(*df.columns)])
 
 
 def stratified_fraction(df: DataFrame, stratum: str, fraction: float, key: Sequence[str]) -> DataFrame:

@@ -45,6 +45,21 @@ def feature_contract(spark, sf):
     return out.select("doc_id", F.round("n_chars_scaled", 5).alias("n_chars_scaled"), "lang_is_en", "lang_is_fr", "lang_unknown")
 
 
+@query("sparse_feature_contract", "O4", """
+WITH f AS (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem WHERE l_linenumber < 4),
+ p AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS level FROM (SELECT DISTINCT l_partkey::VARCHAR AS value FROM lineitem WHERE l_linenumber < 4)),
+ r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS level FROM (SELECT DISTINCT l_returnflag AS value FROM lineitem WHERE l_linenumber < 4))
+SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / s, 5) AS l_extendedprice_scaled, coalesce(p.level, (SELECT count(*) FROM p))::BIGINT AS part_level,
+  coalesce(r.level, (SELECT count(*) FROM r))::BIGINT AS l_returnflag_level
+FROM lineitem CROSS JOIN f LEFT JOIN p ON p.value = l_partkey::VARCHAR LEFT JOIN r ON r.value = l_returnflag
+""")
+def sparse_feature_contract(spark, sf):
+    lines = t(spark, sf, "lineitem").withColumn("part", F.col("l_partkey").cast("string"))
+    contract = M.fit_sparse_contract(lines.where("l_linenumber < 4"), ["l_extendedprice", "part", "l_returnflag"])
+    out = M.apply_sparse_contract(lines, contract, ["l_orderkey", "l_linenumber"]).drop("features")
+    return out.withColumn("l_extendedprice_scaled", F.round("l_extendedprice_scaled", 5))
+
+
 def _split(spark, sf):
     rows = S.group_folds(_labelled(spark, sf), "doc_id", 5).drop("doc_id")
     return rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold")

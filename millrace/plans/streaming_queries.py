@@ -9,6 +9,7 @@ from millrace.plans.event_queries import FEED, LOST, feed
 from millrace.plans.registry import query
 from millrace.session import new_path
 from millrace.session import read_table as t
+from millrace.sources import sinks as W
 from millrace.streaming import ingest as I
 from millrace.streaming import sessions as S
 
@@ -143,7 +144,7 @@ SELECT event_type, count(*) AS n FROM events WHERE ts::DATE >= (SELECT max(ts)::
 def retention_purge(spark, sf):
     path, target = new_path(spark, "by-day"), new_path(spark, "kept")
     events = t(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    events.repartition("day").write.partitionBy("day").parquet(path)
+    W.write_files(events, path, by=["day"])
     cutoff = events.agg(F.date_format(F.date_sub(F.max("ts").cast("date"), 10), "yyyy-MM-dd")).first()[0]
     return I.purge_days(spark, path, cutoff, target).groupBy("event_type").agg(F.count("*").alias("n"))
 

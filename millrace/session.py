@@ -78,9 +78,14 @@ def kept(df: DataFrame, label: str) -> DataFrame:
 SMALL_BYTES = 1 << 30
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_small(df: DataFrame, up_to_bytes: int = SMALL_BYTES) -> bool:
     """Whether the planner's size estimate stays below ``up_to_bytes``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= up_to_bytes
+    return estimated_bytes(df) <= up_to_bytes
 
 
 def spread(df: DataFrame, up_to_bytes: int = SMALL_BYTES) -> DataFrame:

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import cut_lineage, estimated_bytes
+
 STRICT = ("numeric", "string", "temporal")
+#: Bytes, by the planner's estimate, that one task writes into a folder.
+FOLDER_BYTES = 256 << 20
 
 
 class RefusedWrite(ValueError):
@@ -17,18 +25,32 @@ class RefusedWrite(ValueError):
 
 
 def write_files(df: DataFrame, path: str, kind: str = "parquet", mode: str = "append", by: Sequence[str] = (), **options: str) -> None:
-    """csv, json, parquet or orc; partitioned by ``by``. A partitioned write is shuffled by its folder and a salt, so one
-    large folder is still written by several tasks and none by all of them."""
+    """csv, json, parquet or orc; partitioned by ``by``. A partitioned write is shuffled by its folder and a salt. A folder gets as
+    many salts as its share of the table has ``FOLDER_BYTES``, so a large one is written by many tasks, a small one by one."""
     if mode == "overwrite":
         refuse_empty(df, path)
     if by:
-        parts = df.sparkSession.sparkContext.defaultParallelism
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(8))
-        df = df.repartition(parts, *[F.col(c) for c in by], salt)
+        df = _dealt_to_folders(df, by)
     writer = df.write.format(kind).mode(mode).options(**({"header": "true"} if kind == "csv" else {}), **options)
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def _dealt_to_folders(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    sizes = cut_lineage(df.groupBy(*by).agg(F.count("*").alias("_rows")))
+    rows, folders = sizes.agg(F.sum("_rows"), F.count("*")).first()
+    if not rows:
+        return df
+    per_task = max(rows * FOLDER_BYTES // max(estimated_bytes(df), 1), 1)
+    salts = F.ceil(F.col("_rows") / per_task)
+    files = sizes.agg(F.sum(salts)).first()[0]
+    plain = {c: f"_plain{i}" for i, c in enumerate(by)}
+    # Every row finds its folder's salts; the table has one row per folder, and Spark sends it whole where it is small.
+    sizes = sizes.select(*[F.col(c).alias(n) for c, n in plain.items()], salts.alias("_salts"))
+    found = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in plain.items()])
+    salt = F.pmod(F.xxhash64(*([c for c in df.columns if c not in by] or by)), F.col("_salts"))
+    return df.join(sizes, found).withColumn("_salt", salt).repartition(int(files), *[F.col(c) for c in by], "_salt").select(*df.columns)
+
+
 def refuse_empty(df: DataFrame, target: str) -> None:
     """An overwrite with no rows would delete everything that is there."""
     if df.isEmpty():
@@ -46,23 +68,67 @@ def staged_write(df: DataFrame, target: str, job: str, mode: str = "append") ->
     """Write aside, then commit by one ledger record; a repeated job is a no-op. Returns the committed row count.
 
     Tasks write a version folder that no reader looks at. The ledger record that names it is the commit, so a failure
-    before it leaves the target untouched and a retry after it changes nothing.
+    before it leaves the target untouched and a retry after it changes nothing. Records are numbered, and each number is
+    taken by creating its file, which only one writer can do: of writers that commit at once, one gets the number, the
+    others look at the ledger again and take a later one, or none if their job was committed meanwhile.
     """
     spark = df.sparkSession
-    done = ledger(spark, target).where(F.col("job") == job).first()
+    done = _committed(spark, target, job)
     if done is not None:
-        return done["rows"]
+        return done
     version = f"{target}/versions/{uuid.uuid4().hex}"
     df.write.parquet(version)
     rows = spark.read.parquet(version).count()
     if rows == 0 and mode == "overwrite":
         raise RefusedWrite(f"refusing to overwrite {target} with an empty result")
     number = (ledger(spark, target).agg(F.max("number")).first()[0] or 0) + 1
-    record = spark.createDataFrame([(job, number, version, mode, rows)], LEDGER)
-    record.coalesce(1).write.mode("append").json(f"{target}/ledger")
+    while not _claimed(spark, target, number, {"job": job, "number": number, "version": version, "mode": mode, "rows": rows}):
+        done = _committed(spark, target, job)
+        if done is not None:
+            return done
+        number += 1
     return rows
 
 
+def _committed(spark: SparkSession, target: str, job: str) -> int | None:
+    record = ledger(spark, target).where(F.col("job") == job).orderBy("number").first()
+    return None if record is None else record["rows"]
+
+
+def _claimed(spark: SparkSession, target: str, number: int, record: dict) -> bool:
+    """Write the record with this number; False if another writer has it.
+
+    On a local file system the finished record is linked to its name, elsewhere the name is created with overwriting forbidden.
+    A writer lost between creating and closing leaves an empty record, which no reader counts.
+    """
+    content = json.dumps(record).encode()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/ledger/{number:012d}.json")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file":
+        name = system.makeQualified(path).toUri().getPath()
+        folder = os.path.dirname(name)
+        os.makedirs(folder, exist_ok=True)
+        draft = os.path.join(folder, f".{uuid.uuid4().hex}")
+        with open(draft, "wb") as file:
+            file.write(content)
+        try:
+            os.link(draft, name)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    try:
+        out = system.create(path, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(content)
+    out.close()
+    return True
+
+
 LEDGER = "job string, number long, version string, mode string, rows long"
 
 

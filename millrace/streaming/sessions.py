@@ -33,16 +33,21 @@ def activity_sessions(stream: DataFrame, key: str, time: str, gap: str, delay: s
     return cells.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def first_event_limit(stream: DataFrame, key: str, seconds: str, limit: int, window: float) -> DataFrame:
+def first_event_limit(stream: DataFrame, key: str, seconds: str, limit: int, window: float, delay: str = "1 hour") -> DataFrame:
     """Rate limit whose window opens at a key's first event; adds ``allowed``.
 
-    The state is two numbers per key. Rows must come in the order of time from one micro-batch to the next, as ``replayed`` gives
-    them; a key's rows of one micro-batch are sorted in memory, so take as many slices as let the largest key of one fit
-    a task. The loop runs once per window, not per row. ``stream`` holds the key (string), ``event_id`` and the time in seconds.
+    The state is two numbers per key; it goes once the watermark (``delay`` behind the newest event) has passed the end of the
+    key's window, so only keys with an open window are remembered. Rows older than the watermark are left out. Rows must come in
+    the order of time from one micro-batch to the next, as ``replayed`` gives them; a key's rows of one micro-batch are sorted in
+    memory, so take as many slices as let the largest key of one fit a task. The loop runs once per window, not per
+    row. ``stream`` holds the key (string), ``event_id`` and the time in seconds.
     """
     schema = f"{key} string, event_id bigint, at double, allowed boolean"
 
     def admit(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (-np.inf, 0)
         rows = pd.concat(list(batches)).sort_values([seconds, "event_id"])
         times = rows[seconds].to_numpy()
@@ -56,7 +61,9 @@ def first_event_limit(stream: DataFrame, key: str, seconds: str, limit: int, win
             allowed[i : i + let] = True
             used, i = used + let, end
         state.update((float(start), int(used)))
+        state.setTimeoutTimestamp(max(int((start + window) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "at": times, "allowed": allowed})
 
-    return stream.groupBy(key).applyInPandasWithState(
-        admit, schema, "start double, used long", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("_time", F.timestamp_micros((F.col(seconds) * 1_000_000).cast("long"))).withWatermark("_time", delay)
+    return timed.groupBy(key).applyInPandasWithState(
+        admit, schema, "start double, used long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -83,6 +83,35 @@ def test_cosine_parts_do_not_change_pairs(spark, skewed):
     assert one == many and one
 
 
+@pytest.mark.parametrize("at_least", [2, 3, 6])
+def test_pairs_from_the_smallest_baskets_are_all_pairs(spark, at_least):
+    r = random.Random(at_least)
+    rows = [(f"k{r.randrange(60)}", f"i{r.randrange(80)}") for _ in range(1500)] + [("all", f"i{j}") for j in range(80)] + [(None, "i1"), ("k1", None)]
+    table = spark.createDataFrame(rows, "k string, i string")
+    plain = sorted(tuple(x) for x in J.cosine_pairs(table, "k", "i", at_least, by_prefix=False).collect())
+    assert plain and plain == sorted(tuple(x) for x in J.cosine_pairs(table, "k", "i", at_least, parts=3, by_prefix=True).collect())
+
+
+def test_a_basket_of_everything_forms_no_pairs(spark):
+    """10,000 items in one basket would be 50 million pairs; each has one other basket, so only those form pairs."""
+    rows = [("all", i) for i in range(10_000)] + [(f"k{i // 3}", i) for i in range(10_000)]
+    table = spark.createDataFrame(rows, "k string, i long")
+    counted = table.join(table.groupBy("i").agg(F.count("*").alias("n")), "i")
+    assert J._cheaper(J._smallest_baskets(counted, 2), counted)
+    found = {(x["a"], x["b"]): (x["together"], x["similarity"]) for x in J.cosine_pairs(table, "k", "i", 2).collect()}
+    assert found == {(i, j): (2, 1.0) for i in range(10_000) for j in range(i + 1, min(10_000, i - i % 3 + 3))}
+
+
+def test_cut_prefixes_are_refined(spark, skewed):
+    """Cells of at most three rows need several prefixes; repeated keys share a digest."""
+    twice = skewed.unionByName(skewed.where("id < 40"))
+    quotas = skewed.groupBy("k").agg((F.count("*") / 3).cast("bigint").alias("_quota"))
+    columns = twice.columns
+    plain, fine = (sorted(S.take_by_digest(twice, ["k"], quotas, ["id"], n).select("id", "k").collect()) for n in (10**9, 1))
+    assert plain == fine and S.take_by_digest(twice, ["k"], quotas, ["id"], 1).columns == columns
+    assert {r["k"]: r["_quota"] for r in quotas.collect()} == {k: sum(x["k"] == k for x in fine) for k in {x["k"] for x in fine}}
+
+
 def test_tolerance_against_brute_force(spark):
     rnd = random.Random(3)
     xs = [rnd.uniform(-300, 300) for _ in range(400)] + [0.0, 0.004, -0.004, 1.0, 1.005]

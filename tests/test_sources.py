@@ -218,3 +218,55 @@ def test_the_header_may_span_lines_and_each_file_has_its_own(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_bytes(('"na\nme",n\n' + body).encode("cp1252"))
     rows = D.read_delimited(spark, str(tmp_path))
     assert sorted(map(tuple, rows.collect())) == [("w", "3"), ("x", "1"), ("y\nz", "2")] and rows.columns == ["na me", "n"]
+
+
+def test_writers_at_once_get_different_numbers(spark, tmp_path, monkeypatch):
+    """Both have read the ledger before either commits; each record is taken once, and one job is committed once."""
+    import threading
+
+    claimed, met = W._claimed, threading.Barrier(2)
+    tries = []
+
+    def together(spark, target, number, record):
+        if len(tries) < 2:
+            tries.append(number)
+            met.wait(60)
+        else:
+            tries.append(number)
+        return claimed(spark, target, number, record)
+
+    monkeypatch.setattr(W, "_claimed", together)
+    for jobs, rows in ((("a", "b"), 9), (("c", "c"), 13)):
+        tries.clear()
+        target, results = str(tmp_path / "t"), []
+        writers = [threading.Thread(target=lambda j=j, n=n: results.append(W.staged_write(spark.range(n), target, j))) for j, n in zip(jobs, (4, 5) if rows == 9 else (4, 4), strict=True)]
+        for w in writers:
+            w.start()
+        for w in writers:
+            w.join()
+        assert len(results) == 2 and tries[0] == tries[1] and W.read_committed(spark, target).count() == rows
+    numbers = sorted(r["number"] for r in W.ledger(spark, target).collect())
+    assert numbers == [1, 2, 3] and not [p for p in (tmp_path / "t" / "ledger").iterdir() if p.name.startswith(".")]
+
+
+def test_records_left_empty_are_passed_over(spark, tmp_path):
+    target = str(tmp_path / "t")
+    W.staged_write(spark.range(3), target, "a")
+    (tmp_path / "t" / "ledger" / "000000000002.json").write_text("")
+    W.staged_write(spark.range(4), target, "b")
+    assert W.read_committed(spark, target).count() == 7
+    assert {r["number"] for r in W.ledger(spark, target).collect()} == {1, 3}
+
+
+def test_large_folders_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, F.col("id").cast("string").substr(1, 1)).alias("k"), F.lit(1).alias("_x"))
+    monkeypatch.setattr(W, "estimated_bytes", lambda df: 20 * W.FOLDER_BYTES)
+    path = tmp_path / "by"
+    W.write_files(rows, str(path), by=["k"])
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in path.iterdir() if p.is_dir()}
+    assert files["k=hot"] > 5 and max(n for k, n in files.items() if k != "k=hot") <= 3
+    back = {(r["id"], r["k"]) for r in spark.read.schema("id long, _x int, k string").parquet(str(path)).collect()}
+    assert back == {(r["id"], r["k"]) for r in rows.collect()}
+    W.write_files(rows.where("id < 0"), str(tmp_path / "none"), by=["k"])

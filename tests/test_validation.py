@@ -136,3 +136,23 @@ def test_association_against_brute_force(spark):
         whole = entropy(Counter(y for _, y in often))
         left = sum(entropy(Counter(y for u, y in often if u == v)) for v in {v for v, _ in often})
         assert abs(got[c][0] - corr) < 1e-9 and abs(got[c][1] - (1 - left / whole)) < 1e-9
+
+
+def test_sparse_contract_takes_any_number_of_levels(spark):
+    train = spark.range(120_000).select(
+        "id", (F.col("id") % 100_000).cast("string").alias("wide"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("l"), F.col("id") % 3)).alias("few"),
+        F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("x"))
+    contract = M.fit_sparse_contract(train, ["x", "wide", "few"])
+    assert contract.sizes == {"wide": 100_000, "few": 2} and contract.fills == {"wide": "0", "few": "l1"}
+    place = {v: i for i, v in enumerate(sorted(str(i) for i in range(100_000)))}
+    new = spark.createDataFrame([(1, "99999", "l2", 5.0), (2, "unseen", None, None), (3, None, "odd", 0.0)], "id long, wide string, few string, x double")
+    out = {r["id"]: r for r in M.apply_sparse_contract(new, contract, ["id"]).collect()}
+    for i, wide, few in ((1, place["99999"], 1), (2, 100_000, 0), (3, place["0"], 2)):
+        v = out[i]["features"]
+        assert v.size == 1 + 100_001 + 3 and (out[i]["wide_level"], out[i]["few_level"]) == (wide, few)
+        hot = [int(k) for k, y in zip(v.indices, v.values, strict=True) if k > 0 and y == 1.0]
+        assert hot == [1 + wide, 1 + 100_001 + few] and v[0] == pytest.approx(out[i]["x_scaled"])
+    empty = M.apply_sparse_contract(new.where("id < 0"), contract, ["id"])
+    assert empty.collect() == [] and empty.columns == ["id", "x_scaled", "wide_level", "few_level", "features"]
+    with pytest.raises(ValueError, match="missing"):
+        M.apply_sparse_contract(new.drop("few"), contract)
