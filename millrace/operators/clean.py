@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from millrace.functions import numbers as N
 from millrace.operators.aggregates import metric, text_columns
-from millrace.operators.profile import row_fingerprint
 from millrace.operators.windows import _join_back, percentiles
 
 

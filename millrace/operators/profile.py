@@ -66,30 +66,40 @@ def sample_skewness(x: Column) -> Column:
 
 
 def column_measures(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = ()) -> DataFrame:
-    """One pass: sizes, moments, text length and date evidence for every column; with ``probs``, a sketch of each numeric one."""
+    """One pass: sizes, moments, text length and date evidence for every column; with ``probs``, a sketch of each numeric one.
+
+    Each row becomes one entry per column, and entries are aggregated by column: a dozen aggregates whatever the table's width,
+    combined before the shuffle.
+    """
     kinds = _kinds(df, columns)
-    cells = []
+
+    def entry(i: int, c: str) -> Column:
+        x, v = (F.col(c).cast(t) if kinds[c] == k else F.lit(None).cast(t) for k, t in (("numeric", "double"), ("text", "string")))
+        return F.struct(F.lit(i).alias("i"), F.col(c).isNotNull().alias("there"), x.alias("x"), v.alias("v"))
+
+    long = df.select(F.explode(F.array(*[entry(i, c) for i, c in enumerate(columns)])).alias("e")).select("e.*")
+    x, v = F.col("x"), F.col("v")
     numeric = {
-        "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop, "skew": sample_skewness,
-        "skew_pop": F.skewness, "n_fractional": lambda x: F.count_if(x % 1 != 0)}
+        "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x), "std_pop": F.stddev_pop(x), "skew": sample_skewness(x),
+        "skew_pop": F.skewness(x), "n_fractional": F.count_if(x % 1 != 0)}
+    dated = v.rlike(DATE_HINT)
     text = {
-        "mean_length": lambda v: F.avg(F.length(v)), "hint_share": lambda v: F.avg(v.rlike(DATE_HINT).cast("double")),
-        "parse_share": lambda v: F.avg((v.rlike(DATE_HINT) & parse_day(v).isNotNull()).cast("double"))}
-    for c in columns:
-        col, kind = F.col(c), kinds[c]
-        none = F.lit(None)
-        x = col.cast("double")
-        spots = []
-        if probs:
-            blank = none.cast("struct<lo:double,hi:double,n:bigint,finite:bigint,below:bigint,edges:array<double>>")
-            spots = [(sketch(df, c, probs) if kind == "numeric" else blank).alias("sketch")]
-        cells.append(F.struct(
-            *spots, F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-            F.lit(kind).alias("kind"), F.count("*").alias("n_rows"), F.count(col).alias("n"),
-            *[(f(x) if kind == "numeric" else none.cast("bigint" if k == "n_fractional" else "double")).alias(k)
-              for k, f in numeric.items()],
-            *[(f(col) if kind == "text" else none.cast("double")).alias(k) for k, f in text.items()]))
-    return _rows(df, cells)
+        "mean_length": F.avg(F.length(v)), "hint_share": F.avg(dated.cast("double")),
+        "parse_share": F.avg(F.coalesce(F.when(dated, parse_day(v).isNotNull()), F.lit(False)).cast("double"))}
+    spots = [sketch(long, "x", probs).alias("sketch")] if probs else []
+    found = long.groupBy("i").agg(
+        *spots, F.count("*").alias("n_rows"), F.count_if("there").alias("n"), *[e.alias(k) for k, e in (numeric | text).items()])
+    names = df.sparkSession.createDataFrame(
+        [(i, c, df.schema[c].dataType.simpleString(), kinds[c]) for i, c in enumerate(columns)], "i int, name string, dtype string, kind string")
+    # A table without rows has no entries: its columns get what an aggregate of nothing is.
+    none = F.lit(None).cast("double")
+    nothing = F.struct(none.alias("lo"), none.alias("hi"), *[F.lit(0).cast("bigint").alias(k) for k in ("n", "finite", "below")], F.lit(None).cast("array<double>").alias("edges"))
+    empty = {"skew": F.lit(0.0), "n_fractional": F.lit(0).cast("bigint")}
+    is_number = F.col("kind") == "numeric"
+    return names.join(found, "i", "left").select(
+        *[F.coalesce("sketch", nothing).alias("sketch") for _ in spots], "name", "dtype", "kind",
+        *[F.coalesce(k, F.lit(0).cast("bigint")).alias(k) for k in ("n_rows", "n")],
+        *[F.when(is_number, F.coalesce(k, empty[k]) if k in empty else F.col(k)).alias(k) for k in numeric], *text)
 
 
 def _quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
@@ -127,7 +137,8 @@ def _profile(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
     Distinct counts, top values, exact quartiles and outliers all come from that count, which is written once.
     """
     probs = [0.25, 0.5, 0.75]
-    measures = column_measures(df, columns, probs).collect()
+    measured = column_measures(df, columns, probs)
+    measures = measured.collect()
     numbers = [c for c in numeric_columns(df) if c in columns]
     counts = value_counts(df, columns)
     floats = [c for c in numbers if isinstance(df.schema[c].dataType, T.FloatType)]
@@ -146,7 +157,7 @@ def _profile(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
     # NaN lies above every fence, as in a comparison of doubles.
     nan = F.col("column").isin(*numbers) & (F.col("value") == "NaN") if numbers else F.lit(False)
     distinct = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.sum(F.when(outside | nan, F.col("n")).otherwise(0)).alias("n_outliers"))
-    base = df.sparkSession.createDataFrame(measures, column_measures(df, columns, probs).schema).drop("sketch")
+    base = df.sparkSession.createDataFrame(measures, measured.schema).drop("sketch")
     spots = [(c, *known.get(c, (None, None, None))) for c in columns]
     base = base.join(F.broadcast(df.sparkSession.createDataFrame(spots, "name string, p25 double, median double, p75 double")), "name", "left")
     base = base.join(distinct.withColumnRenamed("column", "name"), "name", "left")

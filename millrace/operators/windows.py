@@ -263,15 +263,23 @@ def counting(df: DataFrame, columns: Sequence[str]) -> Counting:
 
 
 def counting_values(counts: DataFrame, columns: Sequence[str]) -> Counting:
-    """The same from (column, x, n) rows, where equal values are one row."""
+    """The same from (column, x, n) rows, where equal values are one row: a join with the few intervals and gaps of each column."""
 
     def count(keys: list[tuple[str, float, float]]) -> DataFrame:
-        entry = F.lit(None)
+        spans = []
         for c in columns:
-            if any(k[0] == c for k in keys):
-                entry = F.when(F.col("column") == c, _numbered(F.col("x"), c, keys)).otherwise(entry)
-        rows = counts.where("abs(x) < double('inf')").select("n", entry.alias("r")).where("r IS NOT NULL").select("n", "r.c", "r.e.*")
-        return rows.groupBy("c", "k", "cell").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            own, edge = sorted((lo, hi, k) for k, (named, lo, hi) in enumerate(keys) if named == c), float("-inf")
+            for g, (lo, hi, k) in enumerate(own):
+                spans += [(c, -1 - g, True, edge, lo, 0.0), (c, k, False, lo, hi, min(CELLS / (hi / 2 - lo / 2 or 5e-324), 1e308))]
+                edge = hi
+            spans += [(c, -1 - len(own), True, edge, float("inf"), 0.0) for _ in own[:1]]
+        table = counts.sparkSession.createDataFrame(spans, "c string, k int, gap boolean, low double, high double, scale double")
+        x = F.col("x")
+        inside = F.when(F.col("gap"), (x > F.col("low")) & (x < F.col("high"))).otherwise((x >= F.col("low")) & (x <= F.col("high")))
+        met = counts.where("abs(x) < double('inf')").join(table, (F.col("column") == F.col("c")) & inside)
+        at = F.least(F.floor((x / 2 - F.col("low") / 2) * F.col("scale")), F.lit(CELLS - 1)).cast("int")
+        cell = F.when(F.col("gap"), F.lit(0)).otherwise(at).alias("cell")
+        return met.groupBy("c", "k", cell).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
 
     return count
 
