@@ -10,6 +10,8 @@ from millrace.llm.common import WORD, running, unit
 #: Weights that the sources take in turn, and how often a document may be repeated.
 TURN = 3
 MOST_EPOCHS = 3
+#: A word with the white space before it.
+LED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
@@ -51,46 +53,68 @@ def mix(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every document with the words that the mix takes of it, and one row per source with its plan.
 
     A source's words are taken whole ``floor(target / size)`` times. For the rest, its documents are sorted by their
-    key and taken up to the document that the budget ends in, which is taken if at least half of it fits. The plan
-    keeps the key and doc_id at that cut, so that the choice can be applied to full rows without a join on doc_id. Null
-    and empty texts have size 0 and take 0 words. Rows that share a doc_id share their key and are taken together. Rows
-    without a source are a source of their own, the last one; its size may be any share of all.
+    key and taken whole up to the document that the budget ends in, of which ``part`` words are taken, so that a source's
+    words are within one of its target. The plan keeps that document's key, doc_id and size and the words left for it, so that
+    the choice can be applied to full rows without a join on doc_id. Null and empty texts have size 0 and take 0 words. Rows
+    that share a doc_id share their key and are sorted by size; rows equal in all of these share evenly what is left for them,
+    and may leave fewer words than there are such rows. Rows without a source are a source of their own, the
+    last one; its size may be any share of all. Other columns play no part; an empty table gives no rows.
     """
     slim = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     slim = with_quality(slim, labels).withColumn("key", sample_key(F.col("doc_id"), F.col("_quality"))).drop("_quality")
-    placed = running(slim, ["source"], ["key", "doc_id"], "size", "before")
+    placed = running(slim, ["source"], ["key", "doc_id", "size"], "size", "before")
     sizes = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")))
     sizes = sizes.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    sizes = sizes.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    sizes = sizes.withColumnRenamed("source", "_source")
-    budget = placed.join(sizes, placed["source"].eqNullSafe(sizes["_source"]))
-    fits = (F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
-    cuts = budget.where(fits).groupBy(F.col("_source").alias("_at")).agg(F.max(F.struct("key", "doc_id")).alias("cut"))
-    plan = sizes.join(cuts, sizes["_source"].eqNullSafe(cuts["_at"]), "left").drop("_at")
-    taken = placed.join(plan, placed["source"].eqNullSafe(plan["_source"])).withColumn("copies", copies())
-    mixed = taken.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
-    return mixed, plan
+    sizes = sizes.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_source")
+    begun = placed.where("size > 0").join(sizes, placed["source"].eqNullSafe(sizes["_source"])).where(F.col("before") < F.col("rest"))
+    cuts = begun.groupBy(F.col("_source").alias("_at")).agg(F.max(F.struct("key", "doc_id", "size")).alias("cut"))
+    open_plan = sizes.join(cuts, sizes["_source"].eqNullSafe(cuts["_at"]), "left").drop("_at")
+    tied = placed.join(open_plan, placed["source"].eqNullSafe(open_plan["_source"])).where(_place() == F.col("cut"))
+    room = tied.groupBy(F.col("_source").alias("_at")).agg(((F.max("rest") - F.min("before")) / F.count(F.lit(1))).alias("room"))
+    plan = open_plan.join(room, open_plan["_source"].eqNullSafe(room["_at"]), "left").drop("_at")
+    taken = placed.join(plan, placed["source"].eqNullSafe(plan["_source"])).withColumn("copies", copies()).withColumn("part", part())
+    words = (F.col("size") * F.col("copies") + F.col("part")).cast("long")
+    return taken.select("doc_id", "size", "source_size", "target", words.alias("taken"), "source", "copies", "part"), plan
 
 
-def copies() -> Column:
-    """How often a row with ``key`` and ``doc_id`` is taken under its source's plan."""
-    inside = F.col("cut").isNotNull() & (F.struct("key", "doc_id") <= F.col("cut"))
-    return (F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("int")).cast("int")
+def _place() -> Column:
+    return F.struct("key", "doc_id", "size")
 
 
-def mixed_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def copies(least: float = 1.0) -> Column:
+    """How often a row with ``key``, ``doc_id`` and ``size`` is taken whole under its source's plan: the row of the cut once more
+    if at least the share ``least`` of it fits."""
+    fits = F.when(_place() == F.col("cut"), F.col("room") >= least * F.col("size")).otherwise(_place() < F.col("cut"))
+    return (F.col("epochs") + F.coalesce(fits, F.lit(False)).cast("int")).cast("int")
+
+
+def part() -> Column:
+    """The words taken of a row beside its whole copies: the budget ends inside it."""
+    ends = (_place() == F.col("cut")) & (F.col("room") < F.col("size"))
+    return F.when(ends, F.floor("room")).otherwise(0).cast("long")
+
+
+def mixed_documents(documents: DataFrame, labels: DataFrame, in_part: bool = False) -> DataFrame:
     """The documents of the mix themselves, each as many times as it is taken, with their own columns only.
 
-    Documents without words are left out: they can take no part of a word budget.
+    Documents without words are left out: they can take no part of a word budget. The document that a budget ends in comes whole if at
+    least half of it fits, else not at all; with ``in_part`` it comes cut to the words that ``mix`` takes of it.
     """
     own = documents.columns
     whole = documents.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct("*").alias("_row"))
     _, plan = mix(whole.select("doc_id", "source", "text"), labels)
-    keyed = with_quality(whole, labels).withColumn("key", sample_key(F.col("doc_id"), F.col("_quality")))
-    joined = keyed.join(plan, keyed["source"].eqNullSafe(plan["_source"])).withColumn("_n", copies())
-    wordy = joined.where((F.col("_n") > 0) & F.col("text").rlike(WORD))
-    return wordy.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select(*[F.col("_row")[c].alias(c) for c in own])
+    keyed = with_quality(whole.withColumn("size", word_count(F.col("text"))), labels).withColumn("key", sample_key(F.col("doc_id"), F.col("_quality")))
+    joined = keyed.where("size > 0").join(plan, keyed["source"].eqNullSafe(plan["_source"]))
+    counted = joined.withColumn("_n", copies(1.0 if in_part else 0.5)).withColumn("_part", part() if in_part else F.lit(0).cast("long"))
+    # A copy's words: null where it is whole.
+    each = F.concat(F.array_repeat(F.lit(None).cast("int"), F.col("_n")), F.when(F.col("_part") > 0, F.array(F.col("_part").cast("int"))).otherwise(F.array().cast("array<int>")))
+    rows = counted.select("_row", F.explode(each).alias("_words"))
+    return rows.select(*[(F.when(F.col("_words").isNull(), F.col("_row")[c]).otherwise(first_words(F.col("_row")[c], F.col("_words"))) if c.lower() == "text" else F.col("_row")[c]).alias(c) for c in own])
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of its ``words``-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(LED_WORD), F.lit(0)), F.lit(1), words), "")
 
 
 SQL = r"""
@@ -103,7 +127,8 @@ WITH d AS (
     / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS key
   FROM d LEFT JOIN q ON d.doc_id = q.doc_id
 ), p AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM k
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size) AS through,
+    count(*) OVER (PARTITION BY source, key, doc_id, size) AS alike FROM k
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
 ), o AS (
@@ -117,8 +142,9 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
 ), x AS (
   SELECT p.doc_id, p.size, p.source, e.source_size, e.target, e.epochs,
-    CASE WHEN size > 0 AND 2 * (target - epochs * source_size - before) >= size THEN 1 ELSE 0 END AS extra
+    least(size, greatest(0, floor((target - epochs * source_size - (through - alike * size)) / alike)))::BIGINT AS words
   FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 )
-SELECT doc_id, size, source_size, target, source, (epochs + extra)::INT AS copies, (size * (epochs + extra))::BIGINT AS taken FROM x
+SELECT doc_id, size, source_size, target, source, (epochs + CASE WHEN size > 0 AND words = size THEN 1 ELSE 0 END)::INT AS copies,
+  CASE WHEN words < size THEN words ELSE 0 END::BIGINT AS part, (size * epochs + words)::BIGINT AS taken FROM x
 """

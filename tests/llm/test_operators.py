@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -352,15 +353,44 @@ def test_mix_meets_its_targets(spark, docs, empty):
         taken[r.source] += r.taken
         size[r.source] += r.size
         target[r.source] = r.target
-        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
-    assert all(abs(taken[s] - target[s]) <= 10 for s in target) and abs(sum(target.values()) - sum(size.values())) < 1e-6
+        assert r.taken == r.size * r.copies + r.part <= 3 * r.size and 0 <= r.part < max(r.size, 1)
+    assert all(0 <= target[s] - taken[s] < 1.001 for s in target) and abs(sum(target.values()) - sum(size.values())) < 1e-6
     assert target["tiny"] <= 3 * size["tiny"] and target["b"] > target["a"]
     assert sorted(map(tuple, mixing.mix(table, labels)[0].collect())) == sorted(map(tuple, rows))
     copies = mixing.mixed_documents(table, labels)
-    assert copies.columns == table.columns and Counter(r.doc_id for r in copies.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
+    often = {r.doc_id: r.copies + (2 * r.part >= r.size) for r in rows}
+    assert copies.columns == table.columns and Counter(r.doc_id for r in copies.collect()) == Counter({i: n for i, n in often.items() if n})
+    whole = {r.doc_id: r.text for r in table.collect()}
+    pieces = mixing.mixed_documents(table, labels, in_part=True).collect()
+    assert all(whole[r.doc_id].startswith(r.text) for r in pieces)
+    assert Counter((r.doc_id, len(r.text.split())) for r in pieces) == sum((Counter({(r.doc_id, r.size): r.copies, (r.doc_id, r.part): 1 if r.part else 0}) for r in rows), Counter())
     assert len(mixing.mix(docs, labels)[0].collect()) == 17 and mixing.mix(empty, labels)[0].collect() == []
 
 
+@pytest.mark.parametrize("sizes", [[("a", 100), ("b", 1), ("c", 1)], [("a", 70), ("b", 10), ("c", 400)], [(None, 5), ("a", 5), ("a", 5), ("a", 5)]])
+def test_mix_takes_the_cut_document_in_part(spark, sizes):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    table = spark.createDataFrame([(i, " \t".join(["w"] * n) + "\n", None, source, 0) for i, (source, n) in enumerate(sizes)], SCHEMA)
+    rows = mixing.mix(table, labels)[0].collect()
+    for source in {r.source for r in rows}:
+        mine = [r for r in rows if r.source == source]
+        assert 0 <= mine[0].target - sum(r.taken for r in mine) < 1.001
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(table, labels, in_part=True).collect()) == sum(r.taken for r in rows)
+
+
+def test_mix_shares_a_cut_among_repeated_rows_as_its_sql_does(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    ids = [1, 1, 1, 1, 2, 2, None, None, None, 3]
+    table = spark.createDataFrame([(d, words(9 + (i % 2), i), None, "ab"[i % 4 == 0], 0) for i, d in enumerate(ids)], SCHEMA)
+    rows = mixing.mix(table, labels)[0]
+    con = duckdb.connect()
+    for name, df in (("documents", table), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    answer = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({mixing.SQL})").fetchall()
+    assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, answer))
+
+
 def brute_rule(host, path):
     best = (None, None)
     for rule, verdict in urlfilter.RULES:
