@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.windows import top_per_group
-from millrace.session import spread
+from millrace.session import kept, spread
 
 # Chunk sizes and noise found in exported documentation pages.
 MAX_CHUNK, MIN_CHUNK = 4000, 100
@@ -21,6 +22,8 @@ NOISE = "|".join((
 NOISE_HEADINGS = ("back to top", "source code in", "previous", "next", "© copyright", "showing first")
 MAX_QUERIES = 4096
 MAX_NAME_LENGTHS = 256
+#: Share of a query's postings that is probed for a score to beat, and how many of the datasets found there are scored in full.
+PROBE_SHARE, LANES = 0.01, 8
 
 
 def strip_noise(c: Column) -> Column:
@@ -198,29 +201,41 @@ def tokens(c: Column) -> Column:
 def relevance(
     datasets: DataFrame, key: str, descriptor: str, alias: str, filename: str, queries: DataFrame, query_key: str, text: str
 ) -> DataFrame:
-    """(query, best, score): the dataset that fits each query best.
+    """(query, best, score): the dataset that fits each query best, the smallest id of equals; ids are unique on both sides.
 
-    Score: shared words, +5 when the alias is mentioned, +3 for the file name, +1 for the id. Words meet in an inverted
-    index, so datasets that share no word with a query are never paired with it; the few that could still win by a bonus
-    alone are the first of each mentioned (alias, file name) group and the first dataset of all.
+    Score: shared words, +5 when the alias is mentioned, +3 for the file name, +1 for the id. Datasets that share no word with a
+    query can win by a bonus alone; those are the first of each mentioned (alias, file name) group, those whose id is
+    mentioned, and the first dataset of all. The others come from ``candidates``, and only they are scored in full.
     """
     q = queries.select(F.col(query_key).alias("query"), F.lower(text).alias("_q"), tokens(F.col(text)).alias("_qt"))
-    datasets = spread(datasets.select(key, descriptor, alias, filename))
-    d = datasets.select(F.col(key).alias("id"), tokens(F.col(descriptor)).alias("_dt"), F.lower(alias).alias("_a"),
-                        F.lower(filename).alias("_f"))
-    words = q.select("query", F.explode("_qt").alias("w"))
-    shared = d.select("id", F.explode("_dt").alias("w")).join(words, "w").groupBy("query", "id").agg(F.count("*").alias("n"))
-
-    def mentioned(name):
-        return F.coalesce((F.length(name) > 0) & F.contains(F.col("_q"), F.col(name)), F.lit(False)).cast("int")
-
-    bonus = 5.0 * mentioned("_a") + 3.0 * mentioned("_f") + 1.0 * F.contains(
-        F.col("_q"), F.lower(F.col("id").cast("string"))).cast("int")
-    facts = d.select("id", "_a", "_f")
-    scored = shared.join(q.select("query", "_q"), "query").join(facts, "id").select(
-        "query", "id", (F.col("n") + bonus).alias("score"))
-    # A mention is a substring of the query, so the query's pieces of the lengths names have are matched to names by equality.
-    sizes = facts.select(F.explode(F.array(F.length("_a"), F.length("_f"))).alias("n")).where("n > 0").distinct()
+    slim = spread(datasets.select(key, descriptor, alias, filename))
+    d = kept(slim.select(F.col(key).alias("id"), tokens(F.col(descriptor)).alias("_dt"), F.lower(alias).alias("_a"), F.lower(filename).alias("_f")), "descriptors")
+    heads = kept(_mentioned(d, q), "mentioned")
+    scored = _in_full(kept(candidates(d, q, heads), "candidates"), d, q)
+    best = F.min_by(F.struct("id", "score"), F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))
+    return scored.unionByName(heads.select("query", "id", "score")).groupBy("query").agg(best.alias("b")).select(
+        "query", F.col("b.id").alias("best"), F.col("b.score").alias("score"))
+
+
+def _found(name: Column) -> Column:
+    return F.coalesce((F.length(name) > 0) & F.contains(F.col("_q"), name), F.lit(False)).cast("double")
+
+
+def _name_bonus() -> Column:
+    return 5.0 * _found(F.col("_a")) + 3.0 * _found(F.col("_f"))
+
+
+def _id_bonus() -> Column:
+    return _found(F.lower(F.col("id").cast("string")))
+
+
+def _mentioned(d: DataFrame, q: DataFrame) -> DataFrame:
+    """(query, id, names, own, score): what a bonus alone gives, for the datasets that may win by it.
+
+    A mention is a substring of the query, so the query's pieces of the lengths that names and ids have meet them by equality.
+    """
+    facts = d.select("id", "_a", "_f", F.lower(F.col("id").cast("string")).alias("_id"))
+    sizes = facts.select(F.explode(F.array(F.length("_a"), F.length("_f"), F.length("_id"))).alias("n")).where("n > 0").distinct()
     lengths = [r["n"] for r in sizes.limit(MAX_NAME_LENGTHS + 1).collect()]
     if len(lengths) > MAX_NAME_LENGTHS:
         raise ValueError(f"names of more than {MAX_NAME_LENGTHS} different lengths; shorten the descriptors' alias and file name")
@@ -230,10 +245,51 @@ def relevance(
     pieces = pieces.select("query", "_q", F.explode(F.array(*[
         F.substr("_q", F.col("i"), F.lit(n)) for n in lengths])).alias("piece")).distinct() if lengths else q.select(
         "query", "_q", F.lit("").alias("piece"))
-    by_name = [groups.join(pieces, F.col(c) == F.col("piece")).select("query", "id", bonus.alias("score")) for c in ("_a", "_f")]
+    columns = ("query", "_q", "id", "_a", "_f")
+    found = [side.join(pieces, F.col(c) == F.col("piece")).select(*columns) for side, c in ((groups, "_a"), (groups, "_f"), (facts, "_id"))]
     first = facts.orderBy("id").limit(1).select(F.struct("id", "_a", "_f").alias("s")).scalar()
-    fallback = q.select("query", "_q", first.alias("s")).select("query", "_q", "s.*").select("query", "id", bonus.alias("score"))
-    heads = by_name[0].unionByName(by_name[1]).unionByName(fallback)
-    best = F.min_by(F.struct("id", "score"), F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))
-    return scored.unionByName(heads).groupBy("query").agg(best.alias("b")).select(
-        "query", F.col("b.id").alias("best"), F.col("b.score").alias("score"))
+    fallback = q.select("query", "_q", first.alias("s")).select("query", "_q", "s.*").select(*columns)
+    heads = reduce(DataFrame.unionByName, [*found, fallback]).select("query", "id", _name_bonus().alias("names"), _id_bonus().alias("own"))
+    return heads.withColumn("score", F.when(F.col("id").isNotNull(), F.col("names") + F.col("own")))
+
+
+def _in_full(pairs: DataFrame, d: DataFrame, q: DataFrame) -> DataFrame:
+    """(query, id, score) of (query, id) pairs."""
+    joined = pairs.select("query", "id").join(d, "id").join(q, "query")
+    shared = F.size(F.array_intersect("_dt", "_qt")).cast("double")
+    return joined.select("query", "id", (shared + _name_bonus() + _id_bonus()).alias("score"))
+
+
+def candidates(d: DataFrame, q: DataFrame, heads: DataFrame) -> DataFrame:
+    """(query, id, n): the pairs that share words and whose score may be the query's best; no other pair is formed but the probes.
+
+    A query's words are sorted by how many datasets have them, rarest first. The datasets that share its rarest words (``PROBE_SHARE``
+    of its postings) are probed: the best of each of ``LANES`` lanes is scored in full, and no winner scores less. A
+    dataset without any of the first p of m words scores at most m - p and the largest bonus, so the words after the p
+    where this falls below the best score so far need not be met: a frequent word joins nothing where a rare one decides. Where the best score
+    is low, p is m, and all pairs that share a word are formed.
+    """
+    words = q.select("query", F.explode("_qt").alias("w"))
+    postings = d.select("id", F.explode("_dt").alias("w"))
+    often = postings.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    whole = Window.partitionBy("query")
+    rarest = whole.orderBy("df", "w")
+    upto = rarest.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = kept(words.join(often, "w").select(
+        "query", "w", F.row_number().over(rarest).alias("pos"), F.count(F.lit(1)).over(whole).alias("m"),
+        (F.sum("df").over(upto) <= PROBE_SHARE * F.sum("df").over(whole)).alias("probe")), "ranked")
+
+    probed = postings.join(ranked.where("pos = 1 OR probe").select("query", "w"), "w").groupBy("query", "id").agg(F.count(F.lit(1)).alias("n"))
+    lane = F.pmod(F.xxhash64("id"), F.lit(LANES))
+    tops = probed.groupBy("query", lane.alias("lane")).agg(F.max(F.struct("n", "id")).alias("top")).select("query", "top.id")
+    # Written first, so that the planner knows how few they are and leaves the datasets' words where they lie.
+    tops = kept(tops, "probed")
+    floors = _in_full(tops, d, q).select("query", "score", F.lit(0.0).alias("names"), F.lit(0.0).alias("own"))
+    floors = floors.unionByName(heads.select("query", "score", "names", "own"))
+    bounds = floors.groupBy("query").agg(F.max("score").alias("least"), (F.max("names") + F.max("own")).alias("bonus"))
+
+    met = F.least(F.col("m") + F.col("bonus") - F.col("least") + 1, F.col("m"))
+    needed = (F.col("least") - F.col("bonus") - (F.col("m") - F.col("met"))).alias("needed")
+    prefix = ranked.join(bounds, "query").withColumn("met", met).where("pos <= met").select("query", "w", needed)
+    counted = postings.join(prefix, "w").groupBy("query", "id").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    return counted.where("n >= needed").select("query", "id", "n")
