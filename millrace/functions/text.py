@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -134,11 +136,10 @@ def scrub(df, column: str, out: str = "cleaned", limit: int | None = None, norma
 NAME_WORD = r"(?U)[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+"
 NAME_MASK = "[name]"
 MIN_INSIDE = 4
-
-
-def name_words(c: Column) -> Column:
-    """Words of an identifier, split at punctuation, underscores and capitals, in lower case."""
-    return F.transform(F.regexp_extract_all(c, F.lit(NAME_WORD), F.lit(0)), F.lower)
+#: Different tokens that a task remembers before it starts anew, and the longest one that it remembers.
+REMEMBERED, LONG_TOKEN = 200_000, 64
+#: White space as Java's (?U) has it.
+_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def _split_name(name: str) -> tuple[str, ...]:
@@ -147,68 +148,99 @@ def _split_name(name: str) -> tuple[str, ...]:
     return tuple(w.lower() for w in regex.findall(NAME_WORD.replace("(?U)", ""), unicodedata.normalize("NFKC", name)))
 
 
+class _Token(NamedTuple):
+    """What a token is by itself: its words, "a" (aligned), "i" (inside) or "-", and the ends of it, as (text, number of
+    words), with which a name of several tokens may begin."""
+
+    words: tuple[str, ...]
+    kind: str
+    openings: tuple[tuple[str, int], ...]
+
+
+class _Tokens(dict):
+    """Token -> ``_Token`` for one vocabulary; texts repeat their tokens, so each is looked at once while it is remembered."""
+
+    def __init__(self, known: frozenset[str], longest: int):
+        super().__init__()
+        import regex
+
+        self.known, self.longest = known, longest
+        self.inside = [s for s in sorted(known) if len(s) >= MIN_INSIDE]
+        self.beginnings = {s[:i] for s in known for i in range(1, len(s))}
+        self.any_known = re.compile("|".join(map(re.escape, sorted(known)))).search
+        # This library's classes are those of Java's (?U), but for letters newer than either knows; in ASCII all agree.
+        words = NAME_WORD.replace("(?U)", "")
+        self.ascii_words, self.words_of = re.compile(words).findall, regex.compile(words).findall
+        self.head, self.tail = regex.compile(r"^[^\w\[\]]*"), regex.compile(r"[^\w\[\]]*$")
+
+    def __missing__(self, token: str) -> _Token:
+        words = tuple(w.lower() for w in (self.ascii_words if token.isascii() else self.words_of)(token))
+        whole, kind = "".join(words), "-"
+        # Whatever makes a token a or i is a known name among the letters of its words.
+        if self.any_known(whole):
+            runs = ("".join(words[i : i + n]) for n in range(1, self.longest + 1) for i in range(len(words) - n + 1))
+            if whole in self.known or any(r in self.known for r in runs):
+                kind = "a"
+            elif any(map(self._holds, (*words, whole))):
+                kind = "i"
+        ends = [("".join(words[-n:]), n) for n in range(1, min(self.longest, len(words) + 1))]
+        found = _Token(words, kind, tuple(e for e in ends if e[0] in self.beginnings))
+        if len(token) <= LONG_TOKEN:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = found
+        return found
+
+    def _holds(self, word: str) -> bool:
+        stems = (word, word.removesuffix("s"), word.removesuffix("es"))
+        return any(s in self.known for s in stems) or any(s in word for s in self.inside)
+
+    def mask(self, text: str) -> tuple[str, int, int]:
+        """The text with its names masked, the aligned tokens and those with a name inside."""
+        raw = _GAP.split(text.strip(" "))
+        tokens = [self[r] for r in raw]
+        kinds = [t.kind for t in tokens]
+        for i, token in enumerate(tokens):
+            for begun, n in token.openings:
+                self._extend(tokens, kinds, i, begun, n)
+        shown = " ".join([r if k == "-" else self.head.search(r)[0] + NAME_MASK + self.tail.search(r)[0] for r, k in zip(raw, kinds, strict=True)])
+        return re.sub(r"\[name\](?:[ \t\n\x0b\f\r]+\[name\])+", NAME_MASK, shown), kinds.count("a"), kinds.count("i")
+
+    def _extend(self, tokens: list[_Token], kinds: list[str], at: int, begun: str, n: int) -> None:
+        """Mark the tokens of each name that goes on from the end ``begun`` of a token, ``n`` words, into those that follow."""
+        over = [at]
+        for i in range(at + 1, len(tokens)):
+            for word in tokens[i].words:
+                n, begun = n + 1, begun + word
+                if n > self.longest:
+                    return
+                if over[-1] != i:
+                    over.append(i)
+                if begun in self.known:
+                    for j in over:
+                        kinds[j] = "a"
+                if begun not in self.beginnings:
+                    return
+
+
 def strip_names(df, column: str, names: Sequence[str], out: str = "stripped"):
     """Mask every token that is, or holds, one of ``names``; adds ``out`` and ``n_aligned`` / ``n_inside``.
 
     The vocabulary is column and table names: a schema's worth of literals, so no join and no shuffle. A name covers
     whole words of one token ("byRegion"), several tokens ("order date" for order_date), or, from four letters on,
-    the inside of a longer word.
+    the inside of a longer word. What a token is by itself depends on nothing else, so each task looks at each different
+    token once; names of several tokens are followed only from tokens that end like the beginning of one.
     """
     keys = {w for n in names for part in {n, *n.split(".")} if (w := _split_name(part))}
-    squashed = sorted({"".join(k) for k in keys})
-    inside = [s for s in squashed if len(s) >= MIN_INSIDE]
-    longest = max((len(k) for k in keys), default=0)
-    if not squashed:
+    if not keys:
         raise ValueError("an empty vocabulary cannot protect a text")
-    known = F.array(*map(F.lit, squashed))
-
-    def windows(words: Column, n: int) -> Column:
-        spots = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.array_join(F.slice(words, i, n), ""))
-
-    def aligned(words: Column) -> Column:
-        hit = F.array_contains(known, F.array_join(words, ""))
-        for n in range(1, longest + 1):
-            hit = hit | F.arrays_overlap(windows(words, n), known)
-        return hit
-
-    def holds(word: Column) -> Column:
-        stems = F.array(word, F.regexp_replace(word, "s$", ""), F.regexp_replace(word, "es$", ""))
-        hit = F.arrays_overlap(stems, known)
-        for s in inside:
-            hit = hit | word.contains(s)
-        return hit
-
-    chunks = F.split(F.trim(F.col(column)), r"(?U)\s+")
-    work = df.withColumn("_c", F.transform(chunks, lambda c: F.struct(c.alias("raw"), name_words(c).alias("w"))))
-    flat = F.flatten(F.transform("_c", lambda c, i: F.transform(c["w"], lambda w: F.struct(w.alias("w"), i.alias("i")))))
-    work = work.withColumn("_f", flat)
-    spans = F.array().cast("array<int>")
-    none = F.array().cast("array<int>")
-
-    def covered(n: int):
-        def tokens(i):
-            part = F.slice("_f", i, n)
-            many = F.get(part, F.lit(0))["i"] != F.get(part, F.lit(n - 1))["i"]
-            word = F.array_join(F.transform(part, lambda p: p["w"]), "")
-            return F.when(many & F.array_contains(known, word), F.transform(part, lambda p: p["i"])).otherwise(none)
-
-        return tokens
-
-    for n in range(2, longest + 1):
-        spots = F.when(F.size("_f") >= n, F.sequence(F.lit(1), F.size("_f") - n + 1)).otherwise(none)
-        spans = F.array_union(spans, F.flatten(F.transform(spots, covered(n))))
-    work = work.withColumn("_s", spans)
-    kind = F.transform("_c", lambda c, i: F.when(
-        aligned(c["w"]) | F.array_contains(F.col("_s"), i), F.lit("a")).when(
-        F.exists(c["w"], holds) | holds(F.array_join(c["w"], "")), F.lit("i")).otherwise(F.lit("-")))
-    work = work.withColumn("_k", kind)
-    masked = F.zip_with("_c", "_k", lambda c, k: F.when(k == "-", c["raw"]).otherwise(F.concat(
-        F.regexp_extract(c["raw"], r"(?U)^[^\w\[\]]*", 0), F.lit(NAME_MASK),
-        F.regexp_extract(c["raw"], r"(?U)[^\w\[\]]*$", 0))))
-    joined = F.regexp_replace(F.array_join(masked, " "), r"\[name\](?:\s+\[name\])+", r"\[name\]")
-    return work.withColumns({
-        out: joined, "n_aligned": F.size(F.filter("_k", lambda k: k == "a")),
-        "n_inside": F.size(F.filter("_k", lambda k: k == "i")),
-    }).drop("_c", "_f", "_s", "_k")
+    known, longest = frozenset("".join(k) for k in keys), max(map(len, keys))
+
+    @F.pandas_udf("text string, aligned int, inside int")
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokens = _Tokens(known, longest)
+        for texts in batches:
+            yield pd.DataFrame([(None, None, None) if t is None else tokens.mask(t) for t in texts], columns=["text", "aligned", "inside"], dtype=object)
+
+    work = df.withColumn("_r", masked(F.col(column)))
+    return work.withColumns({out: F.col("_r.text"), "n_aligned": F.col("_r.aligned"), "n_inside": F.col("_r.inside")}).drop("_r")

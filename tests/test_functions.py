@@ -106,6 +106,16 @@ def test_names_are_stripped(spark):
     assert [(r["n_aligned"], r["n_inside"]) for r in out] == [(3, 0), (1, 2), (1, 1), (0, 0)]
 
 
+def test_names_over_tokens_and_each_token_once(spark):
+    tokens = X._Tokens(frozenset({"orderdate", "a", "abc"}), 3)
+    assert tokens.mask("x order - date, " * 500) == (" ".join(["x [name] - [name],"] * 500), 1000, 0)
+    assert tokens.mask("b a b C. d") == ("b [name]. d", 3, 0) and tokens.mask("") == ("", 0, 0)
+    assert len(tokens) == 9  # the different tokens, the empty one among them
+    rows = spark.createDataFrame([(0, None), (1, " order\tDATE ")], "i int, t string")
+    out = X.strip_names(rows, "t", ["order_date"]).orderBy("i").collect()
+    assert [tuple(r)[2:] for r in out] == [(None, None, None), ("[name]", 2, 0)]
+
+
 def test_scan_of_plain_columns(spark):
     rows = spark.createDataFrame([(i, float(i) * 1.37, f"team {i}", "2020-01-0%d" % (i % 9 + 1)) for i in range(40)],
                                  "revenue int, ratio double, contact string, opened string")
