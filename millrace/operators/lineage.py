@@ -54,14 +54,20 @@ def reachable(
         ends = ends.unionByName(frontier)
         hops, room = _longer(hops, room)
     # A node inside a chain is reached by whoever reaches the node that the chain hangs on.
-    within = ends.join(inside.withColumnRenamed("id", "on"), ends["id"] == F.col("on")).select("root", F.col("next").alias("id"))
-    beyond = ends.unionByName(within).join(seen, ["root", "id"], "left_anti")
+    within = _dealt(ends, inside.withColumnRenamed("id", "on"), ends["id"] == F.col("on")).select("root", F.col("next").alias("id"))
+    beyond = _dealt(ends.unionByName(within), seen, ["root", "id"], "left_anti")
     return seen.unionByName(beyond).where("root <> id")
 
 
 def _next_pairs(frontier: DataFrame, steps: DataFrame, seen: DataFrame) -> DataFrame:
-    found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
-    return cut_lineage(found.join(seen, ["root", "id"], "left_anti"))
+    found = _dealt(frontier, steps, "id").select("root", F.col("next").alias("id")).distinct()
+    return cut_lineage(_dealt(found, seen, ["root", "id"], "left_anti"))
+
+
+def _dealt(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that is always shuffled: a walk makes several a step, and each small enough to be broadcast would pass through
+    the driver, all of them together many times the graph."""
+    return left.hint("shuffle_merge").join(right.hint("shuffle_merge"), on, how)
 
 
 def _shortened(steps: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,22 +81,22 @@ def _shortened(steps: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFram
     """
     ins = steps.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("ins"), F.min("id").alias("to"))
     outs = steps.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("outs"))
-    single = ins.where("ins = 1").join(outs.where("outs = 1"), "node").join(starts.select(F.col("id").alias("node")), "node", "left_anti")
+    single = _dealt(_dealt(ins.where("ins = 1"), outs.where("outs = 1"), "node"), starts.select(F.col("id").alias("node")), "node", "left_anti")
     single = cut_lineage(single.select("node", "to"))
     names = single.select(F.col("node").alias("_to"), F.lit(True).alias("open"))
-    pointers = cut_lineage(single.join(names, F.col("to") == F.col("_to"), "left").select("node", "to", F.coalesce("open", F.lit(False)).alias("open")))
+    pointers = cut_lineage(_dealt(single, names, F.col("to") == F.col("_to"), "left").select("node", "to", F.coalesce("open", F.lit(False)).alias("open")))
     closed, pending, left = pointers.where("not open"), pointers.where("open"), pointers.where("open").count()
     while left:
         one, two = (closed.unionByName(pending).select(F.col("node").alias(f"_n{i}"), F.col("to").alias(f"_t{i}"), F.col("open").alias(f"_o{i}")) for i in (1, 2))
-        jumped = pending.join(one, F.col("to") == F.col("_n1")).join(two, F.col("_o1") & (F.col("_t1") == F.col("_n2")), "left")
+        jumped = _dealt(_dealt(pending, one, F.col("to") == F.col("_n1")), two, F.col("_o1") & (F.col("_t1") == F.col("_n2")), "left")
         moved = cut_lineage(jumped.select("node", F.coalesce("_t2", "_t1").alias("to"), F.coalesce("_o2", "_o1").alias("open")))
         closed, pending, before = closed.unionByName(moved.where("not open")), moved.where("open"), left
         left = pending.count()
         if left == before:
             break
     anchors = closed.select("to", "node")
-    stays = steps.join(single.select(F.col("node").alias("next")), "next", "left_anti")
-    between = stays.join(anchors, F.col("id") == F.col("node"), "left").select(F.coalesce("to", "id").alias("id"), "next").where("id <> next").distinct()
+    stays = _dealt(steps, single.select(F.col("node").alias("next")), "next", "left_anti")
+    between = _dealt(stays, anchors, F.col("id") == F.col("node"), "left").select(F.coalesce("to", "id").alias("id"), "next").where("id <> next").distinct()
     return cut_lineage(between), anchors.select(F.col("to").alias("id"), F.col("node").alias("next"))
 
 
@@ -100,10 +106,10 @@ def _longer(hops: DataFrame, room: int) -> tuple[DataFrame, int]:
         return hops, 0
     into = hops.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("ins"))
     out = hops.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("outs"))
-    if (into.join(out, "node").agg(F.sum(F.col("ins") * F.col("outs"))).first()[0] or 0) > room:
+    if (_dealt(into, out, "node").agg(F.sum(F.col("ins") * F.col("outs"))).first()[0] or 0) > room:
         return hops, 0
     second = hops.select(F.col("id").alias("next"), F.col("next").alias("_far"))
-    twice = hops.join(second, "next").select("id", F.col("_far").alias("next")).where("id <> next")
+    twice = _dealt(hops, second, "next").select("id", F.col("_far").alias("next")).where("id <> next")
     return cut_lineage(hops.unionByName(twice).distinct()), room
 
 
@@ -129,7 +135,7 @@ def dataset_lineage(nodes: DataFrame, edges: DataFrame, dataset: str, tenant: st
         parents.select(F.lit("parent").alias("relation"), F.col("dst").alias("id")).distinct()).unionByName(
         ancestors(edges, start, tenant).select(F.lit("ancestor").alias("relation"), "id"))
     labels = nodes.where(F.col("tenant_id") == tenant).select("id", "label")
-    return rows.join(labels, "id").select("relation", "id", "label")
+    return _dealt(rows, labels, "id").select("relation", "id", "label")
 
 
 def column_change_impact(edges: DataFrame, dataset: str, column: str, tenant: str) -> DataFrame:
@@ -140,7 +146,7 @@ def column_change_impact(edges: DataFrame, dataset: str, column: str, tenant: st
     mine = edges.where(F.col("tenant_id") == tenant)
     users = mine.where((F.col("kind") == "uses_feature") & (F.col("dst") == column)).select(F.col("src").alias("id"))
     affected = down.unionByName(start)
-    trained = mine.where("kind = 'trained_on'").join(affected.withColumnRenamed("id", "dst"), "dst", "left_semi").select(
+    trained = _dealt(mine.where("kind = 'trained_on'"), affected.withColumnRenamed("id", "dst"), "dst", "left_semi").select(
         F.col("src").alias("id"))
     models = users.union(trained).distinct()
     return down.select(F.lit("dataset").alias("kind"), "id").unionByName(models.select(F.lit("model").alias("kind"), "id"))
@@ -156,12 +162,12 @@ def models_touching_pii(edges: DataFrame, tenant: str) -> DataFrame:
     has = mine.where("kind = 'has_column'").select(F.col("src").alias("via"), F.col("dst").alias("column"))
     classified = mine.where("kind = 'classified_as'").select(
         F.col("src").alias("column"), F.element_at(F.split("dst", ":", 2), -1).alias("pii_kind"))
-    holders = has.join(classified, "column").select("via", "pii_kind").distinct()
+    holders = _dealt(has, classified, "column").select("via", "pii_kind").distinct()
     starts = holders.select(F.col("via").alias("id")).distinct()
     reach = descendants(edges, starts, tenant).select(F.col("root").alias("via"), "id").unionByName(
         starts.select(F.col("id").alias("via"), "id"))
     trained = mine.where("kind = 'trained_on'").select(F.col("src").alias("model"), F.col("dst").alias("id"))
-    return trained.join(reach, "id").join(holders, "via").select("model", "pii_kind", "via").distinct()
+    return _dealt(_dealt(trained, reach, "id"), holders, "via").select("model", "pii_kind", "via").distinct()
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, tenant: str) -> DataFrame:

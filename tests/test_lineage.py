@@ -66,3 +66,22 @@ def test_ladders_are_walked_by_longer_hops(spark):
 
 def test_depth_is_kept(spark):
     assert walked(spark, chain("a", 30), ["a0"], max_depth=20, plain_steps=2) == {("a0", f"a{i}") for i in range(1, 21)}
+
+
+def test_a_walk_broadcasts_nothing(spark, monkeypatch):
+    """A step's joins are small one by one, but each broadcast passes through the driver."""
+    plans = []
+
+    def cut_and_note(df, cut=L.cut_lineage):
+        done = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(L, "cut_lineage", cut_and_note)
+    pairs = [*chain("a", 12), *chain("b", 5), ("a3", "b0"), ("b5", "a7")]
+    assert walked(spark, pairs, ["a0", "b2"], plain_steps=2) == plain_search(pairs, ["a0", "b2"])
+    edges = spark.createDataFrame([("t", "d", "has_column", "c"), ("t", "c", "classified_as", "pii:x"), ("t", "e", "derived_from", "d"), ("t", "m", "trained_on", "e")], EDGES)
+    found = L.models_touching_pii(edges, "t")
+    assert [tuple(r) for r in found.collect()] == [("m", "x", "d")]
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
