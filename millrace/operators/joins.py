@@ -19,6 +19,8 @@ from millrace.session import kept
 MAX_PAIRS = 1_000_000
 #: Pairs per row below which no shorter way to them is looked for.
 FEW_PAIRS = 16
+#: Pairs that one task counts.
+PAIRS_PER_TASK = 500_000
 SAME_NAME, FUZZY_NAME, FUZZY_GAIN, FUZZY_FROM = 0.65, 0.45, 0.15, 0.86
 OVERLAP_WEIGHT, UNIQUE_WEIGHT, ID_BONUS = 0.35, 0.15, 0.10
 DATE_NAMES = ("date", "time", "timestamp", "created", "updated", "dt")
@@ -204,7 +206,11 @@ def cosine_pairs(baskets: DataFrame, basket: str, item: str, at_least: int = 1,
         heads = _smallest_baskets(rows, at_least) if by_prefix or pairs > FEW_PAIRS * many else None
         if heads is not None and (by_prefix or _cheaper(heads, rows)):
             return _with_similarity(_counted(_pairs(heads, parts).distinct(), rows), at_least)
-    counted = _pairs(rows, parts).groupBy("a", "b").agg(F.count("*").alias("together"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        # Few pairs repeat: counting them before they are dealt would only hold nearly all of a task's pairs in its memory.
+        dealt = _pairs(rows, parts).repartition(max(1, math.ceil(pairs / PAIRS_PER_TASK)), "a", "b")
+    else:
+        dealt = _pairs(rows, parts)
+    counted = dealt.groupBy("a", "b").agg(F.count("*").alias("together"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return _with_similarity(counted, at_least)
 
 
