@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from millrace.operators import sampling as S
@@ -14,6 +16,8 @@ from millrace.sources import delimited as D
 from millrace.sources import files as L
 
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+#: Rows of a file, and of the task that writes it, where a table is written as many files.
+ROWS_PER_FILE = 250_000
 
 
 def _written(spark, df, label, fmt="csv", **options):
@@ -67,7 +71,9 @@ def blank_columns_dropped(spark, sf):
 
 @query("read_parquet_folder", "A6", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders, round(sum(l_extendedprice), 2) AS total FROM lineitem")
 def read_parquet_folder(spark, sf):
-    path = _written(spark, t(spark, sf, "lineitem").repartition(6), "many-files", "parquet")
+    lines = t(spark, sf, "lineitem")
+    files = max(6, math.ceil(lines.count() / ROWS_PER_FILE))
+    path = _written(spark, lines.repartition(files), "many-files", "parquet")
     rows = L.read_parquet(spark, f"{path}/*.parquet")
     return rows.agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 

@@ -198,3 +198,50 @@ def test_totals_over_groups(spark, rows, found, kept):
     totals = G.total_rows(body)
     assert sorted((r["row"], r["kind"]) for r in totals.collect()) == found
     assert sorted(r["row"] for r in G.labelled_rows_kept(body, totals).collect()) == kept
+
+
+def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = {(k, rnd.randrange(12)) for k in range(60) for _ in range(3)}
+    baskets = {}
+    for k, i in rows:
+        baskets.setdefault(k, set()).add(i)
+    want = {}
+    for items in baskets.values():
+        for a in items:
+            for b in items:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    monkeypatch.setattr(J, "PAIRS_PER_TASK", sum(want.values()) // 7)
+    found = J.cosine_pairs(spark.createDataFrame(sorted(rows), "k int, i int"), "k", "i", at_least=2)
+    assert {(r["a"], r["b"]): r["together"] for r in found.collect()} == {k: n for k, n in want.items() if n > 1}
+    assert found.rdd.getNumPartitions() in (7, 8)
+
+
+def test_many_files_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from millrace.plans import source_queries as Q
+
+    spark.range(1000).selectExpr("id div 4 AS l_orderkey", "1.5D AS l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = []
+    monkeypatch.setattr(Q, "_written", lambda s, df, *a, written=Q._written: parts.append(df.rdd.getNumPartitions()) or written(s, df, *a))
+    monkeypatch.setattr(Q, "ROWS_PER_FILE", 90)
+    assert [tuple(r) for r in Q.read_parquet_folder(spark, str(tmp_path)).collect()] == [(1000, 250, 1500.0)] and parts == [12]
+
+
+def test_figures_of_one_file_are_read_by_all_cores(spark, tmp_path, monkeypatch):
+    from millrace.operators import claims as C
+
+    texts = ["Up 1,234.5 to −$3.25 million or 12 %.", "Of 7 in 2021, 5 percent; 2.50bn and 40 percent.", None, "Ünlü: 3 000,5 £12k x9 8.125", ""]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id int, position int, claim string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    claims = spark.read.parquet(str(tmp_path / "c"))
+    found = {(r["id"], r["raw"].strip(), r["value"], r["is_percent"], r["decimals"], r["is_scaled"]) for r in C.stated_numbers(claims, "id").collect()}
+    assert found == {
+        (0, "1,234.5", 1234.5, False, 1, False), (0, "-3.25 million", -3.25e6, False, 2, True), (0, "12 %", 12.0, True, 0, False),
+        (1, "7", 7.0, False, 0, False), (1, "2021", 2021.0, False, 0, False), (1, "5 percent", 5.0, True, 0, False),
+        (1, "2.50bn", 2.5e9, False, 2, True), (1, "40 percent", 40.0, True, 0, False),
+        (3, "3", 3.0, False, 0, False), (3, "000", 0.0, False, 0, False), (3, "5", 5.0, False, 0, False), (3, "12k", 12e3, False, 0, True), (3, "8.125", 8.125, False, 3, False)}
+    parts = []
+    monkeypatch.setattr(C, "cut_lineage", lambda df, cut=C.cut_lineage: parts.append(df.rdd.getNumPartitions()) or cut(df))
+    left = C.invented_numbers(claims, "id", spark.createDataFrame([(12.0,), (0.05,), (40.0,)], "k double"), "k")
+    assert sorted((r["id"], r["value"]) for r in left.collect())[:2] == [(0, -3.25e6), (0, 1234.5)]
+    assert parts == [spark.sparkContext.defaultParallelism]
