@@ -21,6 +21,8 @@ WINDOW = 2048
 END_ID = 1
 #: Distinct pieces whose ids one worker remembers before it starts anew: about 60 MB.
 REMEMBERED = 300_000
+#: Documents tokenized at once.
+ENCODED_ROWS = 512
 
 #: Texts of these characters only (ASCII and Latin letters) are cut by the standard library's faster expressions, which
 #: agree there with the tokenizer's Unicode classes. Any other text goes through the whole tokenizer.
@@ -97,14 +99,16 @@ def tokenized(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, dtype = token_encoder(tokenizer)
         width, part, at = int(dtype[-1]), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = [ids_of(t) if t else b"" for t in batch.column(1).to_pylist()]
-            n = np.array([len(x) // width + 1 for x in ids], np.int64)
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)],
-                schema=pa.schema([pa.field(id_col, batch.column(0).type), ("ids", pa.binary()), ("n", pa.int64()), ("_part", pa.int32()), ("_at", pa.int64())]))
-            at = int(ends[-1]) if len(n) else at
+        for whole in batches:
+            # A few rows at a time: the texts and ids of a whole batch as Python objects would be several times its size.
+            for batch in (whole.slice(lo, ENCODED_ROWS) for lo in range(0, whole.num_rows, ENCODED_ROWS)):
+                ids = [ids_of(t) if t else b"" for t in batch.column(1).to_pylist()]
+                n = np.array([len(x) // width + 1 for x in ids], np.int64)
+                ends = at + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)],
+                    schema=pa.schema([pa.field(id_col, batch.column(0).type), ("ids", pa.binary()), ("n", pa.int64()), ("_part", pa.int32()), ("_at", pa.int64())]))
+                at = int(ends[-1])
         # The encoder stays in the worker, which other stages use next; the pieces it remembers do not.
         getattr(ids_of, "forget", lambda: None)()
         give_back()
