@@ -4,8 +4,9 @@ The graph has one node per different shingle set, so copies of a document never
 first verified against one pivot only, which settles large groups of near copies in linear work. What such a group leaves
 open is the pairs of different groups that share a bucket. Jaccard distance is a metric, so members of the pivot's group
 that lie nearer to it, by more than the link distance, than every outsider are ruled out exactly. The members left
-are compared by their signatures, in blocks of bounded size: first each outsider's likeliest partner in every other group is
-verified, which joins most groups; then each pair that may be similar enough and still lies in two groups.
+are compared by their signatures, in blocks of bounded size: first only those are sought that have any partner that may be
+similar enough; then these meet with their full sets, and are verified inside the blocks. A block gives no more links
+than join its groups, so what leaves it grows with its members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +30,8 @@ BANDS, ROWS = 48, 6
 #: Members per side of a block in which signatures are compared, and the share of equal components from which on a pair is
 #: verified: 4 standard deviations below the threshold, so 5 of 100,000 pairs at the threshold itself fall below it.
 BLOCK, MAYBE = 1024, 0.64
-#: Components of the longer signature of a node that is still open then, one bit of each, and the similarity by it from which on
-#: a pair is verified: again 4 standard deviations (0.015 each) below the threshold.
-DETAIL, LIKELY = 2048, 0.69
+#: Shingles per side of a block in which full sets are compared.
+BLOCK_SHINGLES = 1 << 20
 #: Shingles whose permutations are drawn at once, and sets from which on they are traced back instead of kept, both for
 #: signatures of BANDS * ROWS components.
 CHUNK, LARGE = 20_000, 256
@@ -324,68 +324,96 @@ def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(mixed, "p")
 
 
-def _detailed(sets: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, sig, detail): a byte per component of the wanted nodes' signatures, a bit per component of their longer ones."""
+def _in_blocks(members: DataFrame, wide: DataFrame) -> GroupedData:
+    """``members`` (p, node, label, n) in blocks (p, _l, _r): outsiders of their pivot's largest group on the left, all on the right.
+
+    Both sides are dealt by their node into blocks of about ``BLOCK`` members, and with ``shingles`` of about ``BLOCK_SHINGLES`` of
+    these, so one group of any size is met only by its outsiders. The columns of ``wide`` (node, sig, shingles) join by the node once
+    blocks are planned, so no task holds those of a pivot's members.
+    """
+    carried = [c for c in wide.columns if c != "node"]
+    load = F.greatest(F.lit(1 / BLOCK), F.col("n") / BLOCK_SHINGLES) if "shingles" in carried else F.lit(1 / BLOCK)
+    sizes = members.groupBy("p", "label").agg(F.count(F.lit(1)).alias("_size"), F.sum(load).alias("_load"))
+    largest = sizes.groupBy("p").agg(F.max(F.struct("_size", (-F.col("label")).alias("_neg"), "_load")).alias("_top"), F.sum("_load").alias("_all"))
+    plan = largest.select(
+        "p", (-F.col("_top._neg")).alias("_main"), F.ceil("_all").alias("_rights"),
+        F.greatest(F.lit(1), F.ceil(F.col("_all") - F.col("_top._load"))).cast("long").alias("_lefts"))
+    dealt = members.join(plan, "p").withColumn("main", F.col("label") == F.col("_main")).join(wide, "node")
+    place, row = F.xxhash64("node"), ["node", "label", "main", "n", *carried]
+    left = dealt.where("NOT main").select(
+        "p", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), *row)
+    right = dealt.select(
+        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), *row)
+    return left.unionByName(right).groupBy("p", "_l", "_r")
+
+
+def _maybe_alike(block: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a block: a row of the left side, with the right rows of other groups whose signatures agree in ``MAYBE`` of their components.
+
+    Sets that differ so much in size that they cannot be linked are left out. Two outsiders meet in two blocks, and are told of in
+    that one where the left one's node is the smaller.
+    """
+    on_left, main = block["_left"].to_numpy(), block["main"].to_numpy()
+    node, label, n = (block[c].to_numpy() for c in ("node", "label", "n"))
+    sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+    (other,) = np.nonzero(~on_left)
+    for i in np.flatnonzero(on_left):
+        fits = 100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i])
+        against = other[(label[other] != label[i]) & (main[other] | (node[other] > node[i])) & fits]
+        near = against[(sig[against] == sig[i]).sum(axis=1) >= MAYBE * sig.shape[1]]
+        if len(near):
+            yield i, near
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 64):
-                batch = whole.slice(lo, 64)
-                components = signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)], DETAIL)
-                low = pa.array([x.tobytes() for x in np.packbits((components & np.uint64(1)).astype(np.uint8), axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), low], names=["node", "detail"])
 
-    longer = sets.join(wanted, "node").select("node", "shingles").mapInArrow(sign, "node long, detail binary")
-    return written(signed.select("node", "sig").join(longer, "node"), "detailed", "lz4")
+def _with_partner(members: DataFrame, wide: DataFrame) -> DataFrame:
+    """The (p, node) of ``members`` (p, node, label, n) that may, by ``wide`` (node, sig), be linked with a member of another group."""
 
+    def seek(block: pa.Table) -> pa.Table:
+        found = np.zeros(block.num_rows, bool)
+        for i, near in _maybe_alike(block):
+            found[i] = found[near] = True
+        return block.filter(pa.array(found)).select(["p", "node"])
 
-def _maybe_linked(members: DataFrame, signed: DataFrame, likeliest: bool) -> DataFrame:
-    """(a, b): pairs of different groups with one pivot whose signatures agree in at least ``MAYBE`` of their components.
+    return _in_blocks(members, wide).applyInArrow(seek, "p long, node long").distinct()
 
-    With ``likeliest``, only the pair that agrees most of each left node and other group; else only the pairs whose longer
-    signatures show a similarity of at least ``LIKELY``, which is 2 x - 1 where x of the bits agree.
 
-    ``members`` (p, node, label) meet in blocks: those outside their pivot's largest group on the left, all on the right. Both
-    sides are dealt into blocks of about ``BLOCK`` by their node, so no task holds a pivot's members, and one group of any size is met
-    only by its outsiders. Only the pairs found leave a block.
+def _block_links(members: DataFrame, wide: DataFrame) -> DataFrame:
+    """(a, b): links between different groups of ``members`` (p, node, label, n), compared on full sets: ``wide`` (node, sig, shingles).
+
+    A pair whose groups are joined by links of the same block needs no comparison, so each link given joins two groups that were apart.
     """
-    carried = ["sig"] if likeliest else ["sig", "detail"]
-    sizes = members.groupBy("p", "label").agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.groupBy("p").agg(F.max(F.struct("_size", (-F.col("label")).alias("_neg"))).alias("_top"), F.sum("_size").alias("_all"))
-    plan = largest.select(
-        "p", (-F.col("_top._neg")).alias("_main"), F.ceil(F.col("_all") / BLOCK).alias("_rights"),
-        F.ceil((F.col("_all") - F.col("_top._size")) / BLOCK).alias("_lefts"))
-    dealt = members.select("p", "node", "label").join(plan, "p").join(signed.select("node", *carried), "node")
-    place = F.xxhash64("node")
-    left = dealt.where("label <> _main").select(
-        "p", F.pmod(place, "_lefts").alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rights") - 1)).alias("_r"), F.lit(True).alias("_left"), "node", "label", *carried)
-    right = dealt.select(
-        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lefts") - 1)).alias("_l"), F.pmod(place, "_rights").alias("_r"), F.lit(False).alias("_left"), "node", "label", *carried)
 
     def meet(block: pa.Table) -> pa.Table:
-        on_left = block["_left"].to_numpy()
-        node, label = block["node"].to_numpy(), block["label"].to_numpy()
-        sig, detail = (np.frombuffer(b"".join(block[c].to_pylist()), np.uint8).reshape(len(node), -1) for c in (carried[0], carried[-1]))
-        found, (other,) = [np.zeros((0, 4), np.int64)], np.nonzero(~on_left)
-        for i in np.flatnonzero(on_left):
-            against = other[label[other] != label[i]]
-            agree = (sig[against] == sig[i]).sum(axis=1)
-            near = np.flatnonzero(agree >= MAYBE * sig.shape[1])
-            if not likeliest:
-                unlike = np.bitwise_count(detail[against[near]] ^ detail[i]).sum(axis=1)
-                near = near[1 - 2 * unlike / DETAIL >= LIKELY]
-            else:
-                near = near[np.lexsort((node[against[near]], -agree[near]))]
-                near = near[np.unique(label[against[near]], return_index=True)[1]]
-            partners = against[near]
-            found.append(np.column_stack([np.full(len(near), node[i]), node[partners], label[partners], agree[near]]))
-        return pa.table(dict(zip(("node", "partner", "group", "agree"), np.concatenate(found).T.copy(), strict=True)))
-
-    found = left.unionByName(right).groupBy("p", "_l", "_r").applyInArrow(meet, "node long, partner long, group long, agree long")
-    if likeliest:
-        top = F.max(F.struct("agree", (-F.col("partner")).alias("_neg"))).alias("_top")
-        found = found.groupBy("node", "group").agg(top).select("node", (-F.col("_top._neg")).alias("partner"))
-    return found.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+        node, label = block["node"].to_numpy(), block["label"].to_pylist()
+        sets = [np.frombuffer(s, np.uint64) for s in block["shingles"].to_pylist()]
+        parent, links = {x: x for x in label}, []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, near in _maybe_alike(block):
+            mine = sets[i]
+            near = [j for j in near if find(label[j]) != find(label[i])]
+            # A few at a time, so that what the first ones join spares the rest.
+            for lo in range(0, len(near), 16):
+                some = [j for j in near[lo : lo + 16] if find(label[j]) != find(label[i])]
+                if not some:
+                    continue
+                lengths = np.array([len(sets[j]) for j in some])
+                theirs = np.concatenate([sets[j] for j in some])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64)
+                for j in np.array(some)[100 * both >= PERCENT * (len(mine) + lengths - both)]:
+                    one, two = find(label[i]), find(label[j])
+                    if one != two:
+                        parent[max(one, two)] = min(one, two)
+                        links.append(sorted((node[i], node[j])))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T.copy()
+        return pa.table({"a": a, "b": b})
+
+    return _in_blocks(members, wide).applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,7 +427,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     signed = _signed(docs)
-    classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", "lz4")
     pairs = written(_pivot_pairs(classes), "pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -408,17 +436,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     linked = f"100 * both >= {PERCENT} * either"
     labels = written(grouped(tested.where(linked)), "labels")
 
-    # Pivots whose members are one group by now are done; of the others, members of different groups are compared by signature.
-    # The likeliest pairs come first: whatever they join needs no further comparison.
+    # Pivots whose members are one group by now are done; of the others, members of different groups are compared in blocks.
     left = tested.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("d"))
-    for likeliest in (True, False):
-        left = written(_still_open(left, labels), "open")
-        if left.isEmpty():
-            break
-        signed_open = classes if likeliest else _detailed(sets, classes, left.select("node").distinct())
-        more = _maybe_linked(left, signed_open, likeliest).join(tested, ["a", "b"], "left_anti")
-        tested = tested.unionByName(written(_verified(more, sets), "tested"))
-        labels = written(grouped(tested.where(linked)), "labels")
+    left = written(_still_open(left, labels).join(classes.select("node", "n"), "node").drop("d"), "open")
+    if not left.isEmpty():
+        signs = classes.select("node", "sig")
+        left = left.join(written(_with_partner(left, signs), "partnered"), ["p", "node"])
+        more = written(_block_links(left, signs.join(sets, "node")), "linked")
+        labels = written(grouped(tested.where(linked).select("a", "b").unionByName(more)), "labels")
 
     named = _labelled(classes.select("cls", "node", "rep"), labels)
     components = named.groupBy("label").agg(F.min("rep").alias("component"))

@@ -208,6 +208,62 @@ def test_near_copies_of_chains_and_large_groups(spark):
     assert by_id(out, "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_texts_that_are_nearly_near_copies_stay_in_their_blocks(spark, monkeypatch):
+    """Many texts a little below the threshold, in small groups: pairs are verified in blocks, and only links leave these."""
+    seen, verified = [], nearcopies._verified
+
+    def counting(pairs, sets):
+        seen.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(nearcopies, "_verified", counting)
+    centre, rows = words(260, 4).split(), []
+    for i in range(80):
+        t = list(centre)
+        for k, factor in enumerate((37, 83, 59, 101)):
+            t[(i // 2 * factor + 65 * k) % 260] = f"x{i // 2}"
+        t[(i * 13 + 7) % 260] = f"z{i}"
+        rows.append((i, " ".join(t), None, None, 0))
+    out = nearcopies.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert by_id(out, "n_shingles", "component_id") == brute_components(rows)
+    assert len(seen) == 1  # pivot pairs only
+
+
+def test_block_links_against_brute_force(spark, monkeypatch):
+    """Blocks cut small by members and by shingles give all components, and no more links than join them."""
+    shingle, r = nearcopies.Shingler(), random.Random(8)
+    centre, texts = words(60, 5).split(), []
+    for i in range(120):
+        t = list(centre)
+        for _ in range(r.randrange(5)):
+            t[r.randrange(60)] = f"x{i}"
+        texts.append(" ".join(t))
+    sets = list({nearcopies._digest(s): s for s in map(shingle, texts)}.values())
+    low = nearcopies.signatures(sets).astype(np.uint8)
+    rows = [(7, i, i, len(s), low[i].tobytes(), s.tobytes()) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "p long, node long, label long, n long, sig binary, shingles binary")
+    members, wide = table.select("p", "node", "label", "n"), table.select("node", "sig", "shingles")
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+
+    def labels(links):
+        of = list(range(len(sets)))
+        for _ in of:
+            for a, b in links:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    for block, shingles in ((1024, 1 << 20), (16, 1 << 20), (1024, 600)):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", shingles)
+        links = [tuple(x) for x in nearcopies._block_links(members, wide).collect()]
+        assert set(links) <= near and labels(links) == labels(near)
+        if block == 1024 and shingles > 600:
+            assert len(links) == len(sets) - len(set(labels(near)))
+        partnered = {x.node for x in nearcopies._with_partner(members, wide.drop("shingles")).collect()}
+        assert partnered >= {x for pair in near for x in pair}
+
+
 def test_superminhash_is_the_element_by_element_algorithm():
     shingle = nearcopies.Shingler()
     small, large = shingle(words(40, 5)), shingle(LONG)
