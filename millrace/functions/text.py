@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import pandas as pd
@@ -68,20 +70,22 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-# What the scrub looks for, in order, with the mask it leaves. Each rule is led by the lower-case pieces one of
-# which a text must hold for the rule to be able to match; no pieces means the rule is always tried.
+# What the scrub looks for, in order, with the mask it leaves. Each rule is led by the pieces one of which a
+# text must hold for the rule to be able to match, in lower case where the rule ignores case; no pieces means the rule is always tried.
 _LABELS = (r"pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|"
            r"private[ _-]?key|client[ _-]?secret|credentials?|auth(?:orization)?")
 _EXTENSIONS = (r"csv|tsv|xlsx?|xlsm|xlsb|parquet|json|jsonl|ndjson|txt|pdf|docx?|pptx?|sql|db|"
                r"sqlite|zip|gz|tar|pkl|pickle|feather|orc|avro|xml|ya?ml|log|ipynb|sav|dta")
+# What Java takes for i and s where case does not count, besides these, in lower case.
+_LOOKALIKES = ("ı", "i\u0307", "ſ")
 SCRUB_RULES = (
-    (("-----begin",), "credential", r"(?s)-----BEGIN [A-Z ]{0,40}-----.*?(?:-----END [A-Z ]{0,40}-----|$)", "[secret]"),
+    (("-----BEGIN",), "credential", r"(?s)-----BEGIN [A-Z ]{0,40}-----.*?(?:-----END [A-Z ]{0,40}-----|$)", "[secret]"),
     (("://",), "url", r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://\S+", "[url]"),
     (("www.",), "url", r"(?i)\bwww\.[^\s]+", "[url]"),
     (("bearer",), "credential", r"(?i)\bbearer\s+[A-Za-z0-9._~+/=\-]{8,}", "[secret]"),
-    ((), "credential", rf"(?i)\b({_LABELS})(\s*[:=]\s*|\s+is\s+)\S+", "$1 [secret]"),
+    (("pass", "pwd", "secret", "token", "key", "credential", "auth", *_LOOKALIKES), "credential", rf"(?i)\b({_LABELS})(\s*[:=]\s*|\s+is\s+)\S+", "$1 [secret]"),
     ((), "credential", r"\b(?:sk|pk|rk|gsk|ghp|gho|ghs|ghu|glpat|xox[baprs]|AIza|ya29)[-_.]?[A-Za-z0-9_\-]{12,}", "[secret]"),
-    (("akia", "asia"), "credential", r"\b(?:AKIA|ASIA)[0-9A-Z]{12,}", "[secret]"),
+    (("AKIA", "ASIA"), "credential", r"\b(?:AKIA|ASIA)[0-9A-Z]{12,}", "[secret]"),
     (("ey",), "credential", r"\bey[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*", "[secret]"),
     (("@",), "email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", "[email]"),
     (('"', "“"), "literal", r"\"[^\"\n]{1,200}\"|[“][^”\n]{1,200}[”]", "[value]"),
@@ -98,6 +102,15 @@ SCRUB_RULES = (
     ((), "credential", r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{24,}(?![A-Za-z0-9_\-]))(?=[A-Za-z0-9_\-]*[a-z])"
                    r"(?=[A-Za-z0-9_\-]*[A-Z])(?=[A-Za-z0-9_\-]*\d)[A-Za-z0-9_\-]{24,}", "[secret]"),
 )
+# Parts of rules, by the rule. A match of the rule holds one of its part, which starts at a rare character, so it is found or
+# ruled out at a fraction of the rule's cost; the rule is tried only on texts where it is found.
+SCRUB_PARTS = {
+    rf"(?i)[\w\-.()]+\.(?:{_EXTENSIONS})\b": rf"(?i)\.(?:{_EXTENSIONS})\b",
+    r"\b[A-Z]{2}\d{2}[ ]?(?:[A-Z0-9]{4}[ ]?){2,7}[A-Z0-9]{1,4}\b": r"[A-Z]{2}\d{2}",
+    r"\b\d{1,4}[/.]\d{1,2}[/.]\d{2,4}\b": r"\d[/.]\d{1,2}[/.]\d{2}",
+    r"(?<![\w.])(?=\+?\(?(?:[\s\-.()]*\d){6})\+?\(?\d[\d\s\-.()]{4,}\d(?!\w)": r"\d(?:[\s\-.()]*\d){5}",
+    SCRUB_RULES[-1][2]: "[0-9]",
+}
 # Invisible marks that are taken out and control characters that become a space.
 INVISIBLE = "[​-‏‪-‮⁠-⁤﻿­]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -109,27 +122,35 @@ def scrub(df, column: str, out: str = "cleaned", limit: int | None = None, norma
 
     The whole text is processed. ``limit`` caps only what is kept afterwards, never inside a mask.
     """
-    text = nfkc(F.col(column)) if normalise else F.col(column)
-    work = df.withColumn("_t", text).withColumn(
-        "_t", F.regexp_replace(F.regexp_replace("_t", INVISIBLE, ""), CONTROL, " "))
+    # ASCII text is its own normal form and has no invisible marks. Plain patterns read it exactly as Unicode-aware ones do, several times
+    # faster. Masks are ASCII, so what is ASCII stays so.
+    own, plain = F.col(column), F.col("_plain")
+    work = df.withColumn("_plain", F.length(own) == F.octet_length(own))
+    other = F.when(~plain, own)
+    if normalise:
+        # A step of its own, or the texts would be normalised once per use.
+        work = work.withColumn("_t", nfkc(other))
+        other = F.col("_t")
+    work = work.withColumn("_t", F.regexp_replace(F.when(plain, own).otherwise(F.regexp_replace(other, INVISIBLE, "")), CONTROL, " "))
     work = work.withColumns({f"n_{c}": F.lit(0) for c in SCRUB_CATEGORIES})
+    t = F.col("_t")
     for pieces, category, pattern, mask in SCRUB_RULES:
-        # Plain patterns read ASCII text exactly as Unicode-aware ones do, several times faster.
-        t, ascii_only = F.col("_t"), F.length("_t") == F.octet_length("_t")
-        done = F.when(ascii_only, F.regexp_replace(t, pattern, mask)).otherwise(F.regexp_replace(t, "(?U)" + pattern, mask))
+        done = F.when(plain, F.regexp_replace(t, pattern, mask)).otherwise(F.regexp_replace(t, "(?U)" + pattern, mask))
         if pieces:
-            possible = F.lit(False)
-            for piece in pieces:
-                possible = possible | F.lower(t).contains(piece)
-            done = F.when(possible, done).otherwise(t)
-        work = work.withColumn("_n", done)
+            looked = t
+            if pattern.startswith("(?i)"):
+                work, looked = work.withColumn("_low", F.lower(t)), F.col("_low")
+            done = F.when(reduce(or_, [looked.contains(piece) for piece in pieces]), done).otherwise(t)
+        if part := SCRUB_PARTS.get(pattern):
+            done = F.when(F.when(plain, F.rlike(t, F.lit(part))).otherwise(F.rlike(t, F.lit("(?U)" + part))), done).otherwise(t)
+        work = work.withColumn("_n", done).drop("_low")
         hits = F.when(F.col("_n") != t, F.regexp_count(t, F.lit("(?U)" + pattern))).otherwise(0)
         work = work.withColumns({f"n_{category}": F.col(f"n_{category}") + hits, "_t": F.col("_n")}).drop("_n")
-    clean = F.trim(F.regexp_replace("_t", r"(?U)\s+", " "))
+    clean = F.trim(F.when(plain, F.regexp_replace("_t", r"\s+", " ")).otherwise(F.regexp_replace("_t", r"(?U)\s+", " ")))
     if limit:
         cut = F.regexp_replace(F.rtrim(F.substring(clean, 1, limit)), r"\[[a-z]*$", "")
         clean = F.when(F.length(clean) > limit, F.concat(F.rtrim(cut), F.lit("…"))).otherwise(clean)
-    return work.withColumn(out, F.when(clean != "", clean)).drop("_t")
+    return work.withColumn(out, F.when(clean != "", clean)).drop("_t", "_plain")
 
 
 # The word splitter for names and the mask they leave.

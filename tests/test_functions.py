@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import random
 import re
 import unicodedata
 
@@ -97,6 +98,31 @@ def test_scrub_counts_and_limit(spark):
     assert row["n_email"] == 6 and row["cleaned"] == "[email] [email]…"
 
 
+def test_scrub_parts_rule_out_no_match(spark):
+    """Texts of which a rule's part or pieces are missing hold no match: the scrub is that of all rules one by one."""
+    r = random.Random(5)
+    bits = ["pass", "PASSWORD", "toKen", "AP\u0130_KEY", "ap\u0131 key", ": ", " is ", "=", "abc123DEF456ghi789JKL012mno", "sk-", "report", ".csv", ".XLSX", "é",
+            " ", "\n", "12", "/", ".", "2024", "٣٤", "１２", "(", ")", "-", "+", "GB29", "NWBK", "6016", "1331", "a@b.org", "www.", "'", '"', "AKIA", "akia",
+            "ABCDEFGHIJKL12", "eyJhbGciOi", "Bearer ", "abcdefgh", "/home/u/", "-----BEGIN KEY-----", "\u200b", "\x07", "0123456789abcdef0123456789abcdef"]
+    texts = ["".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randrange(1, 20))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [x["cleaned"] for x in X.scrub(rows, "t").orderBy("i").collect()] == [brute_scrub(t) for t in texts]
+    patterns = [p for _, _, p, _ in X.SCRUB_RULES]
+    for pattern, part in X.SCRUB_PARTS.items():
+        assert pattern in patterns and all(re.search(part, t) for t in texts if re.search(pattern, t))
+
+
+def test_scrub_normalises_only_what_is_not_ascii(spark, monkeypatch):
+    @F.pandas_udf("string")
+    def strict(texts):
+        assert not any(t is not None and t.isascii() for t in texts)
+        return texts
+
+    monkeypatch.setattr(X, "nfkc", strict)
+    rows = spark.createDataFrame([(0, "plain a@b.org"), (1, "été a@b.org"), (2, None)], "i int, t string")
+    assert [x["cleaned"] for x in X.scrub(rows, "t").orderBy("i").collect()] == ["plain [email]", "été [email]", None]
+
+
 def test_names_are_stripped(spark):
     texts = ["sum order date byRegion please", "the regions, (region) and subregional", "valid video paid id ids", "nothing here"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
