@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import batched, pairwise
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -15,8 +20,8 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, Imputer, IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +43,10 @@ PSI_WARN, PSI_ALERT = 0.1, 0.2
 UNSTABLE, OPTIMISTIC, LOW_QUALITY = 0.15, 0.1, 60
 REVIEW_SHARE, REVIEW_FLOOR = 0.09, 0.25
 INTERVAL_Z = 1.96
+# Trees: bins per number (Spark's own default), rows that one task fits as they are, rows per cell that make cells worth while.
+BINS, ROWS_PER_TASK, ROWS_PER_CELL = 32, 50_000, 10
+# Cells that a task sums up before it hands them on, and trees that score in one plan.
+HELD_CELLS, TREES_AT_ONCE = 10_000, 20
 
 
 def infer_tasks(df: DataFrame, targets: Sequence[str]) -> DataFrame:
@@ -162,23 +171,194 @@ def label_vocabulary(df: DataFrame, target: str, most: int = 10_000) -> list[str
     return sorted(names)
 
 
+def bin_edges(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """Edges of at most ``BINS`` bins per column: one per value where the values are that few, else quantiles of all rows."""
+    found = []
+    for c, cuts in zip(columns, df.approxQuantile(list(columns), [i / BINS for i in range(1, BINS)], 0.001), strict=True):
+        values = sorted(r[0] for r in df.select(c).distinct().limit(BINS + 1).collect())
+        if len(values) <= BINS:
+            cuts = [(a + b) / 2 for a, b in pairwise(values)] or values
+        found.append([-np.inf, *sorted({x for x in cuts if np.isfinite(x)} or {0.0}), np.inf])
+    return found
+
+
+def binner(df: DataFrame, features: Sequence[str]) -> tuple[PipelineModel, list[str]]:
+    """(stages that add ``binned`` to prepared rows, the columns it is made of). Trees see numbers by their bins only."""
+    numbers = [c for c in features if kind_of(df.schema[c]) == "numeric"]
+    labels = [c for c in features if c not in numbers]
+    stages = []
+    if numbers:
+        filled = [f"{c}__i" for c in numbers]
+        places = [f"{c}__k" for c in numbers]
+        # A bucketizer marks its bins as unordered levels; plain numbers lose that mark.
+        plain = ", ".join(f"`{k}` + 0D AS `{c}__b`" for k, c in zip(places, numbers, strict=True))
+        stages += [Bucketizer(splitsArray=bin_edges(df, filled), inputCols=filled, outputCols=places, handleInvalid="keep"),
+                   SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__")]
+    parts = [f"{c}__b" for c in numbers] + [f"{c}__h" for c in labels]
+    stages.append(VectorAssembler(inputCols=parts, outputCol="binned"))
+    return PipelineModel(stages), [f"{c}__b" for c in numbers] + [f"{c}__x" for c in labels]
+
+
+def bag_sums(points: DataFrame, cell: Sequence[str], trees: int, seed: int) -> DataFrame:
+    """(``cell``, bag): per tree the weight and the sum of ``label`` that a bootstrap of ``points`` puts into the cell.
+
+    Every point is drawn a Poisson number of times for every tree, as Spark's forest does it; the tasks sum up as they draw.
+    """
+    cell = list(cell)
+
+    def sums(parts):
+        draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        held: dict[bytes, np.ndarray] = {}
+
+        def handed_on():
+            keys = np.array([np.frombuffer(k) for k in held])
+            out = pd.DataFrame(dict(zip(cell, keys.T, strict=True)))
+            out["_w"], out["_s"] = [v[0] for v in held.values()], [v[1] for v in held.values()]
+            held.clear()
+            return out
+
+        for part in parts:
+            if part.empty:
+                continue
+            keys, at = np.unique(part[cell].to_numpy("float64"), axis=0, return_inverse=True)
+            order = np.argsort(at.ravel(), kind="stable")
+            starts = np.searchsorted(at.ravel()[order], np.arange(len(keys)))
+            times = draw.poisson(part["weight"].to_numpy()[order, None], (len(part), trees)).astype("float64")
+            w = np.add.reduceat(times, starts)
+            s = np.add.reduceat(times * part["label"].to_numpy()[order, None], starts)
+            for i, key in enumerate(keys):
+                k = key.tobytes()
+                if k in held:
+                    held[k] += (w[i], s[i])
+                else:
+                    held[k] = np.array((w[i], s[i]))
+            if len(held) >= HELD_CELLS:
+                yield handed_on()
+        if held:
+            yield handed_on()
+
+    schema = ", ".join([*[f"`{c}` double" for c in cell], "_w array<double>", "_s array<double>"])
+    columns = [*dict.fromkeys([*cell, "label", "weight"])]
+    each = points.select(*columns).mapInPandas(sums, schema).select(*cell, F.posexplode(F.arrays_zip("_w", "_s")).alias("tree", "_"))
+    total = each.groupBy(*cell, "tree").agg(F.sum("_._w").alias("weight"), F.sum("_._s").alias("total"))
+    return total.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("tree", "weight", "total"))).alias("bag"))
+
+
+class BaggedTrees(Model):
+    """Trees that were fitted one by one on their bags; a cell is scored once and its rows take the mean from there."""
+
+    def __init__(self, trees: Sequence[Model], keys: Sequence[str], classes: int):
+        super().__init__()
+        self.trees, self.keys, self.classes = list(trees), list(keys), classes
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        seen = cut_lineage(dataset.select(*self.keys, "binned").distinct())
+        parts = []
+        for some in batched(self.trees, TREES_AT_ONCE):
+            wide, said = seen, []
+            for i, tree in enumerate(some):
+                shown = {tree.predictionCol: f"_y{i}"}
+                if self.classes:
+                    shown |= {tree.probabilityCol: f"_p{i}", tree.rawPredictionCol: ""}
+                wide = tree.transform(wide, shown)
+                said.append(vector_to_array(F.col(f"_p{i}")) if self.classes else F.array(f"_y{i}"))
+            parts.append(wide.select(*self.keys, F.explode(F.array(*said)).alias("_v")))
+        width = max(self.classes, 1)
+        mean = reduce(DataFrame.unionByName, parts).groupBy(*self.keys).agg(F.array(*[F.avg(F.col("_v")[k]) for k in range(width)]).alias("_v"))
+        if self.classes:
+            best = F.array_position("_v", F.array_max("_v")) - 1
+            mean = mean.select(*self.keys, array_to_vector("_v").alias("probability"), best.cast("double").alias("prediction"))
+        else:
+            mean = mean.select(*self.keys, F.col("_v")[0].alias("prediction"))
+        return dataset.join(cut_lineage(mean), self.keys)
+
+
+def bagged_forest(points: DataFrame, cells: DataFrame, keys: Sequence[str], forest: Estimator, classes: int) -> BaggedTrees:
+    """The forest's trees, each fitted by Spark on the sums that its own bootstrap of all ``points`` leaves in the cells."""
+    cell = [*keys, "label"] if classes else list(keys)
+    trees, seed = forest.getNumTrees(), forest.getSeed()
+    kind = "sqrt" if classes else "onethird"  # what Spark takes for more than one tree
+    one = forest.copy({forest.numTrees: 1, forest.bootstrap: False, forest.featuresCol: "binned", forest.weightCol: "weight"})
+    if trees > 1:
+        one = one.copy({one.featureSubsetStrategy: kind})
+    vectors = cells.select(*keys, "binned").distinct()
+    bags = bag_sums(points, cell, trees, seed).join(vectors, list(keys)).select("binned", "bag").persist()
+
+    def fitted(i: int) -> Model:
+        drawn = bags.coalesce(bags_in).select("binned", F.col("bag")[i].alias("_b")).where("_b.weight > 0")
+        rows = drawn.select("binned", F.col("_b.weight").alias("weight"), _class_label(F.col("_b.total") / F.col("_b.weight"), classes))
+        return one.copy({one.seed: seed + i}).fit(rows)
+
+    try:
+        bags_in = -(-bags.count() // ROWS_PER_TASK)
+        with ThreadPool(8) as pool:  # as the cross validator does: fits on a few cells each
+            return BaggedTrees(pool.map(inheritable_thread_target(points.sparkSession)(fitted), range(trees)), keys, classes)
+    finally:
+        bags.unpersist()
+
+
+def _class_label(value: Column, classes: int) -> Column:
+    """``label``; the number of classes goes with it, as a bag may miss one."""
+    return value.alias("label", metadata={"ml_attr": {"type": "nominal", "name": "label", "num_vals": classes}}) if classes else value.alias("label")
+
+
 def train_panel(train: DataFrame, target: str, task: str, trees: int = 200, only: Sequence[str] = ()) -> dict[str, PipelineModel]:
-    """Fitted pipelines by candidate name; the features are prepared once and shared."""
+    """Fitted pipelines by candidate name; the features are prepared once and shared.
+
+    Many rows are dealt to as many tasks as they need. Trees tell rows apart by bins and levels only, so where rows share
+    their cells, boosting is fitted on one weighted row per cell (and class), which gives the same sums in every node, and the
+    forest on what its bootstraps of all rows sum up to in each cell.
+    """
     features = usable_features(train, target)
     levels = frequent_levels(train, features)
     rows, names = with_label(train, target, task)
     prepared = preprocessor(train, features).fit(ready_for_model(rows, features, levels))
-    ready = prepared.transform(ready_for_model(rows, features, levels)).select("features", "label").persist()
+    full = prepared.transform(ready_for_model(rows, features, levels))
+    classes = len(names)
+    wanted = {name: e for name, e in candidates(task, classes, trees).items() if not only or name in only}
+    ready = full.select("features", "label").persist()
+    held = [ready]
     fitted = {}
     try:
-        for name, estimator in candidates(task, len(names), trees).items():
-            if not only or name in only:
-                fitted[name] = (PipelineModel([prepared, estimator.fit(ready)]), features, levels, names)
+        n, cells, points = ready.count(), None, None
+        if n > ROWS_PER_TASK:
+            tasks = max(-(-n // ROWS_PER_TASK), train.sparkSession.sparkContext.defaultParallelism)
+            if set(wanted) - {"linear_regression", "logistic_regression"}:
+                stages, keys = binner(full, features)
+                points = stages.transform(full).select(*keys, "binned", "label", F.lit(1.0).alias("weight"))
+                by = [*keys, "binned", "label"] if classes else [*keys, "binned"]
+                value = F.first("label") if classes else F.avg("label")
+                cells = points.groupBy(*by).agg(F.count("*").cast("double").alias("weight"), value.alias("_label"))
+                cells = cells.select(*keys, "binned", "weight", _class_label(F.col("_label"), classes)).persist()
+                held.append(cells)
+                points = cells if classes else points.repartition(tasks)
+                n_cells = cells.count()
+                cells = cells.coalesce(-(-n_cells // ROWS_PER_TASK)) if n_cells * ROWS_PER_CELL <= n else None
+            if cells is None:
+                ready = ready.repartition(tasks).persist()
+                held.append(ready)
+        for name, estimator in wanted.items():
+            if cells is None or name in ("linear_regression", "logistic_regression"):
+                model = [estimator.fit(ready)]
+            elif name == "random_forest":
+                model = [*stages.stages, bagged_forest(points, cells, keys, estimator, classes)]
+            else:
+                model = [*stages.stages, _on_cells(estimator).fit(cells)]
+            fitted[name] = (PipelineModel([prepared, *model]), features, levels, names)
     finally:
-        ready.unpersist()
+        for df in held:
+            df.unpersist()
     return fitted
 
 
+def _on_cells(boosting: Estimator) -> Estimator:
+    """The same boosting on weighted cells."""
+    if isinstance(boosting, OneVsRest):
+        each = boosting.getClassifier()
+        return OneVsRest(classifier=_on_cells(each), labelCol="label", featuresCol="binned", weightCol="weight")
+    return boosting.copy({boosting.featuresCol: "binned", boosting.weightCol: "weight"})
+
+
 def score(fitted: tuple, rows: DataFrame, target: str, task: str) -> DataFrame:
     """Rows with ``label`` and ``prediction`` (and ``probability`` where the model gives one)."""
     model, features, levels, _ = fitted

@@ -156,3 +156,56 @@ def test_sparse_contract_takes_any_number_of_levels(spark):
     assert empty.collect() == [] and empty.columns == ["id", "x_scaled", "wide_level", "few_level", "features"]
     with pytest.raises(ValueError, match="missing"):
         M.apply_sparse_contract(new.drop("few"), contract)
+
+
+def test_trees_are_fitted_on_cells_where_many_rows_share_them(spark, monkeypatch):
+    from functools import partial
+
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    r = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        a, b, g = r.randrange(6), r.randrange(5), r.choice("uvw")
+        rows.append((float(a), b, g, 3.0 * a - b * (g == "u") + r.random(), "yes" if a + b + 3 * r.random() > 5 else "no"))
+    df = spark.createDataFrame(rows, "a double, b int, g string, y double, c string").repartition(2).cache()
+    monkeypatch.setattr(M, "candidates", partial(M.candidates, rounds=3))
+    given = []
+    for kind in (GBTRegressor, GBTClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, data, *rest, fit=kind.fit: (given.append(data.count()), fit(self, data, *rest))[1])
+    for target, other, task, most in (("y", "c", "regression", 90), ("c", "y", "binary_classification", 180)):
+        part, columns = df.drop(other), ["a", "b", "g"]
+        whole = M.train_panel(part, target, task, trees=10)
+        monkeypatch.setattr(M, "ROWS_PER_TASK", 500)
+        few = M.train_panel(part, target, task, trees=10)
+        monkeypatch.undo() if target == "c" else monkeypatch.setattr(M, "ROWS_PER_TASK", 50_000)
+        assert given[0] == 3000 and given[1] <= most
+        given.clear()
+        said = {}
+        for name, panel in (("whole", whole), ("few", few)):
+            for model in ("gradient_boosting", "random_forest"):
+                out = M.score(panel[model], part, target, task).groupBy(*columns).agg(F.max("prediction").alias("p"), F.count("*").alias("n")).collect()
+                said[name, model] = {tuple(x[c] for c in columns): x.p for x in out}
+                assert sum(x.n for x in out) == 3000
+        one, two = said["whole", "gradient_boosting"], said["few", "gradient_boosting"]
+        assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-6 for k in one)
+        scores = [{x.metric: x.value for x in M.metrics_of(M.score(p["random_forest"], part, target, task), task).collect()} for p in (whole, few)]
+        assert all(abs(scores[0][m] - scores[1][m]) < 0.05 for m in (["r2"] if task == "regression" else ["accuracy", "roc_auc"])), scores
+        assert len(few["random_forest"][0].stages[-1].trees) == 10
+
+
+def test_bags_hold_every_row_and_bins_follow_the_values(spark, monkeypatch):
+    df = spark.range(0, 4000, numPartitions=2).select(
+        (F.col("id") % 7).cast("double").alias("k"), F.col("id").cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    bags = {x.k: x.bag for x in M.bag_sums(df, ["k"], 20, 1).collect()}
+    assert set(bags) == set(range(7)) and all([b.tree for b in bag] == list(range(20)) for bag in bags.values())
+    drawn = [sum(bag[t].weight for bag in bags.values()) for t in range(20)]
+    assert all(abs(n - 4000) < 400 for n in drawn) and len(set(drawn)) > 10
+    assert all(0 < b.total / b.weight < 4000 for bag in bags.values() for b in bag)
+    monkeypatch.setattr(M, "HELD_CELLS", 1)
+    assert {x.k: x.bag for x in M.bag_sums(df, ["k"], 20, 1).collect()} == bags
+    edges = dict(zip(("k", "label", "weight"), M.bin_edges(df, ["k", "label", "weight"]), strict=True))
+    assert edges["k"][1:-1] == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5] and edges["weight"][1:-1] == [1.0]
+    inner = edges["label"][1:-1]
+    assert len(inner) == 31 and all(abs(x - (i + 1) * 125) < 20 for i, x in enumerate(inner))
