@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import modelling as M
 from millrace.operators import sampling as S
 from millrace.plans.registry import query
+from millrace.session import kept
 from millrace.session import read_table as t
 
 
@@ -78,7 +79,8 @@ def _priced_orders(spark, sf):
 
 
 def _priced_split(spark, sf):
-    split = S.temporal_holdout(_priced_orders(spark, sf), "o_orderdate", ["o_orderkey"])
+    orders = kept(_priced_orders(spark, sf), "priced_orders")
+    split = kept(S.temporal_holdout(orders, "o_orderdate", ["o_orderkey"]), "priced_split")
     columns = ["o_totalprice", "quantity", "lines", "o_orderpriority"]
     return split.where("is_train").select(*columns), split.where("not is_train").select(*columns)
 
